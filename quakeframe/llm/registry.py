@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import license_scan, piece_codec, secret_scan, token_counts
+from . import language_id, license_scan, piece_codec, secret_scan, token_counts
 
-MODULES = (license_scan, secret_scan, token_counts, piece_codec)
+MODULES = (license_scan, language_id, secret_scan, token_counts, piece_codec)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
