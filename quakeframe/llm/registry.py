@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, license_scan, piece_codec, quality_rules, secret_scan, token_counts
+from . import language_id, license_scan, piece_codec, quality_rules, secret_scan, simhash_dedup, token_counts
 
-MODULES = (license_scan, language_id, secret_scan, token_counts, piece_codec, quality_rules)
+MODULES = (license_scan, language_id, secret_scan, simhash_dedup, token_counts, piece_codec, quality_rules, simhash_dedup)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
