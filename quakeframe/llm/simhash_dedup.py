@@ -133,6 +133,13 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     return marked.join(names, "fp").select(key, "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
+    """One row of each class, the one with the smallest key, with all columns. Rows without a key stay, since no class can name them."""
+    named = classes(docs, text, key, size).filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    kept = docs.filter(F.col(key).isNotNull()).join(named, key, "left_semi").dropDuplicates([key])
+    return kept.select(docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+
+
 def hexadecimal(fp: str = "fp") -> object:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
