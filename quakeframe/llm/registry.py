@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, piece_codec, quality_rules, secret_scan, simhash_dedup, token_counts
+from . import decontaminate, language_id, license_scan, lm_score, piece_codec, quality_rules, secret_scan, simhash_dedup, token_counts
 
-MODULES = (license_scan, language_id, secret_scan, simhash_dedup, token_counts, piece_codec, quality_rules, simhash_dedup, decontaminate)
+MODULES = (license_scan, language_id, secret_scan, simhash_dedup, token_counts, piece_codec, quality_rules, simhash_dedup, decontaminate, lm_score)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
