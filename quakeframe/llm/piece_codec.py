@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -26,7 +25,8 @@ from pyspark.sql import functions as F
 from . import common, pretokens
 from .token_counts import default_model
 
-CACHE_SIZE = 1 << 19
+#: Pre-tokens whose ids (as int32 bytes) a worker keeps.
+CACHE_SIZE = 1 << 17
 #: Piece kinds of the model protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -89,7 +89,7 @@ class Codec:
         #: The part table holds only where the text's own characters reach the model unchanged.
         self.by_part = not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and self.prefix and pretokens.safe_model(p.piece for p in model.pieces if p.type != CONTROL)
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else model.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else p.piece.replace(pretokens.MARK, " ").encode() for p in model.pieces]
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
         self.verify(path)
 
     def verify(self, path: str) -> None:
@@ -98,15 +98,16 @@ class Codec:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         for text, ids in zip(PROBES, self.encode(list(PROBES)), strict=True):
-            if ids != sp.encode(text) or self.decode([ids]) != [sp.decode(ids)]:
+            if ids.tolist() != sp.encode(text) or self.decode([ids]) != [sp.decode(ids.tolist())]:
                 raise ValueError(f"the tokenizers pipeline differs from SentencePiece on {text!r}")
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts."""
         if not self.by_part:
-            return self._library([t or "" for t in texts])
+            return [np.array(x, np.int32) for x in self._library([t or "" for t in texts])]
         parts = [pretokens.split(t) if t else [] for t in texts]
         seen: set[str] = set()
         for p in parts:
@@ -116,15 +117,15 @@ class Codec:
         cache = self.cache
         new = [s for s in seen if s not in cache]
         # A line feed in front keeps the marker that the normaliser adds apart from the part's own.
-        cache.update(zip(new, (ids[2:] for ids in self._library(["\n" + s for s in new])), strict=True))
-        return [list(chain.from_iterable(map(cache.__getitem__, p))) for p in parts]
+        cache.update(zip(new, (np.array(ids[2:], np.int32).tobytes() for ids in self._library(["\n" + s for s in new])), strict=True))
+        return [np.frombuffer(b"".join(map(cache.__getitem__, p)), np.int32) for p in parts]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
+    def decode(self, ids: list[Any]) -> list[str]:
         """Texts of id lists; bytes that are no UTF-8 become the replacement character, as in the library."""
         table = self.bytes
         out = []
         for x in ids:
-            raw = b"".join(map(table.__getitem__, x))
+            raw = b"".join(map(table.__getitem__, x.tolist() if isinstance(x, np.ndarray) else x))
             out.append((raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace"))
         return out
 
@@ -171,7 +172,7 @@ def round_trip(docs: DataFrame, model_path: str | None = None, text: str = "text
             texts, c = b.column(1).to_pylist(), codec(path)
             ids = c.encode(texts)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             ends = np.concatenate([[0], np.cumsum(sizes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)).cast(target.field("ids").type)
             sha = [hashlib.sha256(flat[i:j].astype("<i4").tobytes()).hexdigest() for i, j in zip(ends[:-1], ends[1:], strict=True)]

@@ -136,8 +136,17 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
     """One row of each class, the one with the smallest key, with all columns. Rows without a key stay, since no class can name them."""
     named = classes(docs, text, key, size).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    kept = docs.filter(F.col(key).isNotNull()).join(named, key, "left_semi").dropDuplicates([key])
-    return kept.select(docs.columns).unionByName(docs.filter(F.col(key).isNull()))
+    # Texts are dealt by key and never sorted; repeated rows of a key meet in one partition, where the first one stays.
+    dealt = docs.filter(F.col(key).isNotNull()).repartition(key).join(named.hint("shuffle_hash"), key, "left_semi").select(docs.columns)
+    at = docs.columns.index(key)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for b in batches:
+            fresh = [not (k in seen or seen.add(k)) for k in b.column(at).to_pylist()]
+            yield b.filter(pa.array(fresh, pa.bool_()))
+
+    return dealt.mapInArrow(first, docs.schema).unionByName(docs.filter(F.col(key).isNull()))
 
 
 def hexadecimal(fp: str = "fp") -> object:

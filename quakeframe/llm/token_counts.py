@@ -27,7 +27,7 @@ TABLE_SIZE = 1 << 16
 SAMPLE_ROWS = 1024
 SAMPLE_CHARS = 1 << 16
 #: Entries that a worker's cache may hold before it falls back to the broadcast table.
-CACHE_SIZE = 1 << 20
+CACHE_SIZE = 1 << 18
 TOKEN_LIMIT = 4096
 
 #: Lengths by model file; a length depends on the model alone, so tasks of any query can share them.
