@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch. Whole texts are kept, so the byte bound is what limits a worker's memory.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_ROWS = 256
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> None:
@@ -39,6 +40,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage, so that Spark deletes shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict[str, list[Any]]], dict[str, Any]], schema: str | T.StructType) -> DataFrame:
     """Apply ``fn`` to column lists, batch by batch; it returns columns (lists or arrays) in the order of ``schema``."""
     target = arrow_schema(df.sparkSession, schema)

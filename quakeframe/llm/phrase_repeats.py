@@ -154,6 +154,7 @@ def distinct_texts(docs: DataFrame, text: str, name: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter(F.octet_length(text) >= LENGTH).select(*text_key(text), F.col(text).alias("text"))
     rows.mapInArrow(first, ddl).repartition(n, "k").mapInArrow(first, ddl).write.option("compression", "zstd").bucketBy(n, "k").saveAsTable(name)
+    common.release(spark)
     return spark.table(name)
 
 
@@ -169,6 +170,7 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _removed(docs: DataFrame, text: str, name: str) -> DataFrame:
+    spark = docs.sparkSession
     texts = distinct_texts(docs, text, name)
     copies = docs.filter(F.octet_length(text) >= LENGTH).select(*text_key(text)).groupBy("k", "check").agg(F.count("*").alias("copies")).filter("copies > 1").drop("copies")
 
@@ -181,6 +183,7 @@ def _removed(docs: DataFrame, text: str, name: str) -> DataFrame:
     parsed = _map(texts.select("k", "text"), triggers, "k long, t int, probe long, stretch long")
     shared = parsed.groupBy("probe").agg(F.count("*").alias("n")).filter("n > 1").select("probe")
     repeated = common.cut(parsed.join(shared, "probe").select("k", "t", "stretch"))
+    common.release(spark)
     stretches = repeated.filter("stretch <> 0").groupBy("stretch").agg(F.count("*").alias("n"), F.min(F.struct("k", "t")).alias("first")).filter("n > 1").drop("n")
     state = F.when(F.col("first").isNull(), 0).when(F.col("first") == F.struct("k", "t"), 2).otherwise(1).cast("int")
     phrases = common.cut(repeated.join(stretches, "stretch", "left").groupBy("k").agg(F.collect_list(F.struct("t", state.alias("state"))).alias("phrases")))
@@ -202,20 +205,29 @@ def _removed(docs: DataFrame, text: str, name: str) -> DataFrame:
         return h, sure, left, model
 
     def strings(c: dict[str, list]) -> dict[str, Any]:
-        keys, places, hashes = [], [], []
+        keys, firsts, hashes = [], [], []
         for k, raw, own in zip(c["k"], c["text"], c["phrases"], strict=True):
             h, _, left, model = masks(raw.encode(), own)
-            for mask, at in ((left, True), (model, False)):
+            for mask, shown in ((left, True), (model, False)):
                 p = np.nonzero(mask)[0]
-                keys.append(np.full(len(p), k, np.int64))
-                places.append(p.astype(np.int32) if at else np.full(len(p), -1, np.int32))
-                hashes.append(h.of(p, p + LENGTH))
-        cat = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        return {"h": cat(hashes, np.int64), "k": cat(keys, np.int64), "p": cat(places, np.int32)}
-
-    open_strings = common.cut(_map(joined.select("k", "text", "phrases"), strings, "h long, k long, p int"))
-    twice = open_strings.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    more = open_strings.filter("p >= 0").join(twice, "h").groupBy("k").agg(F.collect_list("p").alias("places"))
+                if len(p):
+                    values = h.of(p, p + LENGTH)
+                    cuts = np.concatenate([[0], np.nonzero(np.diff(p) > 1)[0] + 1, [len(p)]])
+                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                        keys.append(k)
+                        firsts.append(int(p[a]) if shown else None)
+                        hashes.append(values[a:b])
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64)))
+        return {"k": keys, "first": firsts, "hashes": lists}
+
+    # Runs of neighbouring starts travel as arrays of hashes.
+    runs = common.cut(_map(joined.select("k", "text", "phrases"), strings, "k long, first int, hashes array<long>"))
+    common.release(spark)
+    twice = runs.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    opened = runs.filter("first IS NOT NULL").select("k", "first", F.posexplode("hashes").alias("o", "h")).select("h", "k", (F.col("first") + F.col("o")).alias("p"))
+    more = common.cut(opened.join(twice, "h").select("k", "p")).groupBy("k").agg(F.collect_list("p").alias("places"))
+    common.release(spark)
 
     def cover(c: dict[str, list]) -> dict[str, Any]:
         out: dict[str, list] = {x: [] for x in ("k", "check", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs")}

@@ -27,6 +27,8 @@ from .token_counts import default_model
 
 #: Pre-tokens whose ids (as int32 bytes) a worker keeps.
 CACHE_SIZE = 1 << 17
+#: Pre-tokens that go to the library at once; its results are far larger than the ids.
+CHUNK = 4096
 #: Piece kinds of the model protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -117,7 +119,9 @@ class Codec:
         cache = self.cache
         new = [s for s in seen if s not in cache]
         # A line feed in front keeps the marker that the normaliser adds apart from the part's own.
-        cache.update(zip(new, (np.array(ids[2:], np.int32).tobytes() for ids in self._library(["\n" + s for s in new])), strict=True))
+        for i in range(0, len(new), CHUNK):
+            some = new[i : i + CHUNK]
+            cache.update(zip(some, (np.array(ids[2:], np.int32).tobytes() for ids in self._library(["\n" + s for s in some])), strict=True))
         return [np.frombuffer(b"".join(map(cache.__getitem__, p)), np.int32) for p in parts]
 
     def decode(self, ids: list[Any]) -> list[str]:
