@@ -11,6 +11,8 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import settle
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
 
 VIEWS: dict[str, str | tuple[str, str]] = {
@@ -77,6 +79,7 @@ def _uses(sql: str) -> list[str]:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view as a DataFrame."""
+    settle(spark)
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = _text(name, False)

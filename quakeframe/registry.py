@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import checks, maps, scalars
+from .plans import checks, maps, scalars, waveforms
 
-MODULES = (scalars, checks, maps)
+MODULES = (scalars, checks, maps, waveforms)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
