@@ -54,10 +54,10 @@ SELECT station, chain, CAST(row_number() OVER (PARTITION BY station, chain ORDER
 FROM (SELECT l_suppkey AS station, l_linenumber AS chain, -l_extendedprice / 1000 AS log_prob, l_returnflag = 'A' AS accepted, l_quantity AS vs1, l_discount AS vs2, l_tax AS vs3, l_orderkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM {lineitem}) q""",
     "long_draws": "SELECT station, chain, step, 'vs1' AS parameter, vs1 AS value FROM {draws} UNION ALL SELECT station, chain, step, 'vs2', vs2 FROM {draws} UNION ALL SELECT station, chain, step, 'vs3', vs3 FROM {draws}",
     "segments": """
-SELECT p_partkey AS model_id, seg, CAST(top AS DOUBLE) AS top, CAST(bottom AS DOUBLE) AS bottom, CASE WHEN seg = 0 THEN 'constant' ELSE 'gradient' END AS profile, 2.0 + p_size / 50.0 + 0.4 * seg AS v_top, 2.2 + p_retailprice / 4000 + 0.4 * seg AS v_bottom
+SELECT p_partkey AS model_id, seg, CAST(top AS DOUBLE) AS top, CAST(bottom AS DOUBLE) AS bottom, CASE WHEN seg = 0 THEN 'constant' ELSE 'gradient' END AS profile, CAST(2.0 + p_size / 50.0 + 0.4 * seg AS DOUBLE) AS v_top, CAST(2.2 + p_retailprice / 4000 + 0.4 * seg AS DOUBLE) AS v_bottom
 FROM {part} CROSS JOIN (SELECT 0 AS seg, 0 AS top, 1 AS bottom UNION ALL SELECT 1, 1, 3 UNION ALL SELECT 2, 3, 7 UNION ALL SELECT 3, 7, 15) s""",
     "layers": """
-SELECT model_id, seg AS layer, CASE WHEN seg = 3 THEN CAST(0 AS DOUBLE) ELSE bottom - top END AS thickness, v_top AS vs, v_top * 1.75 AS vp, CAST(2.7 AS DOUBLE) AS rho FROM {segments}""",
+SELECT model_id, seg AS layer, CASE WHEN seg = 3 THEN CAST(0 AS DOUBLE) ELSE bottom - top END AS thickness, v_top AS vs, CAST(v_top * 1.75 AS DOUBLE) AS vp, CAST(2.7 AS DOUBLE) AS rho FROM {segments}""",
     "profile": "SELECT model_id, seg, d AS depth, CASE WHEN profile = 'constant' THEN v_top ELSE v_top + (v_bottom - v_top) * (d - top) / (bottom - top) END AS vs FROM (SELECT *, top + (bottom - top) * q / 4.0 AS d FROM {segments} CROSS JOIN (SELECT 0 AS q UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) z) y",
     "obs": "SELECT l_suppkey AS station, 'love' AS observable, CAST(l_linenumber AS DOUBLE) AS period, min(l_quantity) AS value, CAST(2 AS DOUBLE) AS sigma FROM {lineitem} GROUP BY l_suppkey, l_linenumber",
     "pred": "SELECT l_suppkey AS station, 'love' AS observable, l_partkey % 20 AS model_id, CAST(l_linenumber AS DOUBLE) AS period, max(l_quantity) AS predicted FROM {lineitem} GROUP BY l_suppkey, l_partkey % 20, l_linenumber",
