@@ -60,8 +60,8 @@ def _curved(p):
 C.add("w14_curvature_prior", "profile", lambda p: _rounded(M.curvature_prior(_curved(p), 0.1)), "SELECT DISTINCT model_id, 0.02::DOUBLE AS rms, -0.02::DOUBLE AS log_prior FROM profile")
 _LAYERS = f"""WITH s AS (SELECT *, CAST(ceil((bottom - top) / 1.5 - 1e-9) AS INT) AS n FROM segments), e AS (SELECT *, unnest(range(n)) AS j FROM s), f AS (SELECT *, (bottom - top) / n AS h, top + (j + 0.5) * (bottom - top) / n AS z FROM e), g AS (SELECT model_id, seg, j, h AS thickness, {_VALUE.format(d='z')} AS vs FROM f UNION ALL SELECT model_id, 4, 0, 0, v_bottom FROM segments WHERE seg = 3),
 v AS (SELECT *, CASE WHEN vs BETWEEN 0 AND 4.5 THEN 0.9409 + 2.0947 * vs - 0.8206 * vs**2 + 0.2683 * vs**3 - 0.0251 * vs**4 END AS vp FROM g)
-SELECT model_id, CAST(row_number() OVER (PARTITION BY model_id ORDER BY seg, j) - 1 AS INT) AS layer, round(thickness, 4) AS thickness, round(vs, 4) AS vs, round(vp, 4) AS vp, round(1.6612 * vp - 0.4721 * vp**2 + 0.0671 * vp**3 - 0.0043 * vp**4 + 0.000106 * vp**5, 4) AS rho FROM v"""
-C.add("w15_layers_from_profile", "segments", lambda s: _rounded(M.layers_from_profile(s, 1.5), 4), _LAYERS)
+SELECT model_id, CAST(row_number() OVER (PARTITION BY model_id ORDER BY seg, j) - 1 AS INT) AS layer, round(thickness, 9) AS thickness, round(vs, 9) AS vs, round(vp, 9) AS vp, round(1.6612 * vp - 0.4721 * vp**2 + 0.0671 * vp**3 - 0.0043 * vp**4 + 0.000106 * vp**5, 9) AS rho FROM v"""
+C.add("w15_layers_from_profile", "segments", lambda s: _rounded(M.layers_from_profile(s, 1.5), 9), _LAYERS)
 C.add("w16_layers_from_tops", "segments", lambda s: _rounded(M.layers_from_tops(s.select("model_id", F.col("top").alias("depth"), "v_top"))), "SELECT model_id, top AS depth, round(v_top, 6) AS v_top, CASE WHEN seg = 3 THEN 0 ELSE bottom - top END AS thickness FROM segments")
 C.add("w21_segments_from_samples", "segments", lambda s: _rounded(M.segments_from_samples(s.select("model_id", F.col("top").alias("depth"), F.col("v_top").alias("vs")))), "SELECT model_id, CAST(seg AS INT) AS seg, top, bottom, 'gradient' AS profile, round(v_top, 6) AS v_top, round(nxt, 6) AS v_bottom FROM (SELECT *, lead(v_top) OVER (PARTITION BY model_id ORDER BY seg) AS nxt FROM segments) WHERE seg < 3")
 
