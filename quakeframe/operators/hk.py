@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import amplitude_factor
+from ..session import cut
 from . import robust
 
 
@@ -94,10 +95,11 @@ def hk_sequence(high: DataFrame, low: DataFrame, samples_high: DataFrame, sample
     """(sediment, crust) summaries per station. The sediment estimate of the high band (only its Mahalanobis mask counts) joins the low-band traces; where it is missing or thin the crust is stacked as one layer."""
 
     def summary(cells: DataFrame) -> DataFrame:
-        chosen = robust.mahalanobis_select(best_cells(cells), threshold).filter("kept")
+        # One row per trace, read by every pass of the selection.
+        chosen = cut(robust.mahalanobis_select(cut(best_cells(cells)), threshold).filter("kept"))
         return robust.robust_summary(chosen)
 
-    sediment = summary(hk_stack(high, samples_high, axes_sediment, vp=sediment_vp))
+    sediment = cut(summary(hk_stack(high, samples_high, axes_sediment, vp=sediment_vp)))
     thick = sediment.filter(F.col("h_best") > least_sediment).select("station", F.col("h_best").alias("h0"), F.col("k_best").alias("k0"))
     crust = summary(hk_stack(low.join(thick, "station", "left"), samples_low, axes_crust, vp=crust_vp, sediment=(sediment_vp, 0.0)))
     return sediment, crust

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EARTH_RADIUS_KM, geodesic, helmholtz_correction, travel_time, wrap180
-from ..session import settle
+from ..session import cut, settle
 from . import grid as G
 from . import masks as M
 
@@ -314,8 +314,8 @@ def event_fields(
     d = d.withColumn("travel_time", travel_time(F.col("distance_km"), F.col("c")))
     where = d.select("period_s", "source", "src_lon", "src_lat").distinct()
     fixed = correct_cycle_skips(d, **(cycle_skips or {})).filter("valid").drop("valid", "residual")
-    points = fixed.join(where, ["period_s", "source"])
-    field = grid_travel_times(points, grid)
+    points = cut(fixed.join(where, ["period_s", "source"]))
+    field = cut(grid_travel_times(points, grid))
     xy = F.broadcast(grid.select("i_lat", "i_lon", "lat", "lon", "x_km", "y_km"))
     t = field.join(xy, ["i_lat", "i_lon"])
     t = G.laplacian(G.gradient(G.gradient(t, "lon", out="east"), "lat", out="north"))

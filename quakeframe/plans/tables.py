@@ -12,4 +12,4 @@ C = Catalog()
 QUERIES, ORACLES = C.QUERIES, C.ORACLES
 
 C.add("s7_event_catalog", "catalog", lambda c: c.orderBy(F.col("magnitude").desc(), "event_id").select("event_id", "origin", "magnitude"), "SELECT event_id, origin, magnitude FROM catalog")
-C.add("s8_qc_table", "hk_results", lambda d: S.qc_lines(R.energy_select(d)), "SELECT station, CAST(rf_id AS STRING) AS name, printf('%.4f', h) AS h, printf('%.4f', k) AS k, printf('%.4f', energy) AS energy FROM hk_results QUALIFY energy >= 0.5 * max(energy) OVER (PARTITION BY station)")
+C.add("s8_qc_table", "hk_results", lambda d: S.qc_lines(R.energy_select(d.withColumn("h", F.round("h", 2)))), "SELECT station, CAST(rf_id AS STRING) AS name, printf('%.4f', round(h, 2)) AS h, printf('%.4f', k) AS k, printf('%.4f', energy) AS energy FROM hk_results QUALIFY energy >= 0.5 * max(energy) OVER (PARTITION BY station)")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(spark: SparkSession) -> None:
@@ -12,3 +14,14 @@ def settle(spark: SparkSession) -> None:
     loses groups. The setting only turns that shortcut off.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that all executors share, for results that several later steps read.
+
+    The folder comes from ``spark.checkpoint.dir``; a temporary one is set only where the session names none.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quakeframe-"))
+    return df.checkpoint(eager=True)
