@@ -221,9 +221,8 @@ def _removed(docs: DataFrame, text: str, name: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64)))
         return {"k": keys, "first": firsts, "hashes": lists}
 
-    # Runs of neighbouring starts travel as arrays of hashes.
-    runs = common.cut(_map(joined.select("k", "text", "phrases"), strings, "k long, first int, hashes array<long>"))
-    common.release(spark)
+    # Runs of neighbouring starts travel as arrays of hashes. They are made twice, which takes less than storing them.
+    runs = _map(joined.select("k", "text", "phrases"), strings, "k long, first int, hashes array<long>")
     twice = runs.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     opened = runs.filter("first IS NOT NULL").select("k", "first", F.posexplode("hashes").alias("o", "h")).select("h", "k", (F.col("first") + F.col("o")).alias("p"))
     more = common.cut(opened.join(twice, "h").select("k", "p")).groupBy("k").agg(F.collect_list("p").alias("places"))
