@@ -34,7 +34,7 @@ def peer_weights(events: DataFrame, width: float = 20.0, require_peer: bool = Tr
     w = F.when(F.col("peers") >= (2 if require_peer else 1), 1 / F.col("peers"))
     cell = Window.partitionBy(*keys)
     d = d.withColumn("w", w).withColumn("__cap", F.avg("w").over(cell) + cap_deviations * F.stddev_pop("w").over(cell))
-    return d.withColumn("w", F.coalesce(F.least("w", "__cap"), F.lit(0.0))).drop("__cap")
+    return d.withColumn("w", F.when(F.col("w").isNull(), 0.0).otherwise(F.least("w", "__cap"))).drop("__cap")
 
 
 def weighted_mean_std(df: DataFrame, value: str = "slowness", weight: str = "w", keys: tuple[str, ...] = KEYS) -> DataFrame:

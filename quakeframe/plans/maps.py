@@ -17,7 +17,7 @@ MIN_RAW = 5
 _VALID = "SELECT *, ((azimuth % 360) + 360) % 360 AS a FROM event_cells WHERE reason = 0 AND slowness > 0 AND accepted"
 _PEERS = f"SELECT e.*, (SELECT count(*) FROM ({_VALID}) f WHERE f.period_s = e.period_s AND f.cell = e.cell AND least(abs(f.a - e.a), 360 - abs(f.a - e.a)) <= 20) AS peers FROM ({_VALID}) e"
 _RAW_W = f"SELECT *, CASE WHEN peers >= 2 THEN 1.0::DOUBLE / peers END AS w0, count(*) OVER (PARTITION BY period_s, cell) AS raw FROM ({_PEERS})"
-_WEIGHTS = f"SELECT * EXCLUDE (w0), coalesce(least(w0, avg(w0) OVER c + 3 * stddev_pop(w0) OVER c), 0) AS w FROM ({_RAW_W}) WINDOW c AS (PARTITION BY period_s, cell)"
+_WEIGHTS = f"SELECT * EXCLUDE (w0), CASE WHEN w0 IS NULL THEN 0 ELSE least(w0, avg(w0) OVER c + 3 * stddev_pop(w0) OVER c) END AS w FROM ({_RAW_W}) WINDOW c AS (PARTITION BY period_s, cell)"
 
 
 def _norm(sql: str, w: str = "w") -> str:
