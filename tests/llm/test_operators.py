@@ -138,7 +138,12 @@ def test_attention_model():
     rng = np.random.default_rng(0)
     seqs = [np.concatenate([[a, a + 1, a + 2] for a in rng.integers(0, 17, 60)]) for _ in range(40)]
     counts = np.bincount(np.concatenate(seqs), minlength=20).astype(float)
-    m = attention_model.train(seqs, counts, steps=300)
+    first = np.arange(20) % 2 == 0
+    classes = attention_model.id_classes(seqs, first)
+    pairs = np.zeros((attention_model.CLASSES, 20))
+    for s in seqs:
+        np.add.at(pairs, (classes[s[:-1]], s[1:]), 1)
+    m = attention_model.train(seqs, classes, first, pairs, steps=300)
     shares = np.log10((counts + 0.5) / (counts + 0.5).sum())
     assert attention_model.score(m, seqs).sum() > 0.8 * sum(shares[s].sum() for s in seqs)
     context = seqs[0][:30]
