@@ -39,7 +39,7 @@ from . import common
 
 LENGTH = 400
 #: Bytes of a trigger, of its probe, and the mean length of a phrase.
-TRIGGER, PROBE, PHRASE = 8, 64, 64
+TRIGGER, PROBE, PHRASE = 8, 64, 40
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.random.default_rng(20).integers(0, 1 << 62, 256, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -187,6 +187,7 @@ def _removed(docs: DataFrame, text: str, name: str) -> DataFrame:
     stretches = repeated.filter("stretch <> 0").groupBy("stretch").agg(F.count("*").alias("n"), F.min(F.struct("k", "t")).alias("first")).filter("n > 1").drop("n")
     state = F.when(F.col("first").isNull(), 0).when(F.col("first") == F.struct("k", "t"), 2).otherwise(1).cast("int")
     phrases = common.cut(repeated.join(stretches, "stretch", "left").groupBy("k").agg(F.collect_list(F.struct("t", state.alias("state"))).alias("phrases")))
+    common.release(spark)
 
     # A text without any repeated probe can still hold strings without triggers, so all texts are looked at.
     joined = texts.join(phrases, "k", "left")
@@ -225,7 +226,7 @@ def _removed(docs: DataFrame, text: str, name: str) -> DataFrame:
     runs = _map(joined.select("k", "text", "phrases"), strings, "k long, first int, hashes array<long>")
     twice = runs.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     opened = runs.filter("first IS NOT NULL").select("k", "first", F.posexplode("hashes").alias("o", "h")).select("h", "k", (F.col("first") + F.col("o")).alias("p"))
-    more = common.cut(opened.join(twice, "h").select("k", "p")).groupBy("k").agg(F.collect_list("p").alias("places"))
+    more = common.cut(opened.join(twice, "h").groupBy("k").agg(F.collect_list("p").alias("places")))
     common.release(spark)
 
     def cover(c: dict[str, list]) -> dict[str, Any]:
