@@ -19,7 +19,8 @@ VP_BROCHER = (0.9409, 2.0947, -0.8206, 0.2683, -0.0251)
 RHO_BROCHER = (0.0, 1.6612, -0.4721, 0.0671, -0.0043, 0.000106)
 #: Rayleigh phase terms in units of pi/4.
 PI_OVER_4 = {"ZZ": -1.0, "ZR": 1.0, "RZ": -1.0, "RR": -1.0, "TT": -1.0}
-VINCENTY_STEPS = 10
+#: Each step gains a factor of about 300 except near antipodes.
+VINCENTY_STEPS = 6
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -51,7 +51,7 @@ C.add("j5_azimuth_peers", "event_cells", lambda d: A.azimuth_peers(_valid(d), 20
 C.add("a2_peer_weights", "event_cells", lambda d: A.peer_weights(_valid(d)).select("period_s", "cell", "source", r6("w").alias("w")), f"SELECT period_s, cell, source, round(w, 6) AS w FROM ({_WEIGHTS})")
 C.add("a3_weighted_mean_std", "event_cells", lambda d: _rounded(A.weighted_mean_std(d.withColumn("w", F.pmod("source", F.lit(5)).cast("double")))), "SELECT period_s, cell, round(max(m), 6) AS mean, CASE WHEN count(*) > 1 THEN round(sqrt(sum(w * (slowness - m) * (slowness - m)) / sum(w) * count(*) / (count(*) - 1)), 6) END AS std, count(*) AS n FROM (SELECT *, sum(w * slowness) OVER c / sum(w) OVER c AS m FROM (SELECT *, source % 5 AS w FROM event_cells WHERE source % 5 > 0) WINDOW c AS (PARTITION BY period_s, cell)) GROUP BY period_s, cell")
 C.add("a4_sigma_clip", "event_cells", lambda d: A.sigma_clip(A.normalize(d.withColumn("w", F.lit(1.0))), 1.5, 1).select("period_s", "cell", "source", r6("w").alias("w")), "SELECT period_s, cell, source, round(CASE WHEN abs(slowness - m) > 1.5 * s THEN 0 ELSE 1.0::DOUBLE / k END, 6) AS w FROM (SELECT *, count(CASE WHEN NOT abs(slowness - m) > 1.5 * s THEN 1 END) OVER c AS k FROM (SELECT *, stddev_samp(slowness) OVER c AS s, avg(slowness) OVER c AS m FROM event_cells WINDOW c AS (PARTITION BY period_s, cell)) WINDOW c AS (PARTITION BY period_s, cell))")
-C.add("a5_effective_count", "event_cells", lambda d: A.stack_cells(d, min_raw_measurements_per_cell=MIN_RAW, clip_deviations=None, require_peer=False).select("period_s", "cell", r6("effective_count").alias("effective_count")), f"SELECT period_s, cell, round(pow(sum(w), 2) / sum(w * w), 6) AS effective_count FROM (SELECT *, least(w0, avg(w0) OVER c + 3 * stddev_pop(w0) OVER c) AS w FROM (SELECT *, 1.0::DOUBLE / peers AS w0 FROM ({_PEERS})) WINDOW c AS (PARTITION BY period_s, cell)) GROUP BY period_s, cell HAVING count(*) >= {MIN_RAW}")
+C.add("a5_effective_count", "event_cells", lambda d: A.stack_cells(d, min_raw_measurements_per_cell=MIN_RAW, clip_deviations=None, require_peer=False).select("period_s", "cell", r6("effective_count").alias("effective_count")), f"SELECT period_s, cell, CASE WHEN count(*) >= {MIN_RAW} THEN round(pow(sum(w), 2) / sum(w * w), 6) ELSE 0 END AS effective_count FROM (SELECT *, least(w0, avg(w0) OVER c + 3 * stddev_pop(w0) OVER c) AS w FROM (SELECT *, 1.0::DOUBLE / peers AS w0 FROM ({_PEERS})) WINDOW c AS (PARTITION BY period_s, cell)) GROUP BY period_s, cell")
 C.add("a6_azimuthal_coverage", "event_cells", lambda d: _rounded(A.azimuthal_coverage(d)), "SELECT period_s, cell, CASE WHEN count(*) < 2 THEN 0 ELSE round(360 - greatest(max(gap), min(a) + 360 - max(a)), 6) END AS coverage FROM (SELECT *, a - lag(a) OVER (PARTITION BY period_s, cell ORDER BY a) AS gap FROM (SELECT *, ((azimuth % 360) + 360) % 360 AS a FROM event_cells)) GROUP BY period_s, cell")
 C.add(
     "u4_eikonal_vs_helmholtz",
