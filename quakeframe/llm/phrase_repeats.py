@@ -163,9 +163,14 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     common.prepare(spark)
     name = f"phrase_repeats_{uuid.uuid4().hex}"
+    # Each step writes what the next one reads, so its shuffle files may go when it ends.
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
     try:
         return _removed(docs, text, name)
     finally:
+        spark.conf.set(cleanup, before)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
