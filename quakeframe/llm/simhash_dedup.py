@@ -135,7 +135,11 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
     """One row of each class, the one with the smallest key, with all columns. Rows without a key stay, since no class can name them."""
-    named = classes(docs, text, key, size).filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    return keep_named(docs, classes(docs, text, key, size).filter(F.col(key) == F.col("component_id")).select(key).distinct(), key)
+
+
+def keep_named(docs: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """One row of each key in ``named``, and the rows without a key."""
     # Texts are dealt by key and never sorted; repeated rows of a key meet in one partition, where the first one stays.
     dealt = docs.filter(F.col(key).isNotNull()).repartition(key).join(named.hint("shuffle_hash"), key, "left_semi").select(docs.columns)
     at = docs.columns.index(key)
