@@ -1,265 +1,267 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
-A byte is removed if a string of ``LENGTH`` bytes that covers it starts anywhere else in the corpus. Rolling-hash
-triggers cut each text into phrases, at places that depend on the bytes there alone, so equal stretches of different
-texts are cut alike. The dictionary of phrase contexts then settles most starts without comparing positions:
-
-1. Each trigger gives the hash of its next ``PROBE`` bytes. A string that holds a trigger whose probe occurs once in the
-   corpus occurs once itself. Only strings all of whose probes repeat stay candidates.
-2. A phrase whose starts are all candidates gives the hash of the stretch that all strings starting in it cover. If that
-   stretch occurs twice, every start in the phrase is repeated.
-3. The starts left over, at the edges of repeated passages, give the hashes of their own strings, which are counted
-   together with those of one occurrence of each repeated stretch.
-
-So corpus order is never spelled out position by position: equal phrases stand for all their occurrences, as in the
-dictionary and parse of a prefix-free parsing, and only edges are resolved byte by byte. Hashes are 64-bit polynomials
-with a secret-free odd base over mixed bytes.
+A byte is removed if a string of ``LENGTH`` bytes that covers it starts anywhere else in the corpus. As in prefix-free
+parsing, a rolling hash alone decides where texts are cut: the trigger of a place is the least hash among its next
+``WINDOW`` places, so equal strings have their triggers at equal offsets, whatever stands around them. Each start of a
+string belongs to its trigger; the starts of one trigger are a phrase.
+
+1. Each trigger gives the hash of its next ``PROBE`` bytes. Every string of ``PASSAGE`` bytes holds the probe of its
+   trigger, so a phrase whose probe occurs once is done.
+2. A phrase that is left gives the digest of its stretch, the bytes that its strings cover together. Where that occurs
+   twice, all its strings are repeated. This is the dictionary: copies of a passage count as one entry from here on.
+3. Of the other phrases, strings are put into bins of ``STEP`` starts; those of a bin share a core of
+   ``LENGTH - STEP`` bytes. Only bins whose core occurs twice can hold a repeat.
+4. The strings of these bins, and those of one phrase of each repeated stretch with such a core, give their own digests,
+   which are counted.
+
+No suffix array of dictionary and parse is written down: corpus order would be one row a byte through a shuffle, while
+these steps send one row a trigger and one a string at the edges of repeats alone. What is declared equal rests on 128
+bits of SHA-256; the probe's 64-bit hash only sorts out what cannot repeat.
 
 Equal texts are one text, kept in a bucketed table in the warehouse so that later steps join with it without moving
 texts again. A text of ``LENGTH`` bytes or more that occurs twice is removed whole.
 
 Edge cases: a null or empty text has no bytes and the digest of nothing; texts shorter than ``LENGTH`` bytes lose
 nothing; matches never cross texts and may overlap within one; repeated rows are copies of each other; an empty table
-gives an empty result; other columns are not read.
+gives an empty result; other columns are not read. A text's lists of phrases hold a few numbers for every 50 of its
+bytes or so; a run of one byte has a trigger at each place.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 LENGTH = 400
-#: Bytes of a trigger, of its probe, and the mean length of a phrase.
-TRIGGER, PROBE, PHRASE = 8, 64, 40
-_BASE = 0x9E3779B97F4A7C15
-_MIX = np.random.default_rng(20).integers(0, 1 << 62, 256, dtype=np.uint64) * np.uint64(4) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, at least n of them."""
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 17)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p)
-    return _powers["up"], _powers["down"]
-
-
-class Hashes:
-    """Hashes of all substrings of a byte string."""
-
-    def __init__(self, raw: bytes) -> None:
-        b = np.frombuffer(raw, np.uint8)
-        self.n = len(b)
-        up, self.down = _power(self.n + 1)
-        self.prefix = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_MIX[b] * up[: self.n], out=self.prefix[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of raw[start:end], as int64; the length is part of them."""
-        h = (self.prefix[end] - self.prefix[start]) * self.down[start]
-        h += (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+#: Bytes that a trigger's rolling hash covers, places of which it has the least one, bytes of its probe.
+TRIGGER, WINDOW, PROBE = 8, 100, 160
+#: Any repeated string this long holds the probe of a trigger of its own.
+PASSAGE = WINDOW + PROBE
+#: Starts of a bin.
+STEP = 50
+BINS = WINDOW // STEP
+#: Starts that are looked at together; their places fit into the low bits of a hash.
+BLOCK, PLACE_BITS = 1 << 20, 24
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+_LOW = np.uint64((1 << PLACE_BITS) - 1)
+
+
+def _least(v: np.ndarray, n: int) -> np.ndarray:
+    """Minima of all windows of n values."""
+    size = 1
+    while 2 * size <= n:
+        v = np.minimum(v[:-size], v[size:])
+        size *= 2
+    return np.minimum(v[: len(v) - (n - size)], v[n - size :]) if size < n else v
+
+
+def triggers(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first start, last start) of each trigger: the starts whose trigger it is, of strings of ``PASSAGE`` bytes."""
+    m = len(raw) - PASSAGE + 1
+    parts = []
+    for at in range(0, max(m, 0), BLOCK):
+        starts = min(BLOCK, m - at)
+        n = starts + WINDOW - 1
+        h = np.ndarray((n,), np.dtype("<u8"), raw, at, (1,)) * _MIX[0]
         h ^= h >> np.uint64(32)
-        return (h * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
-
-    def triggers(self) -> np.ndarray:
-        """Places whose probe lies inside the text and whose first bytes hash to a trigger."""
-        n = self.n - PROBE + 1
-        if n <= 0:
-            return np.empty(0, np.int64)
-        h = (self.prefix[TRIGGER : n + TRIGGER] - self.prefix[:n]) * self.down[:n]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return np.nonzero((h >> np.uint64(40)) % np.uint64(PHRASE) == 0)[0]
-
+        h *= _MIX[1]
+        place = (_least((h & ~_LOW) | np.arange(n, dtype=np.uint64), WINDOW) & _LOW).astype(np.int64)
+        first = np.concatenate([[0], np.nonzero(np.diff(place))[0] + 1])
+        parts.append((place[first] + at, first + at, np.append(first[1:], starts) + (at - 1)))
+    if not parts:
+        return (np.empty(0, np.int64),) * 3
+    place, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    new = np.concatenate([[True], np.diff(place) > 0])
+    return place[new], lo[new], np.append(lo[new][1:], m) - 1
 
-def probes(h: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigger, probe hash, stretch hash) of a text. The stretch covers all strings that start in the phrase; 0 where it passes the end."""
-    t = h.triggers()
-    probe = h.of(t, t + PROBE)
-    stretch = np.zeros(len(t), np.int64)
-    if len(t) > 1:
-        a, b = t[:-1], t[1:] + LENGTH - 1
-        fits = b <= h.n
-        stretch[:-1][fits] = h.of(a[fits], b[fits])
-    return t, probe, stretch
 
+def digest(x: bytes) -> bytes:
+    return hashlib.sha256(x).digest()[:16]
 
-def starts(n: int, triggers: np.ndarray, repeated: np.ndarray, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sure, open) masks over the starts of strings in a text of n bytes.
 
-    ``repeated`` are triggers with a repeated probe, ``settled`` those of them whose phrase's stretch repeats. A start
-    is open if no trigger of its string has a unique probe and its phrase is not settled.
-    """
-    m = n - LENGTH + 1
-    unique = np.setdiff1d(triggers, repeated, assume_unique=True)
-    edge = np.zeros(n + 2, np.int32)
-    np.add.at(edge, np.maximum(0, unique - (LENGTH - PROBE)), 1)
-    np.add.at(edge, unique + 1, -1)
-    candidate = np.cumsum(edge)[:m] == 0
-    sure = np.zeros(m, bool)
-    if len(settled):
-        after = np.append(triggers, m)
-        for t in settled.tolist():
-            sure[t : after[np.searchsorted(triggers, t) + 1]] = True
-    return sure, candidate & ~sure
-
-
-def covered(n: int, begins: np.ndarray) -> np.ndarray:
-    """Maximal runs (start, end) of bytes covered by strings that begin at the given places."""
+def covered(begins: np.ndarray) -> np.ndarray:
+    """Maximal runs (start, end) of bytes covered by strings that begin at the given sorted places."""
     if not len(begins):
         return np.empty((0, 2), np.int64)
-    b = np.sort(begins)
-    gap = np.nonzero(b[1:] > b[:-1] + LENGTH)[0]
-    return np.stack([b[np.concatenate([[0], gap + 1])], b[np.concatenate([gap, [len(b) - 1]])] + LENGTH], axis=1)
+    gap = np.nonzero(begins[1:] > begins[:-1] + LENGTH)[0]
+    return np.stack([begins[np.concatenate([[0], gap + 1])], begins[np.concatenate([gap, [len(begins) - 1]])] + LENGTH], axis=1)
 
 
-def _map(df: DataFrame, fn: Callable[[dict[str, list[Any]]], dict[str, Any]], ddl: str) -> DataFrame:
-    return common.arrow_map(df, fn, ddl)
+def bin_starts(place: int, lo: int, hi: int, j: int) -> tuple[int, int]:
+    """First and last start of bin ``j`` of a phrase; empty if the first is larger."""
+    return max(lo, place - STEP * j - STEP + 1), min(hi, place - STEP * j)
 
 
-def text_key(text: str = "text") -> Any:
-    """128 bits that name a text, as two columns: the join key and a check of it."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return F.xxhash64(t).alias("k"), F.md5(t).alias("check")
+def stretch(raw: bytes, place: int, lo: int, hi: int) -> bytes:
+    """Digest of the bytes that the strings of a phrase cover, and of where its trigger lies among them."""
+    return digest(b"%d:" % (place - lo) + raw[lo : hi + LENGTH])
+
+
+def core(raw: bytes, place: int, j: int) -> bytes:
+    """Digest of the bytes that all strings of a bin cover, with the bin's number."""
+    return digest(b"%d:" % j + raw[place - STEP * j : place - STEP * (j + 1) + LENGTH])
+
+
+def _map(df: DataFrame, fn: Any, ddl: str) -> DataFrame:
+    """``fn`` gets an iterator over batches of column lists and yields dicts of columns of ``ddl``."""
+    target = common.arrow_schema(df.sparkSession, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield common.record_batch(fn(*(c.to_pylist() for c in b.columns)), target)
+
+    return df.mapInArrow(run, ddl)
+
+
+def text_sha(text: str = "text") -> Column:
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def name_of(sha: str = "sha") -> Column:
+    """16 bytes of a text's SHA-256 in hex: the name of the text."""
+    return F.unhex(F.substring(sha, 1, 32))
 
 
 def distinct_texts(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Texts of ``LENGTH`` bytes or more, one row each, in a table bucketed by ``k``. Copies go inside each task before texts move."""
+    """Texts of ``PASSAGE`` bytes or more as (k, raw), one row each, in a table bucketed by ``k``. Copies go inside each task before texts move."""
     spark = docs.sparkSession
-    ddl = "k long, check string, text string"
+    ddl = "k binary, raw binary"
     target = common.arrow_schema(spark, ddl)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()
+        seen: set[bytes] = set()
         for b in batches:
-            new = []
-            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                if key not in seen:
-                    seen.add(key)
-                    new.append(i)
-            yield b.take(pa.array(new, pa.int64())).cast(target)
+            new = [not (k in seen or seen.add(k)) for k in b.column(0).to_pylist()]
+            yield b.filter(pa.array(new, pa.bool_())).cast(target)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.filter(F.octet_length(text) >= LENGTH).select(*text_key(text), F.col(text).alias("text"))
+    rows = docs.filter(F.octet_length(text) >= PASSAGE).select(text_sha(text).alias("sha"), F.col(text).cast("binary").alias("raw")).select(name_of().alias("k"), "raw")
     rows.mapInArrow(first, ddl).repartition(n, "k").mapInArrow(first, ddl).write.option("compression", "zstd").bucketBy(n, "k").saveAsTable(name)
-    common.release(spark)
     return spark.table(name)
 
 
+def _probes(keys: list[bytes], raws: list[bytes]) -> dict[str, Any]:
+    """A row for each trigger. ``hk`` stands for the text in counts of texts."""
+    from xxhash import xxh3_64_intdigest
+
+    found = [triggers(raw) for raw in raws]
+    sizes = [len(f[0]) for f in found]
+    cat = lambda i: np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64)
+    probes = [xxh3_64_intdigest(raw[p : p + PROBE]) for raw, f in zip(raws, found, strict=True) for p in f[0].tolist()]
+    heads = np.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], np.int64)
+    at = np.repeat(np.arange(len(keys)), sizes)
+    return {"k": pa.array(keys, pa.binary()).take(pa.array(at)), "hk": heads[at] if len(keys) else heads, "place": cat(0).astype(np.int32), "lo": cat(1).astype(np.int32), "hi": cat(2).astype(np.int32), "probe": np.array(probes, np.uint64).view(np.int64)}
+
+
+def _phrase_digests(keys: list[bytes], raws: list[bytes], phrases: list[list]) -> dict[str, Any]:
+    """Stretch and cores of the phrases that are left."""
+    out: dict[str, list] = {x: [] for x in ("k", "place", "lo", "hi", "stretch", "cores")}
+    for k, raw, own in zip(keys, raws, phrases, strict=True):
+        for p in own:
+            place, lo, hi = p["place"], p["lo"], min(p["hi"], len(raw) - LENGTH)
+            if lo <= hi:
+                cores = [core(raw, place, j) if (s := bin_starts(place, lo, hi, j))[0] <= s[1] else None for j in range(BINS)]
+                for x, v in zip(out, (k, place, lo, hi, stretch(raw, place, lo, hi), cores), strict=True):
+                    out[x].append(v)
+    return out
+
+
+def _strings(keys: list[bytes], raws: list[bytes], work: list[list]) -> dict[str, Any]:
+    """Digests of the strings of open bins, and of bins that stand for a repeated stretch (``opened`` false)."""
+    out: dict[str, list] = {x: [] for x in ("k", "first", "opened", "digests")}
+    for k, raw, own in zip(keys, raws, work, strict=True):
+        for p in own:
+            a, b = bin_starts(p["place"], p["lo"], p["hi"], p["j"])
+            for x, v in zip(out, (k, a, p["opened"], [digest(raw[s : s + LENGTH]) for s in range(a, b + 1)]), strict=True):
+                out[x].append(v)
+    return out
+
+
+def _cuts(keys: list[bytes], raws: list[bytes], found: list[list]) -> dict[str, Any]:
+    """What is left of texts that lose bytes. ``mask`` has a bit for each repeated start from ``first`` on; null stands for ``size`` of them."""
+    out: dict[str, list] = {x: [] for x in ("k", "n_removed", "n_spans", "kept_sha256", "runs")}
+    for k, raw, own in zip(keys, raws, found, strict=True):
+        begins = np.zeros(len(raw) - LENGTH + 1, bool)
+        for p in own:
+            if p["mask"] is None:
+                begins[p["first"] : p["first"] + p["size"]] = True
+            else:
+                begins[[p["first"] + i for i in range(STEP) if p["mask"] >> i & 1]] = True
+        runs = covered(np.nonzero(begins)[0])
+        ends = [0, *runs[:, 1].tolist()]
+        kept = b"".join(raw[a:b] for a, b in zip(ends, [*runs[:, 0].tolist(), len(raw)], strict=True))
+        for x, v in zip(out, (k, len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), runs.tolist()), strict=True):
+            out[x].append(v)
+    return out
+
+
 def removed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(k, check, n_bytes, n_removed, n_spans, kept_sha256, runs) of each distinct text that loses bytes."""
+    """(k, n_removed, n_spans, kept_sha256, runs, passage) of each distinct text that loses bytes or shares a passage; of one that is removed whole only ``copied`` is set."""
     spark = docs.sparkSession
     common.prepare(spark)
     name = f"phrase_repeats_{uuid.uuid4().hex}"
-    # Each step writes what the next one reads, so its shuffle files may go when it ends.
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup)
-    spark.conf.set(cleanup, "true")
     try:
         return _removed(docs, text, name)
     finally:
-        spark.conf.set(cleanup, before)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def _removed(docs: DataFrame, text: str, name: str) -> DataFrame:
-    spark = docs.sparkSession
     texts = distinct_texts(docs, text, name)
-    copies = docs.filter(F.octet_length(text) >= LENGTH).select(*text_key(text)).groupBy("k", "check").agg(F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-
-    def triggers(c: dict[str, list]) -> dict[str, Any]:
-        found = [probes(Hashes(t.encode())) for t in c["text"]]
-        sizes = [len(f[0]) for f in found]
-        cat = lambda i: np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64)
-        return {"k": np.repeat(np.array(c["k"], np.int64), sizes), "t": cat(0).astype(np.int32), "probe": cat(1), "stretch": cat(2)}
-
-    parsed = _map(texts.select("k", "text"), triggers, "k long, t int, probe long, stretch long")
-    shared = parsed.groupBy("probe").agg(F.count("*").alias("n")).filter("n > 1").select("probe")
-    repeated = common.cut(parsed.join(shared, "probe").select("k", "t", "stretch"))
-    common.release(spark)
-    stretches = repeated.filter("stretch <> 0").groupBy("stretch").agg(F.count("*").alias("n"), F.min(F.struct("k", "t")).alias("first")).filter("n > 1").drop("n")
-    state = F.when(F.col("first").isNull(), 0).when(F.col("first") == F.struct("k", "t"), 2).otherwise(1).cast("int")
-    phrases = common.cut(repeated.join(stretches, "stretch", "left").groupBy("k").agg(F.collect_list(F.struct("t", state.alias("state"))).alias("phrases")))
-    common.release(spark)
-
-    # A text without any repeated probe can still hold strings without triggers, so all texts are looked at.
-    joined = texts.join(phrases, "k", "left")
-
-    def masks(raw: bytes, own: list | None) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray]:
-        h = Hashes(raw)
-        t = h.triggers()
-        rows = sorted((p["t"], p["state"]) for p in own or [])
-        rep = np.intersect1d(np.array([r[0] for r in rows], np.int64), t)
-        settled = np.intersect1d(np.array([r[0] for r in rows if r[1]], np.int64), t[:-1])
-        shown = np.intersect1d(np.array([r[0] for r in rows if r[1] == 2], np.int64), t[:-1])
-        sure, left = starts(h.n, t, rep, settled)
-        model = np.zeros(len(sure), bool)
-        for x in shown.tolist():
-            model[x : t[np.searchsorted(t, x) + 1]] = True
-        return h, sure, left, model
-
-    def strings(c: dict[str, list]) -> dict[str, Any]:
-        keys, firsts, hashes = [], [], []
-        for k, raw, own in zip(c["k"], c["text"], c["phrases"], strict=True):
-            h, _, left, model = masks(raw.encode(), own)
-            for mask, shown in ((left, True), (model, False)):
-                p = np.nonzero(mask)[0]
-                if len(p):
-                    values = h.of(p, p + LENGTH)
-                    cuts = np.concatenate([[0], np.nonzero(np.diff(p) > 1)[0] + 1, [len(p)]])
-                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                        keys.append(k)
-                        firsts.append(int(p[a]) if shown else None)
-                        hashes.append(values[a:b])
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in hashes])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes) if hashes else np.empty(0, np.int64)))
-        return {"k": keys, "first": firsts, "hashes": lists}
-
-    # Runs of neighbouring starts travel as arrays of hashes. They are made twice, which takes less than storing them.
-    runs = _map(joined.select("k", "text", "phrases"), strings, "k long, first int, hashes array<long>")
-    twice = runs.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    opened = runs.filter("first IS NOT NULL").select("k", "first", F.posexplode("hashes").alias("o", "h")).select("h", "k", (F.col("first") + F.col("o")).alias("p"))
-    more = common.cut(opened.join(twice, "h").groupBy("k").agg(F.collect_list("p").alias("places")))
-    common.release(spark)
-
-    def cover(c: dict[str, list]) -> dict[str, Any]:
-        out: dict[str, list] = {x: [] for x in ("k", "check", "n_bytes", "n_removed", "n_spans", "kept_sha256", "runs")}
-        for k, check, t, own, places, copied in zip(c["k"], c["check"], c["text"], c["phrases"], c["places"], c["copied"], strict=True):
-            raw = t.encode()
-            if copied:
-                runs = np.array([[0, len(raw)]])
-            else:
-                _, sure, _, _ = masks(raw, own) if own else (None, np.empty(0, bool), None, None)
-                runs = covered(len(raw), np.union1d(np.nonzero(sure)[0], np.array(places or [], np.int64)))
-            if len(runs):
-                ends = [0, *runs[:, 1].tolist()]
-                kept = b"".join(raw[a:b] for a, b in zip(ends, [*runs[:, 0].tolist(), len(raw)], strict=True))
-                for x, v in zip(out, (k, check, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), runs.tolist()), strict=True):
-                    out[x].append(v)
-        return out
-
-    sources = texts.join(phrases, "k", "left").join(more, "k", "left").join(copies.withColumn("copied", F.lit(True)), ["k", "check"], "left").select("k", "check", "text", "phrases", "places", F.coalesce("copied", F.lit(False)).alias("copied"))
-    return common.cut(_map(sources.filter("places IS NOT NULL OR phrases IS NOT NULL OR copied"), cover, "k long, check string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<array<long>>"))
+    copies = docs.filter(F.octet_length(text) >= PASSAGE).select(text_sha(text).alias("sha")).groupBy("sha").agg(F.count("*").alias("n")).filter("n > 1").select(name_of().alias("k"), F.lit(True).alias("copied"))
+
+    parsed = _map(texts.select("k", "raw"), _probes, "k binary, hk long, place int, lo int, hi int, probe long")
+    # The counted side is written first, so that a join can split a probe that many texts hold.
+    shared = common.cut(parsed.groupBy("probe").agg(F.count("*").alias("n"), (F.min("hk") < F.max("hk")).alias("across")).filter("n > 1").select("probe", "across"))
+    left = parsed.join(shared, "probe").select("k", F.struct("place", "lo", "hi").alias("p"), "across")
+    phrases = common.cut(left.groupBy("k").agg(F.collect_list("p").alias("phrases"), F.max("across").alias("across")))
+
+    marks = common.cut(_map(texts.join(phrases.drop("across"), "k"), _phrase_digests, "k binary, place int, lo int, hi int, stretch binary, cores array<binary>"))
+    entry = F.xxhash64("k", "place")
+    twice = common.cut(marks.groupBy("stretch").agg(F.count("*").alias("n"), F.min(entry).alias("entry")).filter("n > 1").drop("n"))
+    #: Of a phrase: settled if its stretch is repeated, model if it stands for the others.
+    known = common.cut(marks.join(twice, "stretch", "left").withColumns({"settled": F.col("entry").isNotNull(), "model": F.coalesce(F.col("entry") == entry, F.lit(False))}).drop("entry", "stretch"))
+    bins = known.select("k", "place", "lo", "hi", "settled", "model", F.posexplode("cores").alias("j", "core")).filter("core IS NOT NULL")
+    live = common.cut(bins.groupBy("core").agg(F.count("*").alias("n"), F.min("settled").alias("closed")).filter("n > 1 AND NOT closed").select("core"))
+    work = bins.filter("model OR NOT settled").join(live, "core").groupBy("k").agg(F.collect_list(F.struct("place", "lo", "hi", "j", (~F.col("settled")).alias("opened"))).alias("work"))
+
+    strings = _map(texts.join(common.cut(work), "k"), _strings, "k binary, first int, opened boolean, digests array<binary>")
+    repeated = common.cut(strings.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"))
+    hits = strings.filter("opened").select("k", "first", F.posexplode("digests").alias("i", "d")).join(repeated, "d").groupBy("k", "first").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
+    found = hits.select("k", F.struct("first", F.lit(0).alias("size"), "mask").alias("p")).union(known.filter("settled").select("k", F.struct(F.col("lo").alias("first"), (F.col("hi") - F.col("lo") + 1).alias("size"), F.lit(None).cast("long").alias("mask")).alias("p")))
+    lists = common.cut(found.groupBy("k").agg(F.collect_list("p").alias("found")))
+    cuts = _map(texts.join(lists, "k"), _cuts, "k binary, n_removed long, n_spans long, kept_sha256 string, runs array<array<long>>")
+    return common.cut(cuts.join(phrases.filter("across").select("k", F.lit(True).alias("passage")), "k", "full").join(copies, "k", "full"))
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_bytes, n_removed, n_spans, kept_sha256, runs) of every row; ``runs`` are the removed byte ranges."""
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, passage, runs) of every row.
+
+    ``runs`` are the removed byte ranges. ``passage`` is true if the text shares a passage with another row: all of
+    ``PASSAGE`` bytes or more count, none below ``PROBE`` bytes does.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    whole = docs.select(F.col(key), *text_key(text), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t, 256).alias("whole"))
-    found = removed(docs, text).drop("n_bytes")
-    return whole.join(found, ["k", "check"], "left").select(key, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "runs")
+    whole = docs.select(F.col(key), text_sha(text).alias("sha"), F.octet_length(t).cast("long").alias("n_bytes")).withColumn("k", name_of())
+    gone = F.coalesce(F.col("copied") & (F.col("n_bytes") >= LENGTH), F.lit(False))
+    either = lambda whole_text, other: F.when(gone, whole_text).otherwise(other)
+    return whole.join(removed(docs, text), "k", "left").select(
+        key,
+        "n_bytes",
+        either(F.col("n_bytes"), F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        either(F.lit(1), F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        either(F.sha2(F.lit(""), 256), F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.coalesce(F.col("passage") | F.col("copied"), F.col("copied"), F.col("passage"), F.lit(False)).alias("passage"),
+        either(F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes"))), F.col("runs")).alias("runs"),
+    )
 
 
 def op9_phrase_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
