@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -33,19 +34,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Only a session in one process may do without that setting."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="quakeframe-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
 
-    The folder comes from ``spark.checkpoint.dir``; a temporary one is set only where the session names none.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quakeframe-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the checkpoint folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate results as Parquet tables below the shared folder, removed on leaving."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, written."""
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str = "") -> None:
+        """Remove one table, or all of them, and let Spark remove the shuffles that no plan refers to any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        release(self.spark)
+
+
 def release(spark: SparkSession) -> None:
-    """Ask the driver to collect its garbage, so that Spark deletes shuffle files that no plan refers to any more."""
+    """Ask the driver to collect its garbage. Spark's cleaner then deletes shuffle files and checkpoints that no plan refers to any more, and no others."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

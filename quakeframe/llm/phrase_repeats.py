@@ -23,8 +23,8 @@ texts again. A text of ``LENGTH`` bytes or more that occurs twice is removed who
 
 Edge cases: a null or empty text has no bytes and the digest of nothing; texts shorter than ``LENGTH`` bytes lose
 nothing; matches never cross texts and may overlap within one; repeated rows are copies of each other; an empty table
-gives an empty result; other columns are not read. A text's lists of phrases hold a few numbers for every 50 of its
-bytes or so; a run of one byte has a trigger at each place.
+gives an empty result; other columns are not read. A text's list of phrases holds a number for every 80 of its bytes or
+so; a run of one byte has a trigger at each place.
 """
 
 from __future__ import annotations
@@ -43,11 +43,11 @@ from . import common
 
 LENGTH = 400
 #: Bytes that a trigger's rolling hash covers, places of which it has the least one, bytes of its probe.
-TRIGGER, WINDOW, PROBE = 8, 100, 160
+TRIGGER, WINDOW, PROBE = 8, 160, 140
 #: Any repeated string this long holds the probe of a trigger of its own.
 PASSAGE = WINDOW + PROBE
 #: Starts of a bin.
-STEP = 50
+STEP = 40
 BINS = WINDOW // STEP
 #: Starts that are looked at together; their places fit into the low bits of a hash.
 BLOCK, PLACE_BITS = 1 << 20, 24
@@ -149,38 +149,62 @@ def distinct_texts(docs: DataFrame, text: str, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def packed(place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A phrase as one number."""
+    return place << 16 | (place - lo) << 8 | (hi - lo)
+
+
+def unpacked(p: int) -> tuple[int, int, int]:
+    """(place, first start, last start) of a phrase."""
+    place = p >> 16
+    lo = place - (p >> 8 & 255)
+    return place, lo, lo + (p & 255)
+
+
 def _probes(keys: list[bytes], raws: list[bytes]) -> dict[str, Any]:
-    """A row for each trigger. ``hk`` stands for the text in counts of texts."""
+    """A row for each trigger. ``own`` stands for the text where texts are counted."""
     from xxhash import xxh3_64_intdigest
 
     found = [triggers(raw) for raw in raws]
-    sizes = [len(f[0]) for f in found]
-    cat = lambda i: np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64)
+    at = np.repeat(np.arange(len(keys)), [len(f[0]) for f in found])
     probes = [xxh3_64_intdigest(raw[p : p + PROBE]) for raw, f in zip(raws, found, strict=True) for p in f[0].tolist()]
-    heads = np.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], np.int64)
-    at = np.repeat(np.arange(len(keys)), sizes)
-    return {"k": pa.array(keys, pa.binary()).take(pa.array(at)), "hk": heads[at] if len(keys) else heads, "place": cat(0).astype(np.int32), "lo": cat(1).astype(np.int32), "hi": cat(2).astype(np.int32), "probe": np.array(probes, np.uint64).view(np.int64)}
+    phrases = np.concatenate([packed(*f) for f in found]) if found else np.empty(0, np.int64)
+    heads = np.array([int.from_bytes(k[:4], "little") for k in keys], np.int64)
+    return {"k": pa.array(keys, pa.binary()).take(pa.array(at)), "own": heads[at], "p": phrases, "probe": np.array(probes, np.uint64).view(np.int64)}
 
 
-def _phrase_digests(keys: list[bytes], raws: list[bytes], phrases: list[list]) -> dict[str, Any]:
-    """Stretch and cores of the phrases that are left."""
-    out: dict[str, list] = {x: [] for x in ("k", "place", "lo", "hi", "stretch", "cores")}
+def _stretches(keys: list[bytes], raws: list[bytes], phrases: list[list[int]]) -> dict[str, Any]:
+    """Stretches of the phrases that are left, with their starts cut off where no whole string fits."""
+    out: dict[str, list] = {x: [] for x in ("k", "p", "stretch")}
     for k, raw, own in zip(keys, raws, phrases, strict=True):
-        for p in own:
-            place, lo, hi = p["place"], p["lo"], min(p["hi"], len(raw) - LENGTH)
+        for place, lo, hi in map(unpacked, own):
+            hi = min(hi, len(raw) - LENGTH)
             if lo <= hi:
-                cores = [core(raw, place, j) if (s := bin_starts(place, lo, hi, j))[0] <= s[1] else None for j in range(BINS)]
-                for x, v in zip(out, (k, place, lo, hi, stretch(raw, place, lo, hi), cores), strict=True):
+                for x, v in zip(out, (k, int(packed(place, lo, hi)), stretch(raw, place, lo, hi)), strict=True):
                     out[x].append(v)
     return out
 
 
+def _cores(keys: list[bytes], raws: list[bytes], phrases: list[list]) -> dict[str, Any]:
+    """Bins of phrases with their cores."""
+    out: dict[str, list] = {x: [] for x in ("k", "p", "opened", "j", "core")}
+    for k, raw, own in zip(keys, raws, phrases, strict=True):
+        for x in own:
+            place, lo, hi = unpacked(x["p"])
+            for j in range(BINS):
+                a, b = bin_starts(place, lo, hi, j)
+                if a <= b:
+                    for c, v in zip(out, (k, x["p"], x["opened"], j, core(raw, place, j)), strict=True):
+                        out[c].append(v)
+    return out
+
+
 def _strings(keys: list[bytes], raws: list[bytes], work: list[list]) -> dict[str, Any]:
     """Digests of the strings of open bins, and of bins that stand for a repeated stretch (``opened`` false)."""
     out: dict[str, list] = {x: [] for x in ("k", "first", "opened", "digests")}
     for k, raw, own in zip(keys, raws, work, strict=True):
         for p in own:
-            a, b = bin_starts(p["place"], p["lo"], p["hi"], p["j"])
+            a, b = bin_starts(*unpacked(p["p"]), p["j"])
             for x, v in zip(out, (k, a, p["opened"], [digest(raw[s : s + LENGTH]) for s in range(a, b + 1)]), strict=True):
                 out[x].append(v)
     return out
@@ -210,35 +234,43 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     common.prepare(spark)
     name = f"phrase_repeats_{uuid.uuid4().hex}"
     try:
-        return _removed(docs, text, name)
+        with common.Scratch(spark) as scratch:
+            return _removed(docs, text, distinct_texts(docs, text, name), scratch)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _removed(docs: DataFrame, text: str, name: str) -> DataFrame:
-    texts = distinct_texts(docs, text, name)
+def _removed(docs: DataFrame, text: str, texts: DataFrame, scratch: common.Scratch) -> DataFrame:
     copies = docs.filter(F.octet_length(text) >= PASSAGE).select(text_sha(text).alias("sha")).groupBy("sha").agg(F.count("*").alias("n")).filter("n > 1").select(name_of().alias("k"), F.lit(True).alias("copied"))
 
-    parsed = _map(texts.select("k", "raw"), _probes, "k binary, hk long, place int, lo int, hi int, probe long")
-    # The counted side is written first, so that a join can split a probe that many texts hold.
-    shared = common.cut(parsed.groupBy("probe").agg(F.count("*").alias("n"), (F.min("hk") < F.max("hk")).alias("across")).filter("n > 1").select("probe", "across"))
-    left = parsed.join(shared, "probe").select("k", F.struct("place", "lo", "hi").alias("p"), "across")
-    phrases = common.cut(left.groupBy("k").agg(F.collect_list("p").alias("phrases"), F.max("across").alias("across")))
-
-    marks = common.cut(_map(texts.join(phrases.drop("across"), "k"), _phrase_digests, "k binary, place int, lo int, hi int, stretch binary, cores array<binary>"))
-    entry = F.xxhash64("k", "place")
-    twice = common.cut(marks.groupBy("stretch").agg(F.count("*").alias("n"), F.min(entry).alias("entry")).filter("n > 1").drop("n"))
-    #: Of a phrase: settled if its stretch is repeated, model if it stands for the others.
-    known = common.cut(marks.join(twice, "stretch", "left").withColumns({"settled": F.col("entry").isNotNull(), "model": F.coalesce(F.col("entry") == entry, F.lit(False))}).drop("entry", "stretch"))
-    bins = known.select("k", "place", "lo", "hi", "settled", "model", F.posexplode("cores").alias("j", "core")).filter("core IS NOT NULL")
-    live = common.cut(bins.groupBy("core").agg(F.count("*").alias("n"), F.min("settled").alias("closed")).filter("n > 1 AND NOT closed").select("core"))
-    work = bins.filter("model OR NOT settled").join(live, "core").groupBy("k").agg(F.collect_list(F.struct("place", "lo", "hi", "j", (~F.col("settled")).alias("opened"))).alias("work"))
-
-    strings = _map(texts.join(common.cut(work), "k"), _strings, "k binary, first int, opened boolean, digests array<binary>")
-    repeated = common.cut(strings.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"))
+    parsed = _map(texts.select("k", "raw"), _probes, "k binary, own long, p long, probe long")
+    # What is counted is written first, so that a join can split a probe that many texts hold.
+    shared = scratch.keep(parsed.groupBy("probe").agg(F.count("*").alias("n"), (F.min("own") < F.max("own")).alias("across")).filter("n > 1").drop("n"), "shared")
+    left = parsed.join(shared, "probe").groupBy("k").agg(F.collect_list("p").alias("phrases"), F.max("across").alias("across"))
+    phrases = scratch.keep(left, "phrases")
+    scratch.drop("shared")
+
+    marks = scratch.keep(_map(texts.join(phrases.drop("across"), "k"), _stretches, "k binary, p long, stretch binary"), "marks")
+    entry = F.xxhash64("k", "p")
+    twice = scratch.keep(marks.groupBy("stretch").agg(F.count("*").alias("n"), F.min(entry).alias("entry")).filter("n > 1").drop("n"), "twice")
+    # A phrase is settled if its stretch is repeated; one of those with equal stretches is the model of them all.
+    known = scratch.keep(marks.join(twice, "stretch", "left").select("k", "p", F.col("entry").isNotNull().alias("settled"), F.coalesce(F.col("entry") == entry, F.lit(False)).alias("model")), "known")
+    scratch.drop("marks")
+
+    active = known.filter("model OR NOT settled").groupBy("k").agg(F.collect_list(F.struct("p", (~F.col("settled")).alias("opened"))).alias("phrases"))
+    bins = scratch.keep(_map(texts.join(active, "k"), _cores, "k binary, p long, opened boolean, j int, core binary"), "bins")
+    live = scratch.keep(bins.groupBy("core").agg(F.count("*").alias("n"), F.max("opened").alias("any")).filter("n > 1 AND any").select("core"), "live")
+    work = scratch.keep(bins.join(live, "core").groupBy("k").agg(F.collect_list(F.struct("p", "j", "opened")).alias("work")), "work")
+    scratch.drop("bins")
+
+    strings = _map(texts.join(work, "k"), _strings, "k binary, first int, opened boolean, digests array<binary>")
+    repeated = scratch.keep(strings.select(F.explode("digests").alias("d")).groupBy("d").agg(F.count("*").alias("n")).filter("n > 1").select("d"), "repeated")
     hits = strings.filter("opened").select("k", "first", F.posexplode("digests").alias("i", "d")).join(repeated, "d").groupBy("k", "first").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-    found = hits.select("k", F.struct("first", F.lit(0).alias("size"), "mask").alias("p")).union(known.filter("settled").select("k", F.struct(F.col("lo").alias("first"), (F.col("hi") - F.col("lo") + 1).alias("size"), F.lit(None).cast("long").alias("mask")).alias("p")))
-    lists = common.cut(found.groupBy("k").agg(F.collect_list("p").alias("found")))
+    lo = F.shiftright("p", 16) - F.shiftright("p", 8).bitwiseAND(F.lit(255))
+    runs = known.filter("settled").select("k", F.struct(lo.cast("int").alias("first"), (F.col("p").bitwiseAND(F.lit(255)) + 1).cast("int").alias("size"), F.lit(None).cast("long").alias("mask")).alias("x"))
+    found = hits.select("k", F.struct("first", F.lit(0).alias("size"), "mask").alias("x")).union(runs)
+    lists = scratch.keep(found.groupBy("k").agg(F.collect_list("x").alias("found")), "lists")
+    scratch.drop("repeated")
     cuts = _map(texts.join(lists, "k"), _cuts, "k binary, n_removed long, n_spans long, kept_sha256 string, runs array<array<long>>")
     return common.cut(cuts.join(phrases.filter("across").select("k", F.lit(True).alias("passage")), "k", "full").join(copies, "k", "full"))
 
