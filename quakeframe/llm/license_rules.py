@@ -1,9 +1,9 @@
 """Signature rules for licence statements, in order of priority.
 
 Patterns are matched against the words of a text (lower case, joined by single spaces, punctuation gone), so ``4.0`` is
-``4 0``. Each rule names the keywords of which one must occur before its pattern is tried. ``TITLES`` holds the names of
-licences, ``NOTICES`` sentences of their full texts, ``MENTIONS`` weaker signs. Each title also gives a grant rule
-("licensed under ...") and an identifier rule, which rank above the bare title.
+``4 0``. Each rule names a keyword that must occur before its pattern is tried. ``TITLES`` holds the names of licences,
+``NOTICES`` sentences of their full texts and file headers, ``MENTIONS`` weaker signs; these are written by hand. Each
+title also gives a grant rule ("licensed under ..."), each label an identifier rule, which rank above the bare title.
 """
 
 from __future__ import annotations
@@ -155,8 +155,161 @@ TITLES: tuple[tuple[str, str, str, int], ...] = (
     ("zpl-2.1", "zope", rf"zope public licen[sc]e(?:{V} 2 1)?", TITLE),
 )
 
-#: Sentences of full licence texts: (label, keyword, pattern)
+#: Sentences of full licence texts and of file headers: (label, keyword, pattern)
 NOTICES: tuple[tuple[str, str, str], ...] = (
+    ("mit", "noninfringement", r"including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable"),
+    ("mit", "deal in the software", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"),
+    ("mit-0", "permit persons", r"sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("x11", "x consortium", r"except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("mit-style", "in advertising", r"the name of (?:the )?(?:\S+ ){1,6}(?:shall|may) not be used in advertising or (?:otherwise to promote|publicity)"),
+    ("curl", "permission to use", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd-0-clause", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("isc", "disclaims all warranties", r"(?:isc|internet systems consortium|internet software consortium) disclaims all warranties with regard to this software"),
+    ("isc", "tortious action", r"resulting from loss of use data or profits whether in an action of contract negligence or other tortious action"),
+    ("bsd", "list of conditions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-1-clause", "list of conditions", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer this software is provided by"),
+    ("bsd", "theory of liability", r"however caused and on any theory of liability whether in contract strict liability or tort"),
+    ("bsd-3-clause", "without specific prior", r"used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-3-clause-clear", "patent rights", r"no express or implied licen[sc]es to any party s patent rights are granted by this licen[sc]e"),
+    ("bsd-3-clause-lbnl", "no obligation whatsoever", r"you are under no obligation whatsoever to provide any bug fixes patches or upgrades to the features functionality or performance of the source code"),
+    ("bsd-2-clause-views", "official policies", r"should not be interpreted as representing official policies either expressed or implied of the freebsd project"),
+    ("bsd-4-clause", "university of california", r"this product includes software developed by the university of california(?: berkeley and its contributors)?"),
+    ("bsd-style-header", "bsd style", r"governed by a bsd style licen[sc]e that can be found in the licen[sc]e file"),
+    ("mit-style-header", "mit style", r"governed by an mit style licen[sc]e that can be found in the licen[sc]e file"),
+    ("apache-2.0", "licen", r"licen[sc]ed under the apache licen[sc]e version 2 0 the licen[sc]e you may not use"),
+    ("apache-2.0", "as is basis", r"distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2.0", "contributor licen", r"licen[sc]ed to the apache software foundation asf under one or more contributor licen[sc]e agreements"),
+    ("apache-2.0", "grant of patent", r"grant of patent licen[sc]e subject to the terms and conditions of this licen[sc]e each contributor hereby grants"),
+    ("apache-2.0", "notice text file", r"if the work includes a notice text file as part of its distribution"),
+    ("apache-2.0", "submission of contributions", r"submission of contributions unless you explicitly state otherwise any contribution intentionally submitted for inclusion"),
+    ("apache-1.1", "apache", r"this product includes software developed by the apache software foundation"),
+    ("apache-1.1", "apache", r"products derived from this software may not be called apache nor may apache appear in their name"),
+    ("apache-1.0", "apache group", r"this product includes software developed by the apache group for use in the apache http server project"),
+    ("llvm-exception", "llvm exceptions", r"apache licen[sc]e v?2 0 with llvm exceptions"),
+    ("llvm-exception", "embedded", r"if as a result of your compiling your source code portions of this software are embedded into an object form"),
+    ("gpl", "fitness for a particular", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public licen[sc]e"),
+    ("gpl-3.0", "version 3", r"general public licen[sc]e version 3 29 june 2007"),
+    ("gpl-2.0", "version 2", r"general public licen[sc]e version 2 june 1991"),
+    ("gpl-1.0", "version 1", r"general public licen[sc]e version 1 february 1989"),
+    ("gpl", "freedom to share", r"the licen[sc]es for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "copyleft", r"the gnu general public licen[sc]e is a free copyleft licen[sc]e for software and other kinds of works"),
+    ("gpl-3.0", "installation information", r"installation information for a user product means any methods procedures authorization keys"),
+    ("gpl-2.0", "derived from the program", r"you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program"),
+    ("gpl-2.0-only", "version 2", r"under the terms of (?:the )?gnu general public licen[sc]e version 2(?: only)? as published by the free software foundation"),
+    ("gpl-3.0-only", "version 3", r"under the terms of (?:the )?gnu general public licen[sc]e version 3(?: only)? as published by the free software foundation"),
+    ("gpl-short-header", "gnu org", r"gnu org licen[sc]es(?: old licen[sc]es)? gpl(?: [123] 0)?(?: html| txt)?"),
+    ("classpath-exception", "linking this library", r"linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("classpath-exception", "classpath exception", r"(?:with|subject to) the classpath exception"),
+    ("gcc-exception-3.1", "runtime library exception", r"gcc runtime library exception(?: version 3 1)?"),
+    ("bison-exception", "bison", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("autoconf-exception", "configure scripts", r"as a special exception the free software foundation gives unlimited permission to copy distribute and modify the configure scripts"),
+    ("autoconf-exception", "unlimited permission", r"gives unlimited permission to copy and or distribute it with or without modifications as long as this notice is preserved"),
+    ("openssl-exception", "openssl", r"permission to link the code of (?:\S+ ){1,8}with the openssl (?:project s )?(?:openssl )?library"),
+    ("lgpl-2.1", "version 2 1", r"lesser general public licen[sc]e version 2 1 february 1999"),
+    ("lgpl-3.0", "additional permissions", r"incorporates the terms and conditions of version 3 of the gnu general public licen[sc]e supplemented by the additional permissions"),
+    ("lgpl-2.0", "library general", r"under the terms of the gnu library general public licen[sc]e as published by the free software foundation"),
+    ("lgpl-2.1-or-later", "version 2 1", r"either version 2 1 of the licen[sc]e or at your option any later version"),
+    ("lgpl", "work that uses the library", r"a program that contains no derivative of any portion of the library but is designed to work with the library by being compiled or linked with it is called a work that uses the library"),
+    ("agpl-3.0", "remote network interaction", r"remote network interaction use with the gnu general public licen[sc]e"),
+    ("agpl-3.0", "affero", r"gnu affero general public licen[sc]e version 3 19 november 2007"),
+    ("agpl-3.0", "interacting with it remotely", r"must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", "free documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[sc]e"),
+    ("gfdl", "invariant sections", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", "obtain one at", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2.0", "secondary licen", r"incompatible with secondary licen[sc]es as defined by the mozilla public licen[sc]e"),
+    ("mpl-1.1", "contents of this file", r"the contents of this file are subject to the mozilla public licen[sc]e version 1 1"),
+    ("mpl-1.1", "alternatively", r"alternatively the contents of this file may be used under the terms of either the gnu general public licen[sc]e"),
+    ("npl-1.1", "netscape", r"the contents of this file are subject to the netscape public licen[sc]e version 1 [01]"),
+    ("cddl-1.0", "common development", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    ("cddl-1.0", "cddl header", r"when distributing covered code include this cddl header notice in each file"),
+    ("epl-1.0", "eclipse", r"the accompanying program is provided under the terms of this eclipse public licen[sc]e"),
+    ("epl-1.0", "eclipse org", r"eclipse org legal epl v10 html"),
+    ("epl-2.0", "eclipse org", r"eclipse org legal epl 2 0"),
+    ("edl-1.0", "eclipse org", r"eclipse org org documents edl v10"),
+    ("cpl-1.0", "common public", r"the accompanying program is provided under the terms of this common public licen[sc]e"),
+    ("ipl-1.0", "ibm public", r"the accompanying program is provided under the terms of this ibm public licen[sc]e"),
+    ("eupl", "eupl", r"licen[sc]ed under the eupl(?: version)? 1 [12] or as soon they will be approved by the european commission"),
+    ("cecill", "cecill", r"this software is governed by the cecill(?: [bc])? licen[sc]e under french law"),
+    ("artistic-2.0", "standard version", r"you may distribute verbatim copies of the source form of the standard version of this package"),
+    ("artistic-1.0", "standard version", r"you may make and give away verbatim copies of the source form of the standard version of this package without restriction"),
+    ("perl", "same terms as perl", r"(?:under|on) the same terms as perl(?: itself)?"),
+    ("ruby", "verbatim copies", r"you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices"),
+    ("psf-2.0", "psf hereby", r"psf hereby grants licensee a nonexclusive royalty free world wide licen[sc]e"),
+    ("cnri-python", "cnri", r"cnri is making python (?:1 6(?: 1)? )?available to licensee on an as is basis"),
+    ("php-3.01", "php", r"this product includes php software freely available from"),
+    ("php-3.01", "php licen", r"subject to version 3 01 of the php licen[sc]e that is bundled with this package"),
+    ("zlib", "arising from the use", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "altered source", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("libpng", "modify libpng", r"if you modify libpng you may insert additional notices immediately following this sentence"),
+    ("libpng", "png", r"the png reference library is supplied as is"),
+    ("ijg", "independent jpeg", r"this software is based in part on the work of the independent jpeg group"),
+    ("freetype", "freetype", r"portions of this software are copyright (?:c )?(?:\S+ ){0,2}the freetype project"),
+    ("info-zip", "definition disclaimer", r"redistributions of source code in whole or in part must retain the above copyright notice definition disclaimer and this list of conditions"),
+    ("bzip2-1.0.6", "acknowledgment", r"if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("openssl", "cryptographic software", r"this product includes cryptographic software written by eric young"),
+    ("ssleay", "eric young", r"this package is an ssl implementation written by eric young"),
+    ("sleepycat", "accompanying software", r"complete source code for the db software and any accompanying software that uses the db software"),
+    ("postgresql", "university of california", r"in no event shall the university of california be liable to any party for direct indirect special incidental or consequential damages"),
+    ("hpnd", "without fee is hereby", r"permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("ntp", "supporting documentation", r"both the copyright notice and this permission notice appear in supporting documentation and that the name (?:\S+ ){1,8}not be used in advertising"),
+    ("tcl", "restricted rights", r"if you are acquiring this software on behalf of the u s government the government shall have only restricted rights"),
+    ("vim", "vim", r"you can distribute a modified vim(?: to others)? (?:provided|when)"),
+    ("wtfpl", "fuck", r"you just do what the fuck you want to"),
+    ("beerware", "this stuff is worth", r"if we meet some day and you think this stuff is worth it"),
+    ("json", "good not evil", r"the software shall be used for good not evil"),
+    ("boost-header", "accompanying file", r"distributed under the boost software licen[sc]e version 1 0 see accompanying file"),
+    ("bsl-1.0", "boost org", r"boost org licen[sc]e 1 0 txt"),
+    ("bsl-1.1", "rights granted", r"change licen[sc]e and the rights granted in the paragraph above terminate"),
+    ("bsl-1.1", "production use", r"make non production use of the licensed work"),
+    ("sspl-1.0", "third parties as a service", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2.0", "hosted or managed", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "right to sell", r"the grant of rights under the licen[sc]e will not include and the licen[sc]e does not grant to you the right to sell the software"),
+    ("polyform", "polyform", r"polyformproject org licen[sc]es (?:non ?commercial|small business|shield|strict|perimeter|internal use)"),
+    ("confluent-community", "confluent", r"confluent community licen[sc]e(?: agreement)?(?: version 1 0)?"),
+    ("rsal", "redis", r"redis source available licen[sc]e(?: agreement)?(?: 2 0)?"),
+    ("timescale", "timescale", r"timescale licen[sc]e(?: agreement)?"),
+    ("ofl-1.1", "reserved font", r"no modified version of the font software may use the reserved font name"),
+    ("ofl-1.1", "font software", r"this font software is licensed under the sil open font licen[sc]e"),
+    ("ubuntu-font-1.0", "ubuntu font", r"ubuntu font licen[sc]e(?: version)?(?: 1 0)?"),
+    ("bitstream-vera", "bitstream", r"bitstream vera is a trademark of bitstream"),
+    ("arphic", "arphic", r"arphic public licen[sc]e"),
+    ("lppl", "latex", r"may be distributed and or modified under the conditions of the latex project public licen[sc]e"),
+    ("odbl-1.0", "open database", r"made available under the open database licen[sc]e"),
+    ("odc-by-1.0", "opendatacommons", r"opendatacommons org licen[sc]es (?:by|odbl|pddl)(?: 1 0)?"),
+    ("cc0-1.0", "extent possible under law", r"to the extent possible under law (?:\S+ ){1,8}(?:has|have) (?:waived|dedicated)"),
+    ("cc-by", "creative commons", r"this work is licen[sc]ed under a creative commons attribution [1-4] [05] (?:international|unported|generic)? ?licen[sc]e"),
+    ("cc-by-sa", "creative commons", r"this work is licen[sc]ed under a creative commons attribution share ?alike [1-4] [05] (?:international|unported|generic)? ?licen[sc]e"),
+    ("cc-by-nc", "creative commons", r"this work is licen[sc]ed under a creative commons attribution non ?commercial [1-4] [05] (?:international|unported|generic)? ?licen[sc]e"),
+    ("wikipedia", "additional terms", r"text is available under the creative commons attribution share ?alike licen[sc]e additional terms may apply"),
+    ("gutenberg", "gutenberg", r"under the terms of the project gutenberg licen[sc]e included with this ebook"),
+    ("open-government-3.0", "open government", r"contains public sector information licen[sc]ed under the open government licen[sc]e v?3 0"),
+    ("etalab-2.0", "etalab", r"licence ouverte(?: open licen[sc]e)?(?: etalab)?(?: version)?(?: 2 0)?"),
+    ("us-government-work", "title 17", r"(?:not subject to copyright protection )?(?:pursuant to|under) title 17(?: section 105)? (?:of the )?united states code"),
+    ("us-government-work", "work of the united states", r"is a work of the united states government and is (?:in the public domain|not subject to copyright)"),
+    ("nasa-1.3", "nasa", r"nasa open source agreement(?: version)?(?: 1 3)?"),
+    ("ms-pl", "accompanying software", r"this licen[sc]e governs use of the accompanying software if you use the software you accept this licen[sc]e"),
+    ("ms-eula", "microsoft", r"microsoft software licen[sc]e terms"),
+    ("apsl-2.0", "apple", r"this file contains original code and or modifications of original code as defined in and that are subject to the apple public source licen[sc]e"),
+    ("apple-sample", "apple", r"in consideration of your agreement to the following terms and your use installation modification or redistribution of this apple software"),
+    ("intel-simplified", "intel", r"intel simplified software licen[sc]e"),
+    ("nvidia-eula", "nvidia", r"nvidia corporation and its licensors retain all intellectual property and proprietary rights"),
+    ("oracle-bcl", "oracle", r"oracle binary code licen[sc]e agreement"),
+    ("upl-1.0", "larger works", r"the software or larger works? to which the software is contributed by such licensors"),
+    ("w3c", "being provided by", r"this work is being provided by the copyright holders under the following licen[sc]e by obtaining and or copying this work you agree"),
+    ("unicode", "unicode", r"permission is hereby granted free of charge to any person obtaining a copy of (?:the )?unicode data files"),
+    ("icu", "icu licen", r"icu licen[sc]e icu 1 8 1 (?:and later|to icu 57 1)"),
+    ("blueoak-1.0.0", "blueoakcouncil", r"blueoakcouncil org licen[sc]e 1 0 0"),
+    ("mulan-psl-2.0", "mulan", r"coscl org cn mulanpsl2"),
+    ("mulan-psl-2.0", "mulan", r"you can use this software according to the terms and conditions of the mulan psl v2"),
+    ("openrail", "use based restrictions", r"use based restrictions set forth in (?:attachment|paragraph) a"),
+    ("llama-community", "llama", r"llama (?:[23](?: [0-9])? )?community licen[sc]e agreement"),
+    ("cdla-permissive", "community data", r"data provider makes the data available under the community data licen[sc]e agreement"),
+    ("proprietary", "trade secret", r"contains (?:confidential|proprietary|valuable)(?: and (?:proprietary|confidential))? (?:information|trade secrets?)(?: of| and)"),
+    ("proprietary", "reverse engineer", r"you may not (?:\S+ ){0,6}(?:reverse engineer decompile|decompile reverse engineer|decompile disassemble)"),
+    ("proprietary", "end user licen", r"(?:this )?end user licen[sc]e agreement(?: eula)?(?: is a legal agreement)?"),
+    ("proprietary", "evaluation", r"for (?:internal )?evaluation purposes only"),
+    ("non-commercial", "commercial", r"for (?:personal|academic|research|educational)(?: and| or)? ?(?:personal|academic|research|educational)? ?(?:and |or )?non ?commercial (?:use|purposes?) only"),
+    ("source-available", "source available", r"source available licen[sc]e"),
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
@@ -174,14 +327,14 @@ NOTICES: tuple[tuple[str, str, str], ...] = (
     ("gpl", "copy of the gnu", r"you should have received a copy of the gnu general public licen[sc]e along with this program"),
     ("mpl-2.0", "mozilla", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0"),
     ("epl-2.0", "eclipse", r"are made available under the terms of the eclipse public licen[sc]e"),
-    ("bsl-1.0", "machine executable", r"must be included in all copies of the software in whole or in part and all derivative works of the software unless"),
+    ("bsl-1.0", "in whole or in part", r"must be included in all copies of the software in whole or in part and all derivative works of the software unless"),
     ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
     ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain"),
     ("unlicense", "unlicense org", r"unlicense org"),
     ("cc0-1.0", "waived all copyright", r"has waived all copyright and related or neighboring rights"),
     ("creative-commons", "creativecommons", r"creativecommons org licenses(?: by\S*)?(?: (?:nc|nd|sa))*(?: [1-4] [05])?"),
     ("cc0-1.0", "creativecommons", r"creativecommons org publicdomain zero 1 0"),
-    ("artistic", "copyright holder", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic", "package may be copied", r"the intent of this document is to state the conditions under which a package may be copied"),
     ("ofl-1.1", "scripts sil", r"scripts sil org ofl"),
     ("postgresql", "written agreement", r"without fee and without a written agreement is hereby granted"),
     ("openssl", "openssl", r"this product includes software developed by the openssl project"),
