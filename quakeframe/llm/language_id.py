@@ -5,24 +5,24 @@ compressed block by block with every dictionary; the language whose dictionary g
 is the share of bytes by which it beats the runner-up, and a text whose score is below ``MIN_MARGIN`` is rejected as
 too narrow (``accepted`` false), as is a text without letters.
 
-The dictionaries hold ``SLICE_BYTES`` from each of at most ``SAMPLE_ROWS`` training rows of a language, those with the
-smallest hashes, so any table size gives dictionaries of bounded size.
-
-Edge cases: a null text or one without a letter gives ``und``, score 0, not accepted; equal sizes go to the language
-with more training rows, then to the name that sorts first; rows without a language are predicted but teach nothing;
-without any training row all texts are ``und``; whole texts count, however long; repeated rows are predicted one by one;
-a null key counts as held out; an empty table gives an empty result.
+The classifier is fitted on a bounded sample of labelled rows: of each language the ``SAMPLE_ROWS`` training rows with
+the smallest hashes of key and text, and of each of them the ``SLICE_BYTES`` in its middle. One pass takes them all; each task
+hands on that many rows a language at most.
+
+Edge cases: a null text or one without a letter (Unicode category L) gives ``und``, score 0, not accepted; equal sizes
+go to the name that sorts first; rows without a language are predicted but teach nothing; without any training row all
+texts are ``und``; whole texts count, however long; repeated rows are predicted one by one; a null key counts as held
+out; an empty table gives an empty result; columns named like a result are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,7 +34,8 @@ MIN_MARGIN = 0.002
 #: Training rows are those whose key's crc32 leaves another remainder.
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Labels that a model may have; each one costs a dictionary in every worker and a compression of every block.
+MAX_LANGUAGES = 1024
 
 _compressors: dict[str, dict[str, Any]] = {}
 
@@ -61,19 +62,22 @@ def training_rows(key: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS, key: str = "doc_id") -> dict[str, bytes]:
-    """Dictionaries by language, the most frequent language first. ``docs`` are the training rows."""
-    labelled = docs.filter(F.col(lang).isNotNull() & (F.trim(F.col(text)) != ""))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    found = {}
-    for name in sorted(counts, key=lambda x: (-counts[x], x)):
-        own = labelled.filter(F.col(lang) == name).select(F.col(key).alias("key"), F.col(text).alias("text"))
-        slices = []
-        for r in common.row_count_sample(own, F.col("key"), rows).collect():
-            raw = r["text"].encode()
-            at = max(0, (len(raw) - SLICE_BYTES) // 2)
-            slices.append(raw[at : at + SLICE_BYTES])
-        found[name] = b"\n".join(slices)
-    return found
+    """Dictionaries by language, in the order of their names. ``docs`` are the training rows; more than ``MAX_LANGUAGES`` labels are an error."""
+    raw = F.col(text).cast("binary")
+    middle = raw.substr(F.greatest(F.lit(1), F.floor((F.octet_length(raw) - SLICE_BYTES) / 2).cast("int") + 1), F.lit(SLICE_BYTES))
+    labelled = docs.filter(F.col(lang).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("h"), middle.alias("slice"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "slice"))
+    found: dict[str, list[bytes]] = {}
+    for r in labelled.withColumn("place", place).filter(F.col("place") <= rows).orderBy("lang", "place").toLocalIterator():
+        found.setdefault(r["lang"], []).append(bytes(r["slice"]))
+        if len(found) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang}")
+    return {name: b"\n".join(slices) for name, slices in found.items()}
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L."""
+    return any(map(str.isalpha, text))
 
 
 def sizes(text: str, by_lang: dict[str, Any]) -> dict[str, int]:
@@ -85,7 +89,7 @@ def sizes(text: str, by_lang: dict[str, Any]) -> dict[str, int]:
 
 def classify(text: str | None, by_lang: dict[str, Any]) -> tuple[str, float]:
     """(language, margin); the order of ``by_lang`` settles ties."""
-    if not text or not by_lang or not _LETTER.search(text):
+    if not text or not by_lang or not has_letter(text):
         return UNKNOWN, 0.0
     found = sizes(text, by_lang)
     best = min(found, key=found.__getitem__)
