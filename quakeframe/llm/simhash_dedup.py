@@ -129,7 +129,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     linked = connected(links(prints))
     own = linked.join(prints, linked["node"] == prints["fp"]).select("root", "fp", "doc")
     named = own.join(own.groupBy("root").agg(F.min("doc").alias("least")), "root").select("fp", "least")
-    names = prints.join(named, "fp", "left").select("fp", F.coalesce("least", "doc").alias("component_id"))
+    # Written first, so that the join can split a fingerprint that many rows have.
+    names = common.cut(prints.join(named, "fp", "left").select("fp", F.coalesce("least", "doc").alias("component_id")))
     return marked.join(names, "fp").select(key, "fp", "component_id")
 
 
