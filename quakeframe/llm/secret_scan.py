@@ -1,16 +1,20 @@
 """Secret detection by probabilistic automata inferred from labelled credentials.
 
-Base patterns label credentials of three kinds. For each kind a prefix tree of the credentials is folded into a probabilistic automaton: two states merge where a Hoeffding bound cannot
-tell their outgoing and ending frequencies apart, all the way down their subtrees. Every candidate token of a text then
-gets its log likelihood under each automaton, less that under a chain learned from ordinary tokens; candidates that
-look clearly more like a credential are added to the base spans.
+Base patterns label credentials of three kinds. For each kind a prefix tree of the credentials is folded into a
+probabilistic automaton: two states merge where a Hoeffding bound cannot tell their outgoing and ending frequencies
+apart, all the way down their subtrees. Every candidate of a text, a run of ``MIN_CANDIDATE`` or more token characters,
+then gets its log likelihood under each automaton, less that under a chain learned from ordinary tokens; so do its ends
+after ``=`` or ``/``, and the best of them counts. Candidates that look clearly more like a credential are added to the
+base spans, unless these cover them already; one that only holds a base span is added whole.
 
-The automata are fitted on at most ``MAX_CREDENTIALS`` distinct credentials of each kind and ``MAX_ORDINARY`` ordinary
-tokens, those with the smallest hashes, so any table size gives a model of bounded size.
+The classifier is fitted on bounded samples of labelled strings: ``MAX_CREDENTIALS`` distinct credentials of each kind and
+``MAX_ORDINARY`` distinct ordinary tokens from all rows, those with the smallest hashes, each whole and of ``MAX_LEARNED``
+bytes at most. Candidates of any length are scored.
 
 Edge cases: a null or empty text has no spans (counts 0, empty strings); a table without credentials keeps the base
-patterns and adds nothing; candidates that touch a base span are part of it; repeated rows are scanned one by one;
-positions are code points, end exclusive; other columns are not read (``redact`` keeps them).
+patterns and adds nothing; of spans with one start, the base kinds come first; repeated rows are scanned one by one; an
+empty table gives an empty result; positions are code points, end exclusive; other columns are not read (``redact``
+keeps them).
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import uuid
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,10 +37,10 @@ from . import common
 
 MAX_CREDENTIALS = 2000
 MAX_ORDINARY = 4000
-#: Ordinary tokens come from the rows whose key's crc32 falls into one of this many classes; at least this long.
-ORDINARY_SHARE = 16
-MIN_CANDIDATE = 16
-MAX_CANDIDATE = 512
+MAX_LEARNED = 512
+MIN_CANDIDATE = 12
+#: Bytes of tokens whose likelihoods a worker keeps, and the longest token that it keeps.
+CACHE_BYTES, CACHE_TOKEN = 1 << 22, 64
 #: Confidence of the merge test, and the state count below which a test has no power.
 ALPHA = 0.05
 MIN_STATE = 20
@@ -45,6 +52,7 @@ _ASSIGN = re.compile(rb"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW]
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"(?<![0-9a-f])[0-9a-f]{16,}")
 _CANDIDATE = re.compile(rb"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{%d,}" % MIN_CANDIDATE)
+_SEPARATOR = re.compile(rb"[=/]+")
 _KEYS = (b"passw", b"secret", b"token", b"api")
 
 #: The automata's alphabet.
@@ -66,10 +74,20 @@ def base_matches(raw: bytes) -> list[tuple[str, int, int, bytes]]:
     return found
 
 
-def candidates(raw: bytes, covered: Iterable[tuple[str, int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """Other tokens long enough to be a credential."""
-    taken = [(s, e) for _, s, e, _ in covered]
-    return [(m.start(), m.end(), m.group()) for m in _CANDIDATE.finditer(raw) if not any(s < m.end() and m.start() < e for s, e in taken)]
+def candidates(raw: bytes) -> list[tuple[int, int, bytes]]:
+    """All tokens long enough to be a credential, by start."""
+    return [(m.start(), m.end(), m.group()) for m in _CANDIDATE.finditer(raw)]
+
+
+def united(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal intervals that the spans cover, by start."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 @dataclass
@@ -202,6 +220,13 @@ class Model:
             return -math.inf
         return (max(a.score(token) for a in self.automata.values()) - self.background(token)) / (len(token) + 1)
 
+    def best_end(self, token: bytes) -> tuple[int, float]:
+        """(offset, likelihood) of the token's end that looks most like a credential: the token itself or what follows one of its separators."""
+        places = [0, *(m.end() for m in _SEPARATOR.finditer(token) if len(token) - m.end() >= MIN_CANDIDATE)]
+        gains = [self.likelihood(token[p:]) for p in places]
+        at = max(range(len(places)), key=lambda i: (gains[i], -i))
+        return places[at], gains[at]
+
 
 def fit_model(credentials: dict[str, list[bytes]], ordinary: list[bytes]) -> Model:
     """Automata from labelled credentials by kind; the margin lets the weakest hundredth of them go."""
@@ -219,48 +244,88 @@ def fit_model(credentials: dict[str, list[bytes]], ordinary: list[bytes]) -> Mod
     return model
 
 
-def learn(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
+def learn(docs: DataFrame, text: str = "text") -> Model:
     """Fit the model on bounded, hash-chosen samples of the table's own labelled credentials and ordinary tokens."""
     common.prepare(docs.sparkSession)
-    ordinary = (F.crc32(F.col(key).cast("string")) % ORDINARY_SHARE == 1).alias("ordinary")
     target = common.arrow_schema(docs.sparkSession, "kind string, value string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = set()
-            for t, free in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for t in b.column(0).to_pylist():
                 raw = t.encode()
                 found = base_matches(raw)
-                rows.update((k, v[:MAX_CANDIDATE].decode()) for k, _, _, v in found)
-                if free:
-                    rows.update(("ordinary", v[:MAX_CANDIDATE].decode()) for _, _, v in candidates(raw, found))
+                rows.update((k, v.decode()) for k, _, _, v in found if len(v) <= MAX_LEARNED)
+                taken = united((s, e) for _, s, e, _ in found)
+                starts = [s for s, _ in taken]
+                for s, e, v in candidates(raw):
+                    at = bisect_left(starts, e)
+                    if len(v) <= MAX_LEARNED and not (at and taken[at - 1][1] > s):
+                        rows.add(("ordinary", v.decode()))
             kinds, values = zip(*sorted(rows), strict=True) if rows else ((), ())
             yield common.record_batch({"kind": kinds, "value": values}, target)
 
-    found = common.cut(docs.filter(F.col(text).isNotNull()).select(F.col(text), ordinary).mapInArrow(run, "kind string, value string").distinct())
-    taken = {k: [r["value"].encode() for r in common.row_count_sample(found.filter(F.col("kind") == k), F.col("value"), n).collect()] for k, n in (*((k, MAX_CREDENTIALS) for k in KINDS[:3]), ("ordinary", MAX_ORDINARY))}
+    with common.Scratch(docs.sparkSession) as scratch:
+        found = scratch.keep(docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(run, "kind string, value string").distinct(), "strings")
+        taken = {k: [r["value"].encode() for r in common.row_count_sample(found.filter(F.col("kind") == k), F.col("value"), n).collect()] for k, n in (*((k, MAX_CREDENTIALS) for k in KINDS[:3]), ("ordinary", MAX_ORDINARY))}
     plain = taken.pop("ordinary")
     return fit_model({k: v for k, v in taken.items() if v}, plain)
 
 
+class Finder:
+    """A model with a worker's likelihoods of short tokens."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.known, self.held = model, {}, 0
+
+    def best_end(self, token: bytes) -> tuple[int, float]:
+        if len(token) > CACHE_TOKEN:
+            return self.model.best_end(token)
+        if token not in self.known:
+            if self.held > CACHE_BYTES:
+                self.known, self.held = {}, 0
+            self.known[token] = self.model.best_end(token)
+            self.held += len(token)
+        return self.known[token]
+
+    def find(self, text: str) -> list[tuple[str, int, int, float]]:
+        """(kind, start, end, score) of all secrets in a text, by start and then kind; positions in code points."""
+        raw = text.encode()
+        base = base_matches(raw)
+        spans = [(k, s, e, 1.0) for k, s, e, _ in base]
+        taken = united((s, e) for _, s, e, _ in base)
+        starts = [s for s, _ in taken]
+        for s, e, token in candidates(raw):
+            skip, gain = self.best_end(token)
+            at = bisect_right(starts, s + skip)
+            if gain >= self.model.margin and not (at and taken[at - 1][1] >= e):
+                spans.append(("format", s + skip, e, 1 - math.exp(-gain)))
+        spans.sort(key=lambda x: (x[1], KINDS.index(x[0])))
+        if len(raw) == len(text):
+            return spans
+        places = sorted({p for _, s, e, _ in spans for p in (s, e)})
+        at, chars, to = 0, 0, {}
+        for p in places:
+            chars += len(raw[at:p].decode())
+            at = p
+            to[p] = chars
+        return [(k, to[s], to[e], p) for k, s, e, p in spans]
+
+
 def find(text: str, model: Model) -> list[tuple[str, int, int, float]]:
-    """(kind, start, end, score) of all secrets in a text, by start and then kind; positions in code points."""
-    raw = text.encode()
-    base = base_matches(raw)
-    spans = [(k, s, e, 1.0) for k, s, e, _ in base]
-    for s, e, token in candidates(raw, base):
-        gain = model.likelihood(token)
-        if gain >= model.margin:
-            spans.append(("format", s, e, 1 - math.exp(-gain)))
-    spans.sort(key=lambda x: (x[1], KINDS.index(x[0])))
-    if len(raw) == len(text):
-        return spans
-    out, at, chars = [], 0, 0
-    for k, s, e, p in spans:
-        chars += len(raw[at:s].decode()) if s >= at else 0
-        at = max(at, s)
-        out.append((k, chars, chars + len(raw[s:e].decode()), p))
-    return out
+    """The secrets of one text."""
+    return Finder(model).find(text)
+
+
+_finders: dict[str, Finder] = {}
+
+
+def _finder(token: str, shared: Any) -> Finder:
+    """The finder of a broadcast model, one for each Python worker."""
+    if token not in _finders:
+        _finders.clear()
+        _finders[token] = Finder(shared.value)
+    return _finders[token]
 
 
 def joined(spans: Iterable[tuple]) -> str:
@@ -272,26 +337,29 @@ SPANS = "array<struct<kind:string,start:long,end:long,score:double>>"
 
 def scan(docs: DataFrame, model: Model | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, secrets) with the spans found in every row."""
-    found = docs.sparkSession.sparkContext.broadcast(model or learn(docs, text, key))
+    common.prepare(docs.sparkSession)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model or learn(docs, text)), uuid.uuid4().hex
     ddl = f"`{key}` {docs.schema[key].dataType.simpleString()}, secrets {SPANS}"
     target = common.arrow_schema(docs.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _finder(token, shared)
         for b in batches:
-            rows = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in find(t, found.value)] if t else [] for t in b.column(1).to_pylist()]
+            rows = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in finder.find(t)] if t else [] for t in b.column(1).to_pylist()]
             yield common.record_batch({key: b.column(0), "secrets": rows}, target)
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, ddl)
 
 
-def redact(docs: DataFrame, model: Model | None = None, text: str = "text", key: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: Model | None = None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; overlapping spans become one mark, all rows and columns stay."""
-    found = docs.sparkSession.sparkContext.broadcast(model or learn(docs, text, key))
+    common.prepare(docs.sparkSession)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model or learn(docs, text)), uuid.uuid4().hex
     target = common.arrow_schema(docs.sparkSession, docs.schema)
     at = docs.columns.index(text)
 
     def clean(t: str | None) -> str | None:
-        spans = find(t, found.value) if t else []
+        spans = _finder(token, shared).find(t) if t else []
         out, last = [], 0
         for _, s, e, _ in spans:
             if s >= last:
@@ -309,7 +377,6 @@ def redact(docs: DataFrame, model: Model | None = None, text: str = "text", key:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    common.prepare(spark)
     ddl = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     target = common.arrow_schema(spark, ddl)
 
