@@ -2,9 +2,10 @@
 
 ``Codec`` reads the model protobuf and rebuilds its parts with the ``tokenizers`` library: the normaliser (identity or
 the model's character map), the metaspace marker with its dummy prefix, the pieces with their scores (a unigram model,
-or the merges that a BPE model's scores imply) and byte fallback. At start it encodes probe strings with both libraries
-and refuses to work if an id differs. Batches are encoded by the library's threads; each distinct pre-token is encoded
-once per worker and the ids are put together by table.
+or the merges that a BPE model's scores imply) and byte fallback, and a decoder for them. At start it encodes and decodes
+probe strings with both libraries, and each worker does so with the first texts of its own; it refuses to work if an
+id or a character differs. Batches go through the library's threads; each distinct pre-token is encoded once per worker
+and the ids are put together by table.
 
 Edge cases: a null or empty text gives an empty id list and decodes to the empty text; texts of any length are encoded
 whole; repeated rows give repeated results; an empty table gives an empty result; other columns are kept as they are.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from . import common, pretokens
 from .token_counts import default_model
 
-#: Pre-tokens whose ids (as int32 bytes) a worker keeps.
-CACHE_SIZE = 3 << 17
+#: Bytes that a worker's pre-tokens and their ids may take, bytes of an entry besides them, and the longest that is kept.
+CACHE_BYTES, ENTRY_BYTES, CACHE_PART = 3 << 24, 160, 256
+#: Texts of its own that a worker holds against SentencePiece.
+OWN_PROBES = 4
 #: Pre-tokens that go to the library at once; its results are far larger than the ids.
 CHUNK = 4096
 #: Piece kinds of the model protobuf.
@@ -77,7 +80,7 @@ def build(model: Any) -> Any:
     steps += [normalizers.Prepend(pretokens.MARK)] * norm.add_dummy_prefix
     tok.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", pretokens.MARK)])
     tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{pretokens.MARK}+[^{pretokens.MARK}\n]*|\n+[^{pretokens.MARK}\n]*"), "isolated")
-    tok.decoder = decoders.Sequence([decoders.Replace(pretokens.MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * norm.add_dummy_prefix])
+    tok.decoder = decoders.Sequence([decoders.Replace(trainer.unk_piece, trainer.unk_surface), decoders.Replace(pretokens.MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * norm.add_dummy_prefix])
     return tok
 
 
@@ -91,18 +94,31 @@ class Codec:
         self.prefix = norm.add_dummy_prefix
         #: The part table holds only where the text's own characters reach the model unchanged.
         self.by_part = not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and self.prefix and pretokens.safe_model(p.piece for p in model.pieces if p.type != CONTROL)
-        self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else model.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else p.piece.replace(pretokens.MARK, " ").encode() for p in model.pieces]
+        self.silent = np.array([p.type == CONTROL for p in model.pieces])
+        self.marked = np.array([p.piece.startswith(pretokens.MARK) for p in model.pieces])
+        self.mark = next((i for i, p in enumerate(model.pieces) if p.piece == pretokens.MARK), None) if self.prefix else None
+        self.decoded: dict[bytes, str] = {}
+        self.held_decoded = 0
         self.cache: dict[str, bytes] = {}
-        self.verify(path)
+        self.held = 0
+        self.path, self.unchecked = path, OWN_PROBES
+        self.verify(list(PROBES))
 
-    def verify(self, path: str) -> None:
-        """Compare ids and decoded probes with the SentencePiece library."""
+    def verify(self, texts: list[str]) -> None:
+        """Compare ids and decoded texts with the SentencePiece library."""
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        for text, ids in zip(PROBES, self.encode(list(PROBES)), strict=True):
+        sp = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        for text, ids in zip(texts, self.encode(texts), strict=True):
             if ids.tolist() != sp.encode(text) or self.decode([ids]) != [sp.decode(ids.tolist())]:
-                raise ValueError(f"the tokenizers pipeline differs from SentencePiece on {text!r}")
+                raise ValueError(f"the tokenizers pipeline differs from SentencePiece on {text[:200]!r}")
+
+    def verify_own(self, texts: list[str | None]) -> None:
+        """Compare the first texts that come along."""
+        own = [t for t in texts if t][: self.unchecked]
+        if own:
+            self.unchecked -= len(own)
+            self.verify(own)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -115,25 +131,53 @@ class Codec:
         seen: set[str] = set()
         for p in parts:
             seen.update(p)
-        if len(self.cache) > CACHE_SIZE:
+        if self.held > CACHE_BYTES:
             # Frequent pre-tokens come early, so the older half is the better one.
-            self.cache = dict(islice(self.cache.items(), CACHE_SIZE // 2))
+            self.cache = dict(islice(self.cache.items(), len(self.cache) // 2))
+            self.held = sum(ENTRY_BYTES + len(p) + len(x) for p, x in self.cache.items())
         cache = self.cache
         new = [s for s in seen if s not in cache]
         # A line feed in front keeps the marker that the normaliser adds apart from the part's own.
         for i in range(0, len(new), CHUNK):
             some = new[i : i + CHUNK]
             cache.update(zip(some, (np.array(ids[2:], np.int32).tobytes() for ids in self._library(["\n" + s for s in some])), strict=True))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, p)), np.int32) for p in parts]
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, p)), np.int32) for p in parts]
+        for p in new:
+            if len(p) > CACHE_PART:
+                del cache[p]
+            else:
+                self.held += ENTRY_BYTES + len(p) + len(cache[p])
+        return out
 
     def decode(self, ids: list[Any]) -> list[str]:
-        """Texts of id lists; bytes that are no UTF-8 become the replacement character, as in the library."""
-        table = self.bytes
-        out = []
-        for x in ids:
-            raw = b"".join(map(table.__getitem__, x.tolist() if isinstance(x, np.ndarray) else x))
-            out.append((raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace"))
-        return out
+        """Texts of id lists; bytes that are no UTF-8 become the replacement character and control ids nothing, as in SentencePiece.
+
+        Lists are cut before each marked piece, which the decoder never looks across, and each distinct part is decoded once.
+        """
+        lists = [np.asarray(x, np.int32) for x in ids]
+        if self.mark is None:
+            return self.tokenizer.decode_batch([x[~self.silent[x]].tolist() for x in lists], skip_special_tokens=False)
+        texts, missing = [], {}
+        for x in lists:
+            x = x[~self.silent[x]]
+            at = [0, *(np.nonzero(self.marked[x[1:]])[0] + 1).tolist(), len(x)]
+            texts.append([x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)] if len(x) else [])
+            missing.update((k, None) for k in texts[-1] if k not in self.decoded)
+        if self.held_decoded > CACHE_BYTES:
+            self.decoded, self.held_decoded = {}, 0
+            missing = {k: None for t in texts for k in t}
+        new = list(missing)
+        # The marker in front takes the place of the one that the decoder strips.
+        for i in range(0, len(new), CHUNK):
+            some = new[i : i + CHUNK]
+            self.decoded.update(zip(some, self.tokenizer.decode_batch([[self.mark, *np.frombuffer(k, np.int32).tolist()] for k in some], skip_special_tokens=False), strict=True))
+        joined = ["".join(map(self.decoded.__getitem__, t)) for t in texts]
+        for k in new:
+            if len(k) > 4 * CACHE_PART:
+                del self.decoded[k]
+            else:
+                self.held_decoded += ENTRY_BYTES + 2 * len(k)
+        return [t[1:] if self.prefix and t[:1] == " " else t for t in joined]
 
 
 @lru_cache(2)
@@ -160,7 +204,10 @@ def _with(df: DataFrame, column: str, out: str, kind: str, path: str, fn: Any) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array(fn(codec(path), b.column(source).to_pylist()), type=target.field(out).type)
+            given = b.column(source).to_pylist()
+            if kind != "string":
+                codec(path).verify_own(given)
+            made = pa.array(fn(codec(path), given), type=target.field(out).type)
             yield pa.RecordBatch.from_arrays([*(b.column(i).cast(target.field(n).type) for n, i in enumerate(at)), made], schema=target)
 
     return df.mapInArrow(run, ddl)
@@ -176,6 +223,7 @@ def round_trip(docs: DataFrame, model_path: str | None = None, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, c = b.column(1).to_pylist(), codec(path)
+            c.verify_own(texts)
             ids = c.encode(texts)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
