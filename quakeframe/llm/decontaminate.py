@@ -3,18 +3,20 @@
 Items and documents are sets of five-word shingles. A document leaks an item if it contains at least ``THRESHOLD`` of
 the item's distinct shingles. Documents are far longer than items, so their Jaccard similarity is tiny and banded
 signatures would miss leaks. The search keeps to the short side instead: items are partitioned by their number of
-shingles, and each size has its own MinHash sketch, the k shingles with the smallest hash values, where k is one more
-than the shingles that a leaking document may lack. Such a document contains at least one of the k, so no leak is
-missed, and a document with fewer shingles than a size needs is not compared with that size. Every candidate is then
-verified by the exact number of shared shingles.
+shingles, in classes of powers of two, and each class has parameters of its own: the MinHash sketch of an item is its
+``lacking + rows`` shingles with the least hashes, where a leaking document may lack ``lacking`` shingles of the item,
+so that it holds at least ``rows`` of the sketch, a number that the class fixes. Documents with fewer shingles than the
+least item of a class needs skip the class. So no leak is missed, and every candidate is verified by the exact number of
+shared shingles.
 
-Items are the query set: they are sent out in blocks of about ``BLOCK_SHINGLES`` shingles, and each block is held
-against all documents in one pass, so what a task holds stays bounded whatever the size of the benchmark.
+Items are the query set and taken to be small: they are sent out in blocks of about ``BLOCK_SHINGLES`` shingles, some 50 MB
+in a worker, each of which is held against all documents in one pass. What a task holds is bounded at any size of the
+benchmark; the passes grow with it, one for about 10,000 items.
 
 Edge cases: an item of fewer than five words is one shingle of all its words and leaks where they stand consecutively;
 an item without words (null or empty) never leaks; equal item rows count once, equal ids with other texts each count;
 a null or empty document leaks nothing; repeated documents each give their rows; empty tables give empty results; other
-columns are not read (``clean`` keeps them).
+columns are not read (``clean`` keeps them); if both keys have one name, the item's gets the prefix ``item_``.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,9 @@ from . import common
 from .simhash_dedup import shingles, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 500_000
+#: Sketch shingles that a document must hold, by the class of an item: items of 2 ** c to 2 ** (c + 1) - 1 shingles are of class c.
+ROWS = (1, 1, 1, 2, 3, 4, 6, 8)
 _FILTER_BITS = 20
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,17 +49,27 @@ def needed(n: int) -> int:
     return math.ceil(n * THRESHOLD - 1e-9)
 
 
+def size_class(n: int) -> int:
+    """The partition of an item with n shingles."""
+    return min(n.bit_length(), len(ROWS)) - 1
+
+
+def sketch_size(n: int) -> int:
+    """Shingles in the sketch of an item with n of them."""
+    return n - needed(n) + ROWS[size_class(n)]
+
+
 @dataclass
 class Item:
     """A benchmark item: its id, distinct shingles, and the sketch among them."""
 
-    item_id: int | None
+    item_id: Any
     width: int
     grams: frozenset[bytes]
     sketch: list[bytes]
 
 
-def item(item_id: int | None, text: str | None) -> Item | None:
+def item(item_id: Any, text: str | None) -> Item | None:
     from xxhash import xxh64_intdigest
 
     words = words_of(text or "")
@@ -62,7 +77,7 @@ def item(item_id: int | None, text: str | None) -> Item | None:
         return None
     grams = frozenset(shingles(words, SHINGLE))
     order = sorted(grams, key=lambda g: (xxh64_intdigest(g, 1), g))
-    return Item(item_id, min(SHINGLE, len(words)), grams, order[: len(grams) - needed(len(grams)) + 1])
+    return Item(item_id, min(SHINGLE, len(words)), grams, order[: sketch_size(len(grams))])
 
 
 def gram_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -83,40 +98,59 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
 
 
+@dataclass
+class Part:
+    """The sketches of one shingle width and one class of sizes."""
+
+    #: Shingles a document needs for the least of the items, and sketch shingles it must hold.
+    least: int
+    rows: int
+    #: Sorted sketch hashes and the items they belong to.
+    hashes: np.ndarray
+    owners: np.ndarray
+
+
 @dataclass
 class Index:
-    """Sketches of a block of items, partitioned by shingle width and by number of shingles."""
+    """The partitions of a block of items, by shingle width, each width with a bit filter over all its sketches."""
 
     items: list[Item]
-    #: By width: (least number of shingles a document needs, sorted sketch hashes, their items, bit filter).
-    parts: dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    parts: dict[int, list[Part]] = field(default_factory=dict)
+    filters: dict[int, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        by_width = defaultdict(list)
+        groups = defaultdict(list)
         for i, x in enumerate(self.items):
-            by_width[x.width].append(i)
-        for width, own in by_width.items():
+            groups[x.width, size_class(len(x.grams))].append(i)
+        for (width, c), own in sorted(groups.items()):
             pairs = [(int(gram_hashes(word_hashes(g.split(b" ")), width)[0]), i) for i in own for g in self.items[i].sketch]
             hashes, owners = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs])
             order = np.argsort(hashes, kind="stable")
-            bits = np.zeros(1 << _FILTER_BITS, bool)
+            self.parts.setdefault(width, []).append(Part(min(needed(len(self.items[i].grams)) for i in own), ROWS[c], hashes[order], owners[order]))
+            bits = self.filters.setdefault(width, np.zeros(1 << _FILTER_BITS, bool))
             bits[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-            self.parts[width] = min(needed(len(self.items[i].grams)) for i in own), hashes[order], owners[order], bits
 
     def candidates(self, words: list[bytes]) -> set[int]:
-        """Items of which a document contains a sketch shingle and for which it is long enough."""
+        """Items of whose sketch a document holds enough and for which it is long enough."""
         found: set[int] = set()
         if not words:
             return found
         w = word_hashes(words)
-        for width, (least, hashes, owners, bits) in self.parts.items():
+        for width, parts in self.parts.items():
             h = gram_hashes(w, width)
-            if len(h) < least:
+            n = len(h)
+            h = h[self.filters[width][(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]]
+            if not len(h):
                 continue
-            h = h[bits[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]]
-            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True):
-                found.update(i for i in owners[a:b].tolist() if needed(len(self.items[i].grams)) <= len(words))
+            h = np.unique(h)
+            for part in parts:
+                if n < part.least:
+                    continue
+                lo, hi = np.searchsorted(part.hashes, h, "left"), np.searchsorted(part.hashes, h, "right")
+                hits = [part.owners[a:b] for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True)]
+                if len(hits) >= part.rows:
+                    owners, times = np.unique(np.concatenate(hits), return_counts=True)
+                    found.update(i for i in owners[times >= part.rows].tolist() if needed(len(self.items[i].grams)) <= n)
         return found
 
     def leaks(self, text: str | None) -> list[tuple[int, int]]:
@@ -142,7 +176,7 @@ def blocks(items: DataFrame, text: str = "text", key: str = "item_id", size: int
     for i in range(n):
         found = [x for r in rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect() if (x := item(r["item_id"], r["text"]))]
         if found:
-            yield sorted(found, key=lambda x: (x.item_id is None, x.item_id or 0, sorted(x.grams)[0]))
+            yield sorted(found, key=lambda x: (x.item_id is None, str(x.item_id), min(x.grams)))
 
 
 _indexes: dict[str, Index] = {}
@@ -161,7 +195,8 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "do
     """(key, item key, n_shared, n_item, containment): one row for every leak."""
     spark = docs.sparkSession
     common.prepare(spark)
-    ddl = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, n_shared long, n_item long, containment double"
+    named = f"item_{item_key}" if item_key == key else item_key
+    ddl = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{named}` {items.schema[item_key].dataType.simpleString()}, n_shared long, n_item long, containment double"
     target = common.arrow_schema(spark, ddl)
     found = spark.createDataFrame([], ddl)
     for block in blocks(items, item_text, item_key):
@@ -172,7 +207,7 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "do
             for b in batches:
                 hits = [(d, *h) for d, t in enumerate(b.column(1).to_pylist()) for h in index.leaks(t)]
                 sizes = [len(index.items[i].grams) for _, i, _ in hits]
-                yield common.record_batch({key: b.column(0).take(pa.array([d for d, *_ in hits], pa.int64())), item_key: [index.items[i].item_id for _, i, _ in hits], "n_shared": [s for *_, s in hits], "n_item": sizes, "containment": [s / n for (*_, s), n in zip(hits, sizes, strict=True)]}, target)
+                yield common.record_batch({key: b.column(0).take(pa.array([d for d, *_ in hits], pa.int64())), named: [index.items[i].item_id for _, i, _ in hits], "n_shared": [s for *_, s in hits], "n_item": sizes, "containment": [s / n for (*_, s), n in zip(hits, sizes, strict=True)]}, target)
 
         found = found.unionByName(docs.select(key, text).mapInArrow(run, ddl))
     return found
