@@ -48,18 +48,21 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
 
 
+def bit_majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit integer whose bits are those that over half the hashes have; 0 for none."""
+    h = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 8192):
+        ones += np.unpackbits(h[i : i + 8192], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """SimHash of a text as a signed 64-bit integer."""
     from xxhash import xxh64_intdigest
 
     parts = shingles(words_of(text), size) if text else []
-    if not parts:
-        return 0
-    h = np.fromiter((xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)).astype(">u8").view(np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), 8192):
-        ones += np.unpackbits(h[i : i + 8192], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True)
+    return bit_majority(np.fromiter((xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
