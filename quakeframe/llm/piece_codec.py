@@ -29,7 +29,7 @@ from . import common, pretokens
 from .token_counts import default_model
 
 #: Bytes that a worker's pre-tokens and their ids may take, bytes of an entry besides them, and the longest that is kept.
-CACHE_BYTES, ENTRY_BYTES, CACHE_PART = 3 << 25, 160, 256
+CACHE_BYTES, ENTRY_BYTES, CACHE_PART = 1 << 26, 160, 256
 #: Texts of its own that a worker holds against SentencePiece.
 OWN_PROBES = 4
 #: Pre-tokens that go to the library at once; its results are far larger than the ids.
