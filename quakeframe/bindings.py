@@ -97,4 +97,8 @@ def with_views(names: list[str], sql: str) -> str:
     """DuckDB SQL with the views as common table expressions in front."""
     order = dict.fromkeys(x for n in names for x in _order(n))
     parts = [f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', _text(n, True)).strip()})" for n in order]
-    return (f"WITH {', '.join(parts)} {sql}" if parts else sql) if not sql.lstrip().upper().startswith("WITH ") else f"WITH {', '.join([*parts, sql.lstrip()[5:]])}"
+    own = sql.lstrip()
+    for word in ("WITH RECURSIVE ", "WITH "):
+        if own.upper().startswith(word):
+            return f"{word}{', '.join([*parts, own[len(word):]])}"
+    return f"WITH {', '.join(parts)} {sql}" if parts else sql

@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS84 in km, the mean Earth radius, the default table of Gaussian widths by distance.
@@ -83,6 +83,37 @@ def geodesic(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     return let(start, lambda p: let(F.aggregate(F.sequence(F.lit(1), F.lit(VINCENTY_STEPS)), p["l"], lambda lam, _: step(p, lam)), lambda lam: finish(p, lam)))
 
 
+def with_geodesic(df: DataFrame, lon1: str, lat1: str, lon2: str, lat2: str, name: str = "g") -> DataFrame:
+    """``df`` with a struct column as of ``geodesic``. Each part of a step is a projection of its own, so all of them become generated code and none is computed twice.
+
+    A filter on the result that the optimiser pushes below these projections would spell all steps out in one expression;
+    use ``geodesic`` there, or filter after a join or an aggregation.
+    """
+    b = WGS84_A * (1 - WGS84_F)
+    col = lambda n: F.col(f"__{name}_{n}")
+    put = lambda d, **x: d.withColumns({f"__{name}_{n}": v for n, v in x.items()})
+    reduced = lambda lat: F.atan((1 - WGS84_F) * F.tan(F.radians(lat)))
+    d = put(df, u1=reduced(lat1), u2=reduced(lat2), l=F.radians(F.col(lon2) - F.col(lon1)))
+    d = put(d, s1=F.sin(col("u1")), c1=F.cos(col("u1")), s2=F.sin(col("u2")), c2=F.cos(col("u2")), lam=col("l"))
+    for step in range(VINCENTY_STEPS + 1):
+        d = put(d, sl=F.sin(col("lam")), cl=F.cos(col("lam")))
+        d = put(d, east=col("c2") * col("sl"), north=col("c1") * col("s2") - col("s1") * col("c2") * col("cl"), cs=col("s1") * col("s2") + col("c1") * col("c2") * col("cl"))
+        d = put(d, ss=F.sqrt(col("east") * col("east") + col("north") * col("north")))
+        d = put(d, sigma=F.atan2(col("ss"), col("cs")), sa=F.when(col("ss") == 0, 0.0).otherwise(col("c1") * col("c2") * col("sl") / col("ss")))
+        d = put(d, ca2=1 - col("sa") * col("sa"))
+        d = put(d, cm=F.when(col("ca2") == 0, 0.0).otherwise(col("cs") - 2 * col("s1") * col("s2") / col("ca2")))
+        if step < VINCENTY_STEPS:
+            d = put(d, cc=WGS84_F / 16 * col("ca2") * (4 + WGS84_F * (4 - 3 * col("ca2"))))
+            d = put(d, lam=col("l") + (1 - col("cc")) * WGS84_F * col("sa") * (col("sigma") + col("cc") * col("ss") * (col("cm") + col("cc") * col("cs") * (2 * col("cm") * col("cm") - 1))))
+    d = put(d, u=col("ca2") * ((WGS84_A**2 - b**2) / b**2), cm2=col("cm") * col("cm"))
+    u = col("u")
+    d = put(d, ba=1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))), bb=u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))))
+    ds = col("bb") * col("ss") * (col("cm") + col("bb") / 4 * (col("cs") * (2 * col("cm2") - 1) - col("bb") / 6 * col("cm") * (4 * col("ss") * col("ss") - 3) * (4 * col("cm2") - 3)))
+    back = F.atan2(col("c1") * col("sl"), col("c1") * col("s2") * col("cl") - col("s1") * col("c2"))
+    out = F.struct((b * col("ba") * (col("sigma") - ds)).alias("distance_km"), wrap180(F.degrees(F.atan2(col("east"), col("north")))).alias("azimuth"), F.when(col("ss") == 0, 0.0).otherwise(wrap180(F.degrees(back) + 180)).alias("back_azimuth"))
+    return d.withColumn(name, out).drop(*[c for c in d.columns if c.startswith(f"__{name}_")])
+
+
 def local_xy(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
     """Equirectangular kilometres east and north of a centre."""
     return F.radians(wrap180(lon - lon0)) * F.cos(F.radians(lat0)) * EARTH_RADIUS_KM, F.radians(lat - lat0) * EARTH_RADIUS_KM

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import geodesic, local_xy
+from ..functions.scalars import local_xy, with_geodesic
+from ..session import bounded
 
 FIELD = ("period_s", "source")
 
@@ -23,27 +24,32 @@ def inclusive_axis(low: float, high: float, step: float) -> int:
 
 def grid_axes(spark: SparkSession, lon: tuple[float, float, float], lat: tuple[float, float, float]) -> DataFrame:
     """(i_lat, i_lon, lat, lon, x_km, y_km): an inclusive grid with x by latitude and y along its middle, from summed geodesic steps."""
-    nx, ny = inclusive_axis(*lon), inclusive_axis(*lat)
-    at = lambda i, a: a[0] + i * F.lit(float(a[2]))
-    middle = F.lit((lon[0] + lon[1]) / 2)
-    rows = spark.range(ny).select(F.col("id").cast("int").alias("i_lat")).withColumn("lat", at(F.col("i_lat"), lat))
-    # A step along a row has the same length everywhere, so x is a multiple of one geodesic.
-    step = geodesic(F.lit(float(lon[0])), F.col("lat"), F.lit(float(lon[0] + lon[2])), F.col("lat"))["distance_km"]
-    rows = rows.withColumn("dx", step)
-    up = geodesic(middle, F.col("lat") - float(lat[2]), middle, F.col("lat"))["distance_km"]
-    rows = rows.withColumn("dy", F.when(F.col("i_lat") == 0, 0.0).otherwise(up))
-    # One axis of a bounded grid: its running sum is a fold over a short array.
-    y = rows.agg(F.array_sort(F.collect_list(F.struct("i_lat", "lat", "dx", "dy"))).alias("a"))
-    run = F.transform("a", lambda p, i: F.struct(p["i_lat"].alias("i_lat"), p["lat"].alias("lat"), p["dx"].alias("dx"), F.aggregate(F.slice("a", 1, i + 1), F.lit(0.0), lambda s, q: s + q["dy"]).alias("y_km")))
-    lines = y.select(F.inline(run))
-    return lines.withColumn("i_lon", F.explode(F.sequence(F.lit(0), F.lit(nx - 1)))).select("i_lat", "i_lon", "lat", at(F.col("i_lon"), lon).alias("lon"), (F.col("i_lon") * F.col("dx")).alias("x_km"), "y_km")
+    inclusive_axis(*lon), inclusive_axis(*lat)
+    box = spark.range(1).select(F.lit(0).alias("key"), *[F.lit(float(v)).alias(n) for n, v in (("lon0", lon[0]), ("lon1", lon[1]), ("lat0", lat[0]), ("lat1", lat[1]))])
+    return grids_of(box, float(lon[2]), float(lat[2]), ("key",)).drop("key")
+
+
+def grids_of(boxes: DataFrame, lon_step: float, lat_step: float, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, i_lat, i_lon, lat, lon, x_km, y_km): the grid of every box (keys, lon0, lon1, lat0, lat1), whose sides are whole multiples of the steps.
+
+    A step along a row has the same length everywhere, so x is a multiple of one geodesic; y sums the steps of the rows.
+    """
+    count = lambda a, b, step: F.round((F.col(b) - F.col(a)) / step).cast("int")
+    rows = boxes.withColumn("i_lat", F.explode(F.sequence(F.lit(0), count("lat0", "lat1", lat_step))))
+    rows = rows.withColumn("lat", F.col("lat0") + F.col("i_lat") * lat_step).withColumns({"below": F.col("lat") - lat_step, "next": F.col("lon0") + lon_step, "middle": (F.col("lon0") + F.col("lon1")) / 2})
+    rows = with_geodesic(with_geodesic(rows, "lon0", "lat", "next", "lat", "dx"), "middle", "below", "middle", "lat", "dy")
+    up = F.when(F.col("i_lat") == 0, 0.0).otherwise(F.col("dy.distance_km"))
+    lines = rows.select(*keys, "i_lat", "lat", "lon0", count("lon0", "lon1", lon_step).alias("last"), F.col("dx.distance_km").alias("step_km"), F.sum(up).over(Window.partitionBy(*keys).orderBy("i_lat")).alias("y_km"))
+    lines = lines.withColumn("i_lon", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    return lines.select(*keys, "i_lat", "i_lon", "lat", (F.col("lon0") + F.col("i_lon") * lon_step).alias("lon"), (F.col("i_lon") * F.col("step_km")).alias("x_km"), "y_km")
 
 
 def station_coverage(grid: DataFrame, receivers: DataFrame, centre: tuple[float, float], mode: str = "either", nearby_km: float = 150.0, quadrant_km: float = 250.0, min_quadrants: int = 3, keys: tuple[str, ...] = FIELD) -> DataFrame:
     """Grid cells of every key with ``covered``: a receiver within ``nearby_km`` and/or receivers of enough quadrants within ``quadrant_km``.
 
-    A range join: receivers and cells fall into square tiles of the larger radius, each receiver is offered to its
-    tile and the eight around, and tiles join by equality before distances are compared.
+    A range join: places of receivers and cells fall into square tiles of the larger radius, each place is offered to
+    its tile and the eight around, and tiles join by equality before distances are compared. That happens once for each
+    distinct place; the cells it reaches then join with its rows of all keys.
     """
     size = max(nearby_km, quadrant_km)
     place = lambda lon, lat: local_xy(F.col(lon), F.col(lat), F.lit(centre[0]), F.lit(centre[1]))
@@ -51,24 +57,25 @@ def station_coverage(grid: DataFrame, receivers: DataFrame, centre: tuple[float,
     cells = grid.select("i_lat", "i_lon", gx.alias("gx"), gy.alias("gy")).withColumns({"tx": F.floor(F.col("gx") / size), "ty": F.floor(F.col("gy") / size)})
     rx, ry = place("rcv_lon", "rcv_lat")
     near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = receivers.select(*keys, rx.alias("rx"), ry.alias("ry")).distinct().withColumn("n", F.explode(near))
-    tiles = spread.select(*keys, "rx", "ry", (F.floor(F.col("rx") / size) + F.col("n.dx")).alias("tx"), (F.floor(F.col("ry") / size) + F.col("n.dy")).alias("ty"))
+    rows = receivers.select(*keys, "rcv_lon", "rcv_lat").distinct()
+    spread = rows.select("rcv_lon", "rcv_lat").distinct().select("rcv_lon", "rcv_lat", rx.alias("rx"), ry.alias("ry")).withColumn("n", F.explode(near))
+    tiles = spread.select("rcv_lon", "rcv_lat", "rx", "ry", (F.floor(F.col("rx") / size) + F.col("n.dx")).alias("tx"), (F.floor(F.col("ry") / size) + F.col("n.dy")).alias("ty"))
     dx, dy = F.col("rx") - F.col("gx"), F.col("ry") - F.col("gy")
     hits = tiles.join(cells, ["tx", "ty"]).withColumn("d", F.hypot(dx, dy)).filter(F.col("d") <= size)
     quadrant = F.when(F.col("d") <= quadrant_km, (dx >= 0).cast("int") * 2 + (dy >= 0).cast("int"))
-    found = hits.groupBy(*keys, "i_lat", "i_lon").agg(F.max(F.col("d") <= nearby_km).alias("nearby"), F.bit_or(F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), quadrant + 1)).alias("seen"))
+    reach = hits.select("rcv_lon", "rcv_lat", "i_lat", "i_lon", (F.col("d") <= nearby_km).alias("close"), F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), quadrant + 1).alias("bit"))
+    found = rows.join(reach, ["rcv_lon", "rcv_lat"]).groupBy(*keys, "i_lat", "i_lon").agg(F.max("close").alias("nearby"), F.bit_or("bit").alias("seen"))
     quadrants = F.coalesce(F.bit_count("seen"), F.lit(0)) >= min_quadrants
     nearby = F.coalesce("nearby", F.lit(False))
     covered = {"nearby": nearby, "quadrants": quadrants, "either": nearby | quadrants}[mode]
-    every = receivers.select(*keys).distinct().crossJoin(F.broadcast(grid.select("i_lat", "i_lon")))
+    every = receivers.select(*keys).distinct().crossJoin(bounded(grid.select("i_lat", "i_lon")))
     return every.join(found, [*keys, "i_lat", "i_lon"], "left").select(*keys, "i_lat", "i_lon", covered.alias("covered"))
 
 
 def cells_by_source(grid: DataFrame, sources: DataFrame) -> DataFrame:
     """Every cell for every source with distance and azimuth from the source. The grid is one bounded map, so it goes to the sources."""
-    pairs = sources.crossJoin(F.broadcast(grid.select("i_lat", "i_lon", "lat", "lon")))
-    g = geodesic(F.col("src_lon"), F.col("src_lat"), F.col("lon"), F.col("lat"))
-    return pairs.withColumn("g", g).withColumns({"distance_km": F.col("g.distance_km"), "azimuth": F.col("g.azimuth")}).drop("g")
+    pairs = sources.crossJoin(bounded(grid.select("i_lat", "i_lon", "lat", "lon")))
+    return with_geodesic(pairs, "src_lon", "src_lat", "lon", "lat").withColumns({"distance_km": F.col("g.distance_km"), "azimuth": F.col("g.azimuth")}).drop("g")
 
 
 def gradient(field: DataFrame, axis: str, value: str = "value", out: str = "gradient", keys: tuple[str, ...] = FIELD) -> DataFrame:
@@ -121,5 +128,5 @@ def adjacent_to_null(field: DataFrame, value: str = "value", keys: tuple[str, ..
 def full_grid(field: DataFrame, n_lat: int, n_lon: int, dx: float = 10.0, dy: float = 10.0, keys: tuple[str, ...] = FIELD) -> DataFrame:
     """``field`` with a row for every cell of an n_lat x n_lon grid; absent ones are NULL."""
     axes = field.sparkSession.range(n_lat * n_lon).select((F.col("id") / n_lon).cast("int").alias("i_lat"), (F.col("id") % n_lon).cast("int").alias("i_lon"))
-    every = field.select(*keys).distinct().crossJoin(F.broadcast(axes))
+    every = field.select(*keys).distinct().crossJoin(bounded(axes))
     return every.join(field.drop("x_km", "y_km"), [*keys, "i_lat", "i_lon"], "left").withColumns({"x_km": F.col("i_lon") * dx, "y_km": F.col("i_lat") * dy})

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import amplitude_factor
-from ..session import cut
+from ..session import bounded, cut
 from . import robust
 
 
@@ -28,6 +28,16 @@ def hk_axes(spark: SparkSession, h: tuple[float, float, float], k: tuple[float,
     return spark.createDataFrame(rows, "h_idx int, k_idx int, h double, k double")
 
 
+def axes_of(ranges: DataFrame, h_step: float, k_step: float, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, h_idx, k_idx, h, k): the search grid of every row of ``ranges`` (keys, h0, h1, k0, k1), its axes as of ``search_axis``."""
+    d = ranges
+    for x, step in (("h", h_step), ("k", k_step)):
+        low, width = F.col(f"{x}0"), F.col(f"{x}1") - F.col(f"{x}0")
+        d = d.withColumn("last", F.floor(width / step).cast("int")).withColumn(f"{x}_idx", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        d = d.withColumn(x, F.when(F.col("last") == 0, low).otherwise(low + F.col(f"{x}_idx") * width / F.col("last"))).drop("last")
+    return d.select(*keys, "h_idx", "k_idx", "h", "k")
+
+
 def stack_lookup(delay: Column, b: Column, delta: Column, n: Column) -> Column:
     """Place of the sample nearest to a delay, the earlier one on ties, held to the trace."""
     return F.greatest(F.lit(0), F.least(n - 1, F.ceil((delay - b) / delta - 0.5))).cast("int")
@@ -37,27 +47,36 @@ def hk_stack(traces: DataFrame, samples: DataFrame, axes: DataFrame, weights: tu
     """(trace_id, station, h_idx, k_idx, h, k, amp) of every grid cell.
 
     Delays are those of one layer, or of a crust below a sediment layer where the trace's row has h0 and k0 (then
-    ``sediment`` gives the P velocity of the layer). The samples of a trace travel as one array with their slowness
-    factor, so each cell reads three elements of it; the grid is a bounded table and goes to the traces.
+    ``sediment`` gives the P velocity of the layer). The samples of a trace and the grid, a bounded table, are arrays of
+    one row; each cell reads three samples, and rows are made of the cells' results alone.
     """
     arrays = samples.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("a")).select("trace_id", F.transform("a", lambda x: x["v"]).alias("a"))
-    d = traces.join(arrays, "trace_id").crossJoin(F.broadcast(axes))
-    p, h, k = F.col("slowness"), F.col("h"), F.col("k")
-    v_s = F.lit(vs) if vs is not None else vp / k
-    v_p = vs * k if vs is not None else F.lit(vp)
-    d = d.withColumns({"qs": F.sqrt(1 / (v_s * v_s) - p * p), "qp": F.sqrt(1 / (v_p * v_p) - p * p)})
-    qs, qp = F.col("qs"), F.col("qp")
-    delays = {"ps": (qs - qp) * h, "ppps": (qs + qp) * h, "psps": 2 * qs * h}
-    if sediment is not None:
+    cells = axes.agg(F.array_sort(F.collect_list(F.struct("h_idx", "k_idx", "h", "k"))).alias("cells"))
+    p = F.col("slowness")
+    d = traces.join(arrays, "trace_id").crossJoin(F.broadcast(cells)).withColumn("factor", amplitude_factor(p))
+    under = sediment is not None
+    if under:
         d = d.withColumns({"qs0": F.sqrt((F.col("k0") / sediment[0]) ** 2 - p * p), "qp0": F.sqrt(F.lit(1 / sediment[0] ** 2) - p * p)})
-        qs0, qp0, h0 = F.col("qs0"), F.col("qp0"), F.col("h0")
-        two = h0.isNotNull()
-        below = {"ps": (qs - qp) * (h - h0) + (qs0 - qp0) * h0, "ppps": (qs + qp) * (h - h0) + (qs0 + qp0) * h0, "psps": 2 * qs * (h - h0) + 2 * qs0 * h0}
-        delays = {n: F.when(two, below[n]).otherwise(delays[n]) for n in delays}
     n = F.size("a")
-    at = {name: F.element_at("a", stack_lookup(x, F.col("b"), F.col("delta"), n) + 1) for name, x in delays.items()}
-    amp = (weights[0] * at["ps"] + weights[1] * at["ppps"] - weights[2] * at["psps"]) * amplitude_factor(p)
-    return d.select("trace_id", "station", "h_idx", "k_idx", "h", "k", amp.alias("amp"))
+    at = lambda delay: F.element_at("a", stack_lookup(delay, F.col("b"), F.col("delta"), n) + 1)
+
+    def slow(c: Column) -> Column:
+        v_s = F.lit(vs) if vs is not None else vp / c["k"]
+        v_p = vs * c["k"] if vs is not None else F.lit(vp)
+        return F.struct(c["h_idx"].alias("h_idx"), c["k_idx"].alias("k_idx"), c["h"].alias("h"), c["k"].alias("k"), F.sqrt(1 / (v_s * v_s) - p * p).alias("qs"), F.sqrt(1 / (v_p * v_p) - p * p).alias("qp"))
+
+    def stacked(c: Column) -> Column:
+        qs, qp, h = c["qs"], c["qp"], c["h"]
+        delays = [(qs - qp) * h, (qs + qp) * h, 2 * qs * h]
+        if under:
+            qs0, qp0, h0 = F.col("qs0"), F.col("qp0"), F.col("h0")
+            below = [(qs - qp) * (h - h0) + (qs0 - qp0) * h0, (qs + qp) * (h - h0) + (qs0 + qp0) * h0, 2 * qs * (h - h0) + 2 * qs0 * h0]
+            delays = [F.when(h0.isNotNull(), two).otherwise(one) for one, two in zip(delays, below, strict=True)]
+        ps, ppps, psps = map(at, delays)
+        amp = (weights[0] * ps + weights[1] * ppps - weights[2] * psps) * F.col("factor")
+        return F.struct(*[c[x].alias(x) for x in ("h_idx", "k_idx", "h", "k")], amp.alias("amp"))
+
+    return d.select("trace_id", "station", F.inline(F.transform(F.transform("cells", slow), stacked)))
 
 
 def best_cells(cells: DataFrame, rank: str = "amp") -> DataFrame:

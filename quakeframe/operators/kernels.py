@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import EARTH_RADIUS_KM, geodesic, helmholtz_correction, travel_time, wrap180
-from ..session import cut, settle
+from ..functions.scalars import EARTH_RADIUS_KM, geodesic, helmholtz_correction, travel_time, with_geodesic, wrap180
+from ..session import bounded, cut, settle
 from . import grid as G
 from . import masks as M
 
@@ -87,16 +87,35 @@ def _spline_integral(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray
     return whole[k] + part(k, at - x[k])
 
 
-def _skirt(env: np.ndarray, minima: np.ndarray, peak: int, dt: float, half: float, ratio: float, end: int) -> tuple[int | None, int]:
-    """The nearest minimum that is low and far enough from the peak, and the one after it."""
-    far = [int(m) for m in minima if env[m] < ratio * env[peak] and abs(int(m) - peak) * dt > half]
-    if not far:
-        return None, end
-    rest = [int(m) for m in minima if abs(int(m) - peak) > abs(far[0] - peak)]
-    return far[0], rest[0] if rest else end
+def _skirt(env: np.ndarray, minima: np.ndarray, peak: int, dt: float, half: float, ratio: float, end: int) -> tuple[int, int] | None:
+    """Steps from the peak to the nearest minimum that is far and quiet enough, and to the next such one (or the end)."""
+    good = [abs(int(m) - peak) for m in minima if env[m] < ratio * env[peak] and abs(int(m) - peak) * dt > half]
+    return (good[0], good[1] if len(good) > 1 else abs(end - peak)) if good else None
 
 
-def phase_matched(data: np.ndarray, dt: float, distance: float, periods: np.ndarray, velocity: np.ndarray, alpha: float = 20.0, nalpha: float = 2.0, half: float = 5.0, ratio: float = 0.2) -> np.ndarray:
+def pulse_window(env: np.ndarray, dt: float, half: float, ratio: float, factor: float) -> np.ndarray:
+    """One between two envelope minima around the largest value, Gaussian skirts beyond them.
+
+    With a minimum on both sides the window is even: the wider half and the wider skirt hold for both. A skirt's width
+    is the way from its minimum to the next one, plus one sample; ``factor`` stretches both about the peak.
+    """
+    n, peak = len(env), int(np.argmax(env))
+    low = np.nonzero((env[1:-1] < env[:-2]) & (env[1:-1] < env[2:]))[0] + 1
+    sides = [_skirt(env, low[low < peak][::-1], peak, dt, half, ratio, 0), _skirt(env, low[low > peak], peak, dt, half, ratio, n - 1)]
+    if all(sides):
+        inner, skirt = max(s[0] for s in sides), max(s[1] - s[0] for s in sides)
+        sides = [(inner, inner + skirt)] * 2
+    window, at = np.ones(n), np.arange(n)
+    for sign, side in zip((-1, 1), sides, strict=True):
+        if side:
+            first, last = (int(np.rint(np.clip(peak + sign * factor * s, 0, n - 1))) for s in side)
+            out = at < first if sign < 0 else at >= first
+            steps = first - 1 - at[out] if sign < 0 else at[out] - first
+            window[out] = np.exp(-0.5 * (steps / (abs(last - first) + 1)) ** 2)
+    return window
+
+
+def phase_matched(data: np.ndarray, dt: float, distance: float, periods: np.ndarray, velocity: np.ndarray, alpha: float = 20.0, nalpha: float = 2.0, half: float = 5.0, ratio: float = 0.2, factor: float = 1.0) -> np.ndarray:
     """Signal of one branch: dispersion is undone by the integral of its group delay, the compressed pulse is cut out between envelope minima with Gaussian skirts, and dispersed again."""
     order = np.argsort(periods)[::-1]
     periods, velocity = periods[order], velocity[order]
@@ -113,17 +132,7 @@ def phase_matched(data: np.ndarray, dt: float, distance: float, periods: np.ndar
     taper = np.interp(f, corners, (0, 1, 1, 0), left=0, right=0)
     taper = 0.5 * (1 - np.cos(np.pi * taper))
     z = np.fft.ifft(analytic_spectrum(data, n) * np.exp(1j * phase) * taper)
-    env = np.abs(z)
-    peak = int(np.argmax(env))
-    low = np.nonzero((env[1:-1] < env[:-2]) & (env[1:-1] < env[2:]))[0] + 1
-    window = np.ones(n)
-    for minima, end in ((low[low < peak][::-1], 0), (low[low > peak], n - 1)):
-        inner, outer = _skirt(env, minima, peak, dt, half, ratio, end)
-        if inner is not None:
-            width = max(abs(outer - inner), 1) / 2
-            out = np.arange(n) < inner if end == 0 else np.arange(n) > inner
-            window[out] = np.exp(-0.5 * ((np.arange(n)[out] - inner) / width) ** 2)
-    cleaned = z.real * window
+    cleaned = z.real * pulse_window(np.abs(z), dt, half, ratio, factor)
     return np.fft.ifft(analytic_spectrum(cleaned, n) * np.exp(-1j * phase)).real
 
 
@@ -142,6 +151,35 @@ def phase_matched_filter(samples: DataFrame, branches: DataFrame, alpha: float =
     return rows.mapInPandas(run, "trace_id long, i int, t double, v double")
 
 
+def ftan_each(samples: DataFrame, targets: DataFrame, alpha: float = 20.0) -> DataFrame:
+    """As ``ftan``, at each trace's own target periods (trace_id, periods)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, b, dt, a, periods in pdf.itertuples(index=False, name=None):
+                target = np.asarray(periods, float)
+                z = narrow_bands(np.asarray(a), dt, target, alpha)
+                i = np.tile(np.arange(z.shape[1], dtype=np.int32), len(target))
+                yield pd.DataFrame({"trace_id": k, "period": np.repeat(target, z.shape[1]), "i": i, "t": b + i * dt, "envelope": np.abs(z).ravel(), "phase": np.angle(z).ravel()})
+
+    return sample_arrays(samples).join(targets, "trace_id").select("trace_id", "b", "dt", "a", "periods").mapInPandas(run, "trace_id long, period double, i int, t double, envelope double, phase double")
+
+
+def second_pass(samples: DataFrame, picks: DataFrame, distance: DataFrame, low: float, high: float, count: int, alpha: float = 20.0) -> DataFrame:
+    """Picks of the cleaned traces: the first pass's instantaneous periods and group velocities clean each trace, and their range within [low, high], spaced by a factor, gives its new target periods.
+
+    Traces with fewer than two usable periods or an empty range give no rows.
+    """
+    from .traces import pick_peaks
+
+    ok = picks.filter("instant_period > 0 AND group_velocity > 0")
+    cleaned = cut(phase_matched_filter(samples, ok.join(distance.select("trace_id", "distance"), "trace_id").select("trace_id", F.col("instant_period").alias("period"), "group_velocity", "distance"), alpha))
+    ends = ok.groupBy("trace_id").agg(F.greatest(F.lit(low), F.min("instant_period")).alias("p0"), F.least(F.lit(high), F.max("instant_period")).alias("p1"), F.count("*").alias("n")).filter("n > 1 AND p1 > p0")
+    place = F.sequence(F.lit(0), F.lit(count - 1))
+    targets = ends.select("trace_id", F.transform(place, lambda i: F.col("p0") * F.pow(F.col("p1") / F.col("p0"), i / (count - 1))).alias("periods"))
+    return pick_peaks(ftan_each(cleaned, targets, alpha), distance)
+
+
 def _curvature(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     c = np.zeros(len(x))
     if len(x) > 2:
@@ -192,14 +230,14 @@ def unwrap_times(x: np.ndarray, y: np.ndarray, distance: np.ndarray, time: np.nd
     n = len(x)
     if n < 2:
         return time, np.ones(n, bool), np.zeros(n, int), np.zeros(n)
-    apart = np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :])
+    apart = lambda i: np.hypot(x - x[i], y - y[i])  # noqa: E731  a row at a time, so memory follows the receivers
     seeds = np.argsort(np.hypot(x - x.mean(), y - y.mean()), kind="stable")[::stride][: max(1, trials)]
     best = None
     for seed in seeds:
         t, res, cycles, ok = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, int), np.zeros(n, bool)
         t[seed], res[seed], ok[seed] = time[seed], 0.0, True
-        nearest, gap = np.full(n, seed), apart[seed].copy()
-        for i in np.argsort(apart[seed], kind="stable"):
+        nearest, gap = np.full(n, seed), apart(seed)
+        for i in np.argsort(gap, kind="stable"):
             if i == seed:
                 continue
             j = nearest[i]
@@ -209,8 +247,9 @@ def unwrap_times(x: np.ndarray, y: np.ndarray, distance: np.ndarray, time: np.nd
             res[i] = abs(moved - predicted)
             if moved > 0 and res[i] <= max_residual:
                 t[i], ok[i] = moved, True
-                closer = apart[i] < gap
-                nearest[closer], gap[closer] = i, apart[i][closer]
+                away = apart(i)
+                closer = away < gap
+                nearest[closer], gap[closer] = i, away[closer]
         score = (int(ok.sum()), -float(res[ok].sum()))
         if best is None or score > best[0]:
             best = score, (t, ok, cycles, res)
@@ -237,56 +276,86 @@ def correct_cycle_skips(points: DataFrame, max_residual: float = 3.0, trials: in
     return points.select("period_s", "source", "receiver", "rcv_lon", "rcv_lat", "distance_km", "travel_time").groupBy("period_s", "source").applyInPandas(run, ddl)
 
 
-def thin_plate(points: np.ndarray, values: np.ndarray, query: np.ndarray, smoothing: float = 0.0) -> np.ndarray:
-    """Thin-plate spline r^2 log r with a linear part, through (or near) scattered values."""
-    centre, scale = points.mean(axis=0), max(float(np.ptp(points, axis=0).max()), 1e-9)
-    p, q = (points - centre) / scale, (query - centre) / scale
+def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """r^2 log r of all pairs of two point sets, along the last two axes."""
+    r2 = ((a[..., :, None, :] - b[..., None, :, :]) ** 2).sum(axis=-1)
+    return 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1.0))
+
 
-    def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        r2 = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=-1)
-        return 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1.0))
+def _plate(points: np.ndarray, values: np.ndarray, smoothing: float) -> np.ndarray:
+    """Coefficients of the thin-plate spline with a linear part through (or near) points, for one or many sets of points."""
+    n = points.shape[-2]
+    m = np.zeros((*points.shape[:-2], n + 3, n + 3))
+    m[..., :n, :n] = _kernel(points, points) + smoothing * np.eye(n)
+    m[..., :n, n] = 1
+    m[..., :n, n + 1 :] = points
+    m[..., n:, :n] = np.swapaxes(m[..., :n, n:], -1, -2)
+    right = np.concatenate([values, np.zeros((*values.shape[:-1], 3))], axis=-1)
+    return np.linalg.solve(m, right[..., None])[..., 0]
 
-    n = len(p)
-    m = np.zeros((n + 3, n + 3))
-    m[:n, :n] = kernel(p, p) + smoothing / scale**2 * np.eye(n)
-    m[:n, n:] = np.column_stack([np.ones(n), p])
-    m[n:, :n] = m[:n, n:].T
-    c = np.linalg.solve(m, np.concatenate([values, np.zeros(3)]))
-    return kernel(q, p) @ c[:n] + np.column_stack([np.ones(len(q)), q]) @ c[n:]
 
+def thin_plate(points: np.ndarray, values: np.ndarray, query: np.ndarray, smoothing: float = 0.0, neighbours: int | None = None, chunk: int = 512) -> np.ndarray:
+    """Thin-plate spline r^2 log r with a linear part, through (or near) scattered values.
 
-def grid_travel_times(points: DataFrame, grid: DataFrame, value: str = "travel_time", smoothing: float = 0.0, comparison: float | None = 1.0, source_at_zero: bool = True) -> DataFrame:
-    """(period_s, source, i_lat, i_lon, value, other): each source's scattered values on the grid, one dense solve per source and period.
+    One system of all points by default; with ``neighbours`` each queried place has a system of its own nearest points
+    (the first ones on ties), so memory no longer grows with the square of the points. Places are taken in chunks.
+    """
+    centre, scale = points.mean(axis=0), max(float(np.ptp(points, axis=0).max()), 1e-9)
+    p, q = (points - centre) / scale, (query - centre) / scale
+    near = min(neighbours, len(p)) if neighbours is not None else None
+    c = _plate(p, values, smoothing / scale**2) if near is None else None
+    out = np.empty(len(q))
+    for i in range(0, len(q), chunk):
+        own = q[i : i + chunk]
+        if near is None:
+            out[i : i + chunk] = _kernel(own, p) @ c[: len(p)] + c[len(p)] + own @ c[len(p) + 1 :]
+        else:
+            at = np.argsort(((own[:, None] - p) ** 2).sum(axis=-1), axis=1, kind="stable")[:, :near]
+            w = _plate(p[at], values[at], smoothing / scale**2)
+            out[i : i + chunk] = (_kernel(own[:, None], p[at])[:, 0] * w[:, :near]).sum(axis=1) + w[:, near] + (own * w[:, near + 1 :]).sum(axis=1)
+    return out
+
+
+def grid_travel_times(points: DataFrame, grid: DataFrame, value: str = "travel_time", smoothing: float = 0.0, comparison: float | None = 1.0, source_at_zero: bool = True, neighbours: int | None = None, tiles: int = 1) -> DataFrame:
+    """(period_s, source, i_lat, i_lon, value, other): each source's scattered values on the grid.
 
     Points at equal places are merged to their median; the source itself is a point of value 0. ``other`` is a second,
     smoother solution. Groups with fewer than three points, or a singular system, give no rows. The grid is one bounded
-    table and travels with the kernel.
+    table, broadcast to the kernels. One source and period is one solve; with ``neighbours`` the solves are local, and
+    ``tiles`` deals the cells of a source to so many tasks.
     """
-    cells = grid.select("i_lat", "i_lon", "lat", "lon").toPandas()
+    cells = grid.select("i_lat", "i_lon", "lat", "lon").orderBy("i_lat", "i_lon").toPandas()
     lon0, lat0 = (cells["lon"].min() + cells["lon"].max()) / 2, (cells["lat"].min() + cells["lat"].max()) / 2
     flat = lambda lon, lat: np.column_stack([np.radians(lon - lon0) * math.cos(math.radians(lat0)), np.radians(lat - lat0)]) * EARTH_RADIUS_KM
-    query = flat(cells["lon"].to_numpy(), cells["lat"].to_numpy())
+    shared = points.sparkSession.sparkContext.broadcast((cells["i_lat"].to_numpy(np.int32), cells["i_lon"].to_numpy(np.int32), flat(cells["lon"].to_numpy(), cells["lat"].to_numpy())))
     kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     ddl = f"period_s {kinds['period_s']}, source {kinds['source']}, i_lat int, i_lon int, value double, other double"
+    if neighbours is None and tiles != 1:
+        raise ValueError("tiles need local solves; give a number of neighbours")
+    empty = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("period_s", "int32"), ("source", "object"), ("i_lat", "int32"), ("i_lon", "int32"), ("value", "float64"), ("other", "float64"))})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf[["rcv_lon", "rcv_lat", value]].dropna()
-        if source_at_zero:
-            d = pd.concat([pd.DataFrame({"rcv_lon": [pdf["src_lon"].iloc[0]], "rcv_lat": [pdf["src_lat"].iloc[0]], value: [0.0]}), d])
-        key = [d["rcv_lon"].round(8), d["rcv_lat"].round(8)]
-        d = d.groupby(key, sort=True)[value].median().rename_axis(["x", "y"]).reset_index()
-        empty = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("period_s", "int32"), ("source", "object"), ("i_lat", "int32"), ("i_lon", "int32"), ("value", "float64"), ("other", "float64"))})
-        if len(d) < 3 + source_at_zero:
+        i_lat, i_lon, query = shared.value
+        own = np.arange(int(pdf["tile"].iloc[0]), len(query), tiles)
+        d = pdf[["x", "y", value]].sort_values(["x", "y"])
+        if len(d) < 3 + source_at_zero or not len(own):
             return empty
-        at = flat(d["x"].to_numpy(), d["y"].to_numpy())
+        at, v = flat(d["x"].to_numpy(), d["y"].to_numpy()), d[value].to_numpy()
         try:
-            t = thin_plate(at, d[value].to_numpy(), query, smoothing)
-            o = thin_plate(at, d[value].to_numpy(), query, comparison) if comparison is not None else np.full(len(query), np.nan)
+            t = thin_plate(at, v, query[own], smoothing, neighbours)
+            o = thin_plate(at, v, query[own], comparison, neighbours) if comparison is not None else np.full(len(own), np.nan)
         except np.linalg.LinAlgError:
             return empty
-        return pd.DataFrame({"period_s": pdf["period_s"].iloc[0], "source": pdf["source"].iloc[0], "i_lat": cells["i_lat"].to_numpy(np.int32), "i_lon": cells["i_lon"].to_numpy(np.int32), "value": t, "other": o})
+        return pd.DataFrame({"period_s": pdf["period_s"].iloc[0], "source": pdf["source"].iloc[0], "i_lat": i_lat[own], "i_lon": i_lon[own], "value": t, "other": o})
 
-    return points.groupBy("period_s", "source").applyInPandas(run, ddl)
+    place = lambda c: F.round(c, 8)
+    good = points.filter(F.col("rcv_lon").isNotNull() & F.col("rcv_lat").isNotNull() & F.col(value).isNotNull())
+    rows = good.select("period_s", "source", place("rcv_lon").alias("x"), place("rcv_lat").alias("y"), F.col(value).cast("double").alias(value))
+    if source_at_zero:
+        rows = rows.union(points.select("period_s", "source", place("src_lon").alias("x"), place("src_lat").alias("y"), F.lit(0.0).alias(value)).distinct())
+    merged = rows.groupBy("period_s", "source", "x", "y").agg(F.median(value).alias(value))
+    dealt = merged.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    return dealt.groupBy("period_s", "source", "tile").applyInPandas(run, ddl)
 
 
 def event_fields(
@@ -302,11 +371,12 @@ def event_fields(
     boundary: int = 1,
     cycle_skips: dict | None = None,
     helmholtz: bool = True,
+    neighbours: int | None = None,
 ) -> DataFrame:
     """Gridded slowness of every source and period, with rejection codes of both families.
 
     Filter, distances, cycle correction, gridding, stencils and cascades for all sources at once; only the cycle
-    correction and the dense solves leave the JVM. Sources with too few points appear with code 8 in every cell.
+    correction and the solves leave the JVM. Sources with too few points appear with code 8 in every cell.
     """
     settle(measurements.sparkSession)
     d = M.valid_measurements(measurements, min_snr)
@@ -315,8 +385,8 @@ def event_fields(
     where = d.select("period_s", "source", "src_lon", "src_lat").distinct()
     fixed = correct_cycle_skips(d, **(cycle_skips or {})).filter("valid").drop("valid", "residual")
     points = cut(fixed.join(where, ["period_s", "source"]))
-    field = cut(grid_travel_times(points, grid))
-    xy = F.broadcast(grid.select("i_lat", "i_lon", "lat", "lon", "x_km", "y_km"))
+    field = cut(grid_travel_times(points, grid, neighbours=neighbours))
+    xy = bounded(grid.select("i_lat", "i_lon", "lat", "lon", "x_km", "y_km"))
     t = field.join(xy, ["i_lat", "i_lon"])
     t = G.laplacian(G.gradient(G.gradient(t, "lon", out="east"), "lat", out="north"))
     t = G.adjacent_to_null(t).withColumns({"slowness": F.hypot("north", "east"), "angle": wrap180(F.degrees(F.atan2("east", "north")))}).withColumn("velocity", F.when(F.col("slowness") > 0, 1 / F.col("slowness")))
@@ -324,7 +394,7 @@ def event_fields(
     box = grid.agg(F.min("lon") + F.max("lon"), F.min("lat") + F.max("lat")).first()
     cover = G.station_coverage(grid, points, (box[0] / 2, box[1] / 2), **(coverage or {}))
     t = M.boundary_cells(t.join(cover, ["period_s", "source", "i_lat", "i_lon"]), n_lat, n_lon, boundary)
-    every = where.crossJoin(F.broadcast(grid.select("i_lat", "i_lon", "lat", "lon"))).withColumn("g", geodesic(F.col("src_lon"), F.col("src_lat"), F.col("lon"), F.col("lat")))
+    every = with_geodesic(where.crossJoin(bounded(grid.select("i_lat", "i_lon", "lat", "lon"))), "src_lon", "src_lat", "lon", "lat")
     every = every.select("period_s", "source", "i_lat", "i_lon", F.col("g.distance_km").alias("source_km"), F.col("g.azimuth").alias("azimuth"))
     t = every.join(t.drop("lat", "lon", "x_km", "y_km"), ["period_s", "source", "i_lat", "i_lon"], "left")
     reason = M.first_reason(
@@ -342,7 +412,7 @@ def event_fields(
     t = t.withColumn("reason", reason).withColumn("deflection", wrap180(F.col("angle") - F.col("azimuth")))
     if not helmholtz:
         return t
-    amp = grid_travel_times(d.filter("amp > 0"), grid, "amp", source_at_zero=False).select("period_s", "source", "i_lat", "i_lon", F.col("value").alias("amplitude"), F.col("other").alias("amplitude_other"))
+    amp = grid_travel_times(d.filter("amp > 0"), grid, "amp", source_at_zero=False, neighbours=neighbours).select("period_s", "source", "i_lat", "i_lon", F.col("value").alias("amplitude"), F.col("other").alias("amplitude_other"))
     a = G.laplacian(amp.join(xy, ["i_lat", "i_lon"]).drop("lat", "lon"), "amplitude", "amplitude_laplacian").drop("x_km", "y_km")
     t = t.join(a, ["period_s", "source", "i_lat", "i_lon"], "left")
     t = t.withColumn("correction", helmholtz_correction(F.col("amplitude"), F.col("amplitude_laplacian"), F.col("period_s")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite, geodesic
+from ..functions.scalars import finite, with_geodesic
 
 # Rejection codes of the two families.
 REASONS = {"unstable": 1, "coverage": 2, "velocity": 3, "adjacent": 4, "near_source": 5, "curvature": 6, "boundary": 7, "interpolation": 8}
@@ -43,8 +43,8 @@ def helmholtz_reason(eikonal: Column, amplitude: Column, correction: Column, slo
 
 def near_source(cells: DataFrame, reference_velocity: float = 3.0, wavelengths: float = 1.0) -> DataFrame:
     """Cells with ``near``: closer to the source than so many wavelengths. Needs lon, lat, src_lon, src_lat, period_s."""
-    d = geodesic(F.col("src_lon"), F.col("src_lat"), F.col("lon"), F.col("lat"))["distance_km"]
-    return cells.withColumn("near", d < wavelengths * reference_velocity * F.col("period_s"))
+    d = with_geodesic(cells, "src_lon", "src_lat", "lon", "lat", "__g")
+    return d.withColumn("near", F.col("__g.distance_km") < wavelengths * reference_velocity * F.col("period_s")).drop("__g")
 
 
 def boundary_cells(cells: DataFrame, n_lat: int, n_lon: int, n: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import RHO_SCALINGS, VP_SCALINGS
+from ..session import bounded
 from .grid import gradient
 
 
@@ -37,7 +38,7 @@ def layer_at_depths(layers: DataFrame, depths: DataFrame) -> DataFrame:
 def resolve_parameters(segments: DataFrame, draws: DataFrame, column: str = "v_top", name: str = "v_top_name") -> DataFrame:
     """Segments of every draw: a named parameter takes the draw's value, a literal stays. ``segments`` is one model's small table; ``draws`` is long (station, chain, step, parameter, value)."""
     key = ["station", "chain", "step"]
-    every = draws.select(*key).distinct().crossJoin(F.broadcast(segments))
+    every = draws.select(*key).distinct().crossJoin(bounded(segments))
     values = draws.select(*key, F.col("parameter").alias(name), "value")
     return every.join(values, [*key, name], "left").withColumn(column, F.coalesce("value", column)).drop("value")
 
@@ -50,7 +51,13 @@ def unknown_parameters(segments: DataFrame, draws: DataFrame, name: str = "v_top
 
 def depth_axis(spark: SparkSession, dz: float, zmax: float) -> DataFrame:
     """Depths from 0 to zmax, the end included within half a step."""
-    return spark.range(int((zmax + dz / 2) / dz) + 1).select((F.col("id") * dz).alias("depth"))
+    return depth_axes(spark.range(1).select(F.lit(zmax).alias("zmax")), dz, ()).select("depth")
+
+
+def depth_axes(ends: DataFrame, dz: float, keys: tuple[str, ...] = ("model_id",)) -> DataFrame:
+    """(keys, depth): the depth axis of every row of ``ends`` (keys, zmax)."""
+    last = F.floor((F.col("zmax") + dz / 2) / dz).cast("int")
+    return ends.select(*keys, F.explode(F.sequence(F.lit(0), last)).alias("j")).select(*keys, (F.col("j") * dz).alias("depth"))
 
 
 def profile_checks(profile: DataFrame, monotonic_tol: float = 0.0, max_gradient: float | None = None, bounds: tuple[float, float] | None = None, depth_range: tuple[float, float] | None = None) -> DataFrame:
@@ -127,7 +134,7 @@ def segments_from_samples(samples: DataFrame) -> DataFrame:
 
 def parameter_prior(draws: DataFrame, bounds: DataFrame) -> DataFrame:
     """(station, chain, step, log_prior): 0 inside the closed bounds of every parameter, else -Infinity. ``bounds`` lists each parameter once."""
-    d = draws.join(F.broadcast(bounds), "parameter", "left")
+    d = draws.join(bounded(bounds), "parameter", "left")
     inside = F.bool_and(F.coalesce(F.col("value").between(F.col("low"), F.col("high")), F.lit(False)))
     return d.groupBy("station", "chain", "step").agg(F.when(inside, 0.0).otherwise(float("-inf")).alias("log_prior"))
 
@@ -158,7 +165,7 @@ def basis_table(spark: SparkSession, n: int, degree: int, depths: list[float], s
 
 def spline_profile(coefficients: DataFrame, basis: DataFrame) -> DataFrame:
     """(model_id, depth, vs): basis times coefficients (model_id, j, value)."""
-    return coefficients.join(F.broadcast(basis), "j").groupBy("model_id", "depth").agg(F.sum(F.col("value") * F.col("b")).alias("vs"))
+    return coefficients.join(bounded(basis), "j").groupBy("model_id", "depth").agg(F.sum(F.col("value") * F.col("b")).alias("vs"))
 
 
 def fit_spline_coefficients(samples: DataFrame, basis: DataFrame, smoothing: float = 0.0) -> DataFrame:
@@ -167,8 +174,8 @@ def fit_spline_coefficients(samples: DataFrame, basis: DataFrame, smoothing: flo
     The normal equations are sums over all samples; only the small system of each model is solved in a grouped kernel.
     """
     n = basis.agg(F.max("j")).first()[0] + 1
-    d = samples.join(F.broadcast(basis), "depth")
-    i = F.broadcast(basis.select(F.col("j").alias("i"), "depth", F.col("b").alias("bi")))
+    d = samples.join(bounded(basis), "depth")
+    i = bounded(basis.select(F.col("j").alias("i"), "depth", F.col("b").alias("bi")))
     normal = d.join(i, "depth").groupBy("model_id", "i", "j").agg(F.sum(F.col("weight") * F.col("bi") * F.col("b")).alias("a"))
     right = d.groupBy("model_id", "j").agg(F.sum(F.col("weight") * F.col("b") * F.col("vs")).alias("a")).select("model_id", F.lit(-1).alias("i"), "j", "a")
 

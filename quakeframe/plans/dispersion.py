@@ -65,7 +65,7 @@ _W8 = f"""WITH RECURSIVE p AS (SELECT curve, period, velocity AS u, amplitude /
 f AS (SELECT curve, k, period, o, u, o * d / (o * d / u - (ph + round_even((o * d / u - o / c0 * d - ph) / (2 * pi()), 0) * 2 * pi())) AS c FROM p WHERE k = 1
 UNION ALL SELECT p.curve, p.k, p.period, p.o, p.u, p.o * d / (p.o * d / p.u - ph + round_even((ph - (p.o * d / p.u - (f.o / f.c + (p.o - f.o) * (1 / p.u + 1 / f.u) / 2) * d)) / (2 * pi()), 0) * 2 * pi()) FROM f JOIN p ON p.curve = f.curve AND p.k = f.k + 1)
 SELECT curve, period, round(c, 6) AS phase_velocity FROM f"""
-C.add("w8_unwrap_phase", "curves ref_curve", _w8, None)
+C.add("w8_unwrap_phase", "curves ref_curve", _w8, _W8)
 C.add("o1_strided_top_k", "curves", lambda c: K.strided_top_k(c, ["curve"], ["amplitude", "period"], 4, 3).select("curve", "period"), "SELECT curve, period FROM (SELECT *, row_number() OVER (PARTITION BY curve ORDER BY amplitude, period) AS k FROM curves) WHERE (k - 1) % 4 = 0 AND k <= 12")
 C.add("o2_top_candidate", "curves", lambda c: _rounded(K.top_candidate_with_gap(c, ["curve"], ["velocity", "period"], "velocity", ("period",))), "SELECT curve, max(CASE WHEN k = 1 THEN period END) AS period, round(max(CASE WHEN k = 1 THEN velocity END), 6) AS velocity, round(max(CASE WHEN k = 2 THEN velocity END) - max(CASE WHEN k = 1 THEN velocity END), 6) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY curve ORDER BY velocity, period) AS k FROM curves) GROUP BY curve")
 C.add("o3_sort_curve", "curves", lambda c: _rounded(K.sort_curve(c)), "SELECT curve, period, round(velocity, 6) AS velocity, round(amplitude, 6) AS amplitude FROM curves ORDER BY curve, period")
@@ -75,11 +75,11 @@ C.add(
     lambda c: _rounded(K.branch_qc(c.select("curve", F.col("period").alias("target_period"), (F.col("period") * (1 + F.col("amplitude") / 200)).alias("instant_period"), "velocity", "amplitude", F.lit(100).alias("initial_count")), 0.2, 0.6)),
     "SELECT curve, 100 AS initial_count, count(*) AS retained_count, count(*) AS valid_points, round(median(period * amplitude / 200), 6) AS period_abs_median, round(median(amplitude / 200), 6) AS period_rel_median, round(max(amplitude / 200), 6) AS period_rel_max, round(min(velocity), 6) AS velocity_min, round(max(velocity), 6) AS velocity_max, max(amplitude) AS amplitude_max, count(*) / 100 AS retained_fraction, max(period * (1 + amplitude / 200) - period) IS NOT NULL AND max((period * (1 + amplitude / 200) - period) / period) > 0.2 AS warn_period, count(*) / 100 < 0.6 AS warn_short FROM curves GROUP BY curve",
 )
-_J8A = "SELECT *, distance / (distance / velocity + k * period) AS c FROM (SELECT *, 100.0::DOUBLE AS distance, unnest(range(-2, 3)) AS k FROM curves WHERE curve < 20)"
+_J8A = "SELECT *, distance / (distance / velocity + k * period) AS c FROM (SELECT *, 100.0::DOUBLE AS distance, unnest(range(-2, 3)) AS k FROM curves)"
 C.add(
     "j8_phase_candidates",
     "curves",
-    lambda c: _rounded(K.phase_candidates(c.filter("curve < 20").select("curve", "period", F.col("velocity").alias("phase_velocity"), "amplitude", F.lit(100.0).alias("distance")), 2, (2.0, 6.0, 0.1))),
+    lambda c: _rounded(K.phase_candidates(c.select("curve", "period", F.col("velocity").alias("phase_velocity"), "amplitude", F.lit(100.0).alias("distance")), 2, (2.0, 6.0, 0.1))),
     f"WITH a AS (SELECT * FROM ({_J8A}) WHERE c BETWEEN 2 AND 6), g AS (SELECT curve, period, 2 + i * 0.1::DOUBLE AS velocity, sum(amplitude * exp(-0.5 * pow((2 + i * 0.1::DOUBLE - c) / 0.15, 2))) AS x FROM a CROSS JOIN range(41) r(i) GROUP BY curve, period, i) SELECT curve, period, round(velocity, 6) AS velocity, round(x / CASE WHEN max(x) OVER w = 0 THEN 1 ELSE max(x) OVER w END, 6) AS amplitude FROM g WINDOW w AS (PARTITION BY curve, period)",
 )
 
@@ -93,13 +93,13 @@ C.add("j7_energy_map", "samples", _j7, "WITH c AS (SELECT trace_id, 1 + j * 0.25
 
 
 def _k4(p):
-    d = p.filter("period_s = 5 AND receiver < 'R12'").select("source", "receiver", (F.col("snr") * 3 + 2).alias("max_period"))
+    d = p.groupBy("source").agg((F.max("snr") * 3 + 2).alias("max_period"))
     out = None
     for m, kw in (("list", {"periods": (3.0, 5.0, 8.0, 13.0, 21.0)}), ("geomspace", {"dfreq": 0.3}), ("uniform", {"step": 2.0}), ("uniform_count", {"count": 5})):
-        e = K.period_grid(d, m.split("_")[0], 2.0, **kw).select("source", "receiver", F.lit(m).alias("mode"), "target_period")
+        e = K.period_grid(d, m.split("_")[0], 2.0, **kw).select("source", F.lit(m).alias("mode"), "target_period")
         out = e if out is None else out.unionByName(e)
     return _rounded(out, 3)
 
 
-_K4 = "WITH d AS (SELECT source, receiver, snr * 3 + 2 AS hi FROM paths WHERE period_s = 5 AND receiver < 'R12' AND snr > 0), g AS (SELECT *, greatest(3, floor(ln(hi / 2) / 0.3)) AS n FROM d) SELECT source, receiver, 'list' AS mode, x AS target_period FROM d, (SELECT unnest([3.0::DOUBLE, 5, 8, 13, 21]) AS x) WHERE x BETWEEN 2 AND hi UNION ALL SELECT source, receiver, 'geomspace', round(2 * pow(hi / 2, i / (n - 1)), 3) FROM g, range(50) r(i) WHERE i < n UNION ALL SELECT source, receiver, 'uniform', x FROM (SELECT source, receiver, round(2 + 2.0::DOUBLE * i, 3) AS x, hi FROM d, range(100) r(i)) WHERE x <= hi + 1e-9 UNION ALL SELECT source, receiver, 'uniform', round(hi, 3) FROM d WHERE 2 + 2 * floor((hi - 2) / 2 + 1e-9) < hi UNION ALL SELECT source, receiver, 'uniform_count', round(2 + i * (hi - 2) / 4, 3) FROM d, range(5) r(i)"
+_K4 = "WITH d AS (SELECT source, max(snr) * 3 + 2 AS hi FROM paths GROUP BY source), g AS (SELECT *, greatest(3, floor(ln(hi / 2) / 0.3)) AS n FROM d) SELECT source, 'list' AS mode, x AS target_period FROM d, (SELECT unnest([3.0::DOUBLE, 5, 8, 13, 21]) AS x) WHERE x BETWEEN 2 AND hi UNION ALL SELECT source, 'geomspace', round(2 * pow(hi / 2, i / (n - 1)), 3) FROM g, range(50) r(i) WHERE i < n UNION ALL SELECT source, 'uniform', x FROM (SELECT source, round(2 + 2.0::DOUBLE * i, 3) AS x, hi FROM d, range(100) r(i)) WHERE x <= hi + 1e-9 UNION ALL SELECT source, 'uniform', round(hi, 3) FROM d WHERE 2 + 2 * floor((hi - 2) / 2 + 1e-9) < hi UNION ALL SELECT source, 'uniform_count', round(2 + i * (hi - 2) / 4, 3) FROM d, range(5) r(i)"
 C.add("k4_period_grid", "paths", _k4, _K4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import fits as P
@@ -30,11 +31,11 @@ C.add("j15_layer_at_depths", "layers segments", lambda x, s: _rounded(M.layer_at
 
 def _j16(s, d):
     one = s.filter("model_id = 0").withColumn("v_top_name", F.when(F.col("seg") > 0, F.concat(F.lit("vs"), F.col("seg"))))
-    return _rounded(M.resolve_parameters(one, d.filter("step < 3")).select("station", "chain", "step", "seg", "v_top"))
+    return _rounded(M.resolve_parameters(one, d).select("station", "chain", "step", "seg", "v_top"))
 
 
-C.add("j16_resolve_parameters", "segments long_draws", _j16, "SELECT station, chain, step, seg, round(CASE WHEN seg = 0 THEN v_top ELSE value END, 6) AS v_top FROM (SELECT DISTINCT station, chain, step FROM long_draws WHERE step < 3) k CROSS JOIN (SELECT * FROM segments WHERE model_id = 0) s LEFT JOIN long_draws l USING (station, chain, step) WHERE l.parameter = 'vs' || greatest(seg, 1)")
-C.add("w22_depth_axis", "segments", lambda s: _rounded(M.depth_axis(s.sparkSession, 0.4, 15.0).join(s.agg(F.count("*").alias("n")))), "SELECT round(i * 0.4::DOUBLE, 6) AS depth, (SELECT count(*) FROM segments) AS n FROM range(38) r(i)")
+C.add("j16_resolve_parameters", "segments long_draws", _j16, "SELECT station, chain, step, seg, round(CASE WHEN seg = 0 THEN v_top ELSE value END, 6) AS v_top FROM (SELECT DISTINCT station, chain, step FROM long_draws) k CROSS JOIN (SELECT * FROM segments WHERE model_id = 0) s LEFT JOIN long_draws l USING (station, chain, step) WHERE l.parameter = 'vs' || greatest(seg, 1)")
+C.add("w22_depth_axis", "segments", lambda s: _rounded(M.depth_axes(s.groupBy("model_id").agg((F.max("bottom") + F.max("v_bottom")).alias("zmax")), 0.4)), "SELECT model_id, round(unnest(range(CAST(floor((zmax + 0.2) / 0.4::DOUBLE) AS BIGINT) + 1)) * 0.4::DOUBLE, 6) AS depth FROM (SELECT model_id, max(bottom) + max(v_bottom) AS zmax FROM segments GROUP BY model_id)")
 C.add(
     "w12_profile_checks",
     "profile",
@@ -52,12 +53,12 @@ def _w13(x):
 C.add("w13_evaluate_constraints", "layers", _w13, "SELECT model_id, concat_ws(',', CASE WHEN bool_or(NOT (vs > 0 AND p > 0 AND rho > 0)) THEN 'positive' END, CASE WHEN bool_or(NOT p - vs > 0.533) THEN 'vp_margin' END, CASE WHEN bool_or(NOT p / vs BETWEEN 1.45 AND 2.5) THEN 'vp_vs' END) AS failed, NOT bool_or(NOT (vs > 0 AND p > 0 AND rho > 0) OR NOT p - vs > 0.533 OR NOT p / vs BETWEEN 1.45 AND 2.5) AS valid FROM (SELECT *, vp - model_id % 3 * 0.8::DOUBLE AS p FROM layers) GROUP BY model_id")
 
 
-def _curved(p):
-    return p.withColumn("vs", F.col("vs") + F.lit(0.01) * F.col("depth") * F.col("depth"))
+def _squared(p):
+    return p.withColumn("vs", F.col("vs") * F.col("vs"))
 
 
-# A quadratic has the second derivative 0.02 everywhere, at the one-sided ends too.
-C.add("w14_curvature_prior", "profile", lambda p: _rounded(M.curvature_prior(_curved(p), 0.1)), "SELECT DISTINCT model_id, 0.02::DOUBLE AS rms, -0.02::DOUBLE AS log_prior FROM profile")
+# The square of a line has twice its squared slope as second derivative, at the one-sided ends too.
+C.add("w14_curvature_prior", "profile segments", lambda p, _: _rounded(M.curvature_prior(_squared(p), 0.1)), "SELECT model_id, round(r, 6) AS rms, round(-0.5 * (r / 0.1) * (r / 0.1), 6) AS log_prior FROM (SELECT model_id, sqrt(sum((bottom - top) * pow(2 * s * s, 2)) / sum(bottom - top)) AS r FROM (SELECT *, CASE WHEN profile = 'constant' THEN 0 ELSE (v_bottom - v_top) / (bottom - top) END AS s FROM segments) GROUP BY model_id)")
 _LAYERS = f"""WITH s AS (SELECT *, CAST(ceil((bottom - top) / 1.5 - 1e-9) AS INT) AS n FROM segments), e AS (SELECT *, unnest(range(n)) AS j FROM s), f AS (SELECT *, (bottom - top) / n AS h, top + (j + 0.5) * (bottom - top) / n AS z FROM e), g AS (SELECT model_id, seg, j, h AS thickness, {_VALUE.format(d='z')} AS vs FROM f UNION ALL SELECT model_id, 4, 0, 0, v_bottom FROM segments WHERE seg = 3),
 v AS (SELECT *, CASE WHEN vs BETWEEN 0 AND 4.5 THEN 0.9409 + 2.0947 * vs - 0.8206 * vs**2 + 0.2683 * vs**3 - 0.0251 * vs**4 END AS vp FROM g)
 SELECT model_id, CAST(row_number() OVER (PARTITION BY model_id ORDER BY seg, j) - 1 AS INT) AS layer, round(thickness, 9) AS thickness, round(vs, 9) AS vs, round(vp, 9) AS vp, round(1.6612 * vp - 0.4721 * vp**2 + 0.0671 * vp**3 - 0.0043 * vp**4 + 0.000106 * vp**5, 9) AS rho FROM v"""
@@ -73,12 +74,16 @@ def _bounds(d):
 C.add("p17_parameter_prior", "long_draws", lambda d: M.parameter_prior(d, _bounds(d)).select("station", "chain", "step", (F.col("log_prior") == 0).alias("valid")), "SELECT station, chain, step, bool_and(CASE parameter WHEN 'vs1' THEN value BETWEEN 1 AND 45 WHEN 'vs2' THEN value BETWEEN 0 AND 0.09 ELSE value BETWEEN 0 AND 0.07 END) AS valid FROM long_draws GROUP BY station, chain, step")
 
 
+_KNOTS = [0.0, 1.0, 3.0, 7.0, 15.0]
+
+
 def _j14(s):
-    basis = M.basis_table(s.sparkSession, 6, 3, [0.0, 1.0, 3.0, 7.0, 15.0], 1.2)
+    basis = M.basis_table(s.sparkSession, 6, 3, _KNOTS, 1.2)
     return M.spline_profile(s.select("model_id", F.col("seg").cast("int").alias("j"), F.col("v_top").alias("value")).unionByName(s.filter("seg > 1").select("model_id", (F.col("seg") + 2).cast("int").alias("j"), F.col("v_bottom").alias("value"))), basis)
 
 
-C.add("j14_spline_profile", "segments", lambda s: _rounded(_j14(s)))
+_BASIS = ", ".join(f"({j}, {d!r}::DOUBLE, {float(b)!r}::DOUBLE)" for d, row in zip(_KNOTS, M.bspline_basis(6, 3, np.array(_KNOTS) / 15.0, 1.2), strict=True) for j, b in enumerate(row))
+C.add("j14_spline_profile", "segments", lambda s: _rounded(_j14(s)), f"SELECT model_id, depth, round(sum(value * b), 6) AS vs FROM (SELECT model_id, seg AS j, v_top AS value FROM segments UNION ALL SELECT model_id, seg + 2, v_bottom FROM segments WHERE seg > 1) c JOIN (VALUES {_BASIS}) t(j, depth, b) USING (j) GROUP BY model_id, depth")
 
 
 def _a32(p):

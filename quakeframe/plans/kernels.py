@@ -8,6 +8,7 @@ from ..functions.scalars import geodesic
 from ..operators import grid as G
 from ..operators import kernels as K
 from ..operators import traces as T
+from ..session import cut
 from .base import Catalog
 
 C = Catalog()
@@ -24,17 +25,42 @@ def _picks(s):
 
 
 C.add("k1_ftan", "samples", lambda s: _rounded(K.ftan(s, PERIODS)))
-C.add("w11_pick_peaks", "samples", lambda s: _rounded(_picks(s)))
-C.add("k2_phase_matched_filter", "samples", lambda s: _rounded(K.phase_matched_filter(s, _picks(s).select("trace_id", "period", "group_velocity", F.lit(40.0).alias("distance")))))
+
+
+def _w11(s):
+    """Peaks of a bank whose envelope is the samples' size in steps of a quarter (so there are plateaus), with the samples as phase."""
+    bank = s.select("trace_id", F.lit(2.0).alias("period"), "i", (F.col("t") + 6).alias("t"), (F.floor(F.abs("v") * 40) / 4).alias("envelope"), F.col("v").alias("phase"))
+    return _rounded(T.pick_peaks(bank, s.select("trace_id").distinct().withColumn("distance", F.lit(40.0))))
+
+
+_UNWRAP = "{x} - 2 * pi() * round_even(({x} - {base} - 0.5 * pi()) / (2 * pi()), 0)"
+C.add(
+    "w11_pick_peaks",
+    "samples",
+    _w11,
+    f"""WITH b AS (SELECT trace_id, i, t + 6 AS t, floor(abs(v) * 40) / 4 AS e, v AS ph FROM samples), n AS (SELECT *, lag(e) OVER w AS l, lead(e) OVER w AS r, lag(ph) OVER w AS pl, lead(ph) OVER w AS pr FROM b WINDOW w AS (PARTITION BY trace_id ORDER BY i)),
+u AS (SELECT *, sum(CASE WHEN e = l THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id ORDER BY i) AS run FROM n), q AS (SELECT trace_id, run, min(i) AS i0, max(i) AS i1, any_value(e) AS e FROM u GROUP BY trace_id, run), p AS (SELECT trace_id, (i0 + i1) // 2 AS i FROM q QUALIFY lag(e) OVER (PARTITION BY trace_id ORDER BY run) < e AND lead(e) OVER (PARTITION BY trace_id ORDER BY run) < e),
+k AS (SELECT n.*, CASE WHEN p.i IS NOT NULL THEN 2 WHEN t BETWEEN 40 / 5.0 AND 40 / 2.0 THEN 1 ELSE 0 END AS rk FROM n LEFT JOIN p ON p.trace_id = n.trace_id AND p.i = n.i WHERE l IS NOT NULL AND r IS NOT NULL), x AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY rk DESC, e DESC, i) = 1),
+y AS (SELECT *, CASE WHEN l + r - 2 * e = 0 THEN 0 ELSE (l - r) / (l + r - 2 * e) / 2 END AS o, {_UNWRAP.format(x='ph', base='pl')} AS pm FROM x), z AS (SELECT *, {_UNWRAP.format(x='pr', base='pm')} AS prr FROM y), d AS (SELECT *, t + o * 0.5 AS time, o * (pl + prr - 2 * pm) + (prr - pl) / 2 AS dp FROM z)
+SELECT trace_id, 2.0::DOUBLE AS period, i, round(time, 6) AS time, round(40 / time, 6) AS group_velocity, round(e - (l - r) * o / 4, 6) AS amplitude, CASE WHEN dp <> 0 THEN round(2 * pi() * 0.5 / dp, 6) END AS instant_period FROM d""",
+)
+
+
+def _branches(s):
+    return _picks(s).select("trace_id", F.col("instant_period").alias("period"), "group_velocity", F.lit(40.0).alias("distance"))
+
+
+C.add("k2_phase_matched_filter", "samples", lambda s: _rounded(K.phase_matched_filter(s, _branches(s))))
+C.add("k2_second_pass", "samples", lambda s: _rounded(K.second_pass(s, cut(_picks(s)), s.select("trace_id").distinct().withColumn("distance", F.lit(40.0)), 1.0, 10.0, 5)))
 C.add("w7_repair_jumps", "curves", lambda c: _rounded(K.repair_jumps(c.select("curve", "period", "velocity", F.col("amplitude").alias("score")).union(c.select("curve", "period", F.col("velocity") + 0.03, F.col("amplitude") / 2)), 50.0, 4)))
 
 
-def _points(p, few="R12"):
+def _points(p):
     d = geodesic(F.col("src_lon"), F.col("src_lat"), F.col("rcv_lon"), F.col("rcv_lat"))["distance_km"]
     return p.filter("valid").withColumn("distance_km", d).withColumn("travel_time", F.col("distance_km") / F.col("c"))
 
 
-C.add("w10_correct_cycle_skips", "paths", lambda p: _rounded(K.correct_cycle_skips(_points(p), 1e9)))
+C.add("w10_correct_cycle_skips", "paths", lambda p: _rounded(K.correct_cycle_skips(_points(p))))
 
 
 def _grid(p):
@@ -42,4 +68,5 @@ def _grid(p):
 
 
 C.add("k3_grid_travel_times", "paths", lambda p: _rounded(K.grid_travel_times(_points(p), _grid(p)), 3))
-C.add("k5_event_fields", "paths", lambda p: _rounded(K.event_fields(p, _grid(p), coverage={"mode": "either", "nearby_km": 150.0, "quadrant_km": 250.0}, cycle_skips={"max_residual": 1e9}, max_laplacian=1.0).select("period_s", "source", "i_lat", "i_lon", "slowness", F.col("reason").cast("int").alias("reason"), F.col("helmholtz_reason").cast("int").alias("helmholtz_reason")), 3))
+C.add("k3_local_travel_times", "paths", lambda p: _rounded(K.grid_travel_times(_points(p), _grid(p), neighbours=12, tiles=2), 3))
+C.add("k5_event_fields", "paths", lambda p: _rounded(K.event_fields(p, _grid(p), coverage={"mode": "either", "nearby_km": 150.0, "quadrant_km": 250.0}, cycle_skips={"max_residual": 20.0}, max_laplacian=1.0).select("period_s", "source", "i_lat", "i_lon", "slowness", F.col("reason").cast("int").alias("reason"), F.col("helmholtz_reason").cast("int").alias("helmholtz_reason")), 3))

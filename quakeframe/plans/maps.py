@@ -78,20 +78,29 @@ def _grid(df):
     return G.grid_axes(df.sparkSession, LON, LAT)
 
 
-_DX = vincenty_sql("(SELECT i AS i_lat, 40 + i * 0.5::DOUBLE AS lat FROM range(21) t(i))", "i_lat, lat", "-10.0::DOUBLE", "lat", "-9.5::DOUBLE", "lat")
-_DY = vincenty_sql("(SELECT i AS i_lat, 40 + i * 0.5::DOUBLE AS lat FROM range(21) t(i))", "i_lat, lat", "0.0::DOUBLE", "lat - 0.5", "0.0::DOUBLE", "lat")
+
+
+def _boxes(p):
+    """One map box a period: the whole degrees around its sources and receivers."""
+    ends = {f"{x}{i}": f(g(F.min(f"src_{x}") if i == 0 else F.max(f"src_{x}"), F.min(f"rcv_{x}") if i == 0 else F.max(f"rcv_{x}"))) for x in ("lon", "lat") for i, f, g in ((0, F.floor, F.least), (1, F.ceil, F.greatest))}
+    return p.groupBy("period_s").agg(*[v.cast("double").alias(k) for k, v in ends.items()])
+
+
+_BOX = "SELECT period_s, floor(least(min(src_lon), min(rcv_lon))) AS lon0, ceil(greatest(max(src_lon), max(rcv_lon))) AS lon1, floor(least(min(src_lat), min(rcv_lat))) AS lat0, ceil(greatest(max(src_lat), max(rcv_lat))) AS lat1 FROM paths GROUP BY period_s"
+_ROWS = f"(SELECT *, lat0 + i_lat * 0.5::DOUBLE AS lat, (lon0 + lon1) / 2 AS middle FROM (SELECT *, CAST(unnest(range(CAST(round((lat1 - lat0) / 0.5) AS BIGINT) + 1)) AS INT) AS i_lat FROM ({_BOX})))"
+_DX = vincenty_sql(_ROWS, "period_s, i_lat, lat, lon0, lon1", "lon0", "lat", "lon0 + 0.5", "lat")
+_DY = vincenty_sql(_ROWS, "period_s, i_lat", "middle", "lat - 0.5", "middle", "lat")
 C.add(
     "w4_grid_axes",
-    "stations",
-    lambda s: _rounded(_grid(s).join(s.agg(F.count("*").alias("n_stations")))),
-    f"SELECT CAST(x.i_lat AS INT) AS i_lat, CAST(j AS INT) AS i_lon, x.lat AS lat, -10 + j * 0.5::DOUBLE AS lon, round(j * x.distance_km, 6) AS x_km, round(y.y, 6) AS y_km, (SELECT count(*) FROM stations) AS n_stations FROM ({_DX}) x JOIN (SELECT i_lat, sum(CASE WHEN i_lat = 0 THEN 0 ELSE distance_km END) OVER (ORDER BY i_lat) AS y FROM ({_DY})) y ON x.i_lat = y.i_lat CROSS JOIN range(41) t(j)",
+    "paths",
+    lambda p: _rounded(G.grids_of(_boxes(p), 0.5, 0.5, ("period_s",))),
+    f"SELECT x.period_s, x.i_lat, CAST(j AS INT) AS i_lon, x.lat AS lat, x.lon0 + j * 0.5::DOUBLE AS lon, round(j * x.distance_km, 6) AS x_km, round(y.y, 6) AS y_km FROM (SELECT *, unnest(range(CAST(round((lon1 - lon0) / 0.5) AS BIGINT) + 1)) AS j FROM ({_DX})) x JOIN (SELECT period_s, i_lat, sum(CASE WHEN i_lat = 0 THEN 0 ELSE distance_km END) OVER (PARTITION BY period_s ORDER BY i_lat) AS y FROM ({_DY})) y USING (period_s, i_lat)",
 )
 _XY = lambda lon, lat: (f"radians({lon}) * cos(radians(45)) * {S.EARTH_RADIUS_KM}", f"radians({lat} - 45) * {S.EARTH_RADIUS_KM}")
 
 
 def _j3(paths, stations):
-    r = paths.filter("receiver < 'R1300'")
-    return G.station_coverage(_grid(stations), r, (0.0, 45.0), "either", 60.0, 120.0, 3)
+    return G.station_coverage(_grid(stations), paths, (0.0, 45.0), "either", 60.0, 120.0, 3)
 
 
 _GX, _GY = _XY("lon", "lat")
@@ -100,7 +109,7 @@ C.add(
     "j3_station_coverage",
     "paths stations",
     _j3,
-    f"WITH g AS ({_GRID}), gg AS (SELECT i_lat, i_lon, {_GX} AS gx, {_GY} AS gy FROM g), r AS (SELECT DISTINCT period_s, source, {_RX} AS rx, {_RY} AS ry FROM paths WHERE receiver < 'R1300'), k AS (SELECT DISTINCT period_s, source FROM r), h AS (SELECT period_s, source, i_lat, i_lon, bool_or(d <= 60) AS nearby, count(DISTINCT CASE WHEN d <= 120 THEN (rx - gx >= 0)::INT * 2 + (ry - gy >= 0)::INT END) AS q FROM (SELECT *, sqrt((rx - gx) * (rx - gx) + (ry - gy) * (ry - gy)) AS d FROM r CROSS JOIN gg) WHERE d <= 120 GROUP BY ALL) SELECT period_s, source, i_lat, i_lon, coalesce(nearby, false) OR coalesce(q, 0) >= 3 AS covered FROM k CROSS JOIN gg LEFT JOIN h USING (period_s, source, i_lat, i_lon)",
+    f"WITH g AS ({_GRID}), gg AS (SELECT i_lat, i_lon, {_GX} AS gx, {_GY} AS gy FROM g), r AS (SELECT DISTINCT period_s, source, {_RX} AS rx, {_RY} AS ry FROM paths), k AS (SELECT DISTINCT period_s, source FROM r), h AS (SELECT period_s, source, i_lat, i_lon, bool_or(d <= 60) AS nearby, count(DISTINCT CASE WHEN d <= 120 THEN (rx - gx >= 0)::INT * 2 + (ry - gy >= 0)::INT END) AS q FROM (SELECT *, sqrt((rx - gx) * (rx - gx) + (ry - gy) * (ry - gy)) AS d FROM r CROSS JOIN gg) WHERE d <= 120 GROUP BY ALL) SELECT period_s, source, i_lat, i_lon, coalesce(nearby, false) OR coalesce(q, 0) >= 3 AS covered FROM k CROSS JOIN gg LEFT JOIN h USING (period_s, source, i_lat, i_lon)",
 )
 C.add(
     "j4_cells_by_source",

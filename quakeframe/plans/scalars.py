@@ -40,7 +40,7 @@ def _pairs(paths):
 
 
 def _geo(paths):
-    return _pairs(paths).withColumn("g", S.geodesic(*map(F.col, ("src_lon", "src_lat", "rcv_lon", "rcv_lat"))))
+    return S.with_geodesic(_pairs(paths), "src_lon", "src_lat", "rcv_lon", "rcv_lat")
 
 
 C.add("p1_geodesic", "paths", lambda p: _geo(p).select("source", "receiver", r6("g.distance_km").alias("distance_km"), r6("g.azimuth").alias("azimuth"), r6("g.back_azimuth").alias("back_azimuth")), f"SELECT source, receiver, round(distance_km, 6) AS distance_km, round(azimuth, 6) AS azimuth, round(back_azimuth, 6) AS back_azimuth FROM ({_GEO})")
@@ -89,8 +89,8 @@ C.add("p8_effective_max_period", "hk_results", lambda d: d.select("rf_id", r6(S.
 C.add(
     "p9_physical_pair",
     "ccf",
-    lambda d: d.filter("i = 0").withColumn("branch", F.element_at(F.array(F.lit("positive"), F.lit("negative"), F.lit("stack")), F.col("pair") % 3 + 1)).select("pair", "component", "branch", S.physical_component(F.col("component"), F.col("branch")).alias("physical"), S.physical_pair(F.lit("A"), F.lit("B"), F.col("branch"))["source"].alias("first"), S.physical_branch(F.col("branch")).alias("label"), S.pi_over_4(S.physical_component(F.col("component"), F.col("branch"))).alias("term")),
-    "SELECT pair, component, branch, CASE WHEN branch = 'negative' THEN reverse(component) ELSE component END AS physical, CASE WHEN branch = 'negative' THEN 'B' ELSE 'A' END AS first, CASE WHEN branch = 'negative' THEN 'positive' ELSE branch END AS label, CASE CASE WHEN branch = 'negative' THEN reverse(component) ELSE component END WHEN 'ZZ' THEN -1.0::DOUBLE WHEN 'ZR' THEN 1.0 WHEN 'RZ' THEN -1.0 WHEN 'RR' THEN -1.0 WHEN 'TT' THEN -1.0 END AS term FROM (SELECT *, CASE pair % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'stack' END AS branch FROM ccf WHERE i = 0)",
+    lambda d: d.select("pair", "component").distinct().withColumn("branch", F.element_at(F.array(F.lit("positive"), F.lit("negative"), F.lit("stack")), F.col("pair") % 3 + 1)).select("pair", "component", "branch", S.physical_component(F.col("component"), F.col("branch")).alias("physical"), S.physical_pair(F.lit("A"), F.lit("B"), F.col("branch"))["source"].alias("first"), S.physical_branch(F.col("branch")).alias("label"), S.pi_over_4(S.physical_component(F.col("component"), F.col("branch"))).alias("term")),
+    "SELECT pair, component, branch, CASE WHEN branch = 'negative' THEN reverse(component) ELSE component END AS physical, CASE WHEN branch = 'negative' THEN 'B' ELSE 'A' END AS first, CASE WHEN branch = 'negative' THEN 'positive' ELSE branch END AS label, CASE CASE WHEN branch = 'negative' THEN reverse(component) ELSE component END WHEN 'ZZ' THEN -1.0::DOUBLE WHEN 'ZR' THEN 1.0 WHEN 'RZ' THEN -1.0 WHEN 'RR' THEN -1.0 WHEN 'TT' THEN -1.0 END AS term FROM (SELECT *, CASE pair % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'negative' ELSE 'stack' END AS branch FROM (SELECT DISTINCT pair, component FROM ccf))",
 )
 _VP = "(0.9409 + 2.0947 * vs - 0.8206 * vs**2 + 0.2683 * vs**3 - 0.0251 * vs**4)"
 _RHO = "(1.6612 * vp - 0.4721 * vp**2 + 0.0671 * vp**3 - 0.0043 * vp**4 + 0.000106 * vp**5)"

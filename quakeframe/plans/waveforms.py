@@ -29,8 +29,9 @@ C.add("j1_rotate_components", "ccf", lambda d: _rounded(T.rotate_components(d)),
 
 
 def _j2(paths):
-    pairs = paths.filter("period_s = 5 AND receiver < 'R11'").select(F.concat_ws("_", "source", "receiver").alias("pair"), "src_lon", "src_lat", "rcv_lon", "rcv_lat", F.when(F.col("snr") > 10, F.col("snr")).alias("header_az"), F.when(F.col("snr") > 8, F.col("snr") + 180).alias("header_baz"))
-    over = paths.filter("period_s = 5 AND receiver < 'R11' AND amp > 1.05").select(F.concat_ws("_", "source", "receiver").alias("pair"), F.col("c").alias("azimuth"), F.lit(None).cast("double").alias("back_azimuth"))
+    each = paths.groupBy("source", "receiver", "src_lon", "src_lat", "rcv_lon", "rcv_lat").agg(*[F.max(c).alias(c) for c in ("snr", "amp", "c")])
+    pairs = each.select(F.concat_ws("_", "source", "receiver").alias("pair"), "src_lon", "src_lat", "rcv_lon", "rcv_lat", F.when(F.col("snr") > 10, F.col("snr")).alias("header_az"), F.when(F.col("snr") > 8, F.col("snr") + 180).alias("header_baz"))
+    over = each.filter("amp > 1.05").select(F.concat_ws("_", "source", "receiver").alias("pair"), F.col("c").alias("azimuth"), F.lit(None).cast("double").alias("back_azimuth"))
     return _rounded(T.resolve_azimuths(pairs, over).select("pair", "azimuth", "back_azimuth", "azimuth_source", "back_azimuth_source"))
 
 
@@ -38,7 +39,7 @@ C.add(
     "j2_resolve_azimuths",
     "paths",
     _j2,
-    f"SELECT source || '_' || receiver AS pair, round(CASE WHEN amp > 1.05 THEN c WHEN snr > 10 THEN snr ELSE azimuth END, 6) AS azimuth, round(CASE WHEN snr > 10 THEN snr + 180 ELSE back_azimuth END, 6) AS back_azimuth, CASE WHEN amp > 1.05 THEN 'configured' WHEN snr > 10 THEN 'header' ELSE 'coordinates' END AS azimuth_source, CASE WHEN snr > 10 THEN 'header' ELSE 'coordinates' END AS back_azimuth_source FROM ({vincenty_sql('''(SELECT * FROM paths WHERE period_s = 5 AND receiver < 'R11')''', 'source, receiver, amp, c, snr, src_lon, src_lat, rcv_lon, rcv_lat', 'src_lon', 'src_lat', 'rcv_lon', 'rcv_lat')})",
+    f"SELECT source || '_' || receiver AS pair, round(CASE WHEN amp > 1.05 THEN c WHEN snr > 10 THEN snr ELSE azimuth END, 6) AS azimuth, round(CASE WHEN snr > 10 THEN snr + 180 ELSE back_azimuth END, 6) AS back_azimuth, CASE WHEN amp > 1.05 THEN 'configured' WHEN snr > 10 THEN 'header' ELSE 'coordinates' END AS azimuth_source, CASE WHEN snr > 10 THEN 'header' ELSE 'coordinates' END AS back_azimuth_source FROM ({vincenty_sql('''(SELECT source, receiver, src_lon, src_lat, rcv_lon, rcv_lat, max(snr) AS snr, max(amp) AS amp, max(c) AS c FROM paths GROUP BY ALL)''', 'source, receiver, amp, c, snr, src_lon, src_lat, rcv_lon, rcv_lat', 'src_lon', 'src_lat', 'rcv_lon', 'rcv_lat')})",
 )
 C.add("u1_split_branches", "two_sided", lambda d: _rounded(T.split_branches(d, "both").unionByName(T.split_branches(d, "stack")).drop("one_sided")), "SELECT trace_id, 'positive' AS branch, lag, round(v, 6) AS v FROM two_sided WHERE lag >= 0 UNION ALL SELECT trace_id, 'negative', -lag, round(v, 6) FROM two_sided WHERE lag <= 0 UNION ALL SELECT trace_id, 'stack', abs(lag), round(CASE WHEN lag = 0 THEN max(v) ELSE avg(v) END, 6) FROM two_sided GROUP BY trace_id, abs(lag), lag = 0")
 C.add("u2_symmetrize", "two_sided", lambda d: _rounded(T.symmetrize(d)), "SELECT trace_id, abs(lag) AS lag, round(sum(CASE WHEN lag = 0 THEN 2 * v ELSE v END), 6) AS v FROM two_sided GROUP BY trace_id, abs(lag)")
@@ -60,7 +61,7 @@ _MAHA = "WITH m AS (SELECT station, sum(energy * h) / sum(energy) AS mh, sum(ene
 _KEPT = "sqrt((c * (h - mh) * (h - mh) - 2 * b * (h - mh) * (k - mk) + a * (k - mk) * (k - mk)) / (a * c - b * b)) < 2"
 C.add("a11_mahalanobis_select", "hk_results", lambda d: R.mahalanobis_select(d).select("rf_id", "kept"), _MAHA + f"SELECT rf_id, {_KEPT} AS kept FROM hk_results JOIN m USING (station) JOIN c USING (station)")
 C.add("a12_energy_select", "hk_results", lambda d: R.energy_select(d).select("rf_id", "kept"), "SELECT rf_id, energy >= 0.5 * max(energy) OVER (PARTITION BY station) AS kept FROM hk_results")
-C.add("a13_robust_summary", "hk_results", lambda d: _rounded(R.robust_summary(d.filter("station > 0 OR rf_id < 500"))), "WITH x AS (SELECT * FROM hk_results WHERE station > 0 OR rf_id < 500), m AS (SELECT station, count(*) AS n, avg(h) AS ah, avg(k) AS ak, stddev_pop(h) AS sh, stddev_pop(k) AS sk, median(h) AS mh, median(k) AS mk FROM x GROUP BY station), d AS (SELECT station, median(abs(h - mh)) AS dh, median(abs(k - mk)) AS dk FROM x JOIN m USING (station) GROUP BY station) SELECT station, n, round(CASE WHEN n < 15 THEN ah ELSE mh END, 6) AS h_best, round(CASE WHEN n < 15 THEN sh ELSE dh END, 6) AS h_uncert, round(CASE WHEN n < 15 THEN ak ELSE mk END, 6) AS k_best, round(CASE WHEN n < 15 THEN sk ELSE dk END, 6) AS k_uncert FROM m JOIN d USING (station)")
+C.add("a13_robust_summary", "hk_results", lambda d: _rounded(R.robust_summary(d)), "WITH x AS (SELECT * FROM hk_results), m AS (SELECT station, count(*) AS n, avg(h) AS ah, avg(k) AS ak, stddev_pop(h) AS sh, stddev_pop(k) AS sk, median(h) AS mh, median(k) AS mk FROM x GROUP BY station), d AS (SELECT station, median(abs(h - mh)) AS dh, median(abs(k - mk)) AS dk FROM x JOIN m USING (station) GROUP BY station) SELECT station, n, round(CASE WHEN n < 15 THEN ah ELSE mh END, 6) AS h_best, round(CASE WHEN n < 15 THEN sh ELSE dh END, 6) AS h_uncert, round(CASE WHEN n < 15 THEN ak ELSE mk END, 6) AS k_best, round(CASE WHEN n < 15 THEN sk ELSE dk END, 6) AS k_uncert FROM m JOIN d USING (station)")
 C.add("a17_correlation_select", "samples", lambda s: _rounded(T.correlation_select(s, 0.1)), "WITH d AS (SELECT * FROM samples WHERE t BETWEEN -5 AND 30), m AS (SELECT station, i, avg(v) AS m FROM d GROUP BY station, i) SELECT station, trace_id, round(corr(v, m), 6) AS cc, corr(v, m) >= 0.1 AS kept FROM d JOIN m USING (station, i) GROUP BY station, trace_id")
 C.add("a18_f_test_select", "samples", lambda s: _rounded(T.f_test_select(s), 5))
 C.add("a19_p_amplitude_select", "samples", lambda s: _rounded(T.p_amplitude_select(s)), "SELECT trace_id, t AS time, round(v, 6) AS value, t BETWEEN -2 AND 2 AND v > 0 AS kept FROM samples WHERE t BETWEEN -5 AND 30 QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY abs(v) DESC, t) = 1")
@@ -108,16 +109,23 @@ C.add("j11_event_windows", "catalog records", lambda c, r: T.event_windows(c, r)
 
 
 def _f7(t, s):
-    return T.qc_chain(t, s, {"snr": {"threshold": 3.0}, "slowness": {"low": 0.045, "high": 0.095}, "p_amplitude": {"tmin": -5.0, "tmax": 12.0}, "mad": {}}).groupBy("failed_step").agg(F.count("*").alias("n"))
+    return T.qc_chain(t, s, {"snr": {"threshold": 3.0}, "slowness": {"low": 0.045, "high": 0.095}, "p_amplitude": {"tmin": -5.0, "tmax": 12.0}, "mad": {}, "correlation": {"threshold": 0.1}}).groupBy("failed_step").agg(F.count("*").alias("n"))
 
 
 C.add(
     "f7_qc_chain",
     "traces samples",
     _f7,
-    "WITH a AS (SELECT trace_id, station FROM traces WHERE snr >= 3), b AS (SELECT a.* FROM a JOIN traces USING (trace_id) WHERE slowness BETWEEN 0.045 AND 0.095), p AS (SELECT trace_id, t, v FROM samples WHERE t BETWEEN -5 AND 30 QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY abs(v) DESC, t) = 1), c AS (SELECT b.* FROM b JOIN p USING (trace_id) WHERE t BETWEEN -5 AND 12 AND v > 0), v AS (SELECT station, trace_id, var_pop(v) AS x FROM samples WHERE t BETWEEN -5 AND 30 AND trace_id IN (SELECT trace_id FROM c) GROUP BY ALL), m AS (SELECT station, median(x) AS m FROM v GROUP BY station), d AS (SELECT station, median(abs(x - m)) * 1.4826 AS s FROM v JOIN m USING (station) GROUP BY station), e AS (SELECT trace_id FROM v JOIN m USING (station) JOIN d USING (station) WHERE abs(x - m) / CASE WHEN s > 0 THEN s ELSE 1e-12 END <= 2.5), s AS (SELECT CASE WHEN trace_id NOT IN (SELECT trace_id FROM a) THEN 'snr' WHEN trace_id NOT IN (SELECT trace_id FROM b) THEN 'slowness' WHEN trace_id NOT IN (SELECT trace_id FROM c) THEN 'p_amplitude' WHEN trace_id NOT IN (SELECT trace_id FROM e) THEN 'mad' END AS failed_step FROM traces) SELECT failed_step, count(*) AS n FROM s GROUP BY failed_step",
+    "WITH a AS (SELECT trace_id, station FROM traces WHERE snr >= 3), b AS (SELECT a.* FROM a JOIN traces USING (trace_id) WHERE slowness BETWEEN 0.045 AND 0.095), p AS (SELECT trace_id, t, v FROM samples WHERE t BETWEEN -5 AND 30 QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY abs(v) DESC, t) = 1), c AS (SELECT b.* FROM b JOIN p USING (trace_id) WHERE t BETWEEN -5 AND 12 AND v > 0), v AS (SELECT station, trace_id, var_pop(v) AS x FROM samples WHERE t BETWEEN -5 AND 30 AND trace_id IN (SELECT trace_id FROM c) GROUP BY ALL), m AS (SELECT station, median(x) AS m FROM v GROUP BY station), d AS (SELECT station, median(abs(x - m)) * 1.4826 AS s FROM v JOIN m USING (station) GROUP BY station), e AS (SELECT trace_id FROM v JOIN m USING (station) JOIN d USING (station) WHERE abs(x - m) / CASE WHEN s > 0 THEN s ELSE 1e-12 END <= 2.5), g AS (SELECT s.* FROM samples s JOIN e USING (trace_id) WHERE t BETWEEN -5 AND 30), h AS (SELECT station, i, avg(v) AS m FROM g GROUP BY station, i), k AS (SELECT trace_id FROM g JOIN h USING (station, i) GROUP BY trace_id HAVING corr(g.v, h.m) >= 0.1), s AS (SELECT CASE WHEN trace_id NOT IN (SELECT trace_id FROM a) THEN 'snr' WHEN trace_id NOT IN (SELECT trace_id FROM b) THEN 'slowness' WHEN trace_id NOT IN (SELECT trace_id FROM c) THEN 'p_amplitude' WHEN trace_id NOT IN (SELECT trace_id FROM e) THEN 'mad' WHEN trace_id NOT IN (SELECT trace_id FROM k) THEN 'correlation' END AS failed_step FROM traces) SELECT failed_step, count(*) AS n FROM s GROUP BY failed_step",
 )
 
+def _f7_all(t, s):
+    """All six steps; the F test has no SQL form."""
+    return T.qc_chain(t, s, {"snr": {"threshold": 3.0}, "slowness": {"low": 0.045, "high": 0.095}, "p_amplitude": {"tmin": -5.0, "tmax": 12.0}, "mad": {}, "f_test": {}, "correlation": {"threshold": 0.1}}).select("trace_id", "failed_step")
+
+
+C.add("f7_qc_chain_six_steps", "traces samples", _f7_all)
+
 _H, _K = (0.0, 5.0, 0.25), (1.5, 3.0, 0.1)
 
 
@@ -129,11 +137,39 @@ _NK = len(H.search_axis(*_K))
 _AX = f"SELECT CAST(i AS INT) AS h_idx, CAST(j AS INT) AS k_idx, i * 0.25::DOUBLE AS h, 1.5::DOUBLE + j * 1.5::DOUBLE / {_NK - 1} AS k FROM range(21) a(i) CROSS JOIN range({_NK}) b(j)"
 _AT = "CAST(greatest(0, least(63, ceil(({d} + 5) / 0.5::DOUBLE - 0.5))) AS INT)"
 _CELLS = f"""SELECT q.trace_id, q.station, h_idx, k_idx, h, k, (0.6::DOUBLE * a.v + 0.3::DOUBLE * b.v - 0.1::DOUBLE * c.v) * (151.5478::DOUBLE * slowness * slowness + 3.2896::DOUBLE * slowness + 0.2618::DOUBLE) AS amp FROM (SELECT *, {_AT.format(d='(qs - qp) * h')} AS ia, {_AT.format(d='(qs + qp) * h')} AS ib, {_AT.format(d='2 * qs * h')} AS ic FROM (SELECT *, sqrt(1 / ((2.5::DOUBLE / k) * (2.5::DOUBLE / k)) - slowness * slowness) AS qs, sqrt(1 / (2.5::DOUBLE * 2.5::DOUBLE) - slowness * slowness) AS qp FROM traces CROSS JOIN ({_AX}))) q JOIN samples a ON a.trace_id = q.trace_id AND a.i = ia JOIN samples b ON b.trace_id = q.trace_id AND b.i = ib JOIN samples c ON c.trace_id = q.trace_id AND c.i = ic"""
-C.add("j10_stack_lookup", "traces", lambda t: t.crossJoin(F.broadcast(H.hk_axes(t.sparkSession, _H, _K).filter("k_idx = 0"))).select("trace_id", "h_idx", H.stack_lookup(F.col("h") * 3 + F.col("slowness") * 10, F.col("b"), F.col("delta"), F.lit(64)).alias("place")), f"SELECT trace_id, h_idx, {_AT.format(d='(h * 3 + slowness * 10)')} AS place FROM traces CROSS JOIN ({_AX}) WHERE k_idx = 0")
+C.add("j10_stack_lookup", "traces", lambda t: t.crossJoin(F.broadcast(H.hk_axes(t.sparkSession, _H, _K))).select("trace_id", "h_idx", "k_idx", H.stack_lookup(F.col("h") * 3 + F.col("k") + F.col("slowness") * 10, F.col("b"), F.col("delta"), F.lit(64)).alias("place")), f"SELECT trace_id, h_idx, k_idx, {_AT.format(d='(h * 3 + k + slowness * 10)')} AS place FROM traces CROSS JOIN ({_AX})")
 C.add("a14_hk_stack", "traces samples", lambda t, s: _rounded(H.best_cells(_cells(t, s))), f"SELECT trace_id, station, round(h, 6) AS h, round(k, 6) AS k, round(amp, 6) AS energy FROM ({_CELLS}) QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY round(amp, 12) DESC, k_idx, h_idx) = 1")
 C.add("a16_mean_hk_surface", "traces samples", lambda t, s: _rounded(H.mean_hk_surface(_cells(t, s))), f"SELECT station, h_idx, k_idx, round(avg(amp / CASE WHEN top = 0 THEN 1 ELSE top END), 6) AS amp FROM (SELECT *, max(amp) OVER (PARTITION BY trace_id) AS top FROM ({_CELLS})) GROUP BY station, h_idx, k_idx")
-C.add("w20_smooth_surface", "traces samples", lambda t, s: _rounded(H.smooth_surface(H.mean_hk_surface(_cells(t, s)), 21, _NK, keys=("station",)).select("station", "h_idx", "k_idx", "smooth")))
-C.add("w23_search_axis", "hk_results", lambda d: _rounded(H.hk_axes(d.sparkSession, _H, (1.5, 3.0, 0.4)).crossJoin(d.agg(F.count("*").alias("n")))), "SELECT CAST(i AS INT) AS h_idx, CAST(j AS INT) AS k_idx, i * 0.25::DOUBLE AS h, 1.5::DOUBLE + j * 0.5::DOUBLE AS k, (SELECT count(*) FROM hk_results) AS n FROM range(21) a(i) CROSS JOIN range(4) b(j)")
+_SURFACE = f"SELECT station, h_idx, k_idx, avg(amp / CASE WHEN top = 0 THEN 1 ELSE top END) AS amp FROM (SELECT *, max(amp) OVER (PARTITION BY trace_id) AS top FROM ({_CELLS})) GROUP BY station, h_idx, k_idx"
+
+
+def _smooth_sql(source: str, axis: str, other: str, n: int) -> str:
+    """One pass of a Gaussian of 1.5 places and radius 6 along an axis, reflected about its ends."""
+    place = f"((({axis} + o) % {2 * n}) + {2 * n}) % {2 * n}"
+    return f"SELECT a.station, a.{other}, a.p AS {axis}, sum(w * s.amp) AS amp FROM (SELECT station, {other}, {axis} AS p, w, CASE WHEN m < {n} THEN m ELSE {2 * n - 1} - m END AS q FROM (SELECT *, {place} AS m FROM ({source}) CROSS JOIN (SELECT o, exp(-0.5 * o * o / 2.25) / sum(exp(-0.5 * o * o / 2.25)) OVER () AS w FROM range(-6, 7) r(o)))) a JOIN ({source}) s ON s.station = a.station AND s.{other} = a.{other} AND s.{axis} = a.q GROUP BY ALL"
+
+
+C.add(
+    "w20_smooth_surface",
+    "traces samples",
+    lambda t, s: _rounded(H.smooth_surface(H.mean_hk_surface(_cells(t, s)), 21, _NK, keys=("station",)).select("station", "h_idx", "k_idx", "smooth")),
+    f"WITH f AS ({_SURFACE}), g AS ({_smooth_sql('SELECT * FROM f', 'h_idx', 'k_idx', 21)}), k AS ({_smooth_sql('SELECT * FROM g', 'k_idx', 'h_idx', _NK)}) SELECT station, h_idx, k_idx, round(amp, 6) AS smooth FROM k",
+)
+
+
+def _ranges(d):
+    """One search range a station, from its results."""
+    tenth = lambda f, c: f(F.col(c) * 10).cast("double") / 10
+    ends = d.groupBy("station").agg(F.floor(F.min("h")).cast("double").alias("h0"), F.ceil(F.max("h")).cast("double").alias("h1"), F.min("k").alias("least"), F.max("k").alias("most"))
+    return ends.select("station", "h0", "h1", tenth(F.floor, "least").alias("k0"), tenth(F.ceil, "most").alias("k1"))
+
+
+C.add(
+    "w23_search_axis",
+    "hk_results",
+    lambda d: _rounded(H.axes_of(_ranges(d), 0.75, 0.07, ("station",))),
+    "WITH r AS (SELECT station, floor(min(h)) AS h0, ceil(max(h)) AS h1, floor(min(k) * 10) / 10 AS k0, ceil(max(k) * 10) / 10 AS k1 FROM hk_results GROUP BY station), n AS (SELECT *, CAST(floor((h1 - h0) / 0.75::DOUBLE) AS INT) AS nh, CAST(floor((k1 - k0) / 0.07::DOUBLE) AS INT) AS nk FROM r), e AS (SELECT *, unnest(range(nk + 1)) AS j FROM (SELECT *, unnest(range(nh + 1)) AS i FROM n)) SELECT station, CAST(i AS INT) AS h_idx, CAST(j AS INT) AS k_idx, round(CASE WHEN nh = 0 THEN h0 ELSE h0 + i * (h1 - h0) / nh END, 6) AS h, round(CASE WHEN nk = 0 THEN k0 ELSE k0 + j * (k1 - k0) / nk END, 6) AS k FROM e",
+)
 
 
 def _a15(t, s):
