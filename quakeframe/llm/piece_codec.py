@@ -15,6 +15,7 @@ whole; repeated rows give repeated results; an empty table gives an empty result
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, pretokens
-from .token_counts import default_model
+from .token_counts import default_model, processor
 
 #: Bytes that a worker's pre-tokens and their ids may take, bytes of an entry besides them, and the longest that is kept.
 CACHE_BYTES, ENTRY_BYTES, CACHE_PART = 1 << 26, 160, 256
@@ -98,13 +99,14 @@ class Codec:
         self.cache: dict[str, bytes] = {}
         self.held = 0
         self.path, self.unchecked = path, OWN_PROBES
+        # The library's unigram search matches byte and control pieces that a text spells out; SentencePiece does not.
+        special = [re.escape(p.piece) for p in model.pieces if p.type in (BYTE, CONTROL, UNKNOWN)]
+        self.literal = re.compile("|".join(special)) if special and model.trainer_spec.model_type == UNIGRAM else None
         self.verify(list(PROBES))
 
     def verify(self, texts: list[str]) -> None:
         """Compare ids and decoded texts with the SentencePiece library."""
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        sp = processor(self.path)
         for text, ids in zip(texts, self.encode(texts), strict=True):
             if ids.tolist() != sp.encode(text) or self.decode([ids]) != [sp.decode(ids.tolist())]:
                 raise ValueError(f"the tokenizers pipeline differs from SentencePiece on {text[:200]!r}")
@@ -117,7 +119,12 @@ class Codec:
             self.verify(own)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        spelled = [i for i, t in enumerate(texts) if self.literal.search(t)] if self.literal else []
+        if spelled:
+            for i, ids in zip(spelled, processor(self.path).encode([texts[i] for i in spelled]), strict=True):
+                out[i] = ids
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts."""

@@ -47,7 +47,13 @@ def processor(model_path: str) -> Any:
     """The library's encoder, loaded once per Python process."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    return sentencepiece.SentencePieceProcessor(model_file=model_path)
+
+
+@lru_cache(4)
+def safe_processor(model_path: str) -> Any:
+    """The encoder of a model whose pieces never cross the borders of pre-tokens."""
+    sp = processor(model_path)
     if not pretokens.safe_model(sp.id_to_piece(i) for i in range(sp.get_piece_size())):
         raise ValueError(f"{model_path} has pieces that cross spaces or line feeds")
     return sp
@@ -55,7 +61,7 @@ def processor(model_path: str) -> Any:
 
 def part_lengths(model_path: str, parts: list[str]) -> list[int]:
     """Token lengths of pre-tokens. The line feed put in front keeps the library from adding a second marker; it and the dummy prefix are two tokens."""
-    return [len(x) - 2 for x in processor(model_path).encode(["\n" + p for p in parts], num_threads=1)]
+    return [len(x) - 2 for x in safe_processor(model_path).encode(["\n" + p for p in parts], num_threads=1)]
 
 
 def frequent_parts(docs: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", size: int = TABLE_SIZE, sample_rows: int = SAMPLE_ROWS) -> dict[str, int]:

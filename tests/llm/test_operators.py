@@ -62,6 +62,30 @@ def test_language_id(spark, docs):
     assert {r["lang_pred"] for r in language_id.identify(docs, {}).collect()} == {"und"}
 
 
+def test_language_id_by_plain_compression(docs):
+    """Predictions and scores against block-by-block compression with the library alone; a tie goes to the first name."""
+    import zstandard as zs
+
+    model = language_id.learn(docs)
+    params = zs.ZstdCompressionParameters(window_log=18, hash_log=15, chain_log=16, search_log=4, min_match=4, target_length=16, strategy=zs.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0)
+    for r in language_id.identify(docs.select("doc_id", "text"), model).collect():
+        raw = (r["text"] or "").encode()
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"], r["accepted"]) == ("und", 0.0, False)
+            continue
+        sizes = {}
+        for lang, dictionary in model.items():
+            d = zs.ZstdCompressionDict(dictionary, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            c = zs.ZstdCompressor(dict_data=d, compression_params=params)
+            sizes[lang] = sum(len(c.compress(raw[i : i + language_id.BLOCK_BYTES])) for i in range(0, len(raw), language_id.BLOCK_BYTES))
+        best = min(sorted(sizes), key=sizes.__getitem__)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 - sizes[best] / min(n for k, n in sizes.items() if k != best))
+    same = {"b": b"the same words", "a": b"the same words"}
+    assert language_id.classify("the same words", language_id.compressors(dict(sorted(same.items())), "tie"))[0] == "a"
+    assert language_id.has_letter("x²") and not any(map(language_id.has_letter, ("²½①", "12 ,.", "\U0001f600")))
+
+
 def brute_spans(text):
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
@@ -82,6 +106,28 @@ def test_secret_scan(docs):
     assert not any(brute_spans(r["text"] or "") for r in clean.collect())
 
 
+def test_secrets_without_their_names(spark):
+    """Keys that no base pattern marks are found whole, in ordinary texts nearly nothing is."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secret_scan.learn(real)
+    rows = [(r["doc_id"], r["text"]) for r in real.collect()]
+    clean = [t for _, t in rows if not brute_spans(t)]
+    marked = [s for _, t in rows for s in secret_scan.find(t, model) if s[0] == "format"]
+    assert sum(any(s[0] == "format" for s in secret_scan.find(t, model)) for t in clean) <= 0.02 * len(clean), marked[:5]
+    held = sorted({m[3] for _, t in rows for m in secret_scan.base_matches(t.encode()) if m[0] == "assign" and len(m[3]) >= 16})[:200]
+    found = [any(s <= 5 and e >= 5 + len(k) for _, s, e, _ in secret_scan.find(f"AWS= {k.decode()} end", model)) for k in held]
+    assert held and sum(found) >= 0.8 * len(found)
+
+
+def test_a_key_around_a_base_span_goes_whole():
+    rng = np.random.default_rng(3)
+    pick = lambda n: bytes(rng.choice(list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n).tolist())
+    model = secret_scan.fit_model({"assign": [pick(60) for _ in range(400)]}, [bytes(rng.choice(list(b"etaoinshrdlu"), 14).tolist()) for _ in range(300)])
+    key = (pick(22) + b"0123456789abcdef" + pick(22)).decode()
+    spans = secret_scan.find(f"see {key} here", model)
+    assert ("format", 4, 4 + len(key)) in {s[:3] for s in spans} and any(s[0] == "hex" for s in spans)
+
+
 def test_automata_tell_formats_apart():
     rng = np.random.default_rng(1)
     pick = lambda a, n: bytes(rng.choice(list(a), n).tolist())
@@ -134,23 +180,79 @@ def test_lm_score(docs):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] <= 0
 
 
-def test_attention_model():
+def small_model(rng, size=40):
+    first = np.arange(size) % 2 == 0
+    tree = attention_model.build_tree(np.where(first, 0, 16) + np.arange(size) % 5, first, rng.poisson(3, (attention_model.FAN, size)).astype(float))
+    return attention_model.Model(tree, attention_model.Network.start(size).matrix)
+
+
+def test_attention_probabilities():
+    """Ids' probabilities sum to one, sequences do not touch each other, and long ones are scored window by window."""
     rng = np.random.default_rng(0)
-    seqs = [np.concatenate([[a, a + 1, a + 2] for a in rng.integers(0, 17, 60)]) for _ in range(40)]
-    counts = np.bincount(np.concatenate(seqs), minlength=20).astype(float)
-    first = np.arange(20) % 2 == 0
-    classes = attention_model.id_classes(seqs, first)
-    pairs = np.zeros((attention_model.CLASSES, 20))
-    for s in seqs:
-        np.add.at(pairs, (classes[s[:-1]], s[1:]), 1)
-    m = attention_model.train(seqs, classes, first, pairs, steps=300)
-    shares = np.log10((counts + 0.5) / (counts + 0.5).sum())
-    assert attention_model.score(m, seqs).sum() > 0.8 * sum(shares[s].sum() for s in seqs)
-    context = seqs[0][:30]
-    step = [attention_model.score(m, [np.append(context, i)])[0] - attention_model.score(m, [context])[0] for i in range(20)]
-    assert sum(10.0**s for s in step) == pytest.approx(1, abs=1e-3)
-    alone, together = attention_model.score(m, [seqs[1]]), attention_model.score(m, [seqs[0], np.empty(0, int), seqs[1]])
-    assert together[2] == pytest.approx(alone[0], rel=1e-4) and together[1] == 0
+    m = small_model(rng)
+    m.matrix[:] = rng.standard_normal(m.matrix.shape) * 0.3
+    one = lambda *x: attention_model.score(m, np.concatenate(x), np.array([len(y) for y in x]))
+    context = rng.integers(0, 40, 30)
+    step = one(*[np.append(context, i) for i in range(40)]) - one(context)[0]
+    assert (10.0**step).sum() == pytest.approx(1, abs=1e-3)
+    other = rng.integers(0, 40, 7)
+    together = one(other, np.empty(0, np.int64), context)
+    assert together[1] == 0 and together[2] == pytest.approx(one(context)[0], rel=1e-5) and together[0] == pytest.approx(one(other)[0], rel=1e-5)
+    # Changing an id leaves all that stands before it as it is.
+    changed = context.copy()
+    changed[20] = (changed[20] + 1) % 40
+    assert one(context[:20])[0] == pytest.approx(one(changed[:20])[0])
+
+
+def test_attention_gradient_and_training():
+    rng = np.random.default_rng(1)
+    m = small_model(rng)
+    m = attention_model.Model(m.tree, rng.standard_normal(m.matrix.shape) * 0.3)
+    w = rng.integers(0, 40, (4, attention_model.WINDOW + 1))
+    w[0, 9:] = -1
+    _, g = attention_model.gradient(m, w)
+    for _ in range(30):
+        i, j = rng.integers(0, len(m.matrix)), rng.integers(0, attention_model.WIDTH)
+        ends = []
+        for e in (1e-4, -1e-4):
+            moved = m.matrix.copy()
+            moved[i, j] += e
+            ends.append(attention_model.gradient(attention_model.Model(m.tree, moved), w)[0])
+        assert (ends[0] - ends[1]) / 2e-4 == pytest.approx(g[i, j], abs=1e-4)
+    start = small_model(rng)
+    a = rng.integers(0, 13, (400, 6))
+    runs = np.stack([a, a + 13, a + 26], axis=2).reshape(400, -1)[:, : attention_model.WINDOW + 1]
+    before = attention_model.gradient(start, runs)[0]
+    change, weight = attention_model.train(start, runs, 120, 64)
+    assert attention_model.gradient(attention_model.Model(start.tree, start.matrix + change), runs)[0] < 0.8 * before and weight.min() >= 0
+
+
+def test_network_beats_its_counts(spark):
+    """Held-out texts: the trained network against the same tree with a network of zeros."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    training, path = real.filter(~lm_score.held_out()), token_counts.default_model()
+    counts = lm_score.word_counts(training).cache()
+    lexicon = lm_score.Lexicon(lm_score.hot_words(counts), 1, 1, path)
+    windows = lm_score.windows_of(training, "test", spark.sparkContext.broadcast(lexicon)).cache()
+    assert windows.count() >= training.count() * 0.9
+    model = lm_score.fit(windows, counts, path)
+    lists = [lm_score.words_of(r["text"]) for r in real.filter(lm_score.held_out()).collect()]
+    _, ids, sizes = lm_score.Reader(lexicon).read(lists)
+    n = np.array([len(x) for x in lists])
+    lengths = np.add.reduceat(sizes, np.cumsum(n) - n)
+    trained, plain = (attention_model.score(x, ids.astype(np.int64), lengths).sum() / len(ids) for x in (model, attention_model.Model(model.tree, np.zeros_like(model.matrix))))
+    assert trained > plain + 0.1
+
+
+def test_reader_gives_the_library_ids(library):
+    texts = ["the river runs", "", "zzqx ééé the", "a" * 300 + " b"]
+    lists = [lm_score.words_of(t) for t in texts]
+    lexicon = lm_score.Lexicon({b"the": 3, b"river": 1}, 4, 2, token_counts.default_model())
+    at, ids, sizes = lm_score.Reader(lexicon).read(lists)
+    flat = [w for x in lists for w in x]
+    want = [[lm_score.END_ID] if w == lm_score.END else library.encode(w.decode()) for w in flat]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert [flat[i] for i in np.nonzero(at >= 0)[0]] == [b"the", b"river", b"the"]
 
 
 def brute_classes(rows):
@@ -235,9 +337,8 @@ def test_decontaminate(spark, docs):
     assert sorted(map(repr, (r["doc_id"] for r in clean.collect()))) == sorted(repr(r["doc_id"]) for r in docs.collect() if r["doc_id"] not in {w[0] for w in want})
 
 
-def test_phrase_repeats(docs):
-    raw = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
-    n = phrase_repeats.LENGTH
+def brute_repeats(rows, n=phrase_repeats.LENGTH):
+    raw = [(k, (t or "").encode()) for k, t in rows]
     counts = Counter(b[i : i + n] for _, b in raw for i in range(len(b) - n + 1))
     want = []
     for k, b in raw:
@@ -247,7 +348,36 @@ def test_phrase_repeats(docs):
                 gone[i : i + n] = True
         spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])) == 1))
         want.append((k, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
-    assert by_row(phrase_repeats.dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=repr)
+    return sorted(want, key=repr)
+
+
+REPEATS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_phrase_repeats(docs):
+    assert by_row(phrase_repeats.dedup(docs), *REPEATS) == brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_phrase_repeats_of_awkward_texts(spark):
+    """Thue-Morse middles (on which sums modulo a power of two collide), runs, periods, edges at every offset, passages below the length."""
+    rng = np.random.default_rng(5)
+    word = lambda n: bytes(rng.integers(97, 123, n).tolist()).decode()
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    head, tail, passage = word(840), word(840), word(900)
+    rows = [(1, head + a + tail), (2, head + b + tail), (3, "x" * 1500), (4, "abc" * 500), (5, word(100) + "x" * 450 + word(30))]
+    rows += [(10 + i, word(37 * i) + passage[i * 11 :] + word(50 + i)) for i in range(30)]
+    rows += [(50, word(500)), (51, word(20) + passage[:399] + word(300)), (52, word(333)), (53, None), (54, "")]
+    short = word(320)
+    rows += [(60, word(100) + short + word(100)), (61, short + word(50)), (62, "é" * 300), (63, word(1) + "é" * 300)]
+    out = phrase_repeats.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert by_row(out, *REPEATS) == brute_repeats(rows)
+    shared = {r["doc_id"]: r["passage"] for r in out.collect()}
+    assert shared[60] and shared[61] and shared[51] and not any(shared[k] for k in (50, 52, 53, 54))
+    for m, n in ((1, 5), (3, 700)):
+        raw = word(phrase_repeats.PASSAGE + n).encode()
+        place, lo, hi = phrase_repeats.triggers(raw)
+        assert lo[0] == 0 and hi[-1] == n and (lo[1:] == hi[:-1] + 1).all() and (place >= hi).all() and (place - lo < phrase_repeats.WINDOW).all()
 
 
 def test_quality_rules(docs):
@@ -267,6 +397,61 @@ def test_quality_rules(docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_each_quality_rule_rejects(spark):
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("lang = 'en'")
+    rng = np.random.default_rng(7)
+    nonsense = " ".join("".join(rng.choice(list("etaoinshrdlu"), 7)) for _ in range(300))
+    symbols = " ".join("".join(rng.choice(list("#$%&*"), 4)) + "the" for _ in range(300))
+    plain = max((r["text"] for r in real.filter("doc_id % 7 = 3").collect()), key=lambda t: t.count(" the "))
+    extra = spark.createDataFrame([(10**6, nonsense, "en"), (10**6 + 1, symbols, "en"), (10**6 + 2, symbols, None), (10**6 + 3, plain, None)], real.schema)
+    got = {r["doc_id"]: r for r in quality_rules.assess(real.unionByName(extra)).filter("doc_id >= 1000000").collect()}
+    words, marks, bare, good = (got[10**6 + i] for i in range(4))
+    assert words["common_distance"] > quality_rules.MAX_COMMON and words["class_distance"] < quality_rules.MAX_CLASSES and not words["kept"]
+    assert marks["class_distance"] > quality_rules.MAX_CLASSES and not marks["kept"] and not bare["kept"]
+    assert good["class_distance"] < 0.2 and good["kept"] == (not good["base_failed"])
+
+
+def test_unigram_models(tmp_path):
+    """The unigram branch of the codec on a small model made here, against SentencePiece."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.unk_id = piece_codec.UNIGRAM, True, 0
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    for piece, score, kind in [("<unk>", 0, piece_codec.UNKNOWN), ("<s>", 0, piece_codec.CONTROL), ("</s>", 0, piece_codec.CONTROL), *[(f"<0x{i:02X}>", 0, piece_codec.BYTE) for i in range(256)], *[(p, -i - 1.5, piece_codec.NORMAL) for i, p in enumerate(["▁", "▁the", "e", "t", "h", "▁r", "iver", "i", "v", "r", "he", "▁ri", "ver", "n", "s", "run"])]]:
+        x = model.pieces.add()
+        x.piece, x.score, x.type = piece, score, kind
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    codec = piece_codec.Codec(str(path))
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["the river runs", "", "  the  the", "rivers é \n the"]
+    assert [x.tolist() for x in codec.encode(texts)] == [sp.encode(t) for t in texts] and codec.decode(codec.encode(texts)) == [sp.decode(sp.encode(t)) for t in texts]
+
+
+def test_size_partitions_miss_nothing():
+    """Sketches of every size: a document that lacks as many shingles as a leak may is still a candidate."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 7, 8, 15, 16, 31, 32, 40, 64, 130):
+        words = [f"w{i}" for i in range(n + 4)]
+        x = decontaminate.item(n, " ".join(words))
+        assert len(x.grams) == n and len(x.sketch) == decontaminate.sketch_size(n) <= n
+        index = decontaminate.Index([x])
+        grams = sorted(x.grams)
+        for _ in range(20):
+            kept = rng.permutation(n)[: decontaminate.needed(n)]
+            text = b" zz qq yy xx vv ".join(grams[i] for i in kept).decode()
+            assert [i for i, _ in index.leaks(text)] == [0]
+
+
+def test_search_with_one_name_for_both_keys(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    found = decontaminate.search(spark.createDataFrame([(1, words)], "id long, text string"), spark.createDataFrame([(7, words)], "id long, text string"), key="id", item_key="id")
+    assert [(r["id"], r["item_id"]) for r in found.collect()] == [(1, 7)]
+
+
 def test_extra_and_clashing_columns(edge_docs):
     assert edge_docs.count() == license_scan.scan(edge_docs).count() == token_counts.count_tokens(edge_docs).count() == quality_rules.assess(edge_docs).count()
     assert edge_docs.count() == language_id.identify(edge_docs, language_id.learn(edge_docs)).count() == simhash_dedup.classes(edge_docs).count()

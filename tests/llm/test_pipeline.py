@@ -1,5 +1,7 @@
 """The pipeline on the smallest table, stage by stage against what each must do."""
 
+import pytest
+
 from quakeframe.llm import decontaminate
 
 import corpus_pipeline
@@ -23,3 +25,29 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, edge_docs):
+    """``edge_docs`` with columns of a stage's own names, nulls in all columns and a very long text."""
+    long = ("the river runs past the old mill and on to the town " * 4000) + "end"
+    extra = spark.createDataFrame([(20, long, None, None, None, None, None, None), (21, long, "en", "a", 1, 0.0, "", "")], edge_docs.schema)
+    return edge_docs.unionByName(extra)
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_on_awkward_tables(spark, awkward, no_docs, at):
+    """Nulls, empty and very long texts, repeated rows and clashing columns keep the schema and the rows they should; an empty table stays empty."""
+    _, stage = corpus_pipeline.STAGES[at]
+    out = stage(spark, awkward, SF)
+    assert set(awkward.columns) <= set(out.columns)
+    rows = [r["doc_id"] for r in out.collect()]
+    ids = [r["doc_id"] for r in awkward.select("doc_id").collect()]
+    assert set(rows) <= set(ids)
+    if at in (2, 3, 4):
+        assert sorted(map(repr, rows)) == sorted(map(repr, ids))
+    elif at == 0:
+        assert {1, 2, 5, 20, 21} <= set(rows) and not {3, 4, 6} & set(rows) and rows.count(2) == 2
+    else:
+        assert {1, 20, 3} <= set(rows) and not {2, 21, 4, 6} & set(rows) and None in rows
+    assert stage(spark, no_docs, SF).count() == 0
