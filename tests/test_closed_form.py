@@ -283,3 +283,69 @@ def test_search_axis():
 def test_smoothing_keeps_a_constant(spark):
     d = spark.createDataFrame([(0, i, j, 2.0) for i in range(5) for j in range(4)], "trace_id int, h_idx int, k_idx int, amp double")
     assert all(r["smooth"] == pytest.approx(2.0) for r in H.smooth_surface(d, 5, 4).collect())
+
+
+def test_pulse_window_is_even_and_quiet():
+    """The wider half and the wider skirt hold for both sides; a loud minimum is neither inner nor outer."""
+    env = np.full(201, 0.5)
+    env[100] = 1.0
+    for at, v in ((80, 0.05), (60, 0.1), (50, 0.45), (130, 0.05), (170, 0.1)):
+        env[at] = v
+    w = N.pulse_window(env, 1.0, 5.0, 0.2, 1.0)
+    at = np.arange(201)
+    inner, skirt = 30, 40
+    want = np.ones(201)
+    left, right = at < 100 - inner, at >= 100 + inner
+    want[left] = np.exp(-0.5 * ((100 - inner - 1 - at[left]) / (skirt + 1)) ** 2)
+    want[right] = np.exp(-0.5 * ((at[right] - 100 - inner) / (skirt + 1)) ** 2)
+    assert w == pytest.approx(want)
+    one_sided = env.copy()
+    one_sided[101:] = 0.6
+    assert (N.pulse_window(one_sided, 1.0, 5.0, 0.2, 1.0)[101:] == 1).all()
+
+
+def test_local_plates_equal_the_whole_one():
+    rng = np.random.default_rng(1)
+    p, q, v = rng.uniform(0, 100, (15, 2)), rng.uniform(0, 100, (700, 2)), rng.normal(size=15)
+    whole = N.thin_plate(p, v, q, 0.5)
+    assert N.thin_plate(p, v, q, 0.5, neighbours=15) == pytest.approx(whole, rel=1e-6, abs=1e-6)
+    assert N.thin_plate(p, 1 + 2 * p[:, 0] - p[:, 1], q, neighbours=5) == pytest.approx(1 + 2 * q[:, 0] - q[:, 1], abs=1e-6)
+
+
+def test_tiles_give_the_same_map(spark):
+    g = G.grid_axes(spark, (-1.0, 1.0, 0.5), (0.0, 1.0, 0.5))
+    rng = np.random.default_rng(2)
+    rows = [(10, "S", -1.2, 0.1, float(x), float(y), float(x + 2 * y + 3)) for x, y in zip(rng.uniform(-1, 1, 20), rng.uniform(0, 1, 20), strict=True)]
+    d = spark.createDataFrame(rows, "period_s int, source string, src_lon double, src_lat double, rcv_lon double, rcv_lat double, travel_time double")
+    one, two = ({(r["i_lat"], r["i_lon"]): r["value"] for r in N.grid_travel_times(d, g, neighbours=6, tiles=t).collect()} for t in (1, 3))
+    assert len(one) == 15 and one == pytest.approx(two)
+
+
+def test_f_distribution():
+    """P(F <= 1) is one half for equal degrees; with two and two degrees P(F <= f) = f / (1 + f)."""
+    f = np.array([0.0, 0.2, 1.0, 3.0])
+    two = np.full(4, 2.0)
+    assert T.f_cdf(f, two, two) == pytest.approx(f / (1 + f), abs=1e-12)
+    assert T.f_cdf(np.ones(3), np.array([3.0, 50, 4000]), np.array([3.0, 50, 4000])) == pytest.approx([0.5] * 3, abs=1e-9)
+
+
+def test_gaps_are_filled_across_blocks(spark):
+    d = spark.createDataFrame([("a", 1, 0, i, float(i)) for i in (3, 4, 19)], "channel string, segment int, start long, i long, v double")
+    got = sorted((r["i"], r["v"]) for r in T.merge_segments(d, 8).collect())
+    assert got == [(i, float(i) if i in (3, 4, 19) else 0.0) for i in range(3, 20)]
+
+
+def test_plateau_of_a_rising_shoulder_is_no_peak(spark):
+    e = [0.0, 1.0, 1.0, 2.0, 3.0, 3.0, 1.0, 0.0]
+    d = spark.createDataFrame([(0, 4.0, i, float(i), v, 0.1 * i) for i, v in enumerate(e)], "trace_id long, period double, i int, t double, envelope double, phase double")
+    assert T.pick_peaks(d, spark.createDataFrame([(0, 20.0)], "trace_id long, distance double")).first()["i"] == 4
+
+
+def test_staged_geodesic_equals_the_expression(spark):
+    from pyspark.sql import functions as F
+
+    from quakeframe.functions.scalars import geodesic, with_geodesic
+
+    d = spark.createDataFrame([(0.0, 0.0, 0.0, 0.0), (-10.0, 40.0, 9.5, 48.25), (170.0, -5.0, -170.0, 5.0), (12.0, 89.0, -60.0, -33.0)], "a double, b double, c double, d double")
+    both = with_geodesic(d, "a", "b", "c", "d", "s").withColumn("e", geodesic(*map(F.col, "abcd"))).collect()
+    assert all(tuple(r["s"]) == pytest.approx(tuple(r["e"])) for r in both)
