@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import decontaminate, language_id, license_scan, lm_score, phrase_repeats, piece_codec, quality_rules, secret_scan, simhash_dedup, token_counts
 
-MODULES = (license_scan, language_id, secret_scan, simhash_dedup, token_counts, piece_codec, quality_rules, simhash_dedup, decontaminate, lm_score, phrase_repeats)
+MODULES = (license_scan, language_id, secret_scan, token_counts, piece_codec, quality_rules, simhash_dedup, decontaminate, lm_score, phrase_repeats)
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
