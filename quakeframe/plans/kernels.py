@@ -30,7 +30,7 @@ C.add("k1_ftan", "samples", lambda s: _rounded(K.ftan(s, PERIODS)))
 def _w11(s):
     """Peaks of a bank whose envelope is the samples' size in steps of a quarter (so there are plateaus), with the samples as phase."""
     bank = s.select("trace_id", F.lit(2.0).alias("period"), "i", (F.col("t") + 6).alias("t"), (F.floor(F.abs("v") * 40) / 4).alias("envelope"), F.col("v").alias("phase"))
-    return _rounded(T.pick_peaks(bank, s.select("trace_id").distinct().withColumn("distance", F.lit(40.0))))
+    return _rounded(T.pick_peaks(bank, s.select("trace_id").distinct().withColumn("distance", F.lit(40.0)))).withColumn("i", F.col("i").cast("long"))
 
 
 _UNWRAP = "{x} - 2 * pi() * round_even(({x} - {base} - 0.5 * pi()) / (2 * pi()), 0)"
