@@ -66,16 +66,17 @@ def longest_branch(curves: DataFrame, threshold: float) -> DataFrame:
     return d.join(best, "curve").filter(F.col("__i").between(F.col("s.__i"), F.col("s.__j"))).drop("__i", "s")
 
 
-def unwrap_phase(picks: DataFrame, reference: DataFrame) -> DataFrame:
-    """(curve, period, phase_velocity) from rows (curve, period, group_velocity, phase, distance).
+def unwrap_phase(picks: DataFrame, reference: DataFrame, order: str = "period") -> DataFrame:
+    """(curve, period, phase_velocity) from rows (curve, period, group_velocity, phase, distance), and ``order`` if that is another column.
 
-    From the longest period down the wavenumber is integrated by trapezoids of the group slowness and the phase takes
+    From the last period of ``order`` down the wavenumber is integrated by trapezoids of the group slowness and the phase takes
     the nearest cycle; the first cycle comes from the reference velocity. One ordered fold per curve, in the JVM.
     """
     two_pi = 2 * math.pi
-    longest = picks.groupBy("curve").agg(F.max("period").alias("period"))
+    own = () if order == "period" else (order,)
+    longest = picks.groupBy("curve").agg(F.max_by("period", order).alias("period"))
     first = interpolate_at(reference, longest, out="c0").select("curve", "c0")
-    d = picks.join(first, "curve").groupBy("curve").agg(F.sort_array(F.collect_list(F.struct("period", "group_velocity", "phase", "distance", "c0")), False).alias("a"))
+    d = picks.join(first, "curve").groupBy("curve").agg(F.sort_array(F.collect_list(F.struct(*own, "period", "group_velocity", "phase", "distance", "c0")), False).alias("a"))
 
     def step(state: Column, p: Column) -> Column:
         omega, time, slow = two_pi / p["period"], p["distance"] / p["group_velocity"], 1 / p["group_velocity"]
@@ -87,9 +88,10 @@ def unwrap_phase(picks: DataFrame, reference: DataFrame) -> DataFrame:
         n = F.rint((p["phase"] - predicted) / two_pi)
         c_next = omega * p["distance"] / (omega * time - p["phase"] + n * two_pi)
         c = F.when(state["c"].isNull(), c_first).otherwise(c_next)
-        return F.struct(omega.alias("omega"), slow.alias("slow"), c.alias("c"), F.concat(state["out"], F.array(F.struct(p["period"].alias("period"), c.alias("phase_velocity")))).alias("out"))
+        return F.struct(omega.alias("omega"), slow.alias("slow"), c.alias("c"), F.concat(state["out"], F.array(F.struct(*[p[x].alias(x) for x in (*own, "period")], c.alias("phase_velocity")))).alias("out"))
 
-    zero = F.struct(F.lit(None).cast("double").alias("omega"), F.lit(None).cast("double").alias("slow"), F.lit(None).cast("double").alias("c"), F.array().cast("array<struct<period:double,phase_velocity:double>>").alias("out"))
+    kinds = ",".join(f"{x}:{picks.schema[x].dataType.simpleString()}" for x in (*own, "period"))
+    zero = F.struct(F.lit(None).cast("double").alias("omega"), F.lit(None).cast("double").alias("slow"), F.lit(None).cast("double").alias("c"), F.array().cast(f"array<struct<{kinds},phase_velocity:double>>").alias("out"))
     return d.select("curve", F.aggregate("a", zero, step, lambda s: s["out"]).alias("o")).select("curve", F.inline("o"))
 
 

@@ -49,19 +49,44 @@ def sample_arrays(samples: DataFrame) -> DataFrame:
     return samples.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("s"), F.min("t").alias("b"), ((F.max("t") - F.min("t")) / (F.count("*") - 1)).alias("dt")).select("trace_id", "b", "dt", F.transform("s", lambda x: x["v"]).alias("a"))
 
 
-def ftan(samples: DataFrame, periods: tuple[float, ...], alpha: float = 20.0) -> DataFrame:
-    """(trace_id, period, i, t, envelope, phase) of every trace and target period."""
-    target = np.array(periods)
+BANK = "b double, dt double, envelope array<double>, phase array<double>"
+
+
+def ftan_arrays(samples: DataFrame, periods: tuple[float, ...] | None = None, alpha: float = 20.0, traces: DataFrame | None = None) -> DataFrame:
+    """(trace_id, columns of ``traces``, period, b, dt, envelope, phase): one row for each trace and target period, its samples in arrays.
+
+    ``traces`` has one row a trace with what later steps need of it (a distance); a column ``periods`` of it holds the
+    trace's own target periods, used without ``periods``. Traces that are not in it give no rows. It meets the samples
+    where these are put together, so nothing is shuffled after the filters.
+    """
+    rows = sample_arrays(samples)
+    if traces is not None:
+        rows = rows.join(traces, "trace_id")
+    kept = [c for c in rows.columns if c not in ("trace_id", "b", "dt", "a", "periods")]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ddl = ", ".join([*(f"`{c}` {kinds[c]}" for c in ("trace_id", *kept)), "period double", BANK])
+    if periods is not None:
+        rows = rows.drop("periods").withColumn("periods", F.array(*map(F.lit, periods)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k, b, dt, a in pdf.itertuples(index=False, name=None):
-                z = narrow_bands(np.asarray(a), dt, target, alpha)
-                m, n = z.shape
-                i = np.tile(np.arange(n, dtype=np.int32), m)
-                yield pd.DataFrame({"trace_id": k, "period": np.repeat(target, n), "i": i, "t": b + i * dt, "envelope": np.abs(z).ravel(), "phase": np.angle(z).ravel()})
+            for r in pdf.to_dict("records"):
+                target = np.asarray(r["periods"], float)
+                z = narrow_bands(np.asarray(r["a"]), r["dt"], target, alpha)
+                yield pd.DataFrame({"trace_id": r["trace_id"], **{c: r[c] for c in kept}, "period": target, "b": r["b"], "dt": r["dt"], "envelope": list(np.abs(z)), "phase": list(np.angle(z))})
 
-    return sample_arrays(samples).mapInPandas(run, "trace_id long, period double, i int, t double, envelope double, phase double")
+    return rows.select("trace_id", "b", "dt", "a", "periods", *kept).mapInPandas(run, ddl)
+
+
+def bank_rows(bank: DataFrame) -> DataFrame:
+    """(trace_id, period, i, t, envelope, phase) of a bank in arrays."""
+    d = bank.select("trace_id", "period", "b", "dt", F.posexplode(F.arrays_zip("envelope", "phase")).alias("i", "z"))
+    return d.select("trace_id", "period", "i", (F.col("b") + F.col("i") * F.col("dt")).alias("t"), "z.envelope", "z.phase")
+
+
+def ftan(samples: DataFrame, periods: tuple[float, ...], alpha: float = 20.0) -> DataFrame:
+    """(trace_id, period, i, t, envelope, phase) of every trace and target period, a row for each sample."""
+    return bank_rows(ftan_arrays(samples, periods, alpha))
 
 
 def _spline_integral(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -151,73 +176,86 @@ def phase_matched_filter(samples: DataFrame, branches: DataFrame, alpha: float =
     return rows.mapInPandas(run, "trace_id long, i int, t double, v double")
 
 
-def ftan_each(samples: DataFrame, targets: DataFrame, alpha: float = 20.0) -> DataFrame:
-    """As ``ftan``, at each trace's own target periods (trace_id, periods)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, b, dt, a, periods in pdf.itertuples(index=False, name=None):
-                target = np.asarray(periods, float)
-                z = narrow_bands(np.asarray(a), dt, target, alpha)
-                i = np.tile(np.arange(z.shape[1], dtype=np.int32), len(target))
-                yield pd.DataFrame({"trace_id": k, "period": np.repeat(target, z.shape[1]), "i": i, "t": b + i * dt, "envelope": np.abs(z).ravel(), "phase": np.angle(z).ravel()})
-
-    return sample_arrays(samples).join(targets, "trace_id").select("trace_id", "b", "dt", "a", "periods").mapInPandas(run, "trace_id long, period double, i int, t double, envelope double, phase double")
-
-
 def second_pass(samples: DataFrame, picks: DataFrame, distance: DataFrame, low: float, high: float, count: int, alpha: float = 20.0) -> DataFrame:
     """Picks of the cleaned traces: the first pass's instantaneous periods and group velocities clean each trace, and their range within [low, high], spaced by a factor, gives its new target periods.
 
     Traces with fewer than two usable periods or an empty range give no rows.
     """
-    from .traces import pick_peaks
+    from .traces import best_candidates, peak_candidates
 
     ok = picks.filter("instant_period > 0 AND group_velocity > 0")
     cleaned = cut(phase_matched_filter(samples, ok.join(distance.select("trace_id", "distance"), "trace_id").select("trace_id", F.col("instant_period").alias("period"), "group_velocity", "distance"), alpha))
     ends = ok.groupBy("trace_id").agg(F.greatest(F.lit(low), F.min("instant_period")).alias("p0"), F.least(F.lit(high), F.max("instant_period")).alias("p1"), F.count("*").alias("n")).filter("n > 1 AND p1 > p0")
     place = F.sequence(F.lit(0), F.lit(count - 1))
     targets = ends.select("trace_id", F.transform(place, lambda i: F.col("p0") * F.pow(F.col("p1") / F.col("p0"), i / (count - 1))).alias("periods"))
-    return pick_peaks(ftan_each(cleaned, targets, alpha), distance)
+    own = targets.join(distance.select("trace_id", "distance"), "trace_id")
+    return best_candidates(peak_candidates(ftan_arrays(cleaned, None, alpha, own)))
 
 
-def _curvature(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    c = np.zeros(len(x))
-    if len(x) > 2:
-        d = np.diff(y) / np.diff(x)
-        c[1:-1] = np.diff(d) / (x[2:] - x[:-2])
-    return c
+def _triggers(log_period: np.ndarray, velocity: np.ndarray, threshold: float) -> np.ndarray:
+    """1 or -1 where the second divided difference passes the threshold upwards or downwards, else 0; 0 at the ends."""
+    bend = np.zeros(len(velocity))
+    if len(velocity) > 2:
+        slope = np.diff(velocity) / np.diff(log_period)
+        bend[1:-1] = np.diff(slope) / (log_period[2:] - log_period[:-2])
+    return np.sign(bend) * (np.abs(bend) > threshold)
 
 
-def repair_jumps(candidates: DataFrame, threshold: float, jump_points: int) -> DataFrame:
-    """(curve, period, velocity) from rows (curve, period, velocity, score): the pick of each period is its best-scored candidate.
+def branch_choice(periods: np.ndarray, options: list[np.ndarray], first: np.ndarray, threshold: float, jump_points: int) -> tuple[np.ndarray, int, int]:
+    """(candidate of each period, first period, last period) of the repaired branch of one curve.
 
-    Between two triggers of opposite sign at most ``jump_points`` apart, picks are replaced in order by the candidate
-    nearest to the pick before; the change stays only if no trigger is left around it. Each pick depends on the one
-    before, so a curve is one kernel call.
+    ``options`` holds each period's candidate velocities and ``first`` the preferred one. A jump goes straight from one
+    sign of trigger to the other. The periods from one jump up to the next, at most ``jump_points``, are walked through
+    on trial, each taking the candidate nearest to the velocity before it; the walk stays if it leaves no trigger from
+    the period before it to the one after. The branch is the longest stretch between triggers that are left and the ends,
+    both included.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = [(p, g.sort_values(["score", "velocity"], ascending=[False, True])["velocity"].to_numpy()) for p, g in pdf.groupby("period", sort=True)]
-        x = np.log([p for p, _ in groups])
-        v = np.array([c[0] for _, c in groups])
-
-        def signs(y: np.ndarray) -> np.ndarray:
-            c = _curvature(x, y)
-            return (c > threshold).astype(int) - (c < -threshold).astype(int)
-
-        t = signs(v)
-        jumps = np.nonzero(np.abs(np.diff(t)) == 2)[0] + 1
-        for a, b in zip(jumps, jumps[1:], strict=False):
-            if b - a <= jump_points:
-                w = v.copy()
-                for k in range(a, b):
-                    c = groups[k][1]
-                    w[k] = c[np.argmin(np.abs(c - w[k - 1]))]
-                if not signs(w)[a - 1 : b + 1].any():
-                    v = w
-        return pd.DataFrame({"curve": pdf["curve"].iloc[0], "period": [p for p, _ in groups], "velocity": v})
-
-    return candidates.groupBy("curve").applyInPandas(run, "curve long, period double, velocity double")
+    x, choice = np.log(periods), first.copy()
+    velocity = np.array([v[k] for v, k in zip(options, choice, strict=True)])
+    signs = _triggers(x, velocity, threshold)
+    jumps = np.flatnonzero(signs[1:] * signs[:-1] < 0) + 1
+    for begin, end in zip(jumps[:-1].tolist(), jumps[1:].tolist(), strict=True):
+        if end - begin > jump_points:
+            continue
+        walk, speed = choice.copy(), velocity.copy()
+        for k in range(begin, end):
+            walk[k] = np.abs(options[k] - speed[k - 1]).argmin()
+            speed[k] = options[k][walk[k]]
+        after = _triggers(x, speed, threshold)
+        if not after[begin - 1 : end + 1].any():
+            choice, velocity, signs = walk, speed, after
+    if not signs.any():
+        return choice, 0, len(choice) - 1
+    borders = np.unique([0, *np.flatnonzero(signs), len(choice) - 1])
+    k = int(np.diff(borders).argmax()) if len(borders) > 1 else 0
+    return choice, int(borders[k]), int(borders[min(k + 1, len(borders) - 1)])
+
+
+def repair_jumps(picks: DataFrame, threshold: float, jump_points: int, curve: str = "trace_id", by: str = "group_velocity", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(curve, keep, period, fields of the chosen candidate, replaced, initial_count): each curve's repaired branch, cut to its longest smooth stretch.
+
+    ``picks`` has one row for each curve and period with an array ``candidates`` of structs and ``best``, the place of
+    the preferred one. Only the candidates' velocities ``by`` go to the walk, one call for a batch of curves; what else
+    a candidate holds is carried along in the JVM. Candidates without a velocity are not taken; a period without any is
+    left out. ``keep`` are columns of the curve.
+    """
+    usable = F.filter("candidates", lambda c: c[by].isNotNull())
+    preferred = F.get("candidates", F.col("best"))
+    d = picks.select(curve, *keep, "period", usable.alias("candidates"), F.coalesce(F.array_position(usable, preferred) - 1, F.lit(-1)).cast("int").alias("best")).filter(F.size("candidates") > 0)
+    # Without a velocity of its own the preferred candidate gives way to the first one that has one.
+    d = d.withColumn("best", F.greatest("best", F.lit(0)))
+    whole = d.groupBy(curve).agg(F.array_sort(F.collect_list(F.struct("period", "candidates", "best"))).alias("p"), *[F.first(c).alias(c) for c in keep])
+
+    @F.pandas_udf("struct<choice: array<int>, first: int, last: int>")
+    def walked(periods: pd.Series, options: pd.Series, best: pd.Series) -> pd.DataFrame:
+        found = [branch_choice(np.asarray(p, float), [np.asarray(v, float) for v in o], np.asarray(b, int), threshold, jump_points) for p, o, b in zip(periods, options, best, strict=True)]
+        return pd.DataFrame({"choice": [c.tolist() for c, _, _ in found], "first": [a for _, a, _ in found], "last": [z for _, _, z in found]})
+
+    speeds = F.transform("p", lambda x: F.transform(x["candidates"], lambda c: c[by].cast("double")))
+    d = whole.withColumn("w", walked(F.col("p.period"), speeds, F.col("p.best")))
+    chosen = F.transform("p", lambda x, k: F.struct(x["period"].alias("period"), F.get(x["candidates"], F.get(F.col("w.choice"), k)).alias("c"), (F.get(F.col("w.choice"), k) != x["best"]).alias("replaced")))
+    cut_ = F.slice(chosen, F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1)
+    return d.select(curve, *keep, F.size("p").alias("initial_count"), F.explode(cut_).alias("x")).select(curve, *keep, "x.period", "x.c.*", "x.replaced", "initial_count")
 
 
 def unwrap_times(x: np.ndarray, y: np.ndarray, distance: np.ndarray, time: np.ndarray, period: float, max_residual: float, trials: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

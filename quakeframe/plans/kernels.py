@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import geodesic
+from ..operators import dispersion as D
 from ..operators import grid as G
 from ..operators import kernels as K
 from ..operators import traces as T
@@ -20,30 +21,47 @@ def _rounded(df, n=6):
     return df.select(*[(F.round(c, n) + F.lit(0.0)).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
+def _shifted(s):
+    """The samples 11 s after the start of their axis, and a trace's distance."""
+    return s.select("trace_id", "i", (F.col("t") + 6).alias("t"), "v"), s.select("trace_id").distinct().withColumn("distance", F.lit(40.0))
+
+
 def _picks(s):
-    return T.pick_peaks(K.ftan(s.select("trace_id", "i", (F.col("t") + 6).alias("t"), "v"), PERIODS), s.select("trace_id").distinct().withColumn("distance", F.lit(40.0)))
+    rows, distance = _shifted(s)
+    return T.best_candidates(T.peak_candidates(K.ftan_arrays(rows, PERIODS, traces=distance)))
 
 
 C.add("k1_ftan", "samples", lambda s: _rounded(K.ftan(s, PERIODS)))
 
 
-def _w11(s):
-    """Peaks of a bank whose envelope is the samples' size in steps of a quarter (so there are plateaus), with the samples as phase."""
+def _stepped(s):
+    """A bank whose envelope is the samples' size in steps of a quarter (so there are plateaus), with the samples as phase."""
     bank = s.select("trace_id", F.lit(2.0).alias("period"), "i", (F.col("t") + 6).alias("t"), (F.floor(F.abs("v") * 40) / 4).alias("envelope"), F.col("v").alias("phase"))
-    return _rounded(T.pick_peaks(bank, s.select("trace_id").distinct().withColumn("distance", F.lit(40.0)))).withColumn("i", F.col("i").cast("long"))
+    return T.bank_arrays(bank).withColumn("distance", F.lit(40.0))
+
+
+def _w11(s):
+    return _rounded(T.best_candidates(T.peak_candidates(_stepped(s))).drop("phase", "snr")).withColumn("i", F.col("i").cast("long"))
+
+
+def _w11_all(s):
+    found = T.peak_candidates(_stepped(s)).select("trace_id", "best", F.posexplode("candidates").alias("j", "c"))
+    return _rounded(found.select("trace_id", "c.*", (F.col("j") == F.col("best")).alias("best"))).withColumn("i", F.col("i").cast("long"))
 
 
 _UNWRAP = "{x} - 2 * pi() * round_even(({x} - {base} - 0.5 * pi()) / (2 * pi()), 0)"
-C.add(
-    "w11_pick_peaks",
-    "samples",
-    _w11,
-    f"""WITH b AS (SELECT trace_id, i, t + 6 AS t, floor(abs(v) * 40) / 4 AS e, v AS ph FROM samples), n AS (SELECT *, lag(e) OVER w AS l, lead(e) OVER w AS r, lag(ph) OVER w AS pl, lead(ph) OVER w AS pr FROM b WINDOW w AS (PARTITION BY trace_id ORDER BY i)),
+_PEAKS = f"""WITH b AS (SELECT trace_id, i, t + 6 AS t, floor(abs(v) * 40) / 4 AS e, v AS ph FROM samples), n AS (SELECT *, lag(e) OVER w AS l, lead(e) OVER w AS r, lag(ph) OVER w AS pl, lead(ph) OVER w AS pr, max(i) OVER (PARTITION BY trace_id) AS z FROM b WINDOW w AS (PARTITION BY trace_id ORDER BY i)),
 u AS (SELECT *, sum(CASE WHEN e = l THEN 0 ELSE 1 END) OVER (PARTITION BY trace_id ORDER BY i) AS run FROM n), q AS (SELECT trace_id, run, min(i) AS i0, max(i) AS i1, any_value(e) AS e FROM u GROUP BY trace_id, run), p AS (SELECT trace_id, (i0 + i1) // 2 AS i FROM q QUALIFY lag(e) OVER (PARTITION BY trace_id ORDER BY run) < e AND lead(e) OVER (PARTITION BY trace_id ORDER BY run) < e),
-k AS (SELECT n.*, CASE WHEN p.i IS NOT NULL THEN 2 WHEN t BETWEEN 40 / 5.0 AND 40 / 2.0 THEN 1 ELSE 0 END AS rk FROM n LEFT JOIN p ON p.trace_id = n.trace_id AND p.i = n.i WHERE l IS NOT NULL AND r IS NOT NULL), x AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY rk DESC, e DESC, i) = 1),
-y AS (SELECT *, CASE WHEN l + r - 2 * e = 0 THEN 0 ELSE (l - r) / (l + r - 2 * e) / 2 END AS o, {_UNWRAP.format(x='ph', base='pl')} AS pm FROM x), z AS (SELECT *, {_UNWRAP.format(x='pr', base='pm')} AS prr FROM y), d AS (SELECT *, t + o * 0.5 AS time, o * (pl + prr - 2 * pm) + (prr - pl) / 2 AS dp FROM z)
-SELECT trace_id, 2.0::DOUBLE AS period, i, round(time, 6) AS time, round(40 / time, 6) AS group_velocity, round(e - (l - r) * o / 4, 6) AS amplitude, CASE WHEN dp <> 0 THEN round(2 * pi() * 0.5 / dp, 6) END AS instant_period FROM d""",
-)
+f AS (SELECT trace_id, CASE WHEN i = 0 OR i = z THEN least(greatest(1, (z + 1) // 2), z - 1) ELSE i END AS i FROM n WHERE trace_id NOT IN (SELECT trace_id FROM p) QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY CASE WHEN t BETWEEN 40 / 5.0 AND 40 / 2.0 THEN 1 ELSE 0 END DESC, e DESC, i) = 1),
+a AS (SELECT trace_id, i FROM p UNION ALL SELECT trace_id, i FROM f), k AS (SELECT *, coalesce(lag(i) OVER w, 0) AS lo, lead(i) OVER w AS hi FROM a WINDOW w AS (PARTITION BY trace_id ORDER BY i)),
+m AS (SELECT k.trace_id, k.i, min(CASE WHEN n.i <= k.i THEN n.e END) * min(CASE WHEN n.i >= k.i THEN n.e END) AS low FROM k JOIN n ON n.trace_id = k.trace_id AND n.i >= k.lo AND n.i <= coalesce(k.hi, n.z) GROUP BY k.trace_id, k.i),
+x AS (SELECT n.*, low FROM n JOIN m ON m.trace_id = n.trace_id AND m.i = n.i),
+y AS (SELECT *, CASE WHEN l + r - 2 * e = 0 THEN 0 ELSE (l - r) / (l + r - 2 * e) / 2 END AS o, {_UNWRAP.format(x='ph', base='pl')} AS pm FROM x), w AS (SELECT *, {_UNWRAP.format(x='pr', base='pm')} AS prr FROM y), d AS (SELECT *, t + o * 0.5 AS time, o * (pl + prr - 2 * pm) + (prr - pl) / 2 AS dp, e - (l - r) * o / 4 AS amp FROM w),
+g AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY time <> 0 DESC, amp DESC, i) = 1 AS best FROM d)
+"""
+_PEAK = "round(time, 6) AS time, CASE WHEN time <> 0 THEN round(40 / time, 6) END AS group_velocity, round(amp, 6) AS amplitude, CASE WHEN dp <> 0 THEN round(2 * pi() * 0.5 / dp, 6) END AS instant_period"
+C.add("w11_pick_peaks", "samples", _w11, f"{_PEAKS}SELECT trace_id, 2.0::DOUBLE AS period, i, {_PEAK} FROM g WHERE best")
+C.add("w11_peak_candidates", "samples", _w11_all, f"{_PEAKS}SELECT trace_id, i, {_PEAK}, round(pm + o * (prr - pl) / 2 + o * o * (pl + prr - 2 * pm) / 2, 6) AS phase, round(CASE WHEN low > 0 AND e > 0 THEN e / sqrt(low) ELSE 3.0 END, 6) AS snr, best FROM g")
 
 
 def _branches(s):
@@ -52,7 +70,13 @@ def _branches(s):
 
 C.add("k2_phase_matched_filter", "samples", lambda s: _rounded(K.phase_matched_filter(s, _branches(s))))
 C.add("k2_second_pass", "samples", lambda s: _rounded(K.second_pass(s, cut(_picks(s)), s.select("trace_id").distinct().withColumn("distance", F.lit(40.0)), 1.0, 10.0, 5)))
-C.add("w7_repair_jumps", "curves", lambda c: _rounded(K.repair_jumps(c.select("curve", "period", "velocity", F.col("amplitude").alias("score")).union(c.select("curve", "period", F.col("velocity") + 0.03, F.col("amplitude") / 2)), 50.0, 4)))
+def _repaired(s):
+    rows, distance = _shifted(s)
+    return D.dispersion_branches(rows, distance, tuple(1.5 * 1.08**k for k in range(16)), threshold=20.0, jump_points=4)
+
+
+C.add("w7_repair_jumps", "samples", lambda s: _rounded(_repaired(s)))
+C.add("k1_dispersion", "samples ref_curve", lambda s, r: _rounded(D.measure_dispersion(cut(_repaired(s)), r)))
 
 
 def _points(p):

@@ -124,7 +124,7 @@ def test_snr(spark):
     assert got == pytest.approx({2: 10 / math.sqrt(2)})
 
 
-def test_f_distribution():
+def test_f_distribution_of_equal_degrees():
     assert T.f_cdf(1.0, 10, 10) == pytest.approx(0.5) and T.f_cdf(4.0, 1, 1) == pytest.approx(2 / math.pi * math.atan(2.0))
     assert T.f_cdf(2.0, 2, 2) == pytest.approx(2 / 3)
 
@@ -257,10 +257,16 @@ def test_phase_matched_filter_keeps_the_packet():
 def test_repaired_jump(spark):
     rows = []
     for i, p in enumerate(np.geomspace(5, 50, 12)):
-        rows.append((1, float(p), 3.0 + 0.01 * i + (0.5 if i == 6 else 0.0), 2.0))
-        rows.append((1, float(p), 3.0 + 0.01 * i, 1.0))
-    got = N.repair_jumps(spark.createDataFrame(rows, "curve long, period double, velocity double, score double"), 0.5, 3).orderBy("period").collect()
+        rows.append((1, float(p), [(3.0 + 0.01 * i, 1.0 + i), (3.0 + 0.01 * i + 0.5, 50.0 + i)] if i == 6 else [(3.0 + 0.01 * i, 1.0 + i)], int(i == 6)))
+    d = spark.createDataFrame(rows, "curve long, period double, candidates array<struct<velocity: double, amplitude: double>>, best int")
+    got = N.repair_jumps(d, 0.5, 3, "curve", "velocity").orderBy("period").collect()
     assert [r["velocity"] for r in got] == pytest.approx([3.0 + 0.01 * i for i in range(12)])
+    assert [r["amplitude"] for r in got] == pytest.approx([1.0 + i for i in range(12)])
+    assert [r["replaced"] for r in got] == [i == 6 for i in range(12)] and {r["initial_count"] for r in got} == {12}
+    # Without another candidate the jump stays and the branch ends at it.
+    alone = d.withColumn("candidates", F.when(F.size("candidates") > 1, F.slice("candidates", 2, 1)).otherwise(F.col("candidates"))).withColumn("best", F.lit(0))
+    left = N.repair_jumps(alone, 0.5, 3, "curve", "velocity").orderBy("period").collect()
+    assert len(left) < 12 and not any(r["replaced"] for r in left)
 
 
 def test_constant_medium_maps_to_its_velocity(spark):
