@@ -241,10 +241,12 @@ def repair_jumps(picks: DataFrame, threshold: float, jump_points: int, curve: st
     """
     usable = F.filter("candidates", lambda c: c[by].isNotNull())
     preferred = F.get("candidates", F.col("best"))
-    d = picks.select(curve, *keep, "period", usable.alias("candidates"), F.coalesce(F.array_position(usable, preferred) - 1, F.lit(-1)).cast("int").alias("best")).filter(F.size("candidates") > 0)
     # Without a velocity of its own the preferred candidate gives way to the first one that has one.
-    d = d.withColumn("best", F.greatest("best", F.lit(0)))
+    best = F.greatest(F.coalesce(F.array_position(usable, preferred) - 1, F.lit(0)), F.lit(0)).cast("int")
+    d = picks.select(curve, *keep, "period", usable.alias("candidates"), best.alias("best"))
     whole = d.groupBy(curve).agg(F.array_sort(F.collect_list(F.struct("period", "candidates", "best"))).alias("p"), *[F.first(c).alias(c) for c in keep])
+    # A filter on rows of ``picks`` would be spelled out below all the array expressions that made them.
+    whole = whole.withColumn("p", F.filter("p", lambda x: F.size(x["candidates"]) > 0)).filter(F.size("p") > 0)
 
     @F.pandas_udf("struct<choice: array<int>, first: int, last: int>")
     def walked(periods: pd.Series, options: pd.Series, best: pd.Series) -> pd.DataFrame:
@@ -255,7 +257,7 @@ def repair_jumps(picks: DataFrame, threshold: float, jump_points: int, curve: st
     d = whole.withColumn("w", walked(F.col("p.period"), speeds, F.col("p.best")))
     chosen = F.transform("p", lambda x, k: F.struct(x["period"].alias("period"), F.get(x["candidates"], F.get(F.col("w.choice"), k)).alias("c"), (F.get(F.col("w.choice"), k) != x["best"]).alias("replaced")))
     cut_ = F.slice(chosen, F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1)
-    return d.select(curve, *keep, F.size("p").alias("initial_count"), F.explode(cut_).alias("x")).select(curve, *keep, "x.period", "x.c.*", "x.replaced", "initial_count")
+    return d.select(curve, *keep, F.size("p").alias("initial_count"), F.explode_outer(cut_).alias("x")).select(curve, *keep, "x.period", "x.c.*", "x.replaced", "initial_count")
 
 
 def unwrap_times(x: np.ndarray, y: np.ndarray, distance: np.ndarray, time: np.ndarray, period: float, max_residual: float, trials: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -150,7 +150,7 @@ def test_no_shuffle_between_bank_and_picks(spark, samples):
     traces = samples.select("trace_id").distinct().withColumn("distance", F.lit(40.0))
     plan = T.best_candidates(T.peak_candidates(K.ftan_arrays(samples, PERIODS, traces=traces)))._jdf.queryExecution().executedPlan().toString()
     above = plan.split("MapInPandas")[0]
-    assert "MapInPandas" in plan and "Exchange" not in above and "Generate" not in above
+    assert "MapInPandas" in plan and not any(x in above for x in ("Exchange", "Sort", "Window", "Join"))
 
 
 def test_wave_packet_to_dispersion_table(spark):
