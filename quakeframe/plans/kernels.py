@@ -45,7 +45,7 @@ def _w11(s):
 
 
 def _w11_all(s):
-    found = T.peak_candidates(_stepped(s)).select("trace_id", "best", F.posexplode("candidates").alias("j", "c"))
+    found = T.peak_candidates(_stepped(s)).select("trace_id", "best", F.posexplode_outer("candidates").alias("j", "c"))
     return _rounded(found.select("trace_id", "c.*", (F.col("j") == F.col("best")).alias("best"))).withColumn("i", F.col("i").cast("long"))
 
 
