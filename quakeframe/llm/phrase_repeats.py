@@ -131,8 +131,8 @@ def name_of(sha: str = "sha") -> Column:
     return F.unhex(F.substring(sha, 1, 32))
 
 
-def distinct_texts(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Texts of ``PASSAGE`` bytes or more as (k, raw), one row each, in a table bucketed by ``k``. Copies go inside each task before texts move."""
+def distinct_texts(docs: DataFrame, text: str, name: str, path: str) -> DataFrame:
+    """Texts of ``PASSAGE`` bytes or more as (k, raw), one row each, in a table bucketed by ``k`` whose files lie in ``path``. Copies go inside each task before texts move."""
     spark = docs.sparkSession
     ddl = "k binary, raw binary"
     target = common.arrow_schema(spark, ddl)
@@ -145,7 +145,7 @@ def distinct_texts(docs: DataFrame, text: str, name: str) -> DataFrame:
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter(F.octet_length(text) >= PASSAGE).select(text_sha(text).alias("sha"), F.col(text).cast("binary").alias("raw")).select(name_of().alias("k"), "raw")
-    rows.mapInArrow(first, ddl).repartition(n, "k").mapInArrow(first, ddl).write.option("compression", "zstd").bucketBy(n, "k").saveAsTable(name)
+    rows.mapInArrow(first, ddl).repartition(n, "k").mapInArrow(first, ddl).write.option("compression", "zstd").option("path", path).bucketBy(n, "k").saveAsTable(name)
     return spark.table(name)
 
 
@@ -235,7 +235,7 @@ def removed(docs: DataFrame, text: str = "text") -> DataFrame:
     name = f"phrase_repeats_{uuid.uuid4().hex}"
     try:
         with common.Scratch(spark) as scratch:
-            return _removed(docs, text, distinct_texts(docs, text, name), scratch)
+            return _removed(docs, text, distinct_texts(docs, text, name, f"{scratch.path}/texts"), scratch)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 

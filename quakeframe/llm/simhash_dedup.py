@@ -125,36 +125,51 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(joined).filter(close).union(stars).distinct()
 
 
-def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """(key, fp, component_id) of every row; a class is named by its smallest key."""
-    marked = common.cut(fingerprints(docs.select(key, text), text, size))
+def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, fp, component_id) of every row; a class is named by its smallest key."""
+    marked = common.cut(fingerprints(docs.select(key, *keep, text), text, size))
     prints = common.cut(marked.groupBy("fp").agg(F.min(key).alias("doc")))
     linked = connected(links(prints))
     own = linked.join(prints, linked["node"] == prints["fp"]).select("root", "fp", "doc")
     named = own.join(own.groupBy("root").agg(F.min("doc").alias("least")), "root").select("fp", "least")
     # Written first, so that the join can split a fingerprint that many rows have.
     names = common.cut(prints.join(named, "fp", "left").select("fp", F.coalesce("least", "doc").alias("component_id")))
-    return marked.join(names, "fp").select(key, "fp", "component_id")
+    return marked.join(names, "fp").select(key, *keep, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
-    """One row of each class, the one with the smallest key, with all columns. Rows without a key stay, since no class can name them."""
-    return keep_named(docs, classes(docs, text, key, size).filter(F.col(key) == F.col("component_id")).select(key).distinct(), key)
+    """One row of each class, the one with the smallest key, with all columns; of rows with that key the one whose text has the smallest hash. Rows without a key stay, since no class can name them."""
+    rows = classes(with_hash(docs.filter(F.col(key).isNotNull()).select(key, text), text), text, key, size, (TEXT_HASH,))
+    first = rows.groupBy("component_id").agg(F.min(F.struct(key, TEXT_HASH)).alias("x"))
+    return keep_named(docs, common.cut(first.select("x.*")), key, text)
 
 
-def keep_named(docs: DataFrame, named: DataFrame, key: str) -> DataFrame:
-    """One row of each key in ``named``, and the rows without a key."""
-    # Texts are dealt by key and never sorted; repeated rows of a key meet in one partition, where the first one stays.
-    dealt = docs.filter(F.col(key).isNotNull()).repartition(key).join(named.hint("shuffle_hash"), key, "left_semi").select(docs.columns)
-    at = docs.columns.index(key)
+#: Column by which rows of one id are told apart.
+TEXT_HASH = "__text_hash"
+
+
+def with_hash(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn(TEXT_HASH, F.xxhash64(text))
+
+
+def keep_named(docs: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of each (key, hash of the text) in ``named``, and the rows without a key.
+
+    Which of several equal rows stays makes no difference to key and text. Equal rows go inside each task before rows
+    are dealt, so a row that is repeated very often does not meet in one task, nor do different texts under one key.
+    """
+    rows = with_hash(docs.filter(F.col(key).isNotNull()), text)
+    at = [rows.columns.index(c) for c in (key, TEXT_HASH)]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for b in batches:
-            fresh = [not (k in seen or seen.add(k)) for k in b.column(at).to_pylist()]
+            fresh = [not (k in seen or seen.add(k)) for k in zip(*(b.column(i).to_pylist() for i in at), strict=True)]
             yield b.filter(pa.array(fresh, pa.bool_()))
 
-    return dealt.mapInArrow(first, docs.schema).unionByName(docs.filter(F.col(key).isNull()))
+    # Texts are never sorted; equal rows of different tasks meet in one partition, where the first one stays.
+    dealt = rows.mapInArrow(first, rows.schema).repartition(key, TEXT_HASH).join(named.hint("shuffle_hash"), [key, TEXT_HASH], "left_semi").select(rows.columns)
+    return dealt.mapInArrow(first, rows.schema).select(docs.columns).unionByName(docs.filter(F.col(key).isNull()))
 
 
 def hexadecimal(fp: str = "fp") -> object:
