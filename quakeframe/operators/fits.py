@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUANTILES = (0.01, 0.05, 0.16, 0.5, 0.84, 0.95, 0.99)
@@ -12,15 +14,30 @@ DRAW = ("station", "chain", "step")
 def residual_join(obs: DataFrame, pred: DataFrame, tol: float = 1e-8) -> DataFrame:
     """(station, observable, model_id, period, value, sigma, predicted, unmatched): observed and predicted values by period.
 
-    A full outer join on the period rounded to the tolerance's digits; rows that lack a side are kept with ``unmatched``.
+    Both sides of a model are sorted together, once: a value and its partner within the tolerance are neighbours, and a
+    pair is two neighbours of different sides of which each is the other's nearest (the lower one on ties). So every row
+    has one partner at most; equal periods pair in turn. Rows that lack a partner are kept with ``unmatched``.
     """
-    key = lambda d: d.withColumn("__k", F.round("period", 6))
-    models = pred.select("station", "observable", "model_id").distinct()
-    o = key(models.join(obs, ["station", "observable"]))
-    p = key(pred).withColumnRenamed("period", "__p")
-    d = o.join(p, ["station", "observable", "model_id", "__k"], "full")
-    same = F.abs(F.col("period") - F.col("__p")) <= tol
-    return d.select("station", "observable", "model_id", F.coalesce("period", "__p").alias("period"), "value", "sigma", "predicted", (~F.coalesce(same, F.lit(False))).alias("unmatched"))
+    by = ["station", "observable", "model_id"]
+    models = pred.select(*by).distinct()
+    o = models.join(obs, ["station", "observable"]).select(*by, F.lit(0).alias("__side"), "period", "value", "sigma", F.lit(None).cast("double").alias("predicted"))
+    p = pred.select(*by, F.lit(1).alias("__side"), "period", F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("sigma"), "predicted")
+    turn = F.row_number().over(Window.partitionBy(*by, "__side", "period").orderBy("value", "sigma", "predicted"))
+    d = o.unionByName(p).withColumn("__turn", turn)
+    w = Window.partitionBy(*by).orderBy("period", "__turn", "__side")
+
+    def gap(f: Callable[..., Column]) -> Column:
+        away = F.abs(f("period").over(w) - F.col("period"))
+        in_turn = (away > 0) | (f("__turn").over(w) == F.col("__turn"))
+        return F.when((f("__side").over(w) != F.col("__side")) & (away <= tol) & in_turn, away)
+
+    d = d.withColumns({"__back": gap(F.lag), "__ahead": gap(F.lead)})
+    step = F.when(F.col("__back") <= F.coalesce("__ahead", F.lit(float("inf"))), -1).when(F.col("__ahead").isNotNull(), 1).otherwise(0)
+    d = d.withColumn("__to", step)
+    paired = F.when((F.col("__to") == -1) & (F.lag("__to").over(w) == 1), -1).when((F.col("__to") == 1) & (F.lead("__to").over(w) == -1), 1).otherwise(0)
+    d = d.withColumns({"__pair": paired, "__lp": F.lag("predicted").over(w), "__np": F.lead("predicted").over(w)})
+    found = F.when(F.col("__pair") == -1, F.col("__lp")).when(F.col("__pair") == 1, F.col("__np")).otherwise(F.col("predicted"))
+    return d.filter((F.col("__side") == 0) | (F.col("__pair") == 0)).select(*by, "period", "value", "sigma", found.alias("predicted"), (F.col("__pair") == 0).alias("unmatched"))
 
 
 def gaussian_fit(rows: DataFrame, weight: float = 1.0, keys: tuple[str, ...] = ("station", "model_id", "observable")) -> DataFrame:

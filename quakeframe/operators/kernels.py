@@ -412,31 +412,46 @@ def event_fields(
     cycle_skips: dict | None = None,
     helmholtz: bool = True,
     neighbours: int | None = None,
+    min_cells: int = 1,
+    min_fraction: float = 0.0,
+    amplitude: dict | None = None,
 ) -> DataFrame:
-    """Gridded slowness of every source and period, with rejection codes of both families.
+    """Gridded slowness of every source and period, with rejection codes and acceptance of both families.
 
     Filter, distances, cycle correction, gridding, stencils and cascades for all sources at once; only the cycle
-    correction and the solves leave the JVM. Sources with too few points appear with code 8 in every cell.
+    correction and the solves leave the JVM. Sources with too few points appear with code 8 in every cell. ``accepted``
+    (and ``helmholtz_accepted``) says whether the source keeps enough cells of its map, ``cell`` numbers the cells, and
+    n_input, n_used, n_amplitude, n_corrected and n_rejected count the source's measurements; so the result can be
+    written (``write_event_fields``) and stacked (``eikonal_vs_helmholtz``) as it is.
+
+    ``amplitude`` may hold min_amplitude, max_relative_difference (of the two solutions), reference_velocity and
+    min_period of the amplitude family.
     """
     settle(measurements.sparkSession)
+    own = {"min_amplitude": 0.0, "max_relative_difference": 0.01, "reference_velocity": 4.0, "min_period": 0.0} | (amplitude or {})
+    key, place = ["period_s", "source"], ["i_lat", "i_lon"]
     d = M.valid_measurements(measurements, min_snr)
     d = d.withColumn("distance_km", geodesic(F.col("src_lon"), F.col("src_lat"), F.col("rcv_lon"), F.col("rcv_lat"))["distance_km"])
     d = d.withColumn("travel_time", travel_time(F.col("distance_km"), F.col("c")))
-    where = d.select("period_s", "source", "src_lon", "src_lat").distinct()
-    fixed = correct_cycle_skips(d, **(cycle_skips or {})).filter("valid").drop("valid", "residual")
-    points = cut(fixed.join(where, ["period_s", "source"]))
+    where = d.select(*key, "src_lon", "src_lat").distinct()
+    checked = cut(correct_cycle_skips(d, **(cycle_skips or {})))
+    points = checked.filter("valid").drop("valid", "residual").join(where, key)
+    # Amplitudes of the measurements whose cycles hold.
+    loud = d.filter((F.col("amp") > own["min_amplitude"]) & (F.col("period_s") >= own["min_period"])).join(checked.filter("valid").select(*key, "receiver"), [*key, "receiver"], "left_semi")
+    used = checked.groupBy(*key).agg(F.sum(F.col("valid").cast("long")).alias("n_used"), F.sum((F.col("valid") & (F.col("cycles") != 0)).cast("long")).alias("n_corrected"), F.sum((~F.col("valid")).cast("long")).alias("n_rejected"))
+    counts = d.groupBy(*key).agg(F.count("*").alias("n_input")).join(used, key, "left").join(loud.groupBy(*key).agg(F.count("*").alias("n_amplitude")), key, "left").na.fill(0, ["n_used", "n_corrected", "n_rejected", "n_amplitude"])
     field = cut(grid_travel_times(points, grid, neighbours=neighbours))
-    xy = bounded(grid.select("i_lat", "i_lon", "lat", "lon", "x_km", "y_km"))
-    t = field.join(xy, ["i_lat", "i_lon"])
+    xy = bounded(grid.select(*place, "lat", "lon", "x_km", "y_km"))
+    t = field.join(xy, place)
     t = G.laplacian(G.gradient(G.gradient(t, "lon", out="east"), "lat", out="north"))
     t = G.adjacent_to_null(t).withColumns({"slowness": F.hypot("north", "east"), "angle": wrap180(F.degrees(F.atan2("east", "north")))}).withColumn("velocity", F.when(F.col("slowness") > 0, 1 / F.col("slowness")))
     n_lat, n_lon = (grid.agg(F.max("i_lat") + 1, F.max("i_lon") + 1).first())[0:2]
     box = grid.agg(F.min("lon") + F.max("lon"), F.min("lat") + F.max("lat")).first()
     cover = G.station_coverage(grid, points, (box[0] / 2, box[1] / 2), **(coverage or {}))
-    t = M.boundary_cells(t.join(cover, ["period_s", "source", "i_lat", "i_lon"]), n_lat, n_lon, boundary)
-    every = with_geodesic(where.crossJoin(bounded(grid.select("i_lat", "i_lon", "lat", "lon"))), "src_lon", "src_lat", "lon", "lat")
-    every = every.select("period_s", "source", "i_lat", "i_lon", F.col("g.distance_km").alias("source_km"), F.col("g.azimuth").alias("azimuth"))
-    t = every.join(t.drop("lat", "lon", "x_km", "y_km"), ["period_s", "source", "i_lat", "i_lon"], "left")
+    t = M.boundary_cells(t.join(cover, [*key, *place]), n_lat, n_lon, boundary)
+    every = with_geodesic(where.crossJoin(bounded(grid.select(*place, "lat", "lon"))), "src_lon", "src_lat", "lon", "lat")
+    every = every.select(*key, *place, (F.col("i_lat") * n_lon + F.col("i_lon")).cast("int").alias("cell"), F.col("g.distance_km").alias("source_km"), F.col("g.azimuth").alias("azimuth"))
+    t = every.join(t.drop("lat", "lon", "x_km", "y_km"), [*key, *place], "left")
     reason = M.first_reason(
         {
             "adjacent": F.col("value").isNull() | F.col("adjacent"),
@@ -450,12 +465,17 @@ def event_fields(
         failed=F.col("value").isNull(),
     )
     t = t.withColumn("reason", reason).withColumn("deflection", wrap180(F.col("angle") - F.col("azimuth")))
+    accepted = lambda df, code, out: M.source_acceptance(df, n_lat * n_lon, min_cells, min_fraction, code, out).select(*key, out)
     if not helmholtz:
-        return t
-    amp = grid_travel_times(d.filter("amp > 0"), grid, "amp", source_at_zero=False, neighbours=neighbours).select("period_s", "source", "i_lat", "i_lon", F.col("value").alias("amplitude"), F.col("other").alias("amplitude_other"))
-    a = G.laplacian(amp.join(xy, ["i_lat", "i_lon"]).drop("lat", "lon"), "amplitude", "amplitude_laplacian").drop("x_km", "y_km")
-    t = t.join(a, ["period_s", "source", "i_lat", "i_lon"], "left")
+        t = cut(t)
+        return t.join(accepted(t, "reason", "accepted"), key).join(counts, key)
+    amp = grid_travel_times(loud, grid, "amp", source_at_zero=False, neighbours=neighbours).select(*key, *place, F.col("value").alias("amplitude"), F.col("other").alias("amplitude_other"))
+    a = G.laplacian(amp.join(xy, place).drop("lat", "lon"), "amplitude", "amplitude_laplacian").drop("x_km", "y_km")
+    a = G.adjacent_to_null(a, "amplitude").withColumnRenamed("adjacent", "amplitude_adjacent").withColumn("amplitude_computed", F.lit(True))
+    t = t.join(a, [*key, *place], "left")
     t = t.withColumn("correction", helmholtz_correction(F.col("amplitude"), F.col("amplitude_laplacian"), F.col("period_s")))
-    code = M.helmholtz_reason(F.col("reason"), F.col("amplitude"), F.col("correction"), F.col("slowness"), reference_velocity, computed=F.col("amplitude").isNotNull())
+    unstable = F.abs(F.col("amplitude") - F.col("amplitude_other")) > own["max_relative_difference"] * F.abs("amplitude")
+    code = M.helmholtz_reason(F.col("reason"), F.col("amplitude"), F.col("correction"), F.col("slowness"), own["reference_velocity"], unstable, F.col("amplitude_computed"), F.col("amplitude_adjacent"), own["min_amplitude"])
     s2 = F.col("slowness") * F.col("slowness") - F.col("correction")
-    return t.withColumns({"helmholtz_reason": code, "helmholtz_slowness": F.when(s2 > 0, F.sqrt(s2))})
+    t = cut(t.withColumns({"helmholtz_reason": code, "helmholtz_slowness": F.when(s2 > 0, F.sqrt(s2))}).drop("amplitude_computed"))
+    return t.join(accepted(t, "reason", "accepted"), key).join(accepted(t, "helmholtz_reason", "helmholtz_accepted"), key).join(counts, key)

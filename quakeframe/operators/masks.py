@@ -31,14 +31,21 @@ def first_reason(conditions: dict[str, Column], failed: Column | None = None) ->
     return out.otherwise(0).cast("tinyint")
 
 
-def helmholtz_reason(eikonal: Column, amplitude: Column, correction: Column, slowness: Column, reference_velocity: float, unstable: Column | None = None, computed: Column | None = None) -> Column:
-    """Code of the amplitude family: not computed, eikonal rejected, bad amplitude, unstable, too curved, no real slowness, or 0."""
+def helmholtz_reason(eikonal: Column, amplitude: Column, correction: Column, slowness: Column, reference_velocity: float, unstable: Column | None = None, computed: Column | None = None, adjacent: Column | None = None, min_amplitude: float = 0.0) -> Column:
+    """Code of the amplitude family: not computed, eikonal rejected, bad amplitude, unstable, too curved, no real slowness, or 0.
+
+    A bad amplitude is missing, not above ``min_amplitude``, or beside a missing one (``adjacent``); a missing correction
+    is too curved.
+    """
     s2 = slowness * slowness - correction
     out = F.when(~F.coalesce(computed, F.lit(False)), 1) if computed is not None else F.when(F.lit(False), 1)
-    out = out.when(eikonal != 0, 2).when(F.coalesce(finite(amplitude) <= 0, F.lit(True)), 4)
+    bad = F.coalesce(finite(amplitude) <= min_amplitude, F.lit(True))
+    if adjacent is not None:
+        bad = bad | F.coalesce(adjacent, F.lit(False))
+    out = out.when(eikonal != 0, 2).when(bad, 4)
     if unstable is not None:
         out = out.when(unstable, 3)
-    return out.when(F.coalesce(F.abs(correction) > 1 / reference_velocity**2, F.lit(False)), 5).when(F.coalesce(s2 <= 0, F.lit(True)), 6).otherwise(0).cast("tinyint")
+    return out.when(F.coalesce(F.abs(finite(correction)) > 1 / reference_velocity**2, F.lit(True)), 5).when(F.coalesce(s2 <= 0, F.lit(True)), 6).otherwise(0).cast("tinyint")
 
 
 def near_source(cells: DataFrame, reference_velocity: float = 3.0, wavelengths: float = 1.0) -> DataFrame:
@@ -64,7 +71,7 @@ def slowness_select(df: DataFrame, low: float, high: float, reverse: bool = Fals
     return df.filter(~keep if reverse else keep)
 
 
-def source_acceptance(cells: DataFrame, grid_cells: int, min_cells: int = 1, min_fraction: float = 0.0) -> DataFrame:
+def source_acceptance(cells: DataFrame, grid_cells: int, min_cells: int = 1, min_fraction: float = 0.0, reason: str = "reason", out: str = "accepted") -> DataFrame:
     """Accepted sources per period: valid cells are at least ``min_cells`` and the given part of the whole grid."""
-    counts = cells.groupBy("period_s", "source").agg(F.sum((F.col("reason") == 0).cast("long")).alias("n_valid"))
-    return counts.withColumn("accepted", (F.col("n_valid") > 0) & (F.col("n_valid") >= min_cells) & (F.col("n_valid") / grid_cells >= min_fraction))
+    counts = cells.groupBy("period_s", "source").agg(F.sum((F.col(reason) == 0).cast("long")).alias("n_valid"))
+    return counts.withColumn(out, (F.col("n_valid") > 0) & (F.col("n_valid") >= min_cells) & (F.col("n_valid") / grid_cells >= min_fraction))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import RHO_SCALINGS, VP_SCALINGS
-from ..session import bounded
+from ..session import bounded, cut
 from .grid import gradient
 
 
@@ -168,24 +168,45 @@ def spline_profile(coefficients: DataFrame, basis: DataFrame) -> DataFrame:
     return coefficients.join(bounded(basis), "j").groupBy("model_id", "depth").agg(F.sum(F.col("value") * F.col("b")).alias("vs"))
 
 
+def spline_normal_sums(samples: DataFrame, basis: DataFrame) -> DataFrame:
+    """(model_id, i, j, a): the normal equations of weighted least squares on (model_id, depth, vs, weight), i <= j; i = -1 is the right side.
+
+    Rows and values are multiplied by the weight, so sums hold its square. Only the few basis functions that are not
+    zero at a depth meet each other: the sums are a band, and each sample gives a fixed number of terms. The basis is
+    one row for each depth.
+    """
+    at = basis.filter("b <> 0").groupBy("depth").agg(F.array_sort(F.collect_list(F.struct("j", "b"))).alias("f"))
+    d = samples.filter(F.col("vs").isNotNull() & F.col("weight").isNotNull()).join(bounded(at), "depth")
+    w2 = F.col("weight") * F.col("weight")
+    term = lambda i, j, a: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), a.alias("a"))
+    band = F.flatten(F.transform("f", lambda x, k: F.transform(F.slice(F.col("f"), k + 1, F.size("f")), lambda y: term(x["j"], y["j"], w2 * x["b"] * y["b"]))))
+    right = F.transform("f", lambda x: term(F.lit(-1), x["j"], w2 * x["b"] * F.col("vs")))
+    return d.select("model_id", F.inline(F.concat(band, right))).groupBy("model_id", "i", "j").agg(F.sum("a").alias("a"))
+
+
 def fit_spline_coefficients(samples: DataFrame, basis: DataFrame, smoothing: float = 0.0) -> DataFrame:
-    """(model_id, j, value) of weighted least squares on (model_id, depth, vs, weight), with an optional penalty on second differences.
+    """(model_id, j, value, rms) of weighted least squares on (model_id, depth, vs, weight), with an optional penalty on second differences.
 
-    The normal equations are sums over all samples; only the small system of each model is solved in a grouped kernel.
+    ``spline_normal_sums`` runs over all samples; only the small system of each model is solved in a grouped kernel. A
+    second pass takes the root mean square of the residuals, which are not weighted.
     """
     n = basis.agg(F.max("j")).first()[0] + 1
-    d = samples.join(bounded(basis), "depth")
-    i = bounded(basis.select(F.col("j").alias("i"), "depth", F.col("b").alias("bi")))
-    normal = d.join(i, "depth").groupBy("model_id", "i", "j").agg(F.sum(F.col("weight") * F.col("bi") * F.col("b")).alias("a"))
-    right = d.groupBy("model_id", "j").agg(F.sum(F.col("weight") * F.col("b") * F.col("vs")).alias("a")).select("model_id", F.lit(-1).alias("i"), "j", "a")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         m, y = np.zeros((n, n)), np.zeros(n)
-        rhs = pdf["i"] < 0
-        y[pdf["j"][rhs]] = pdf["a"][rhs]
-        m[pdf["i"][~rhs], pdf["j"][~rhs]] = pdf["a"][~rhs]
-        second = np.diff(np.eye(n), 2, axis=0)
-        x = np.linalg.lstsq(m + smoothing * second.T @ second, y, rcond=None)[0]
-        return pd.DataFrame({"model_id": pdf["model_id"].iloc[0], "j": np.arange(n, dtype=np.int32), "value": x})
-
-    return normal.unionByName(right).groupBy("model_id").applyInPandas(solve, "model_id long, j int, value double")
+        right = (pdf["i"] < 0).to_numpy()
+        i, j, a = (pdf[c].to_numpy() for c in ("i", "j", "a"))
+        y[j[right]] = a[right]
+        m[i[~right], j[~right]] = m[j[~right], i[~right]] = a[~right]
+        if smoothing > 0 and n > 2:
+            second = np.diff(np.eye(n), 2, axis=0)
+            m += smoothing * second.T @ second
+        return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "c": [np.linalg.lstsq(m, y, rcond=None)[0].tolist()]})
+
+    kind = samples.schema["model_id"].dataType.simpleString()
+    found = cut(spline_normal_sums(samples, basis).groupBy("model_id").applyInPandas(solve, f"model_id {kind}, c array<double>"))
+    at = basis.filter("b <> 0").groupBy("depth").agg(F.collect_list(F.struct("j", "b")).alias("f"))
+    predicted = F.aggregate("f", F.lit(0.0), lambda s, x: s + x["b"] * F.get(F.col("c"), x["j"]))
+    gap = F.col("vs") - predicted
+    rms = samples.join(bounded(at), "depth").join(found, "model_id").groupBy("model_id").agg(F.sqrt(F.avg(gap * gap)).alias("rms"))
+    return found.join(rms, "model_id").select("model_id", F.posexplode("c").alias("j", "value"), "rms")

@@ -124,10 +124,11 @@ def stack_cells(events: DataFrame, width: float = 20.0, min_raw_measurements_per
 
 
 def eikonal_vs_helmholtz(events: DataFrame, **config: object) -> DataFrame:
-    """Both slowness families stacked by one plan: ``events`` also has helmholtz_slowness and helmholtz_reason; those columns of the result have the prefix ``helmholtz_``."""
+    """Both slowness families stacked by one plan: ``events`` also has helmholtz_slowness and helmholtz_reason, and may have helmholtz_accepted, the acceptance of that family; those columns of the result have the prefix ``helmholtz_``."""
     keys = tuple(config.pop("keys", KEYS))  # type: ignore[arg-type]
     own = events.select(*keys, "source", "azimuth", "accepted", F.lit("").alias("family"), "slowness", "reason")
-    other = events.select(*keys, "source", "azimuth", "accepted", F.lit("helmholtz_").alias("family"), F.col("helmholtz_slowness").alias("slowness"), F.col("helmholtz_reason").alias("reason"))
+    own_word = F.col("helmholtz_accepted") if "helmholtz_accepted" in events.columns else F.col("accepted")
+    other = events.select(*keys, "source", "azimuth", own_word.alias("accepted"), F.lit("helmholtz_").alias("family"), F.col("helmholtz_slowness").alias("slowness"), F.col("helmholtz_reason").alias("reason"))
     both = stack_cells(own.unionByName(other), keys=(*keys, "family"), **config)  # type: ignore[arg-type]
     values = [c for c in both.columns if c not in (*keys, "family")]
     picked = [F.max(F.when(F.col("family") == f, F.col(c))).alias(f"{f}{c}") for f in ("", "helmholtz_") for c in values]
@@ -135,10 +136,12 @@ def eikonal_vs_helmholtz(events: DataFrame, **config: object) -> DataFrame:
 
 
 def field_summary(cells: DataFrame, codes: tuple[int, ...] = tuple(range(9))) -> DataFrame:
-    """Cells per rejection code for each source and period, and corrected or rejected cycle counts where the column is there."""
+    """Cells per rejection code for each source and period, and what is counted of the source's measurements where the columns are there."""
     aggs = [F.sum((F.col("reason") == c).cast("long")).alias(f"reason_{c}") for c in codes]
     if "cycles" in cells.columns:
         aggs += [F.sum((F.col("cycles") != 0).cast("long")).alias("n_corrected")]
+    aggs += [F.max(c).alias(c) for c in ("n_input", "n_used", "n_amplitude", "n_corrected", "n_rejected") if c in cells.columns]
+    aggs += [F.max(c).alias(c) for c in ("accepted", "helmholtz_accepted") if c in cells.columns]
     return cells.groupBy("period_s", "source").agg(*aggs)
 
 

@@ -49,8 +49,8 @@ C.add("f2_first_reason", "field", _f2, "SELECT period_s, i_lat, i_lon, CASE WHEN
 C.add(
     "f3_helmholtz_reason",
     "field",
-    lambda d: d.select("period_s", "i_lat", "i_lon", M.helmholtz_reason(F.col("i_lat") % 4, F.col("value") - 30, (F.col("x_km") - 200) / 1500, F.lit(0.28), 3.0, F.col("i_lon") % 9 == 0, F.col("period_s") != 35).cast("int").alias("reason")),
-    "SELECT period_s, i_lat, i_lon, CASE WHEN period_s = 35 THEN 1 WHEN i_lat % 4 <> 0 THEN 2 WHEN value - 30 <= 0 THEN 4 WHEN i_lon % 9 = 0 THEN 3 WHEN abs((x_km - 200) / 1500) > 1 / 9.0::DOUBLE THEN 5 WHEN 0.28::DOUBLE * 0.28::DOUBLE - (x_km - 200) / 1500 <= 0 THEN 6 ELSE 0 END AS reason FROM field",
+    lambda d: d.select("period_s", "i_lat", "i_lon", M.helmholtz_reason(F.col("i_lat") % 4, F.when(F.col("i_lat") != 12, F.col("value")), F.when(F.col("i_lon") % 11 != 5, (F.col("x_km") - 200) / 1500), F.lit(0.28), 3.0, F.col("i_lon") % 9 == 0, F.col("period_s") != 35, F.col("i_lon") % 13 == 7, 30.0).cast("int").alias("reason")),
+    "SELECT period_s, i_lat, i_lon, CASE WHEN period_s = 35 THEN 1 WHEN i_lat % 4 <> 0 THEN 2 WHEN value <= 30 OR i_lat = 12 OR i_lon % 13 = 7 THEN 4 WHEN i_lon % 9 = 0 THEN 3 WHEN i_lon % 11 = 5 OR abs((x_km - 200) / 1500) > 1 / 9.0::DOUBLE THEN 5 WHEN 0.28::DOUBLE * 0.28::DOUBLE - (x_km - 200) / 1500 <= 0 THEN 6 ELSE 0 END AS reason FROM field",
 )
 C.add(
     "f4_near_source",

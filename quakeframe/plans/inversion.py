@@ -86,13 +86,21 @@ _BASIS = ", ".join(f"({j}, {d!r}::DOUBLE, {float(b)!r}::DOUBLE)" for d, row in z
 C.add("j14_spline_profile", "segments", lambda s: _rounded(_j14(s)), f"SELECT model_id, depth, round(sum(value * b), 6) AS vs FROM (SELECT model_id, seg AS j, v_top AS value FROM segments UNION ALL SELECT model_id, seg + 2, v_bottom FROM segments WHERE seg > 1) c JOIN (VALUES {_BASIS}) t(j, depth, b) USING (j) GROUP BY model_id, depth")
 
 
-def _a32(p):
-    d = p.groupBy("model_id", "depth").agg(F.max("vs").alias("vs")).withColumn("weight", F.lit(1.0))
-    depths = sorted({t + (b - t) * q / 4 for t, b in ((0, 1), (1, 3), (3, 7), (7, 15)) for q in range(5)})
-    return M.fit_spline_coefficients(d, M.basis_table(p.sparkSession, 5, 3, [float(x) for x in depths]), 1e-3)
+_DEPTHS = sorted({float(t + (b - t) * q / 4) for t, b in ((0, 1), (1, 3), (3, 7), (7, 15)) for q in range(5)})
 
 
-C.add("a32_fit_spline", "profile", lambda p: _rounded(_a32(p), 4))
+def _weighted(p):
+    return p.groupBy("model_id", "depth").agg(F.max("vs").alias("vs")).withColumn("weight", 1 + F.col("depth") / 5), M.basis_table(p.sparkSession, 5, 3, _DEPTHS)
+
+
+C.add("a32_fit_spline", "profile", lambda p: _rounded(M.fit_spline_coefficients(*_weighted(p), 1e-3), 4))
+_SUMS = ", ".join(f"({j}, {d!r}::DOUBLE, {float(b)!r}::DOUBLE)" for d, row in zip(_DEPTHS, M.bspline_basis(5, 3, np.array(_DEPTHS) / 15.0), strict=True) for j, b in enumerate(row) if b)
+C.add(
+    "a32_normal_sums",
+    "profile",
+    lambda p: _rounded(M.spline_normal_sums(*_weighted(p))),
+    f"WITH s AS (SELECT model_id, depth, max(vs) AS vs, 1 + depth / 5 AS w FROM profile GROUP BY model_id, depth), f(j, depth, b) AS (VALUES {_SUMS}) SELECT model_id, a.j AS i, b.j AS j, round(sum(w * w * a.b * b.b), 6) AS a FROM s JOIN f a USING (depth) JOIN f b USING (depth) WHERE a.j <= b.j GROUP BY model_id, a.j, b.j UNION ALL SELECT model_id, -1, j, round(sum(w * w * b * vs), 6) FROM s JOIN f USING (depth) GROUP BY model_id, j",
+)
 
 _ROWS = "SELECT coalesce(o.station, p.station) AS station, coalesce(o.model_id, p.model_id) AS model_id, coalesce(o.period, p.period) AS period, value, sigma, predicted, value IS NULL OR predicted IS NULL AS unmatched FROM (SELECT o.*, model_id FROM obs o JOIN (SELECT DISTINCT station, model_id FROM pred) m USING (station)) o FULL JOIN pred p ON p.station = o.station AND p.model_id = o.model_id AND p.period = o.period"
 C.add("j9_residual_join", "obs pred", lambda o, p: P.residual_join(o, p).drop("observable", "sigma"), f"SELECT station, model_id, period, value, predicted, unmatched FROM ({_ROWS})")

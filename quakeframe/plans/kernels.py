@@ -8,6 +8,7 @@ from ..functions.scalars import geodesic
 from ..operators import dispersion as D
 from ..operators import grid as G
 from ..operators import kernels as K
+from ..operators import stack as A
 from ..operators import traces as T
 from ..session import cut
 from .base import Catalog
@@ -93,4 +94,20 @@ def _grid(p):
 
 C.add("k3_grid_travel_times", "paths", lambda p: _rounded(K.grid_travel_times(_points(p), _grid(p)), 3))
 C.add("k3_local_travel_times", "paths", lambda p: _rounded(K.grid_travel_times(_points(p), _grid(p), neighbours=12, tiles=2), 3))
-C.add("k5_event_fields", "paths", lambda p: _rounded(K.event_fields(p, _grid(p), coverage={"mode": "either", "nearby_km": 150.0, "quadrant_km": 250.0}, cycle_skips={"max_residual": 20.0}, max_laplacian=1.0).select("period_s", "source", "i_lat", "i_lon", "slowness", F.col("reason").cast("int").alias("reason"), F.col("helmholtz_reason").cast("int").alias("helmholtz_reason")), 3))
+_FIELDS = {"coverage": {"mode": "either", "nearby_km": 150.0, "quadrant_km": 250.0}, "cycle_skips": {"max_residual": 20.0}, "max_laplacian": 1.0}
+
+
+def _k5(p):
+    d = K.event_fields(p, _grid(p), **_FIELDS)
+    code = [F.col(c).cast("int").alias(c) for c in ("reason", "helmholtz_reason")]
+    return _rounded(d.select("period_s", "source", "i_lat", "i_lon", "slowness", *code, "accepted", "helmholtz_accepted", "n_input", "n_used", "n_amplitude", "n_corrected", "n_rejected"), 3)
+
+
+def _maps(p):
+    """From measurements to both maps; the amplitudes of these paths are rough, so their limit is wide."""
+    d = K.event_fields(p, _grid(p), **_FIELDS, velocity=(0.5, 10.0), min_fraction=0.01, amplitude={"max_relative_difference": 2.0, "reference_velocity": 0.5})
+    return _rounded(A.eikonal_vs_helmholtz(d, min_raw_measurements_per_cell=3), 3)
+
+
+C.add("k5_event_fields", "paths", _k5)
+C.add("a1_measurements_to_maps", "paths", _maps)

@@ -221,6 +221,30 @@ def test_spline_fit_recovers_coefficients(spark):
     assert [r["value"] for r in fitted.orderBy("j").collect()] == pytest.approx([1, 3, 2, 4, 3, 5])
 
 
+def test_weighted_spline_fit_equals_least_squares_on_multiplied_rows(spark):
+    rng = np.random.default_rng(3)
+    z = np.linspace(0, 10, 25)
+    vs, w = rng.uniform(2, 4, 25), rng.uniform(0, 3, 25)
+    basis = L.basis_table(spark, 6, 3, z.tolist(), 1.4)
+    b = L.bspline_basis(6, 3, z / 10, 1.4)
+    d = spark.createDataFrame([(1, *map(float, r)) for r in zip(z, vs, w, strict=True)] + [(2, float(x), 3.0, 1.0) for x in z] + [(2, 5.0, None, 1.0)], "model_id int, depth double, vs double, weight double")
+    for smooth in (0.0, 0.5):
+        second = np.sqrt(smooth) * np.diff(np.eye(6), 2, axis=0)
+        want = np.linalg.lstsq(np.vstack([b * w[:, None], second]), np.r_[vs * w, np.zeros(4)], rcond=None)[0]
+        rows = L.fit_spline_coefficients(d, basis, smooth).orderBy("model_id", "j").collect()
+        assert [r["value"] for r in rows[:6]] == pytest.approx(want.tolist(), rel=1e-6)
+        assert rows[0]["rms"] == pytest.approx(float(np.sqrt(np.mean((vs - b @ want) ** 2))))
+        assert [r["value"] for r in rows[6:]] == pytest.approx([3.0] * 6) and rows[6]["rms"] == pytest.approx(0, abs=1e-9)
+
+
+def test_tolerance_join_at_rounding_borders(spark):
+    obs = spark.createDataFrame([("A", "love", p, 1.0 + k, 0.1) for k, p in enumerate((1.0000005, 2.0, 3.0, 3.0, 5.0))], "station string, observable string, period double, value double, sigma double")
+    pred = spark.createDataFrame([("A", "love", 1, p, 10.0 + k) for k, p in enumerate((1.0000004999, 2.0 + 5e-9, 2.0 - 9e-9, 3.0, 3.0, 5.0001))], "station string, observable string, model_id long, period double, predicted double")
+    rows = sorted(P.residual_join(obs, pred).collect(), key=lambda r: (r["period"], r["value"] is None, r["value"] or 0))
+    assert [(r["value"], r["predicted"], r["unmatched"]) for r in rows if r["value"] is not None] == [(1.0, 10.0, False), (2.0, 11.0, False), (3.0, 13.0, False), (4.0, 14.0, False), (5.0, None, True)]
+    assert sorted(r["predicted"] for r in rows if r["value"] is None) == [12.0, 15.0]
+
+
 def test_late_by_one_period():
     x, y = np.array([0.0, 10, 20, 30]), np.zeros(4)
     d = np.array([100.0, 110, 120, 130])
@@ -270,14 +294,25 @@ def test_repaired_jump(spark):
 
 
 def test_constant_medium_maps_to_its_velocity(spark):
+    """From measurements to both maps: acceptance, codes and counts of the fields go straight into the stack."""
+    from quakeframe.operators.masks import helmholtz_reason
+    from quakeframe.sources.files import MEASUREMENTS
+
     g = G.grid_axes(spark, (-0.6, 0.6, 0.2), (-0.2, 0.8, 0.2))
     stations = [(f"R{i}", x, y) for i, (x, y) in enumerate([(-0.6, -0.2), (0.0, -0.2), (0.6, -0.2), (-0.6, 0.3), (0.6, 0.3), (-0.6, 0.8), (0.0, 0.8), (0.6, 0.8), (0.2, 0.2)])]
     rows = [("ZZ", s, r, lon, 0.2, x, y, 10, 3.5, 20.0, True, 1.0, None) for s, lon in (("S1", -1.6), ("S2", 1.8)) for r, x, y in stations]
-    from quakeframe.sources.files import MEASUREMENTS
-
-    f = N.event_fields(spark.createDataFrame(rows, MEASUREMENTS), g, velocity=(2.5, 4.5), wavelengths=0.5, max_laplacian=0.1)
-    good = f.filter("reason = 0").agg(F.median("velocity").alias("v"), F.count("*").alias("n")).first()
-    assert good["n"] > 10 and good["v"] == pytest.approx(3.5, abs=0.15)
+    rows += [("ZZ", "S3", r, 0.0, 3.0, x, y, 10, 3.5, 20.0, True, 1.0, None) for r, x, y in stations[:2]] + [("ZZ", "S1", "R9", -1.6, 0.2, 0.4, 0.4, 10, 3.5, 20.0, False, 1.0, None)]
+    f = N.event_fields(spark.createDataFrame(rows, MEASUREMENTS), g, velocity=(2.5, 4.5), wavelengths=0.5, max_laplacian=0.1, min_fraction=0.05).cache()
+    by = {r["source"]: r for r in A.field_summary(f).collect()}
+    assert [by[s]["accepted"] for s in ("S1", "S2", "S3")] == [True, True, False] == [by[s]["helmholtz_accepted"] for s in ("S1", "S2", "S3")]
+    assert [by["S1"][c] for c in ("n_input", "n_used", "n_amplitude", "n_corrected", "n_rejected")] == [9, 9, 9, 0, 0]
+    assert by["S3"]["reason_8"] == 42 and f.filter("source = 'S3' AND helmholtz_reason <> 1").count() == 0
+    stack = A.eikonal_vs_helmholtz(f, min_raw_measurements_per_cell=1, require_peer=False).agg(F.median("velocity").alias("v"), F.median("helmholtz_velocity").alias("h"), F.count("velocity").alias("n")).first()
+    assert stack["n"] > 10 and stack["v"] == pytest.approx(3.5, abs=0.1) and stack["h"] == pytest.approx(3.5, abs=0.1)
+    f.unpersist()
+    lit = lambda x: F.lit(x).cast("double")
+    code = lambda a, c, s, **k: one(spark, helmholtz_reason(F.lit(0), lit(a), lit(c), lit(s), 3.0, computed=F.lit(True), **k))
+    assert [code(1, None, 0.3), code(1, 0.2, 0.3), code(1, 0.1, 0.3), code(None, 0, 0.3), code(0.5, 0, 0.3, min_amplitude=0.5), code(1, 0, 0.3, adjacent=F.lit(True)), code(1, 0, 0.3, unstable=F.lit(True)), code(1, 0, 0.3)] == [5, 5, 6, 4, 4, 4, 3, 0]
 
 
 def test_search_axis():
