@@ -140,8 +140,8 @@ def field_summary(cells: DataFrame, codes: tuple[int, ...] = tuple(range(9))) ->
     aggs = [F.sum((F.col("reason") == c).cast("long")).alias(f"reason_{c}") for c in codes]
     if "cycles" in cells.columns:
         aggs += [F.sum((F.col("cycles") != 0).cast("long")).alias("n_corrected")]
-    aggs += [F.max(c).alias(c) for c in ("n_input", "n_used", "n_amplitude", "n_corrected", "n_rejected") if c in cells.columns]
-    aggs += [F.max(c).alias(c) for c in ("accepted", "helmholtz_accepted") if c in cells.columns]
+    if "n_input" in cells.columns:
+        aggs += [F.max(c).alias(c) for c in ("n_input", "n_used", "n_amplitude", "n_corrected", "n_rejected", "accepted", "helmholtz_accepted") if c in cells.columns]
     return cells.groupBy("period_s", "source").agg(*aggs)
 
 

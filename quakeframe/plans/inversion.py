@@ -98,8 +98,8 @@ _SUMS = ", ".join(f"({j}, {d!r}::DOUBLE, {float(b)!r}::DOUBLE)" for d, row in zi
 C.add(
     "a32_normal_sums",
     "profile",
-    lambda p: _rounded(M.spline_normal_sums(*_weighted(p))),
-    f"WITH s AS (SELECT model_id, depth, max(vs) AS vs, 1 + depth / 5 AS w FROM profile GROUP BY model_id, depth), f(j, depth, b) AS (VALUES {_SUMS}) SELECT model_id, a.j AS i, b.j AS j, round(sum(w * w * a.b * b.b), 6) AS a FROM s JOIN f a USING (depth) JOIN f b USING (depth) WHERE a.j <= b.j GROUP BY model_id, a.j, b.j UNION ALL SELECT model_id, -1, j, round(sum(w * w * b * vs), 6) FROM s JOIN f USING (depth) GROUP BY model_id, j",
+    lambda p: _rounded(M.spline_normal_sums(*_weighted(p)), 4),
+    f"WITH s AS (SELECT model_id, depth, max(vs) AS vs, 1 + depth / 5 AS w FROM profile GROUP BY model_id, depth), f(j, depth, b) AS (VALUES {_SUMS}) SELECT model_id, a.j AS i, b.j AS j, round(sum(w * w * a.b * b.b), 4) AS a FROM s JOIN f a USING (depth) JOIN f b USING (depth) WHERE a.j <= b.j GROUP BY model_id, a.j, b.j UNION ALL SELECT model_id, -1, j, round(sum(w * w * b * vs), 4) FROM s JOIN f USING (depth) GROUP BY model_id, j",
 )
 
 _ROWS = "SELECT coalesce(o.station, p.station) AS station, coalesce(o.model_id, p.model_id) AS model_id, coalesce(o.period, p.period) AS period, value, sigma, predicted, value IS NULL OR predicted IS NULL AS unmatched FROM (SELECT o.*, model_id FROM obs o JOIN (SELECT DISTINCT station, model_id FROM pred) m USING (station)) o FULL JOIN pred p ON p.station = o.station AND p.model_id = o.model_id AND p.period = o.period"
