@@ -5,6 +5,9 @@ Fields are long tables (period_s, source, i_lat, i_lon, x_km, y_km, value) whose
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,32 +47,52 @@ def grids_of(boxes: DataFrame, lon_step: float, lat_step: float, keys: tuple[str
     return lines.select(*keys, "i_lat", "i_lon", "lat", (F.col("lon0") + F.col("i_lon") * lon_step).alias("lon"), (F.col("i_lon") * F.col("step_km")).alias("x_km"), "y_km")
 
 
+#: Cells along a side of a block, whose 64 cells are the bits of one number.
+BLOCK = 8
+
+
+def at_least(words: list[Column], k: int) -> Column:
+    """Bits that are set in at least k of the words."""
+    if k <= 0:
+        return F.lit(-1).cast("long")
+    sets = [reduce(Column.bitwiseAND, some) for some in combinations(words, k)]
+    return reduce(Column.bitwiseOR, sets) if sets else F.lit(0).cast("long")
+
+
 def station_coverage(grid: DataFrame, receivers: DataFrame, centre: tuple[float, float], mode: str = "either", nearby_km: float = 150.0, quadrant_km: float = 250.0, min_quadrants: int = 3, keys: tuple[str, ...] = FIELD) -> DataFrame:
     """Grid cells of every key with ``covered``: a receiver within ``nearby_km`` and/or receivers of enough quadrants within ``quadrant_km``.
 
     A range join: places of receivers and cells fall into square tiles of the larger radius, each place is offered to
     its tile and the eight around, and tiles join by equality before distances are compared. That happens once for each
-    distinct place; the cells it reaches then join with its rows of all keys.
+    distinct place. What a place reaches is kept as bitmaps of 8 x 8 cells: one for the cells nearby and one for each
+    quadrant. The rows of a key take the bitmaps of their places and are put together by a bitwise or on the map side,
+    so neither a row nor a key ever becomes as many rows as it has cells until the result is written out.
     """
     size = max(nearby_km, quadrant_km)
     place = lambda lon, lat: local_xy(F.col(lon), F.col(lat), F.lit(centre[0]), F.lit(centre[1]))
     gx, gy = place("lon", "lat")
-    cells = grid.select("i_lat", "i_lon", gx.alias("gx"), gy.alias("gy")).withColumns({"tx": F.floor(F.col("gx") / size), "ty": F.floor(F.col("gy") / size)})
+    side = lambda c: F.floor(F.col(c) / BLOCK).cast("int")
+    bit = (F.pmod("i_lat", F.lit(BLOCK)) * BLOCK + F.pmod("i_lon", F.lit(BLOCK))).cast("int")
+    numbered = grid.select("i_lat", "i_lon", side("i_lat").alias("by"), side("i_lon").alias("bx"), bit.alias("bit"), gx.alias("gx"), gy.alias("gy"))
+    cells = numbered.withColumns({"tx": F.floor(F.col("gx") / size), "ty": F.floor(F.col("gy") / size)})
     rx, ry = place("rcv_lon", "rcv_lat")
     near = F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    rows = receivers.select(*keys, "rcv_lon", "rcv_lat").distinct()
+    rows = receivers.select(*keys, "rcv_lon", "rcv_lat")
     spread = rows.select("rcv_lon", "rcv_lat").distinct().select("rcv_lon", "rcv_lat", rx.alias("rx"), ry.alias("ry")).withColumn("n", F.explode(near))
     tiles = spread.select("rcv_lon", "rcv_lat", "rx", "ry", (F.floor(F.col("rx") / size) + F.col("n.dx")).alias("tx"), (F.floor(F.col("ry") / size) + F.col("n.dy")).alias("ty"))
     dx, dy = F.col("rx") - F.col("gx"), F.col("ry") - F.col("gy")
-    hits = tiles.join(cells, ["tx", "ty"]).withColumn("d", F.hypot(dx, dy)).filter(F.col("d") <= size)
-    quadrant = F.when(F.col("d") <= quadrant_km, (dx >= 0).cast("int") * 2 + (dy >= 0).cast("int"))
-    reach = hits.select("rcv_lon", "rcv_lat", "i_lat", "i_lon", (F.col("d") <= nearby_km).alias("close"), F.element_at(F.array(*map(F.lit, (1, 2, 4, 8))), quadrant + 1).alias("bit"))
-    found = rows.join(reach, ["rcv_lon", "rcv_lat"]).groupBy(*keys, "i_lat", "i_lon").agg(F.max("close").alias("nearby"), F.bit_or("bit").alias("seen"))
-    quadrants = F.coalesce(F.bit_count("seen"), F.lit(0)) >= min_quadrants
-    nearby = F.coalesce("nearby", F.lit(False))
-    covered = {"nearby": nearby, "quadrants": quadrants, "either": nearby | quadrants}[mode]
-    every = receivers.select(*keys).distinct().crossJoin(bounded(grid.select("i_lat", "i_lon")))
-    return every.join(found, [*keys, "i_lat", "i_lon"], "left").select(*keys, "i_lat", "i_lon", covered.alias("covered"))
+    hits = tiles.join(cells, ["tx", "ty"]).withColumns({"d": F.hypot(dx, dy), "one": F.expr("shiftleft(1L, bit)"), "q": (dx >= 0).cast("int") * 2 + (dy >= 0).cast("int")}).filter(F.col("d") <= size)
+    marks = {"close": F.col("d") <= nearby_km} | {f"q{i}": (F.col("d") <= quadrant_km) & (F.col("q") == i) for i in range(4)}
+    reach = hits.groupBy("rcv_lon", "rcv_lat", "by", "bx").agg(*[F.bit_or(F.when(c, F.col("one")).otherwise(F.lit(0).cast("long"))).alias(n) for n, c in marks.items()])
+    found = rows.join(reach, ["rcv_lon", "rcv_lat"]).groupBy(*keys, "by", "bx").agg(*[F.bit_or(n).alias(n) for n in marks])
+    quadrants = at_least([F.col(f"q{i}") for i in range(4)], min_quadrants)
+    word = {"nearby": F.col("close"), "quadrants": quadrants, "either": F.col("close").bitwiseOR(quadrants)}[mode]
+    none = -1 if mode != "nearby" and min_quadrants <= 0 else 0
+    found = found.select(*keys, "by", "bx", word.alias("word"))
+    blocks = numbered.groupBy("by", "bx").agg(F.collect_list(F.struct("i_lat", "i_lon", "bit")).alias("cells"))
+    every = receivers.select(*keys).distinct().crossJoin(bounded(blocks)).join(found, [*keys, "by", "bx"], "left")
+    bits = F.expr(f"transform(cells, c -> struct(c.i_lat AS i_lat, c.i_lon AS i_lon, (shiftright(coalesce(word, {none}L), c.bit) & 1L) = 1L AS covered))")
+    return every.select(*keys, F.inline_outer(bits))
 
 
 def cells_by_source(grid: DataFrame, sources: DataFrame) -> DataFrame:
