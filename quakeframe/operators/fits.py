@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded, cut
+
 QUANTILES = (0.01, 0.05, 0.16, 0.5, 0.84, 0.95, 0.99)
 DRAW = ("station", "chain", "step")
 
@@ -68,11 +71,85 @@ def posterior_table(priors: DataFrame, fits: DataFrame, keys: tuple[str, ...] =
     return d.select(*keys, F.when(no_prior | no_fit, float("-inf")).otherwise(F.col("log_prior") + F.col("log_likelihood")).alias("log_posterior"), F.when(no_prior, "prior").when(no_fit, "fit").alias("error"))
 
 
-def ensemble_summary(samples: DataFrame, keys: tuple[str, ...], value: str = "value", quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """(keys, n, mean, std, min, max, q01...): population deviation and exact, linearly interpolated quantiles; NULLs are ignored."""
-    q = F.percentile(value, F.array(*map(F.lit, quantiles)))
-    d = samples.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), q.alias("__q"))
-    return d.select("*", *[F.get("__q", F.lit(i)).alias(f"q{round(100 * p):02d}") for i, p in enumerate(quantiles)]).drop("__q")
+#: Rows of a group up to which its values go into one aggregation buffer, and bins that an interval is cut into.
+BUFFERED, BINS = 1 << 20, 1 << 12
+
+
+def _aside(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``df`` with its keys under other names, for a join by ``_same``."""
+    return df.withColumnsRenamed({k: f"__{k}" for k in keys})
+
+
+def _same(keys: tuple[str, ...]) -> Column:
+    """Equal keys, where NULL equals NULL."""
+    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+
+
+def exact_quantiles(samples: DataFrame, keys: tuple[str, ...], value: str = "value", quantiles: tuple[float, ...] = QUANTILES, bins: int = BINS) -> DataFrame:
+    """(keys, q01...): exact quantiles between neighbouring ranks, in memory that does not depend on a group's size; NULLs are ignored.
+
+    Selection by counting: the range of a group is cut into bins, which are counted on the map side with their smallest
+    and largest values. Running counts name the bin of each wanted rank, and its values are the next range, until all
+    values of the bin are equal. A pass reads only values inside a wanted range, and makes at most ``bins`` rows of each.
+    """
+    v = F.col(value).cast("double")
+    rows = samples.filter(F.col(value).isNotNull()).select(*keys, v.alias("__v"))
+    key = list(keys)
+    first = rows.groupBy(*key).agg(F.count("*").alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    place = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p")) for i, p in enumerate(quantiles)])).alias("__x")
+    h = F.col("__x.p") * (F.col("__n") - 1)
+    ranks = first.select(*key, "__n", "__lo", "__hi", place).select(*key, "__lo", "__hi", F.explode(F.array(F.floor(h), F.least(F.floor(h) + 1, F.col("__n") - 1))).alias("__rank")).distinct()
+    todo = cut(ranks.withColumn("__below", F.lit(0).cast("long")))
+    done = None
+    while True:
+        settled = todo.filter("__lo = __hi").select(*key, "__rank", F.col("__lo").alias("__value"))
+        done = settled if done is None else done.unionByName(settled)
+        todo = todo.filter("__lo < __hi")
+        spans = cut(todo.select(*key, "__lo", "__hi", "__below").distinct())
+        if spans.isEmpty():
+            break
+        held = rows.join(bounded(_aside(spans, keys)), _same(keys) & F.col("__v").between(F.col("__lo"), F.col("__hi"))).select(*key, "__lo", "__hi", "__below", "__v")
+        # Halves are scaled, so that a range of any width has a finite one; the ends always fall into different bins.
+        part = F.floor(F.try_divide(F.col("__v") / 2 - F.col("__lo") / 2, F.col("__hi") / 2 - F.col("__lo") / 2) * (bins - 1)).cast("int")
+        part = F.when(F.col("__v") == F.col("__hi"), bins - 1).otherwise(F.least(F.coalesce(part, F.lit(0)), F.lit(bins - 2)))
+        binned = held.groupBy(*key, "__lo", "__below", part.alias("__bin")).agg(F.count("*").alias("__c"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+        w = Window.partitionBy(*key, "__lo").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+        binned = binned.withColumn("__start", F.col("__below") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
+        wanted = todo.select(*key, F.col("__lo").alias("__from"), "__rank")
+        hit = (F.col("__from") == F.col("__lo")) & (F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__start") + F.col("__c"))
+        bins_ = _aside(binned.drop("__below"), keys)
+        todo = cut(wanted.join(bins_, _same(keys) & hit).select(*key, F.col("__min").alias("__lo"), F.col("__max").alias("__hi"), "__rank", F.col("__start").alias("__below")))
+    values = done.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__value"))).alias("__r"))
+    d = first.select(*key, "__n").join(_aside(values, keys), _same(keys)).select(*key, "__n", "__r")
+
+    def between(p: float) -> Column:
+        at = F.lit(float(p)) * (F.col("__n") - 1)
+        low, high = F.floor(at), F.least(F.floor(at) + 1, F.col("__n") - 1)
+        a, b = F.element_at("__r", low), F.element_at("__r", high)
+        return F.when(a == b, a).otherwise((1 - (at - low)) * a + (at - low) * b)
+
+    return d.select(*key, *[between(p).alias(f"q{round(100 * p):02d}") for p in quantiles])
+
+
+def ensemble_summary(samples: DataFrame, keys: tuple[str, ...], value: str = "value", quantiles: tuple[float, ...] = QUANTILES, buffered: int = BUFFERED) -> DataFrame:
+    """(keys, n, mean, std, min, max, q01...): population deviation and exact, linearly interpolated quantiles; NULLs are ignored.
+
+    Groups of at most ``buffered`` values get their quantiles from one buffer each, larger ones from ``exact_quantiles``;
+    both are exact.
+    """
+    names = [f"q{round(100 * p):02d}" for p in quantiles]
+    moments = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+    sizes = cut(samples.groupBy(*keys).agg(*moments))
+    large = sizes.filter(F.col("n") > buffered)
+    q = F.percentile(value, F.array(*map(F.lit, quantiles))).alias("__q")
+    apart = lambda d: d.select(*keys, *[F.get("__q", F.lit(i)).alias(c) for i, c in enumerate(names)])
+    if large.isEmpty():
+        found = apart(samples.groupBy(*keys).agg(q))
+    else:
+        marked = bounded(_aside(large.select(*keys), keys))
+        small = apart(samples.join(marked, _same(keys), "left_anti").groupBy(*keys).agg(q))
+        found = small.unionByName(exact_quantiles(samples.join(marked, _same(keys), "left_semi"), keys, value, quantiles))
+    return sizes.join(_aside(found, keys), _same(keys)).select(*keys, "n", "mean", "std", "min", "max", *names)
 
 
 def best_draw(draws: DataFrame, keys: tuple[str, ...] = ("station",)) -> DataFrame:

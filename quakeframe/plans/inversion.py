@@ -133,6 +133,8 @@ def _a33(o, p):
 C.add("a33_posterior_table", "obs pred", _a33, f"SELECT station, model_id, CASE WHEN model_id % 4 <> 0 THEN round(-1 - 0.25 * chi2, 6) END AS log_posterior, CASE WHEN model_id % 4 = 0 THEN 'prior' WHEN chi2 IS NULL THEN 'fit' END AS error FROM ({_FIT})")
 _Q = ", ".join(f"round(quantile_cont(value, {q}), 6) AS q{round(100 * q):02d}" for q in P.QUANTILES)
 C.add("a26_ensemble_summary", "long_draws", lambda d: _rounded(P.ensemble_summary(d, ("station", "parameter"))), f"SELECT station, parameter, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max, {_Q} FROM long_draws GROUP BY station, parameter")
+_QS = ", ".join(f"round(quantile_cont(vs1, {q}), 6) AS q{round(100 * q):02d}" for q in P.QUANTILES)
+C.add("a26_exact_quantiles", "draws", lambda d: _rounded(P.exact_quantiles(d, ("chain",), "vs1")), f"SELECT chain, {_QS} FROM draws GROUP BY chain")
 C.add("a27_best_draw", "draws", lambda d: _rounded(P.best_draw(d)), "SELECT station, chain, step, round(log_prob, 6) AS log_prob, accepted, vs1, vs2, vs3 FROM draws QUALIFY row_number() OVER (PARTITION BY station ORDER BY log_prob DESC, chain, step) = 1")
 C.add("a28_acceptance", "draws", lambda d: _rounded(P.acceptance(d)), "SELECT station, chain, round(r, 6) AS rate, round(avg(r) OVER (PARTITION BY station), 6) AS mean_rate FROM (SELECT station, chain, avg(accepted::INT) AS r FROM draws GROUP BY station, chain)")
 C.add("a29_retained_draws", "draws", lambda d: P.retained_draws(d, 10, 3).select("station", "chain", "step", "draw"), "SELECT station, chain, step, CAST((step - 10) / 3 AS INT) AS draw FROM draws WHERE step >= 10 AND (step - 10) % 3 = 0")

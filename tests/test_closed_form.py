@@ -245,6 +245,26 @@ def test_tolerance_join_at_rounding_borders(spark):
     assert sorted(r["predicted"] for r in rows if r["value"] is None) == [12.0, 15.0]
 
 
+def test_exact_quantiles_by_counting(spark):
+    """Skewed and repeated values, NULLs, wide ranges, a null key and groups of one value; few bins, so several passes."""
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.lognormal(0, 3, 400), "b": np.repeat([1.0, 2.0, 7.0], [200, 3, 1]), None: rng.normal(0, 1, 77), "one": np.array([4.5]), "two": np.array([1.0, 2.0]), "wide": np.array([-1.7e308, 1.7e308, 0.0, 1e-300, 5e-324]), "close": 1 + np.arange(50) * 2.0**-52}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("none", None)]
+    d = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    qs = (0.0, 0.05, 0.5, 0.84, 1.0)
+    got = {r["g"]: [r[f"q{round(100 * q):02d}"] for q in qs] for r in P.exact_quantiles(d, ("g",), "x", qs, bins=8).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        if k != "wide":
+            assert got[k] == pytest.approx(np.quantile(v, qs).tolist(), rel=1e-12)
+    assert got["wide"][2] == 5e-324 and got["wide"][0] == -1.7e308 and got["wide"][4] == 1.7e308
+    plain = {r["g"]: tuple(r)[1:] for r in P.ensemble_summary(d, ("g",), "x").collect()}
+    split = {r["g"]: tuple(r)[1:] for r in P.ensemble_summary(d, ("g",), "x", buffered=60).collect()}
+    assert set(plain) == set(split) == {*groups, "none"}
+    for k in ("a", "b", None, "one", "two", "close"):
+        assert split[k] == pytest.approx(plain[k], rel=1e-9)
+
+
 def test_late_by_one_period():
     x, y = np.array([0.0, 10, 20, 30]), np.zeros(4)
     d = np.array([100.0, 110, 120, 130])
