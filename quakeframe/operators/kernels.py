@@ -260,39 +260,109 @@ def repair_jumps(picks: DataFrame, threshold: float, jump_points: int, curve: st
     return d.select(curve, *keep, F.size("p").alias("initial_count"), F.explode_outer(cut_).alias("x")).select(curve, *keep, "x.period", "x.c.*", "x.replaced", "initial_count")
 
 
-def unwrap_times(x: np.ndarray, y: np.ndarray, distance: np.ndarray, time: np.ndarray, period: float, max_residual: float, trials: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Buckets:
+    """Points of a plane in square cells, for exact searches of the nearest ones."""
+
+    def __init__(self, points: np.ndarray, per_cell: float = 4.0) -> None:
+        self.points, self.low = points, points.min(axis=0)
+        span = float(np.ptp(points, axis=0).max())
+        self.side = span / max(1.0, math.sqrt(len(points) / per_cell)) or 1.0
+        cell = self.cell(points)
+        self.nx, self.ny = (cell.max(axis=0) + 1).tolist()
+        flat = cell[:, 0] * self.ny + cell[:, 1]
+        self.order = np.argsort(flat, kind="stable")
+        self.start = np.searchsorted(flat[self.order], np.arange(self.nx * self.ny + 1))
+
+    def cell(self, at: np.ndarray) -> np.ndarray:
+        return np.floor((at - self.low) / self.side).astype(np.int64)
+
+    def squares(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+        """(indexes, reach) of growing squares of cells around a place: all points nearer than ``reach`` are among the indexes."""
+        cx, cy = self.cell(at).tolist()
+        r = 1
+        while True:
+            y0, y1 = max(0, cy - r), min(self.ny - 1, cy + r)
+            columns = range(max(0, cx - r), min(self.nx - 1, cx + r) + 1) if y0 <= y1 else ()
+            parts = [self.order[self.start[x * self.ny + y0] : self.start[x * self.ny + y1 + 1]] for x in columns]
+            if cx - r <= 0 and cy - r <= 0 and cx + r >= self.nx - 1 and cy + r >= self.ny - 1:
+                yield self.order, math.inf
+                return
+            yield (np.concatenate(parts) if parts else self.order[:0]), r * self.side * (1 - 1e-9)
+            r *= 2
+
+    def nearest(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Indexes of the k points nearest to a place, in order, the lower index on ties."""
+        for own, reach in self.squares(at):
+            if len(own) >= k or reach == math.inf:
+                d = ((at - self.points[own]) ** 2).sum(axis=-1)
+                first = np.lexsort((own, d))[:k]
+                if reach == math.inf or d[first[-1]] < reach * reach:
+                    return own[first]
+        raise AssertionError("the last square holds all points")
+
+    def nearest_taken(self, at: np.ndarray, turn: np.ndarray) -> int:
+        """Index of the nearest point with a turn (0 or more), the earlier turn on ties."""
+        for own, reach in self.squares(at):
+            own = own[turn[own] >= 0]
+            if len(own):
+                d = np.hypot(at[0] - self.points[own, 0], at[1] - self.points[own, 1])
+                k = np.lexsort((turn[own], d))[0]
+                if d[k] < reach:
+                    return int(own[k])
+        raise AssertionError("no point has a turn")
+
+
+#: Receivers of a source up to which all distances are held at once.
+MATRIX = 1024
+
+
+def unwrap_times(x: np.ndarray, y: np.ndarray, distance: np.ndarray, time: np.ndarray, period: float, max_residual: float, trials: int, stride: int, matrix: int = MATRIX) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(time, valid, cycles, residual): travel times of one source moved by whole periods to agree with their neighbours.
 
     From each of several seeds near the centre, receivers are visited outwards; each takes the number of periods that
     brings it nearest to the velocity of its closest accepted neighbour. The seed with most valid receivers, then the
-    smallest residual, wins.
+    smallest residual, wins. Few receivers keep the distance to their closest neighbour up to date from a matrix; many
+    look it up in square cells, so time and memory follow their number.
     """
     n = len(x)
     if n < 2:
         return time, np.ones(n, bool), np.zeros(n, int), np.zeros(n)
-    apart = lambda i: np.hypot(x - x[i], y - y[i])  # noqa: E731  a row at a time, so memory follows the receivers
     seeds = np.argsort(np.hypot(x - x.mean(), y - y.mean()), kind="stable")[::stride][: max(1, trials)]
+    apart = np.hypot(x[:, None] - x, y[:, None] - y) if n <= matrix else None
+    places = np.column_stack([x, y])
+    cells = Buckets(places) if apart is None else None
+    far, measured = distance.tolist(), time.tolist()
     best = None
-    for seed in seeds:
-        t, res, cycles, ok = np.full(n, np.nan), np.full(n, np.nan), np.zeros(n, int), np.zeros(n, bool)
-        t[seed], res[seed], ok[seed] = time[seed], 0.0, True
-        nearest, gap = np.full(n, seed), apart(seed)
-        for i in np.argsort(gap, kind="stable"):
+    for seed in seeds.tolist():
+        t, res, cycles, ok = [math.nan] * n, [math.nan] * n, [0] * n, [False] * n
+        t[seed], res[seed], ok[seed] = measured[seed], 0.0, True
+        if apart is not None:
+            gap = apart[seed].copy()
+            nearest = np.full(n, seed)
+        else:
+            gap, turn, taken = np.hypot(x - x[seed], y - y[seed]), np.full(n, -1), 1
+            turn[seed] = 0
+        for i in np.argsort(gap, kind="stable").tolist():
             if i == seed:
                 continue
-            j = nearest[i]
-            predicted = distance[i] * t[j] / distance[j]
-            cycles[i] = int(np.rint((predicted - time[i]) / period))
-            moved = time[i] + cycles[i] * period
-            res[i] = abs(moved - predicted)
+            j = int(nearest[i]) if apart is not None else cells.nearest_taken(places[i], turn)
+            predicted = far[i] * t[j] / far[j]
+            k = round((predicted - measured[i]) / period)
+            moved = measured[i] + k * period
+            cycles[i], res[i] = k, abs(moved - predicted)
             if moved > 0 and res[i] <= max_residual:
                 t[i], ok[i] = moved, True
-                away = apart(i)
-                closer = away < gap
-                nearest[closer], gap[closer] = i, away[closer]
-        score = (int(ok.sum()), -float(res[ok].sum()))
+                if apart is not None:
+                    closer = apart[i] < gap
+                    nearest[closer] = i
+                    np.minimum(gap, apart[i], out=gap)
+                else:
+                    turn[i] = taken
+                    taken += 1
+        good = np.array(ok)
+        score = (int(good.sum()), -float(np.array(res)[good].sum()))
         if best is None or score > best[0]:
-            best = score, (t, ok, cycles, res)
+            best = score, (np.array(t), good, np.array(cycles), np.array(res))
     return best[1]
 
 
@@ -344,13 +414,14 @@ def thin_plate(points: np.ndarray, values: np.ndarray, query: np.ndarray, smooth
     p, q = (points - centre) / scale, (query - centre) / scale
     near = min(neighbours, len(p)) if neighbours is not None else None
     c = _plate(p, values, smoothing / scale**2) if near is None else None
+    cells = Buckets(p) if near is not None else None
     out = np.empty(len(q))
     for i in range(0, len(q), chunk):
         own = q[i : i + chunk]
         if near is None:
             out[i : i + chunk] = _kernel(own, p) @ c[: len(p)] + c[len(p)] + own @ c[len(p) + 1 :]
         else:
-            at = np.argsort(((own[:, None] - p) ** 2).sum(axis=-1), axis=1, kind="stable")[:, :near]
+            at = np.array([cells.nearest(place, near) for place in own])
             w = _plate(p[at], values[at], smoothing / scale**2)
             out[i : i + chunk] = (_kernel(own[:, None], p[at])[:, 0] * w[:, :near]).sum(axis=1) + w[:, near] + (own * w[:, near + 1 :]).sum(axis=1)
     return out

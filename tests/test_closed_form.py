@@ -265,6 +265,43 @@ def test_exact_quantiles_by_counting(spark):
         assert split[k] == pytest.approx(plain[k], rel=1e-9)
 
 
+def test_nearest_points_in_cells_equal_the_full_sort():
+    import time
+
+    rng = np.random.default_rng(5)
+    for p in (rng.uniform(0, 1, (300, 2)), np.stack(np.meshgrid(np.arange(12.0), np.arange(9.0)), -1).reshape(-1, 2), np.column_stack([np.zeros(40), np.arange(40.0)]), np.repeat(rng.uniform(0, 1, (5, 2)), 20, axis=0), np.ones((7, 2))):
+        b = N.Buckets(p)
+        for q in np.concatenate([p[::7], rng.uniform(-2, 3, (30, 2)), rng.uniform(-50, 50, (5, 2))]):
+            for k in (1, 5, len(p)):
+                assert b.nearest(q, k).tolist() == np.argsort(((q - p) ** 2).sum(axis=-1), kind="stable")[:k].tolist()
+    p, q = rng.uniform(0, 1, (20_000, 2)), rng.uniform(0, 1, (2_000, 2))
+    began = time.process_time()
+    N.thin_plate(p, p[:, 0], q, neighbours=12)
+    assert time.process_time() - began < 10
+
+
+def test_cycles_by_cells_equal_those_by_all_distances():
+    import time
+
+    rng = np.random.default_rng(6)
+    for n in (2, 30, 300):
+        x, y = rng.uniform(0, 300, n).round(0), rng.uniform(0, 300, n).round(0)
+        d = np.hypot(x + 400, y)
+        t = d / 3.5 + 10 * rng.integers(-1, 2, n) + rng.normal(0, 2, n)
+        one, two = (N.unwrap_times(x, y, d, t, 10.0, 3.0, 5, 3, matrix=m) for m in (1024, 1))
+        for a, b in zip(one, two, strict=True):
+            assert np.array_equal(a, b, equal_nan=True)
+    seconds = []
+    for n in (2000, 8000):
+        x, y = rng.uniform(0, 300, n), rng.uniform(0, 300, n)
+        d = np.hypot(x + 400, y)
+        began = time.process_time()
+        fixed, ok, cycles, _ = N.unwrap_times(x, y, d, d / 3.5 + 10 * rng.integers(-1, 2, n), 10.0, 3.0, 1, 1)
+        seconds.append(time.process_time() - began)
+        assert ok.all() and np.ptp(fixed - d / 3.5) < 1
+    assert seconds[1] < 9 * seconds[0], seconds  # sixteen times for squares
+
+
 def test_late_by_one_period():
     x, y = np.array([0.0, 10, 20, 30]), np.zeros(4)
     d = np.array([100.0, 110, 120, 130])
