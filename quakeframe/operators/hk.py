@@ -43,12 +43,12 @@ def stack_lookup(delay: Column, b: Column, delta: Column, n: Column) -> Column:
     return F.greatest(F.lit(0), F.least(n - 1, F.ceil((delay - b) / delta - 0.5))).cast("int")
 
 
-def hk_stack(traces: DataFrame, samples: DataFrame, axes: DataFrame, weights: tuple[float, float, float] = (0.6, 0.3, 0.1), vp: float = 6.3, sediment: tuple[float, float] | None = None, vs: float | None = None) -> DataFrame:
-    """(trace_id, station, h_idx, k_idx, h, k, amp) of every grid cell.
+def hk_surfaces(traces: DataFrame, samples: DataFrame, axes: DataFrame, weights: tuple[float, float, float] = (0.6, 0.3, 0.1), vp: float = 6.3, sediment: tuple[float, float] | None = None, vs: float | None = None) -> DataFrame:
+    """(trace_id, station, surface): the grid of each trace as one array of (h_idx, k_idx, h, k, amp).
 
     Delays are those of one layer, or of a crust below a sediment layer where the trace's row has h0 and k0 (then
     ``sediment`` gives the P velocity of the layer). The samples of a trace and the grid, a bounded table, are arrays of
-    one row; each cell reads three samples, and rows are made of the cells' results alone.
+    one row; each cell reads three samples.
     """
     arrays = samples.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("a")).select("trace_id", F.transform("a", lambda x: x["v"]).alias("a"))
     cells = axes.agg(F.array_sort(F.collect_list(F.struct("h_idx", "k_idx", "h", "k"))).alias("cells"))
@@ -76,7 +76,27 @@ def hk_stack(traces: DataFrame, samples: DataFrame, axes: DataFrame, weights: tu
         amp = (weights[0] * ps + weights[1] * ppps - weights[2] * psps) * F.col("factor")
         return F.struct(*[c[x].alias(x) for x in ("h_idx", "k_idx", "h", "k")], amp.alias("amp"))
 
-    return d.select("trace_id", "station", F.inline(F.transform(F.transform("cells", slow), stacked)))
+    return d.select("trace_id", "station", F.transform(F.transform("cells", slow), stacked).alias("surface"))
+
+
+def hk_stack(traces: DataFrame, samples: DataFrame, axes: DataFrame, **config: object) -> DataFrame:
+    """(trace_id, station, h_idx, k_idx, h, k, amp): ``hk_surfaces`` with a row a cell."""
+    return hk_surfaces(traces, samples, axes, **config).select("trace_id", "station", F.inline("surface"))  # type: ignore[arg-type]
+
+
+def best_of(surfaces: DataFrame) -> DataFrame:
+    """``best_cells`` of surfaces: the largest amplitude of each array, found in its row. A surface without any gives no row."""
+    known = F.filter("surface", lambda c: c["amp"].isNotNull())
+    ranked = F.transform(known, lambda c: F.struct(c["amp"].alias("energy"), (-c["k_idx"]).alias("nk"), (-c["h_idx"]).alias("nh"), c["h"].alias("h"), c["k"].alias("k")))
+    return surfaces.select("trace_id", "station", F.inline(F.array_compact(F.array(F.array_max(ranked))))).select("trace_id", "station", "h", "k", "energy")
+
+
+def mean_surface(surfaces: DataFrame) -> DataFrame:
+    """``mean_hk_surface`` of surfaces: each array is divided by its largest value in its row, and a task sums the traces of a
+    station before anything is shuffled, so that what moves is at most one surface a task and station."""
+    marked = F.transform(F.array("surface"), lambda s: F.struct(s.alias("cells"), F.array_max(F.transform(s, lambda c: c["amp"])).alias("top")))
+    scaled = F.transform(marked, lambda m: F.transform(m["cells"], lambda c: F.struct(c["h_idx"].alias("h_idx"), c["k_idx"].alias("k_idx"), (c["amp"] / F.when(m["top"] == 0, 1.0).otherwise(m["top"])).alias("amp"))))
+    return surfaces.select("station", F.inline(F.flatten(scaled))).groupBy("station", "h_idx", "k_idx").agg(F.avg("amp").alias("amp"))
 
 
 def best_cells(cells: DataFrame, rank: str = "amp") -> DataFrame:
@@ -113,12 +133,12 @@ def smooth_surface(cells: DataFrame, n_h: int, n_k: int, sigma: float = 1.5, key
 def hk_sequence(high: DataFrame, low: DataFrame, samples_high: DataFrame, samples_low: DataFrame, axes_sediment: DataFrame, axes_crust: DataFrame, sediment_vp: float = 2.5, crust_vp: float = 6.3, threshold: float = 2.0, least_sediment: float = 0.4) -> tuple[DataFrame, DataFrame]:
     """(sediment, crust) summaries per station. The sediment estimate of the high band (only its Mahalanobis mask counts) joins the low-band traces; where it is missing or thin the crust is stacked as one layer."""
 
-    def summary(cells: DataFrame) -> DataFrame:
+    def summary(surfaces: DataFrame) -> DataFrame:
         # One row per trace, read by every pass of the selection.
-        chosen = cut(robust.mahalanobis_select(cut(best_cells(cells)), threshold).filter("kept"))
+        chosen = cut(robust.mahalanobis_select(cut(best_of(surfaces)), threshold).filter("kept"))
         return robust.robust_summary(chosen)
 
-    sediment = cut(summary(hk_stack(high, samples_high, axes_sediment, vp=sediment_vp)))
+    sediment = cut(summary(hk_surfaces(high, samples_high, axes_sediment, vp=sediment_vp)))
     thick = sediment.filter(F.col("h_best") > least_sediment).select("station", F.col("h_best").alias("h0"), F.col("k_best").alias("k0"))
-    crust = summary(hk_stack(low.join(thick, "station", "left"), samples_low, axes_crust, vp=crust_vp, sediment=(sediment_vp, 0.0)))
+    crust = summary(hk_surfaces(low.join(thick, "station", "left"), samples_low, axes_crust, vp=crust_vp, sediment=(sediment_vp, 0.0)))
     return sediment, crust

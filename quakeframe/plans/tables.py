@@ -49,7 +49,24 @@ def _s3(c):
         return cut(got.select(F.regexp_extract("file", r"trace_id=(\d+)", 1).cast("long").alias("trace_id"), "target_period", "period", "group_velocity", "phase_velocity", "amplitude", "snr"))
 
 
-C.add("s3_read_dispersion_files", "curves", _s3, "SELECT curve AS trace_id, period AS target_period, round(period * 1.01, 4) AS period, round(velocity, 6) AS group_velocity, round(velocity + 0.5, 6) AS phase_velocity, 0.5::DOUBLE AS amplitude, round(CAST(amplitude AS DOUBLE), 4) AS snr FROM curves")
+C.add("s3_read_dispersion_files", "curves", _s3, "SELECT curve AS trace_id, period AS target_period, round(period * 1.01, 6) AS period, round(velocity, 4) AS group_velocity, round(velocity + 0.5, 4) AS phase_velocity, 0.5::DOUBLE AS amplitude, round(CAST(amplitude AS DOUBLE), 3) AS snr FROM curves")
+
+
+def _s3_long(c):
+    """The long form with header lines; every fifth curve has no distance."""
+    rows = c.select(
+        F.col("curve").alias("trace_id"), F.col("period").alias("target_period"), (F.col("period") * 1.01).alias("period"), F.col("velocity").alias("group_velocity"), F.lit(None).cast("double").alias("phase_velocity"), F.lit(0.5).alias("amplitude"),
+        (F.col("period") / 8).alias("phase_derivative"), (F.col("period") / 16).alias("hilbert_phase_derivative"), (F.col("period") * 1.02).alias("hilbert_period"), F.col("amplitude").alias("snr"),
+        F.when(F.col("curve") % 5 != 0, F.col("curve") * 10).alias("distance_km"), F.lit("ZZ").alias("component"),
+    )
+    with scratch(c.sparkSession) as path:
+        S.write_dispersion(rows, path, debug=True, decibel=True, header=("component", "distance_km"))
+        got = S.read_dispersion_files(c.sparkSession, f"{path}/*/*.txt")
+        number = F.regexp_extract("file", r"trace_id=(\d+)", 1).cast("long").alias("trace_id")
+        return cut(got.select(number, "target_period", "phase_velocity", "phase_derivative", "hilbert_phase_derivative", "hilbert_period", "period_delta", "snr", "decibel", F.col("header.component").alias("component"), F.col("header.distance_km").cast("double").alias("distance_km")))
+
+
+C.add("s3_dispersion_long_form", "curves", _s3_long, "SELECT curve AS trace_id, period AS target_period, CAST(NULL AS DOUBLE) AS phase_velocity, round(period / 8, 6) AS phase_derivative, round(period / 16, 6) AS hilbert_phase_derivative, round(period * 1.02, 4) AS hilbert_period, round(period * 1.02 - period * 1.01, 6) AS period_delta, round(CAST(amplitude AS DOUBLE), 3) AS snr, true AS decibel, 'ZZ' AS component, CASE WHEN curve % 5 <> 0 THEN curve * 10.0::DOUBLE END AS distance_km FROM curves")
 
 
 def _s4(e):

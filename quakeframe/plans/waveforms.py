@@ -133,13 +133,17 @@ def _cells(t, s):
     return H.hk_stack(t, s, H.hk_axes(t.sparkSession, _H, _K), vp=2.5)
 
 
+def _surfaces(t, s):
+    return H.hk_surfaces(t, s, H.hk_axes(t.sparkSession, _H, _K), vp=2.5)
+
+
 _NK = len(H.search_axis(*_K))
 _AX = f"SELECT CAST(i AS INT) AS h_idx, CAST(j AS INT) AS k_idx, i * 0.25::DOUBLE AS h, 1.5::DOUBLE + j * 1.5::DOUBLE / {_NK - 1} AS k FROM range(21) a(i) CROSS JOIN range({_NK}) b(j)"
 _AT = "CAST(greatest(0, least(63, ceil(({d} + 5) / 0.5::DOUBLE - 0.5))) AS INT)"
 _CELLS = f"""SELECT q.trace_id, q.station, h_idx, k_idx, h, k, (0.6::DOUBLE * a.v + 0.3::DOUBLE * b.v - 0.1::DOUBLE * c.v) * (151.5478::DOUBLE * slowness * slowness + 3.2896::DOUBLE * slowness + 0.2618::DOUBLE) AS amp FROM (SELECT *, {_AT.format(d='(qs - qp) * h')} AS ia, {_AT.format(d='(qs + qp) * h')} AS ib, {_AT.format(d='2 * qs * h')} AS ic FROM (SELECT *, sqrt(1 / ((2.5::DOUBLE / k) * (2.5::DOUBLE / k)) - slowness * slowness) AS qs, sqrt(1 / (2.5::DOUBLE * 2.5::DOUBLE) - slowness * slowness) AS qp FROM traces CROSS JOIN ({_AX}))) q JOIN samples a ON a.trace_id = q.trace_id AND a.i = ia JOIN samples b ON b.trace_id = q.trace_id AND b.i = ib JOIN samples c ON c.trace_id = q.trace_id AND c.i = ic"""
 C.add("j10_stack_lookup", "traces", lambda t: t.crossJoin(F.broadcast(H.hk_axes(t.sparkSession, _H, _K))).select("trace_id", "h_idx", "k_idx", H.stack_lookup(F.col("h") * 3 + F.col("k") + F.col("slowness") * 10, F.col("b"), F.col("delta"), F.lit(64)).alias("place")), f"SELECT trace_id, h_idx, k_idx, {_AT.format(d='(h * 3 + k + slowness * 10)')} AS place FROM traces CROSS JOIN ({_AX})")
-C.add("a14_hk_stack", "traces samples", lambda t, s: _rounded(H.best_cells(_cells(t, s))), f"SELECT trace_id, station, round(h, 6) AS h, round(k, 6) AS k, round(amp, 6) AS energy FROM ({_CELLS}) QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY round(amp, 12) DESC, k_idx, h_idx) = 1")
-C.add("a16_mean_hk_surface", "traces samples", lambda t, s: _rounded(H.mean_hk_surface(_cells(t, s))), f"SELECT station, h_idx, k_idx, round(avg(amp / CASE WHEN top = 0 THEN 1 ELSE top END), 6) AS amp FROM (SELECT *, max(amp) OVER (PARTITION BY trace_id) AS top FROM ({_CELLS})) GROUP BY station, h_idx, k_idx")
+C.add("a14_hk_stack", "traces samples", lambda t, s: _rounded(H.best_of(_surfaces(t, s))), f"SELECT trace_id, station, round(h, 6) AS h, round(k, 6) AS k, round(amp, 6) AS energy FROM ({_CELLS}) QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY round(amp, 12) DESC, k_idx, h_idx) = 1")
+C.add("a16_mean_hk_surface", "traces samples", lambda t, s: _rounded(H.mean_surface(_surfaces(t, s))), f"SELECT station, h_idx, k_idx, round(avg(amp / CASE WHEN top = 0 THEN 1 ELSE top END), 6) AS amp FROM (SELECT *, max(amp) OVER (PARTITION BY trace_id) AS top FROM ({_CELLS})) GROUP BY station, h_idx, k_idx")
 _SURFACE = f"SELECT station, h_idx, k_idx, avg(amp / CASE WHEN top = 0 THEN 1 ELSE top END) AS amp FROM (SELECT *, max(amp) OVER (PARTITION BY trace_id) AS top FROM ({_CELLS})) GROUP BY station, h_idx, k_idx"
 
 
@@ -152,7 +156,7 @@ def _smooth_sql(source: str, axis: str, other: str, n: int) -> str:
 C.add(
     "w20_smooth_surface",
     "traces samples",
-    lambda t, s: _rounded(H.smooth_surface(H.mean_hk_surface(_cells(t, s)), 21, _NK, keys=("station",)).select("station", "h_idx", "k_idx", "smooth")),
+    lambda t, s: _rounded(H.smooth_surface(H.mean_surface(_surfaces(t, s)), 21, _NK, keys=("station",)).select("station", "h_idx", "k_idx", "smooth")),
     f"WITH f AS ({_SURFACE}), g AS ({_smooth_sql('SELECT * FROM f', 'h_idx', 'k_idx', 21)}), k AS ({_smooth_sql('SELECT * FROM g', 'k_idx', 'h_idx', _NK)}) SELECT station, h_idx, k_idx, round(amp, 6) AS smooth FROM k",
 )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,25 +55,73 @@ def read_curve_files(spark: SparkSession, glob: str, value_name: str = "value")
     return curves, d.filter("NOT good").select("file", "line")
 
 
-DISPERSION = ("target_period", "period", "group_velocity", "phase_velocity", "amplitude", "snr")
-DEBUG = ("phase", "phase_derivative", "hilbert_phase", "hilbert_period")
+# Own name, name in the file and decimals of the columns of a dispersion table. DEBUG stands before the last
+# column in the long form; the last one is named snr or snr_db.
+DISPERSION = (
+    ("target_period", "target_period_s", "%.6f"),
+    ("period", "instant_period_s", "%.6f"),
+    ("group_velocity", "group_velocity_km_s", "%.4f"),
+    ("phase_velocity", "phase_velocity_km_s", "%.4f"),
+    ("amplitude", "amplitude", "%.6e"),
+)
+DEBUG = (
+    ("phase_derivative", "phase_derivative_rad_s", "%.6f"),
+    ("hilbert_phase_derivative", "hilbert_phase_derivative_rad_s", "%.6f"),
+    ("hilbert_period", "hilbert_instant_period_s", "%.4f"),
+    ("period_delta", "instant_period_delta_s", "%.6f"),
+)
+SNR = ("snr", "snr", "%.3f")
 
 
 def read_dispersion_files(spark: SparkSession, glob: str) -> DataFrame:
-    """Rows of 6- or 10-column dispersion tables with their file's ``# key: value`` header lines as a map. The last of the six is ``snr``, in dB if the header names snr_db."""
-    lines = _lines(spark, glob)
-    head = lines.filter("line LIKE '#%' AND line LIKE '%:%'").select("file", F.trim(F.regexp_extract("line", r"^#\s*([^:]+):", 1)).alias("k"), F.trim(F.regexp_extract("line", r"^#[^:]*:(.*)$", 1)).alias("v"))
-    head = head.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("header"))
-    named = lines.filter("line LIKE '#%snr%'").groupBy("file").agg(F.max(F.contains("line", F.lit("snr_db"))).alias("decibel"))
-    data = lines.filter("line <> '' AND line NOT LIKE '#%'").withColumn("p", F.split("line", r"\s+"))
-    columns = [F.get("p", F.lit(i)).try_cast("double").alias(c) for i, c in enumerate((*DISPERSION, *DEBUG))]
-    return data.select("file", *columns).join(head, "file", "left").join(named, "file", "left")
-
-
-def write_dispersion(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Dispersion rows as text with fixed decimals, one folder per trace, periods ascending."""
-    line = F.format_string("%.4f %.4f %.6f %.6f %.6e %.4f", *[F.coalesce(c, F.lit(float("nan"))) for c in DISPERSION])
-    df.repartition("trace_id").sortWithinPartitions("trace_id", "target_period").select("trace_id", line.alias("value")).write.partitionBy("trace_id").mode(mode).text(path)
+    """Rows of 6- or 10-column dispersion tables with their file's ``# key: value`` lines as a map, of equal keys the last.
+
+    A file, the table of one trace, is one row until its lines are parsed, so nothing is shuffled. ``snr`` is the last
+    column of either form, in dB if the header names snr_db. What is no number is NULL.
+    """
+    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)).alias("lines"))
+    marked = F.filter("lines", lambda x: x.startswith("#"))
+    pairs = F.transform(F.filter(marked, lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.regexp_extract(x, r"^#\s*([^:]+):", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^#[^:]*:(.*)$", 1)).alias("v")))
+    # Later pairs win: of each key the last is kept.
+    names = F.array_distinct(F.transform("pairs", lambda e: e["k"]))
+    header = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter("pairs", lambda e: e["k"] == k), -1)["v"]))
+    decibel = F.when(F.exists(marked, lambda x: x.contains("snr")), F.exists(marked, lambda x: x.contains("snr_db")))
+
+    def number(p: Column, i: int) -> Column:
+        x = F.get(p, F.lit(i)).try_cast("double")
+        return F.when(~F.isnan(x), x)
+
+    def row(p: Column) -> Column:
+        short, long = len(DISPERSION), len(DISPERSION) + len(DEBUG)
+        wide = F.size(p) > long
+        main = [number(p, i).alias(c) for i, (c, _, _) in enumerate(DISPERSION)]
+        extra = [F.when(wide, number(p, short + i)).alias(c) for i, (c, _, _) in enumerate(DEBUG)]
+        return F.struct(F.lit(True).alias("there"), *main, F.when(wide, number(p, long)).otherwise(number(p, short)).alias("snr"), *extra)
+
+    data = F.transform(F.filter("lines", lambda x: (x != "") & ~x.startswith("#")), lambda x: row(F.split(x, r"\s+")))
+    d = files.withColumn("pairs", pairs).select("file", F.when(F.size("pairs") > 0, header).alias("header"), decibel.alias("decibel"), data.alias("data"))
+    # The outer form and a filter behind it: the plain form has the optimiser parse every file a second time for its size.
+    return d.select("file", F.inline_outer("data"), "header", "decibel").filter("there").drop("there")
+
+
+def dispersion_texts(df: DataFrame, debug: bool = False, decibel: bool = False, header: Sequence[str] = ()) -> DataFrame:
+    """(trace_id, value): the text of each trace's table, its ``# key: value`` lines first, periods ascending.
+
+    ``header`` names columns of ``df`` that hold one value a trace; NULLs are left out. ``debug`` adds the four columns of
+    the long form, in which ``period_delta`` is made from the periods. A trace's table is bounded by its periods.
+    """
+    d = df.withColumn("period_delta", F.col("hilbert_period") - F.col("period")) if debug else df
+    columns = (*DISPERSION, *(DEBUG if debug else ()), SNR)
+    line = F.format_string("    ".join(f for _, _, f in columns), *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c, _, _ in columns])
+    rows = d.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("target_period", line.alias("line")))).alias("rows"), *[F.first(c, True).alias(f"h_{c}") for c in header])
+    heads = [F.when(F.col(f"h_{c}").isNotNull(), F.concat(F.lit(f"# {c}: "), F.col(f"h_{c}").cast("string"))) for c in header]
+    names = [n for _, n, _ in columns[:-1]] + ["snr_db" if decibel else "snr"]
+    return rows.select("trace_id", F.concat_ws("\n", *heads, F.lit("# " + " ".join(names)), F.transform("rows", lambda r: r["line"])).alias("value"))
+
+
+def write_dispersion(df: DataFrame, path: str, mode: str = "errorifexists", debug: bool = False, decibel: bool = False, header: Sequence[str] = ()) -> None:
+    """The tables of ``dispersion_texts``, one folder and file a trace."""
+    dispersion_texts(df, debug, decibel, header).write.partitionBy("trace_id").mode(mode).text(path)
 
 
 def write_event_fields(df: DataFrame, path: str, overwrite: bool = False, provenance: dict[str, str] | None = None) -> None:
@@ -115,8 +163,3 @@ def qc_lines(df: DataFrame) -> DataFrame:
 def write_qc_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The kept results as CSV, partitioned by station."""
     qc_lines(df).write.partitionBy("station").mode(mode).csv(path, header=True)
-
-
-def latest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The newest row of each key, for tables that are appended to."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))).filter("__r = 1").drop("__r")

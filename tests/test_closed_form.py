@@ -378,6 +378,17 @@ def test_search_axis():
         H.search_axis(0, 1, 0)
 
 
+def test_surfaces_in_their_rows_equal_rows_of_cells(spark):
+    cell = lambda h, k, a: (h, k, float(h), 1.5 + k, a)
+    rows = [(1, 7, [cell(0, 0, 0.5), cell(1, 0, 2.0), cell(0, 1, 2.0)]), (2, 7, [cell(0, 0, 0.0), cell(1, 0, None), cell(0, 1, -1.0)]), (3, 8, [cell(0, 0, None), cell(1, 0, None), cell(0, 1, None)]), (4, 9, [])]
+    surfaces = spark.createDataFrame(rows, "trace_id int, station int, surface array<struct<h_idx:int,k_idx:int,h:double,k:double,amp:double>>")
+    cells = surfaces.select("trace_id", "station", F.inline("surface"))
+    same = lambda a, b: sorted(a.collect(), key=repr) == sorted(b.select(*a.columns).collect(), key=repr)
+    assert same(H.best_of(surfaces), H.best_cells(cells)) and H.best_of(surfaces).count() == 2
+    assert same(H.mean_surface(surfaces), H.mean_hk_surface(cells))
+    assert H.mean_surface(surfaces)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_smoothing_keeps_a_constant(spark):
     d = spark.createDataFrame([(0, i, j, 2.0) for i in range(5) for j in range(4)], "trace_id int, h_idx int, k_idx int, amp double")
     assert all(r["smooth"] == pytest.approx(2.0) for r in H.smooth_surface(d, 5, 4).collect())

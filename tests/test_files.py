@@ -38,6 +38,29 @@ def test_dispersion_files(spark, tmp_path):
     assert [r["target_period"] for r in got] == [4.0, 5.0, 6.0] and got[2]["header"]["distance"] == "100" and got[2]["decibel"]
 
 
+def test_long_dispersion_files(spark, tmp_path):
+    d = spark.createDataFrame([(1, 5.0, 5.1, 3.0, None, 1.5, 0.2, 0.3, 5.2, 12.0, "CI", 100), (2, 4.0, 4.1, 2.9, 3.1, 1.4, 0.1, 0.2, 4.3, 11.0, None, 50), (1, 4.0, 4.1, 2.8, 3.2, 1.4, 0.1, 0.2, 4.2, 10.0, "CI", 100)], "trace_id int, target_period double, period double, group_velocity double, phase_velocity double, amplitude double, phase_derivative double, hilbert_phase_derivative double, hilbert_period double, snr double, network string, distance int")
+    out = tmp_path / "long"
+    files.write_dispersion(d, str(out), debug=True, decibel=True, header=("network", "distance"))
+    text = next((out / "trace_id=1").glob("*.txt")).read_text().splitlines()
+    assert text[0] == "# network: CI" and text[1] == "# distance: 100" and text[2].endswith("instant_period_delta_s snr_db")
+    assert text[3] == "    ".join(["4.000000", "4.100000", "2.8000", "3.2000", "1.400000e+00", "0.100000", "0.200000", "4.2000", "0.100000", "10.000"])
+    assert next((out / "trace_id=2").glob("*.txt")).read_text().startswith("# distance: 50\n")
+    got = files.read_dispersion_files(spark, str(out / "*" / "*.txt"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {(r["header"]["distance"], r["target_period"]): r for r in got.collect()}
+    assert rows["100", 5.0]["snr"] == 12.0 and rows["100", 5.0]["phase_velocity"] is None and rows["50", 4.0]["hilbert_period"] == 4.3 and rows["50", 4.0]["decibel"]
+
+
+def test_odd_dispersion_files(spark, tmp_path):
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "twice.txt").write_text("# a: 1\r\n# a: 2: 3\r\n\r\n4 4 3 x 1 9\r\n")
+    (tmp_path / "bare.txt").write_text("5 5 3\n")
+    got = {r["file"].rpartition("/")[2]: r for r in files.read_dispersion_files(spark, str(tmp_path / "*.txt")).collect()}
+    assert set(got) == {"twice.txt", "bare.txt"} and got["twice.txt"]["header"] == {"a": "2: 3"} and got["twice.txt"]["phase_velocity"] is None and got["twice.txt"]["snr"] == 9.0
+    assert got["bare.txt"]["header"] is None and got["bare.txt"]["decibel"] is None and got["bare.txt"]["snr"] is None
+
+
 def test_fields_and_restack(spark, tmp_path):
     out = str(tmp_path / "fields")
     e = bindings.view(spark, SF, "event_cells")
