@@ -7,17 +7,27 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded, cut
+from .ranges import border_nodes, in_ranges
 
-def interpolate_at(curve: DataFrame, queries: DataFrame, x: str = "period", y: str = "velocity", keys: tuple[str, ...] = (), extrapolate: str = "linear", out: str = "reference") -> DataFrame:
+#: Nodes of a curve without keys up to which it is broadcast as one row.
+NODES = 1 << 10
+
+
+def interpolate_at(curve: DataFrame, queries: DataFrame, x: str = "period", y: str = "velocity", keys: tuple[str, ...] = (), extrapolate: str = "linear", out: str = "reference", nodes_at_once: int = NODES) -> DataFrame:
     """``queries`` with the piecewise-linear value of the curve at their ``x``.
 
     Nodes and queries meet in one sort per key: windows carry the nodes before and after each query (a bracketing
     join without comparing all pairs). Beyond the ends: ``linear`` continues the outer segment, ``clamp`` holds the end
-    value, ``null`` gives NULL. Curves that are shared by all queries have no keys.
+    value, ``null`` gives NULL. A curve that is shared by all queries has no keys: up to NODES nodes it is one broadcast
+    row, beyond that nodes and queries meet in ranges of ``x``, and each range knows the nodes at its borders.
     """
     if not keys:
-        # A curve without keys is a single bounded list of nodes; each query finds its segment in the array.
-        nodes = curve.filter(F.col(y).isNotNull()).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("__n"))
+        known = curve.filter(F.col(y).isNotNull() & F.col(x).isNotNull())
+        if known.limit(nodes_at_once + 1).count() > nodes_at_once:
+            return _bracketed(known, queries, x, y, (), extrapolate, out)
+        # A short curve is a list of nodes; each query finds its segment in the array.
+        nodes = known.agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("__n"))
         d = queries.crossJoin(F.broadcast(nodes))
         n = F.size("__n")
         below = F.size(F.filter("__n", lambda p: p["x"] <= F.col(x)))
@@ -27,22 +37,31 @@ def interpolate_at(curve: DataFrame, queries: DataFrame, x: str = "period", y: s
         first, last = F.get("__n", F.lit(0)), F.get("__n", n - 1)
         value = {"linear": line, "clamp": F.when(F.col(x) < first["x"], first["y"]).when(F.col(x) > last["x"], last["y"]).otherwise(line), "null": F.when(F.col(x).between(first["x"], last["x"]), line)}[extrapolate]
         return d.withColumn(out, value).drop("__n")
+    return _bracketed(curve, queries, x, y, keys, extrapolate, out)
+
+
+def _bracketed(curve: DataFrame, queries: DataFrame, x: str, y: str, keys: tuple[str, ...], extrapolate: str, out: str) -> DataFrame:
+    """Nodes and queries in one order; windows of a key, or of a range of ``x`` where there are no keys."""
     cols = queries.columns
     q = queries.withColumn("__q", F.lit(1))
     nodes = curve.select(*keys, x, F.struct(F.col(x).alias("x"), F.col(y).alias("y")).alias("__p"))
     d = q.unionByName(nodes.withColumn("__q", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.col(x), "__q")
+    border = lambda name, own: own if keys else F.coalesce(own, F.col(name))
+    if not keys:
+        d = in_ranges(d, (x, "__q"))
+        d = d.join(bounded(cut(border_nodes(d, x, "__p"))), "__part")
+    w = Window.partitionBy(*(keys or ("__part",))).orderBy(F.col(x), "__q")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    d = d.withColumns({"__a": F.last("__p", True).over(back), "__b": F.first("__p", True).over(ahead)})
+    d = d.withColumns({"__a": border("__ca", F.last("__p", True).over(back)), "__b": border("__cb", F.first("__p", True).over(ahead))})
     # The second node on each side, for queries beyond an end.
-    d = d.withColumn("__pa", F.when(F.col("__q") == 0, F.lag("__a").over(w))).withColumn("__nb", F.when(F.col("__q") == 0, F.lead("__b").over(w)))
-    d = d.withColumns({"__a2": F.last("__pa", True).over(back), "__b2": F.first("__nb", True).over(ahead)})
+    d = d.withColumn("__pa", F.when(F.col("__q") == 0, border("__ca", F.lag("__a").over(w)))).withColumn("__nb", F.when(F.col("__q") == 0, border("__cb", F.lead("__b").over(w))))
+    d = d.withColumns({"__a2": border("__ca2", F.last("__pa", True).over(back)), "__b2": border("__cb2", F.first("__nb", True).over(ahead))})
     a, b, a2, b2 = (F.col(c) for c in ("__a", "__b", "__a2", "__b2"))
     seg = lambda p, r: p["y"] + (F.col(x) - p["x"]) * (r["y"] - p["y"]) / (r["x"] - p["x"])
     inner = F.when(a["x"] == F.col(x), a["y"]).when(a.isNotNull() & b.isNotNull(), seg(a, b))
     low = {"linear": seg(b, b2), "clamp": b["y"], "null": F.lit(None)}[extrapolate]
     high = {"linear": seg(a2, a), "clamp": a["y"], "null": F.lit(None)}[extrapolate]
-    d = d.withColumn(out, F.when(a.isNotNull() & b.isNotNull(), inner).when(a.isNull(), low).otherwise(F.coalesce(F.when(a["x"] == F.col(x), a["y"]), high)))
+    d = d.withColumn(out, F.when(F.col(x).isNull(), None).when(a.isNotNull() & b.isNotNull(), inner).when(a.isNull(), low).otherwise(F.coalesce(F.when(a["x"] == F.col(x), a["y"]), high)))
     return d.filter("__q = 1").select(*cols, out)
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import bounded, cut
+from .ranges import aside, same
 
 QUANTILES = (0.01, 0.05, 0.16, 0.5, 0.84, 0.95, 0.99)
 DRAW = ("station", "chain", "step")
@@ -75,16 +75,6 @@ def posterior_table(priors: DataFrame, fits: DataFrame, keys: tuple[str, ...] =
 BUFFERED, BINS = 1 << 20, 1 << 12
 
 
-def _aside(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """``df`` with its keys under other names, for a join by ``_same``."""
-    return df.withColumnsRenamed({k: f"__{k}" for k in keys})
-
-
-def _same(keys: tuple[str, ...]) -> Column:
-    """Equal keys, where NULL equals NULL."""
-    return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-
-
 def exact_quantiles(samples: DataFrame, keys: tuple[str, ...], value: str = "value", quantiles: tuple[float, ...] = QUANTILES, bins: int = BINS) -> DataFrame:
     """(keys, q01...): exact quantiles between neighbouring ranks, in memory that does not depend on a group's size; NULLs are ignored.
 
@@ -108,7 +98,7 @@ def exact_quantiles(samples: DataFrame, keys: tuple[str, ...], value: str = "val
         spans = cut(todo.select(*key, "__lo", "__hi", "__below").distinct())
         if spans.isEmpty():
             break
-        held = rows.join(bounded(_aside(spans, keys)), _same(keys) & F.col("__v").between(F.col("__lo"), F.col("__hi"))).select(*key, "__lo", "__hi", "__below", "__v")
+        held = rows.join(bounded(aside(spans, keys)), same(keys) & F.col("__v").between(F.col("__lo"), F.col("__hi"))).select(*key, "__lo", "__hi", "__below", "__v")
         # Halves are scaled, so that a range of any width has a finite one; the ends always fall into different bins.
         part = F.floor(F.try_divide(F.col("__v") / 2 - F.col("__lo") / 2, F.col("__hi") / 2 - F.col("__lo") / 2) * (bins - 1)).cast("int")
         part = F.when(F.col("__v") == F.col("__hi"), bins - 1).otherwise(F.least(F.coalesce(part, F.lit(0)), F.lit(bins - 2)))
@@ -117,10 +107,10 @@ def exact_quantiles(samples: DataFrame, keys: tuple[str, ...], value: str = "val
         binned = binned.withColumn("__start", F.col("__below") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
         wanted = todo.select(*key, F.col("__lo").alias("__from"), "__rank")
         hit = (F.col("__from") == F.col("__lo")) & (F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__start") + F.col("__c"))
-        bins_ = _aside(binned.drop("__below"), keys)
-        todo = cut(wanted.join(bins_, _same(keys) & hit).select(*key, F.col("__min").alias("__lo"), F.col("__max").alias("__hi"), "__rank", F.col("__start").alias("__below")))
+        bins_ = aside(binned.drop("__below"), keys)
+        todo = cut(wanted.join(bins_, same(keys) & hit).select(*key, F.col("__min").alias("__lo"), F.col("__max").alias("__hi"), "__rank", F.col("__start").alias("__below")))
     values = done.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__value"))).alias("__r"))
-    d = first.select(*key, "__n").join(_aside(values, keys), _same(keys)).select(*key, "__n", "__r")
+    d = first.select(*key, "__n").join(aside(values, keys), same(keys)).select(*key, "__n", "__r")
 
     def between(p: float) -> Column:
         at = F.lit(float(p)) * (F.col("__n") - 1)
@@ -146,10 +136,10 @@ def ensemble_summary(samples: DataFrame, keys: tuple[str, ...], value: str = "va
     if large.isEmpty():
         found = apart(samples.groupBy(*keys).agg(q))
     else:
-        marked = bounded(_aside(large.select(*keys), keys))
-        small = apart(samples.join(marked, _same(keys), "left_anti").groupBy(*keys).agg(q))
-        found = small.unionByName(exact_quantiles(samples.join(marked, _same(keys), "left_semi"), keys, value, quantiles))
-    return sizes.join(_aside(found, keys), _same(keys)).select(*keys, "n", "mean", "std", "min", "max", *names)
+        marked = bounded(aside(large.select(*keys), keys))
+        small = apart(samples.join(marked, same(keys), "left_anti").groupBy(*keys).agg(q))
+        found = small.unionByName(exact_quantiles(samples.join(marked, same(keys), "left_semi"), keys, value, quantiles))
+    return sizes.join(aside(found, keys), same(keys)).select(*keys, "n", "mean", "std", "min", "max", *names)
 
 
 def best_draw(draws: DataFrame, keys: tuple[str, ...] = ("station",)) -> DataFrame:
