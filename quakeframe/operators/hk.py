@@ -50,7 +50,9 @@ def hk_surfaces(traces: DataFrame, samples: DataFrame, axes: DataFrame, weights:
     ``sediment`` gives the P velocity of the layer). The samples of a trace and the grid, a bounded table, are arrays of
     one row; each cell reads three samples.
     """
-    arrays = samples.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("a")).select("trace_id", F.transform("a", lambda x: x["v"]).alias("a"))
+    # A trace costs one lookup a cell, which its bytes do not tell: with a given number, small partitions stay apart.
+    dealt = samples.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), "trace_id")
+    arrays = dealt.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("a")).select("trace_id", F.transform("a", lambda x: x["v"]).alias("a"))
     cells = axes.agg(F.array_sort(F.collect_list(F.struct("h_idx", "k_idx", "h", "k"))).alias("cells"))
     p = F.col("slowness")
     d = traces.join(arrays, "trace_id").crossJoin(F.broadcast(cells)).withColumn("factor", amplitude_factor(p))

@@ -6,7 +6,7 @@ A kernel sees one bounded group: the samples of a trace, the periods of a curve,
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -427,14 +427,22 @@ def thin_plate(points: np.ndarray, values: np.ndarray, query: np.ndarray, smooth
     return out
 
 
-def grid_travel_times(points: DataFrame, grid: DataFrame, value: str = "travel_time", smoothing: float = 0.0, comparison: float | None = 1.0, source_at_zero: bool = True, neighbours: int | None = None, tiles: int = 1) -> DataFrame:
+#: Kernels of scattered values by name; further ones may be added. Each takes places in km (n, 2), their values (n,), queried
+#: places (m, 2), a smoothing and a number of neighbours or None, and returns the m values; it may raise LinAlgError.
+KERNELS: dict[str, Callable[..., np.ndarray]] = {"thin_plate": thin_plate}
+
+
+def grid_travel_times(points: DataFrame, grid: DataFrame, value: str = "travel_time", smoothing: float = 0.0, comparison: float | None = 1.0, source_at_zero: bool = True, neighbours: int | None = None, tiles: int = 1, kernel: str = "thin_plate") -> DataFrame:
     """(period_s, source, i_lat, i_lon, value, other): each source's scattered values on the grid.
 
     Points at equal places are merged to their median; the source itself is a point of value 0. ``other`` is a second,
     smoother solution. Groups with fewer than three points, or a singular system, give no rows. The grid is one bounded
     table, broadcast to the kernels. One source and period is one solve; with ``neighbours`` the solves are local, and
-    ``tiles`` deals the cells of a source to so many tasks.
+    ``tiles`` deals the cells of a source to so many tasks. ``kernel`` is one of KERNELS.
     """
+    if kernel not in KERNELS:
+        raise ValueError(f"unknown kernel {kernel!r}; there are {sorted(KERNELS)}")
+    solve = KERNELS[kernel]
     cells = grid.select("i_lat", "i_lon", "lat", "lon").orderBy("i_lat", "i_lon").toPandas()
     lon0, lat0 = (cells["lon"].min() + cells["lon"].max()) / 2, (cells["lat"].min() + cells["lat"].max()) / 2
     flat = lambda lon, lat: np.column_stack([np.radians(lon - lon0) * math.cos(math.radians(lat0)), np.radians(lat - lat0)]) * EARTH_RADIUS_KM
@@ -453,8 +461,8 @@ def grid_travel_times(points: DataFrame, grid: DataFrame, value: str = "travel_t
             return empty
         at, v = flat(d["x"].to_numpy(), d["y"].to_numpy()), d[value].to_numpy()
         try:
-            t = thin_plate(at, v, query[own], smoothing, neighbours)
-            o = thin_plate(at, v, query[own], comparison, neighbours) if comparison is not None else np.full(len(own), np.nan)
+            t = solve(at, v, query[own], smoothing, neighbours)
+            o = solve(at, v, query[own], comparison, neighbours) if comparison is not None else np.full(len(own), np.nan)
         except np.linalg.LinAlgError:
             return empty
         return pd.DataFrame({"period_s": pdf["period_s"].iloc[0], "source": pdf["source"].iloc[0], "i_lat": i_lat[own], "i_lon": i_lon[own], "value": t, "other": o})
@@ -486,6 +494,7 @@ def event_fields(
     min_cells: int = 1,
     min_fraction: float = 0.0,
     amplitude: dict | None = None,
+    kernel: str = "thin_plate",
 ) -> DataFrame:
     """Gridded slowness of every source and period, with rejection codes and acceptance of both families.
 
@@ -496,7 +505,7 @@ def event_fields(
     written (``write_event_fields``) and stacked (``eikonal_vs_helmholtz``) as it is.
 
     ``amplitude`` may hold min_amplitude, max_relative_difference (of the two solutions), reference_velocity and
-    min_period of the amplitude family.
+    min_period of the amplitude family. ``kernel`` names one of KERNELS for both.
     """
     settle(measurements.sparkSession)
     own = {"min_amplitude": 0.0, "max_relative_difference": 0.01, "reference_velocity": 4.0, "min_period": 0.0} | (amplitude or {})
@@ -511,7 +520,7 @@ def event_fields(
     loud = d.filter((F.col("amp") > own["min_amplitude"]) & (F.col("period_s") >= own["min_period"])).join(checked.filter("valid").select(*key, "receiver"), [*key, "receiver"], "left_semi")
     used = checked.groupBy(*key).agg(F.sum(F.col("valid").cast("long")).alias("n_used"), F.sum((F.col("valid") & (F.col("cycles") != 0)).cast("long")).alias("n_corrected"), F.sum((~F.col("valid")).cast("long")).alias("n_rejected"))
     counts = d.groupBy(*key).agg(F.count("*").alias("n_input")).join(used, key, "left").join(loud.groupBy(*key).agg(F.count("*").alias("n_amplitude")), key, "left").na.fill(0, ["n_used", "n_corrected", "n_rejected", "n_amplitude"])
-    field = cut(grid_travel_times(points, grid, neighbours=neighbours))
+    field = cut(grid_travel_times(points, grid, neighbours=neighbours, kernel=kernel))
     xy = bounded(grid.select(*place, "lat", "lon", "x_km", "y_km"))
     t = field.join(xy, place)
     t = G.laplacian(G.gradient(G.gradient(t, "lon", out="east"), "lat", out="north"))
@@ -540,7 +549,7 @@ def event_fields(
     if not helmholtz:
         t = cut(t)
         return t.join(accepted(t, "reason", "accepted"), key).join(counts, key)
-    amp = grid_travel_times(loud, grid, "amp", source_at_zero=False, neighbours=neighbours).select(*key, *place, F.col("value").alias("amplitude"), F.col("other").alias("amplitude_other"))
+    amp = grid_travel_times(loud, grid, "amp", source_at_zero=False, neighbours=neighbours, kernel=kernel).select(*key, *place, F.col("value").alias("amplitude"), F.col("other").alias("amplitude_other"))
     a = G.laplacian(amp.join(xy, place).drop("lat", "lon"), "amplitude", "amplitude_laplacian").drop("x_km", "y_km")
     a = G.adjacent_to_null(a, "amplitude").withColumnRenamed("adjacent", "amplitude_adjacent").withColumn("amplitude_computed", F.lit(True))
     t = t.join(a, [*key, *place], "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,10 +37,14 @@ def layer_at_depths(layers: DataFrame, depths: DataFrame) -> DataFrame:
     return depths.join(d, on, "left").select(depths["model_id"], depths["depth"], d["vs"])
 
 
-def resolve_parameters(segments: DataFrame, draws: DataFrame, column: str = "v_top", name: str = "v_top_name") -> DataFrame:
-    """Segments of every draw: a named parameter takes the draw's value, a literal stays. ``segments`` is one model's small table; ``draws`` is long (station, chain, step, parameter, value)."""
-    key = ["station", "chain", "step"]
-    every = draws.select(*key).distinct().crossJoin(bounded(segments))
+def resolve_parameters(segments: DataFrame, draws: DataFrame, column: str = "v_top", name: str = "v_top_name", by: tuple[str, ...] = ()) -> DataFrame:
+    """Segments of every draw: a named parameter takes the draw's value, a literal stays. ``draws`` is long (station, chain, step, parameter, value).
+
+    ``segments`` is one model's small table, or with ``by`` the tables of many models: columns of both tables that name a draw's model.
+    """
+    key = ["station", "chain", "step", *by]
+    each = draws.select(*key).distinct()
+    every = each.join(segments, list(by)) if by else each.crossJoin(bounded(segments))
     values = draws.select(*key, F.col("parameter").alias(name), "value")
     return every.join(values, [*key, name], "left").withColumn(column, F.coalesce("value", column)).drop("value")
 
@@ -107,6 +113,32 @@ def curvature_prior(profile: DataFrame, sigma: float) -> DataFrame:
     return e.withColumn("log_prior", -0.5 * (F.col("rms") / sigma) ** 2)
 
 
+#: Soft priors by name; further ones may be added. Each takes a profile (model_id, seg, depth, vs) and its own settings and
+#: returns one row a model: model_id, log_prior, and what else it found out. A NULL log_prior makes the model invalid.
+SOFT_PRIORS: dict[str, Callable[..., DataFrame]] = {"curvature": curvature_prior}
+
+
+def soft_priors(profile: DataFrame, wanted: dict[str, dict]) -> DataFrame:
+    """(model_id, log_prior, log_<name>, <name>_<finding>...): the sum of the wanted priors, -Infinity where one gives no value.
+
+    ``wanted`` names registered priors with their settings. Without any the sum is 0.
+    """
+    unknown = sorted(set(wanted) - set(SOFT_PRIORS))
+    if unknown:
+        raise ValueError(f"unknown soft priors {unknown}; there are {sorted(SOFT_PRIORS)}")
+    d = profile.select("model_id").distinct()
+    total = F.lit(0.0)
+    for name, settings in wanted.items():
+        found = SOFT_PRIORS[name](profile, **settings)
+        missing = {"model_id", "log_prior"} - set(found.columns)
+        if missing:
+            raise ValueError(f"the soft prior {name} lacks {sorted(missing)}")
+        d = d.join(found.select("model_id", F.col("log_prior").alias(f"log_{name}"), *[F.col(c).alias(f"{name}_{c}") for c in found.columns if c not in ("model_id", "log_prior")]), "model_id", "left")
+        d = d.withColumn(f"log_{name}", F.coalesce(F.col(f"log_{name}"), F.lit(float("-inf"))))
+        total = total + F.col(f"log_{name}")
+    return d.withColumn("log_prior", total)
+
+
 def layers_from_profile(segments: DataFrame, dz: float, vp: str = "brocher2005", rho: str = "brocher2005") -> DataFrame:
     """(model_id, layer, thickness, vs, vp, rho): each segment in ceil(range / dz) equal layers with midpoint values, then a half-space with the value at the bottom."""
     n = F.ceil((F.col("bottom") - F.col("top")) / dz - 1e-9).cast("int")

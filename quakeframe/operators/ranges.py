@@ -28,9 +28,12 @@ def same(keys: tuple[str, ...]) -> Column:
     return reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
 
 
-def split_large(df: DataFrame, keys: tuple[str, ...], rows: int = LARGE) -> tuple[DataFrame, DataFrame | None]:
-    """(rest, large): rows of groups of at most, and of more than, so many rows; None without such groups. Counts ``df`` once."""
-    large = cut(df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > rows).select(*keys))
+def split_large(df: DataFrame, keys: tuple[str, ...], rows: int = LARGE, counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rest, large): rows of groups of at most, and of more than, so many rows; None without such groups.
+
+    Groups are counted once, in ``counted`` if given: a table of at least the rows of ``df`` whose keys are cheaper to read.
+    """
+    large = cut((df if counted is None else counted).groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > rows).select(*keys))
     if large.isEmpty():
         return df, None
     marked = bounded(aside(large, keys))

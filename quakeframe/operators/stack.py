@@ -124,7 +124,7 @@ def stack_cells(events: DataFrame, width: float = 20.0, min_raw_measurements_per
     if not 0 <= width < 180:
         raise ValueError("the width must be in [0, 180)")
     valid = events.filter((F.col("reason") == 0) & (finite(F.col("slowness")) > 0) & F.col("accepted"))
-    rest, crowded = split_large(valid, keys, large)
+    rest, crowded = split_large(valid, keys, large, events)
 
     def weighted(counted: DataFrame, attach: Attach) -> DataFrame:
         d = attach(_capped(counted, require_peer, cap_deviations, keys, attach), keys, {"raw": F.count("*")})

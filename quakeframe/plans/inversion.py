@@ -35,6 +35,15 @@ def _j16(s, d):
 
 
 C.add("j16_resolve_parameters", "segments long_draws", _j16, "SELECT station, chain, step, seg, round(CASE WHEN seg = 0 THEN v_top ELSE value END, 6) AS v_top FROM (SELECT DISTINCT station, chain, step FROM long_draws) k CROSS JOIN (SELECT * FROM segments WHERE model_id = 0) s LEFT JOIN long_draws l USING (station, chain, step) WHERE l.parameter = 'vs' || greatest(seg, 1)")
+
+
+def _j16_models(s, d):
+    """Each station's draws go into the model of its number; all models are read."""
+    named = s.withColumn("v_top_name", F.when(F.col("seg") > 0, F.concat(F.lit("vs"), F.col("seg"))))
+    return _rounded(M.resolve_parameters(named, d.withColumn("model_id", F.col("station")), by=("model_id",)).select("station", "chain", "step", "seg", "v_top"))
+
+
+C.add("j16_resolve_by_model", "segments long_draws", _j16_models, "SELECT station, chain, step, seg, round(CASE WHEN seg = 0 THEN v_top ELSE value END, 6) AS v_top FROM (SELECT DISTINCT station, chain, step FROM long_draws) k JOIN segments s ON s.model_id = k.station LEFT JOIN long_draws l USING (station, chain, step) WHERE l.parameter = 'vs' || greatest(seg, 1)")
 C.add("w22_depth_axis", "segments", lambda s: _rounded(M.depth_axes(s.groupBy("model_id").agg((F.max("bottom") + F.max("v_bottom")).alias("zmax")), 0.4)), "SELECT model_id, round(unnest(range(CAST(floor((zmax + 0.2) / 0.4::DOUBLE) AS BIGINT) + 1)) * 0.4::DOUBLE, 6) AS depth FROM (SELECT model_id, max(bottom) + max(v_bottom) AS zmax FROM segments GROUP BY model_id)")
 C.add(
     "w12_profile_checks",
@@ -59,6 +68,7 @@ def _squared(p):
 
 # The square of a line has twice its squared slope as second derivative, at the one-sided ends too.
 C.add("w14_curvature_prior", "profile segments", lambda p, _: _rounded(M.curvature_prior(_squared(p), 0.1)), "SELECT model_id, round(r, 6) AS rms, round(-0.5 * (r / 0.1) * (r / 0.1), 6) AS log_prior FROM (SELECT model_id, sqrt(sum((bottom - top) * pow(2 * s * s, 2)) / sum(bottom - top)) AS r FROM (SELECT *, CASE WHEN profile = 'constant' THEN 0 ELSE (v_bottom - v_top) / (bottom - top) END AS s FROM segments) GROUP BY model_id)")
+C.add("w14_soft_priors", "profile segments", lambda p, _: _rounded(M.soft_priors(_squared(p), {"curvature": {"sigma": 0.1}})), "SELECT model_id, round(r, 6) AS curvature_rms, round(-0.5 * (r / 0.1) * (r / 0.1), 6) AS log_curvature, round(-0.5 * (r / 0.1) * (r / 0.1), 6) AS log_prior FROM (SELECT model_id, sqrt(sum((bottom - top) * pow(2 * s * s, 2)) / sum(bottom - top)) AS r FROM (SELECT *, CASE WHEN profile = 'constant' THEN 0 ELSE (v_bottom - v_top) / (bottom - top) END AS s FROM segments) GROUP BY model_id)")
 _LAYERS = f"""WITH s AS (SELECT *, CAST(ceil((bottom - top) / 1.5 - 1e-9) AS INT) AS n FROM segments), e AS (SELECT *, unnest(range(n)) AS j FROM s), f AS (SELECT *, (bottom - top) / n AS h, top + (j + 0.5) * (bottom - top) / n AS z FROM e), g AS (SELECT model_id, seg, j, h AS thickness, {_VALUE.format(d='z')} AS vs FROM f UNION ALL SELECT model_id, 4, 0, 0, v_bottom FROM segments WHERE seg = 3),
 v AS (SELECT *, CASE WHEN vs BETWEEN 0 AND 4.5 THEN 0.9409 + 2.0947 * vs - 0.8206 * vs**2 + 0.2683 * vs**3 - 0.0251 * vs**4 END AS vp FROM g)
 SELECT model_id, CAST(row_number() OVER (PARTITION BY model_id ORDER BY seg, j) - 1 AS INT) AS layer, round(thickness, 9) AS thickness, round(vs, 9) AS vs, round(vp, 9) AS vp, round(1.6612 * vp - 0.4721 * vp**2 + 0.0671 * vp**3 - 0.0043 * vp**4 + 0.000106 * vp**5, 9) AS rho FROM v"""

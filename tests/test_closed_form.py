@@ -208,6 +208,24 @@ def test_curvature_prior_is_zero_for_lines_and_steps(spark):
     assert r["rms"] == pytest.approx(0, abs=1e-9)
 
 
+def test_registered_soft_prior(spark, monkeypatch):
+    def mean_speed(profile, centre):
+        return profile.groupBy("model_id").agg(F.avg("vs").alias("mean")).select("model_id", (-F.abs(F.col("mean") - centre)).alias("log_prior"), "mean")
+
+    rows = [(1, 0, float(z), float(2.0 + 0.1 * z)) for z in range(6)] + [(2, 0, float(z), None) for z in range(6)]
+    d = spark.createDataFrame(rows, "model_id int, seg int, depth double, vs double")
+    with pytest.raises(ValueError, match="mean_speed"):
+        L.soft_priors(d, {"mean_speed": {"centre": 2.0}})
+    monkeypatch.setitem(L.SOFT_PRIORS, "mean_speed", mean_speed)
+    got = {r["model_id"]: r for r in L.soft_priors(d, {"curvature": {"sigma": 0.1}, "mean_speed": {"centre": 2.0}}).collect()}
+    assert got[1]["log_prior"] == pytest.approx(-0.25) and got[1]["mean_speed_mean"] == pytest.approx(2.25) and got[1]["log_curvature"] == pytest.approx(0.0)
+    assert got[2]["log_prior"] == float("-inf")
+    assert {r["log_prior"] for r in L.soft_priors(d, {}).collect()} == {0.0}
+    monkeypatch.setitem(L.SOFT_PRIORS, "mean_speed", lambda profile: profile.select("model_id").distinct())
+    with pytest.raises(ValueError, match="log_prior"):
+        L.soft_priors(d, {"mean_speed": {}})
+
+
 def test_spline_basis():
     b = L.bspline_basis(7, 3, np.linspace(0, 1, 50), 1.3)
     assert np.allclose(b.sum(axis=1), 1) and b.min() >= 0 and b[0, 0] == 1 and b[-1, -1] == pytest.approx(1)
@@ -430,6 +448,24 @@ def test_tiles_give_the_same_map(spark):
     assert len(one) == 15 and one == pytest.approx(two)
 
 
+def test_registered_kernel(spark, monkeypatch):
+    def plane(points, values, query, smoothing, neighbours):
+        ones = lambda p: np.column_stack([np.ones(len(p)), p])
+        return ones(query) @ np.linalg.lstsq(ones(points), values, rcond=None)[0] + smoothing
+
+    g = G.grid_axes(spark, (-1.0, 1.0, 0.5), (0.0, 1.0, 0.5))
+    rng = np.random.default_rng(7)
+    rows = [(10, "S", -1.2, 0.1, float(x), float(y), float(3 * (x + 1.2) + 2 * (y - 0.1))) for x, y in zip(rng.uniform(-1, 1, 20), rng.uniform(0, 1, 20), strict=True)]
+    d = spark.createDataFrame(rows, "period_s int, source string, src_lon double, src_lat double, rcv_lon double, rcv_lat double, travel_time double")
+    with pytest.raises(ValueError, match="plane"):
+        N.grid_travel_times(d, g, kernel="plane")
+    monkeypatch.setitem(N.KERNELS, "plane", plane)
+    got = N.grid_travel_times(d, g, kernel="plane").join(g, ["i_lat", "i_lon"]).collect()
+    assert len(got) == 15
+    for r in got:
+        assert r["value"] == pytest.approx(3 * (r["lon"] + 1.2) + 2 * (r["lat"] - 0.1), abs=1e-6) and r["other"] == pytest.approx(r["value"] + 1.0)
+
+
 def test_f_distribution():
     """P(F <= 1) is one half for equal degrees; with two and two degrees P(F <= f) = f / (1 + f)."""
     f = np.array([0.0, 0.2, 1.0, 3.0])
