@@ -170,10 +170,11 @@ def _sums() -> tuple[Column, ...]:
 def eikonal_vs_helmholtz(events: DataFrame, **config: object) -> DataFrame:
     """Both slowness families stacked by one plan: ``events`` also has helmholtz_slowness and helmholtz_reason, and may have helmholtz_accepted, the acceptance of that family; those columns of the result have the prefix ``helmholtz_``."""
     keys = tuple(config.pop("keys", KEYS))  # type: ignore[arg-type]
-    own = events.select(*keys, "source", "azimuth", "accepted", F.lit("").alias("family"), "slowness", "reason")
-    own_word = F.col("helmholtz_accepted") if "helmholtz_accepted" in events.columns else F.col("accepted")
-    other = events.select(*keys, "source", "azimuth", own_word.alias("accepted"), F.lit("helmholtz_").alias("family"), F.col("helmholtz_slowness").alias("slowness"), F.col("helmholtz_reason").alias("reason"))
-    both = stack_cells(own.unionByName(other), keys=(*keys, "family"), **config)  # type: ignore[arg-type]
+    other_word = F.col("helmholtz_accepted") if "helmholtz_accepted" in events.columns else F.col("accepted")
+    family = lambda name, accepted, slowness, reason: F.struct(F.lit(name).alias("family"), accepted.alias("accepted"), F.col(slowness).alias("slowness"), F.col(reason).alias("reason"))
+    # Both families of a row at once, so that the events are read and made once.
+    pair = F.array(family("", F.col("accepted"), "slowness", "reason"), family("helmholtz_", other_word, "helmholtz_slowness", "helmholtz_reason"))
+    both = stack_cells(events.select(*keys, "source", "azimuth", F.inline(pair)), keys=(*keys, "family"), **config)  # type: ignore[arg-type]
     values = [c for c in both.columns if c not in (*keys, "family")]
     picked = [F.max(F.when(F.col("family") == f, F.col(c))).alias(f"{f}{c}") for f in ("", "helmholtz_") for c in values]
     return both.groupBy(*keys).agg(*picked)
