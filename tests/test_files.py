@@ -88,3 +88,10 @@ def test_stream_equals_batch(spark, paths, tmp_path):
     q = row_local.write_travel_times(spark, paths, str(tmp_path / "o"), str(tmp_path / "c"), 3.0)
     assert q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "o")).count() == row_local.with_travel_times(spark.read.parquet(paths), 3.0).count()
+
+
+def test_qc_table_rounds_the_doubles(spark):
+    from quakeframe.plans.tables import _s8
+
+    d = spark.createDataFrame([(1, 0, 30 + 256125.0 / 25000, 1.5, 2.0), (2, 0, 37.125, 1.5, 2.0)], "rf_id int, station int, h double, k double, energy double")
+    assert {r["name"]: r["h"] for r in _s8(d).collect()} == {"1": "40.2400", "2": "37.1300"}
