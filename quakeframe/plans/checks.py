@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import contracts as V
 from ..operators import masks as M
-from ..session import bounded
 from .base import Catalog, r6
 from .scalars import vincenty_sql
 
@@ -35,7 +34,7 @@ C.add(
 C.add("v5_segments", "segments", lambda d: V.check_segments(d.withColumn("top", F.when(F.col("model_id") % 7 == 0, F.col("top") + F.col("seg")).otherwise(F.col("top")))).select("rule", "key"), "SELECT CASE WHEN bottom <= top + seg THEN 'thickness' ELSE 'not_contiguous' END AS rule, model_id || '|' || seg AS key FROM segments WHERE model_id % 7 = 0 AND seg > 0")
 C.add("v6_layers", "layers", lambda d: V.check_layers(d.withColumn("vp", F.when(F.col("model_id") % 5 == 0, F.col("vs") * 0.9).otherwise(F.col("vp")))), "SELECT 'vp_above_vs' AS rule, model_id || '|' || layer AS key, 'layer' AS detail FROM layers WHERE model_id % 5 = 0")
 C.add("v7_component_shapes", "ccf", lambda d: V.check_component_shapes(d, NINE), "SELECT 'missing_component' AS rule, CAST(pair AS STRING) AS key, array_to_string(list_sort(list_filter(['ZZ', 'ZN', 'ZE', 'NZ', 'NN', 'NE', 'EZ', 'EN', 'EE'], lambda x: NOT list_contains(have, x))), ',') AS detail FROM (SELECT pair, list(DISTINCT component) AS have FROM ccf GROUP BY pair) WHERE len(have) < 9")
-C.add("j12_missing_rows", "paths", lambda p: V.missing_rows(p.select("source", "receiver").distinct().crossJoin(bounded(p.select("period_s").distinct(), 1000)), p, ["source", "receiver", "period_s"]), "SELECT source, receiver, period_s FROM (SELECT DISTINCT source, receiver FROM paths) CROSS JOIN (SELECT DISTINCT period_s FROM paths) EXCEPT SELECT source, receiver, period_s FROM paths")
+C.add("j12_missing_rows", "paths", lambda p: V.missing_combinations(p, ["source", "receiver"], ["period_s"]), "SELECT source, receiver, period_s FROM (SELECT DISTINCT source, receiver FROM paths) CROSS JOIN (SELECT DISTINCT period_s FROM paths) EXCEPT SELECT source, receiver, period_s FROM paths")
 
 C.add("f1_valid_measurements", "paths", lambda p: M.valid_measurements(p, 10.0).select("source", "receiver", "period_s", r6("c").alias("c")), "SELECT source, receiver, period_s, round(c, 6) AS c FROM paths WHERE c > 0 AND valid AND snr >= 10")
 
