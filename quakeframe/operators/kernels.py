@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -366,29 +368,112 @@ def unwrap_times(x: np.ndarray, y: np.ndarray, distance: np.ndarray, time: np.nd
     return best[1]
 
 
-def correct_cycle_skips(points: DataFrame, max_residual: float = 3.0, trials: int = 5, stride: int = 3, min_period: float = 0.0) -> DataFrame:
-    """``points`` (period_s, source, receiver, rcv_lon, rcv_lat, distance_km, travel_time) with corrected ``travel_time``, ``cycles``, ``residual`` and ``valid``, per source and period."""
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    ddl = ", ".join([*(f"{c} {kinds[c]}" for c in ("period_s", "source", "receiver")), "rcv_lon double, rcv_lat double, distance_km double, travel_time double, cycles int, residual double, valid boolean"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        good = (pdf["distance_km"] > 0) & (pdf["travel_time"] > 0)
-        pdf = pdf[good].sort_values("receiver").reset_index(drop=True)
-        period = float(pdf["period_s"].iloc[0]) if len(pdf) else 0.0
-        lon0, lat0 = pdf["rcv_lon"].mean(), pdf["rcv_lat"].mean()
-        x = np.radians((pdf["rcv_lon"] - lon0).to_numpy()) * math.cos(math.radians(lat0)) * EARTH_RADIUS_KM if len(pdf) else np.empty(0)
-        y = np.radians((pdf["rcv_lat"] - lat0).to_numpy()) * EARTH_RADIUS_KM
-        if period < min_period:
-            return pdf.assign(cycles=0, residual=0.0, valid=True)
-        t, ok, cycles, res = unwrap_times(x, y, pdf["distance_km"].to_numpy(), pdf["travel_time"].to_numpy(), period, max_residual, trials, stride)
-        return pdf.assign(travel_time=np.where(ok, t, pdf["travel_time"]), cycles=cycles, residual=res, valid=ok)
-
-    return points.select("period_s", "source", "receiver", "rcv_lon", "rcv_lat", "distance_km", "travel_time").groupBy("period_s", "source").applyInPandas(run, ddl)
+#: Distances of receivers that are held at once by many sources.
+HELD = 1 << 20
+
+
+def unwrap_many(x: np.ndarray, y: np.ndarray, distance: np.ndarray, time: np.ndarray, sizes: np.ndarray, periods: np.ndarray, max_residual: float, trials: int, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``unwrap_times`` of many sources, whose receivers follow each other in the arrays: sources of like size take each visit together."""
+    t, ok, cycles, res = time.copy(), np.ones(len(x), bool), np.zeros(len(x), np.int64), np.zeros(len(x))
+    starts = np.cumsum(sizes) - sizes
+    todo = np.argsort(sizes, kind="stable")
+    todo = todo[sizes[todo] > 1].tolist()
+    while todo:
+        n = int(sizes[todo[-1]])
+        some = todo[-max(1, HELD // (n * n)) :]
+        del todo[-len(some) :]
+        own = [slice(starts[g], starts[g] + sizes[g]) for g in some]
+        if n > MATRIX:
+            for g, at in zip(some, own, strict=True):
+                t[at], ok[at], cycles[at], res[at] = unwrap_times(x[at], y[at], distance[at], time[at], float(periods[g]), max_residual, trials, stride)
+            continue
+        # Shorter sources are filled up with far places without a time, which are never accepted.
+        px, py, far, measured = (np.full((len(some), n), fill) for fill in (1e18, 1e18, 1.0, np.nan))
+        for i, at in enumerate(own):
+            m = at.stop - at.start
+            px[i, :m], py[i, :m], far[i, :m], measured[i, :m] = x[at], y[at], distance[at], time[at]
+        apart = np.hypot(px[:, :, None] - px[:, None, :], py[:, :, None] - py[:, None, :])
+        seeds = [np.argsort(np.hypot(x[at] - x[at].mean(), y[at] - y[at].mean()), kind="stable")[::stride][: max(1, trials)] for at in own]
+        group, seed = np.repeat(np.arange(len(some)), [len(k) for k in seeds]), np.concatenate(seeds)
+        row, period = np.arange(len(group)), periods[some].astype(float)[group]
+        gap = apart[group, seed]
+        order, nearest = np.argsort(gap, axis=1, kind="stable"), np.repeat(seed[:, None], n, axis=1)
+        t_, res_ = np.full(gap.shape, np.nan), np.full(gap.shape, np.nan)
+        ok_, cycles_ = np.zeros(gap.shape, bool), np.zeros(gap.shape, np.int64)
+        t_[row, seed], res_[row, seed], ok_[row, seed] = measured[group, seed], 0.0, True
+        for i in order.T:
+            j = nearest[row, i]
+            predicted = far[group, i] * t_[row, j] / far[group, j]
+            k = np.rint((predicted - measured[group, i]) / period)
+            moved = measured[group, i] + k * period
+            off = np.abs(moved - predicted)
+            live = (i != seed) & ~np.isnan(moved)
+            cycles_[row[live], i[live]], res_[row[live], i[live]] = k[live].astype(np.int64), off[live]
+            good = np.nonzero(live & (moved > 0) & (off <= max_residual))[0]
+            at = i[good]
+            t_[good, at], ok_[good, at] = moved[good], True
+            d = apart[group[good], at]
+            closer = d < gap[good]
+            nearest[good] = np.where(closer, at[:, None], nearest[good])
+            gap[good] = np.where(closer, d, gap[good])
+        at = 0
+        for place, found in zip(own, seeds, strict=True):
+            m = place.stop - place.start
+            best = max(range(at, at + len(found)), key=lambda r: (int(ok_[r].sum()), -float(res_[r][ok_[r]].sum())))
+            t[place], ok[place], cycles[place], res[place] = t_[best, :m], ok_[best, :m], cycles_[best, :m], res_[best, :m]
+            at += len(found)
+    return t, ok, cycles, res
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind, from_pandas=True))
+
+
+def correct_cycle_skips(points: DataFrame, max_residual: float = 3.0, trials: int = 5, stride: int = 3, min_period: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``points`` (period_s, source, receiver, rcv_lon, rcv_lat, distance_km, travel_time, columns to ``keep``) with corrected ``travel_time``, ``cycles``, ``residual`` and ``valid``, per source and period.
+
+    A source and period is one row of arrays on its way to Python, so sources are corrected many at a time.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    key, own = ["period_s", "source"], ["receiver", "rcv_lon", "rcv_lat", "distance_km", "travel_time"]
+    settle(points.sparkSession)
+    numbers = [F.col(c).cast("double").alias(c) for c in own[1:]]
+    # No filter: it would be pushed below the projections that make the distance, which would be spelled out in it.
+    usable = F.when((F.col("distance_km") > 0) & (F.col("travel_time") > 0), F.struct("receiver", *numbers, *keep))
+    rows = points.groupBy(*key).agg(F.sort_array(F.collect_list(usable)).alias("p")).filter(F.size("p") > 0).select(*key, *[F.col(f"p.{c}").alias(c) for c in (*own, *keep)])
+    added = ", ".join(["cycles array<int>", "residual array<double>", "valid array<boolean>"])
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, {added}"
+    target = to_arrow_schema(type(rows.schema).fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            lon, lat, distance, time = (_flat(b.column(c)) for c in own[1:])
+            sizes = b.column("receiver").value_lengths().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            mean = lambda v: np.repeat([v[i:j].mean() for i, j in zip(ends[:-1], ends[1:], strict=True)], sizes)
+            lon0, lat0 = mean(lon), mean(lat)
+            x, y = np.radians(lon - lon0) * np.cos(np.radians(lat0)) * EARTH_RADIUS_KM, np.radians(lat - lat0) * EARTH_RADIUS_KM
+            periods = b.column("period_s").to_numpy(zero_copy_only=False)
+            counted = np.where(periods < min_period, 0, sizes)
+            t, ok, cycles, res = time.copy(), np.ones(len(x), bool), np.zeros(len(x), np.int64), np.zeros(len(x))
+            use = np.repeat(counted > 0, sizes)
+            t[use], ok[use], cycles[use], res[use] = unwrap_many(x[use], y[use], distance[use], time[use], counted[counted > 0], periods[counted > 0], max_residual, trials, stride)
+            out = {c: b.column(c) for c in (*key, *own, *keep)} | {"travel_time": _lists(np.where(ok, t, time), ends, pa.float64()), "cycles": _lists(cycles, ends, pa.int32()), "residual": _lists(res, ends, pa.float64()), "valid": _lists(ok, ends, pa.bool_())}
+            yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in target], schema=target)
+
+    return rows.mapInArrow(run, schema).select(*key, F.inline(F.arrays_zip(*own, *keep, "cycles", "residual", "valid")))
 
 
 def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """r^2 log r of all pairs of two point sets, along the last two axes."""
-    r2 = ((a[..., :, None, :] - b[..., None, :, :]) ** 2).sum(axis=-1)
+    r2 = (a[..., :, None, 0] - b[..., None, :, 0]) ** 2 + (a[..., :, None, 1] - b[..., None, :, 1]) ** 2
     return 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1.0))
 
 
@@ -427,6 +512,40 @@ def thin_plate(points: np.ndarray, values: np.ndarray, query: np.ndarray, smooth
     return out
 
 
+def thin_plates(points: np.ndarray, values: np.ndarray, query: np.ndarray, smoothings: tuple[float, ...], neighbours: int | None = None, chunk: int = 512) -> np.ndarray:
+    """``thin_plate`` of many sets of equally many points (sets, n, 2) at the same places, for each smoothing: (smoothings, sets, places).
+
+    The smoothings share distances and nearest points.
+    """
+    sets, n = values.shape
+    centre, scale = points.mean(axis=1, keepdims=True), np.maximum(np.ptp(points, axis=1).max(axis=-1), 1e-9)[:, None, None]
+    p, q = (points - centre) / scale, (query[None] - centre) / scale
+    weight = [s / scale**2 for s in smoothings]
+    out = np.empty((len(smoothings), sets, len(query)))
+    if neighbours is None or neighbours >= n:
+        whole = [_plate(p, values, w) for w in weight]
+        for i in range(0, len(query), chunk):
+            own = q[:, i : i + chunk]
+            k = _kernel(own, p)
+            for c, o in zip(whole, out, strict=True):
+                o[:, i : i + chunk] = (k @ c[:, :n, None])[..., 0] + c[:, n, None] + (own @ c[:, n + 1 :, None])[..., 0]
+        return out
+    which = np.arange(sets)[:, None, None]
+    for i in range(0, len(query), chunk):
+        own = q[:, i : i + chunk]
+        if n <= MATRIX:
+            d = (own[:, :, None, 0] - p[:, None, :, 0]) ** 2 + (own[:, :, None, 1] - p[:, None, :, 1]) ** 2
+            at = np.argsort(d, axis=-1, kind="stable")[..., :neighbours]
+        else:
+            cells = [Buckets(x) for x in p] if i == 0 else cells  # noqa: F821
+            at = np.array([[c.nearest(place, neighbours) for place in x] for c, x in zip(cells, own, strict=True)])
+        near, k = p[which, at], _kernel(own[:, :, None], p[which, at])[:, :, 0]
+        for w, o in zip(weight, out, strict=True):
+            c = _plate(near, values[which, at], w[:, None])
+            o[:, i : i + chunk] = (k * c[..., :neighbours]).sum(axis=-1) + c[..., neighbours] + (own * c[..., neighbours + 1 :]).sum(axis=-1)
+    return out
+
+
 #: Kernels of scattered values by name; further ones may be added. Each takes places in km (n, 2), their values (n,), queried
 #: places (m, 2), a smoothing and a number of neighbours or None, and returns the m values; it may raise LinAlgError.
 KERNELS: dict[str, Callable[..., np.ndarray]] = {"thin_plate": thin_plate}
@@ -443,38 +562,90 @@ def grid_travel_times(points: DataFrame, grid: DataFrame, value: str = "travel_t
     if kernel not in KERNELS:
         raise ValueError(f"unknown kernel {kernel!r}; there are {sorted(KERNELS)}")
     solve = KERNELS[kernel]
-    cells = grid.select("i_lat", "i_lon", "lat", "lon").orderBy("i_lat", "i_lon").toPandas()
-    lon0, lat0 = (cells["lon"].min() + cells["lon"].max()) / 2, (cells["lat"].min() + cells["lat"].max()) / 2
-    flat = lambda lon, lat: np.column_stack([np.radians(lon - lon0) * math.cos(math.radians(lat0)), np.radians(lat - lat0)]) * EARTH_RADIUS_KM
-    shared = points.sparkSession.sparkContext.broadcast((cells["i_lat"].to_numpy(np.int32), cells["i_lon"].to_numpy(np.int32), flat(cells["lon"].to_numpy(), cells["lat"].to_numpy())))
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    ddl = f"period_s {kinds['period_s']}, source {kinds['source']}, i_lat int, i_lon int, value double, other double"
+    shared = _shared_grid(grid)
     if neighbours is None and tiles != 1:
         raise ValueError("tiles need local solves; give a number of neighbours")
-    empty = pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("period_s", "int32"), ("source", "object"), ("i_lat", "int32"), ("i_lon", "int32"), ("value", "float64"), ("other", "float64"))})
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i_lat, i_lon, query = shared.value
-        own = np.arange(int(pdf["tile"].iloc[0]), len(query), tiles)
-        d = pdf[["x", "y", value]].sort_values(["x", "y"])
-        if len(d) < 3 + source_at_zero or not len(own):
-            return empty
-        at, v = flat(d["x"].to_numpy(), d["y"].to_numpy()), d[value].to_numpy()
+    found = _solved(points, shared, value, smoothing, comparison, source_at_zero, neighbours, tiles, solve)
+    return found.select("period_s", "source", F.inline(F.arrays_zip("i_lat", "i_lon", "value", "other")))
+
+
+def _shared_grid(grid: DataFrame) -> Any:
+    """Broadcast (i_lat, i_lon, middle, places in km) of a map."""
+    cells = grid.select("i_lat", "i_lon", "lat", "lon").orderBy("i_lat", "i_lon").toPandas()
+    middle = (cells["lon"].min() + cells["lon"].max()) / 2, (cells["lat"].min() + cells["lat"].max()) / 2
+    return grid.sparkSession.sparkContext.broadcast((cells["i_lat"].to_numpy(np.int32), cells["i_lon"].to_numpy(np.int32), middle, place(middle, cells["lon"].to_numpy(), cells["lat"].to_numpy())))
+
+
+def _merged(x: np.ndarray, y: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points in the order of their places; those at one place become their median."""
+    order = np.lexsort((y, x))
+    x, y, v = x[order], y[order], v[order]
+    first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    if first.all():
+        return x, y, v
+    return x[first], y[first], np.array([np.median(part) for part in np.split(v, np.nonzero(first)[0][1:])])
+
+
+def _solved(points: DataFrame, shared: Any, value: str, smoothing: float, comparison: float | None, source_at_zero: bool, neighbours: int | None, tiles: int, solve: Callable[..., np.ndarray]) -> DataFrame:
+    """(period_s, source, i_lat, i_lon, value, other): the solutions of a source and tile as one row of arrays. ``shared`` is the broadcast grid."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    settle(points.sparkSession)
+    key = ["period_s", "source"]
+    good = F.col("rcv_lon").isNotNull() & F.col("rcv_lat").isNotNull() & F.col(value).isNotNull()
+    own = F.collect_list(F.when(good, F.struct(F.col("rcv_lon").alias("x"), F.col("rcv_lat").alias("y"), F.col(value).cast("double").alias("v"))))
+    start = F.collect_set(F.when(F.col("src_lon").isNotNull() & F.col("src_lat").isNotNull(), F.struct(F.col("src_lon").alias("x"), F.col("src_lat").alias("y"), F.lit(0.0).alias("v")))) if source_at_zero else F.array()
+    rows = points.groupBy(*key).agg(own.alias("p"), *([start.alias("o")] if source_at_zero else []))
+    rows = rows.withColumn("p", F.concat("p", "o")) if source_at_zero else rows
+    rows = rows.filter(F.size("p") >= 3 + source_at_zero).select(*key, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), "p.x", "p.y", "p.v")
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    ddl = f"period_s {kinds['period_s']}, source {kinds['source']}, i_lat array<int>, i_lon array<int>, value array<double>, other array<double>"
+    target = to_arrow_schema(type(rows.schema).fromDDL(ddl))
+    smoothings = (smoothing,) if comparison is None else (smoothing, comparison)
+
+    def solutions(at: np.ndarray, v: np.ndarray, query: np.ndarray) -> np.ndarray | None:
+        """Both solutions of the sets, or None for a singular system."""
         try:
-            t = solve(at, v, query[own], smoothing, neighbours)
-            o = solve(at, v, query[own], comparison, neighbours) if comparison is not None else np.full(len(own), np.nan)
+            if solve is thin_plate:
+                return thin_plates(at, v, query, smoothings, neighbours)
+            return np.array([[solve(a, b, query, s, neighbours) for a, b in zip(at, v, strict=True)] for s in smoothings])
         except np.linalg.LinAlgError:
-            return empty
-        return pd.DataFrame({"period_s": pdf["period_s"].iloc[0], "source": pdf["source"].iloc[0], "i_lat": i_lat[own], "i_lon": i_lon[own], "value": t, "other": o})
-
-    place = lambda c: F.round(c, 8)
-    good = points.filter(F.col("rcv_lon").isNotNull() & F.col("rcv_lat").isNotNull() & F.col(value).isNotNull())
-    rows = good.select("period_s", "source", place("rcv_lon").alias("x"), place("rcv_lat").alias("y"), F.col(value).cast("double").alias(value))
-    if source_at_zero:
-        rows = rows.union(points.select("period_s", "source", place("src_lon").alias("x"), place("src_lat").alias("y"), F.lit(0.0).alias(value)).distinct())
-    merged = rows.groupBy("period_s", "source", "x", "y").agg(F.median(value).alias(value))
-    dealt = merged.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    return dealt.groupBy("period_s", "source", "tile").applyInPandas(run, ddl)
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i_lat, i_lon, flat, query = shared.value
+        for b in batches:
+            x, y, v = (_flat(b.column(c)) for c in ("x", "y", "v"))
+            x, y = np.round(x, 8) + 0.0, np.round(y, 8) + 0.0
+            ends = np.concatenate([[0], np.cumsum(b.column("x").value_lengths().to_numpy())]).tolist()
+            tile = b.column("tile").to_numpy()
+            alike: dict[tuple[int, int], list] = {}
+            for r, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                px, py, pv = _merged(x[i:j], y[i:j], v[i:j])
+                if len(px) >= 3 + source_at_zero:
+                    alike.setdefault((int(tile[r]), len(px)), []).append((r, place(flat, px, py), pv))
+            for (k, n), group in alike.items():
+                at = np.arange(k, len(query), tiles)
+                if not len(at):
+                    continue
+                many = max(1, HELD // max(n * n, min(512, len(at)) * (max(n, 12 * neighbours) if neighbours else n)))
+                for g in range(0, len(group), many):
+                    some = group[g : g + many]
+                    found = solutions(np.array([p for _, p, _ in some]), np.array([z for *_, z in some]), query[at])
+                    parts = [([r for r, *_ in some], found)] if found is not None else [([r], solutions(p[None], z[None], query[at])) for r, p, z in some]
+                    for who, t in parts:
+                        if t is not None:
+                            edges = np.arange(len(who) + 1) * len(at)
+                            other = t[1].ravel() if comparison is not None else np.full(edges[-1], np.nan)
+                            columns = [b.column("period_s").take(pa.array(who)), b.column("source").take(pa.array(who)), *(_lists(np.tile(c[at], len(who)), edges, pa.int32()) for c in (i_lat, i_lon)), _lists(t[0].ravel(), edges, pa.float64()), _lists(other, edges, pa.float64())]
+                            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return rows.mapInArrow(run, ddl)
+
+
+def place(middle: tuple[float, float], lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
+    """Kilometres from the middle of a map."""
+    return np.column_stack([np.radians(lon - middle[0]) * math.cos(math.radians(middle[1])), np.radians(lat - middle[1])]) * EARTH_RADIUS_KM
 
 
 def event_fields(

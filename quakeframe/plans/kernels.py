@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import geodesic
+from ..functions.scalars import with_geodesic
 from ..operators import dispersion as D
 from ..operators import grid as G
 from ..operators import kernels as K
@@ -81,8 +81,8 @@ C.add("k1_dispersion", "samples ref_curve", lambda s, r: _rounded(D.measure_disp
 
 
 def _points(p):
-    d = geodesic(F.col("src_lon"), F.col("src_lat"), F.col("rcv_lon"), F.col("rcv_lat"))["distance_km"]
-    return p.filter("valid").withColumn("distance_km", d).withColumn("travel_time", F.col("distance_km") / F.col("c"))
+    d = with_geodesic(p.filter("valid"), "src_lon", "src_lat", "rcv_lon", "rcv_lat").withColumn("distance_km", F.col("g.distance_km")).drop("g")
+    return d.withColumn("travel_time", F.col("distance_km") / F.col("c"))
 
 
 C.add("w10_correct_cycle_skips", "paths", lambda p: _rounded(K.correct_cycle_skips(_points(p))))
