@@ -43,10 +43,12 @@ def resolve_parameters(segments: DataFrame, draws: DataFrame, column: str = "v_t
     ``segments`` is one model's small table, or with ``by`` the tables of many models: columns of both tables that name a draw's model.
     """
     key = ["station", "chain", "step", *by]
-    each = draws.select(*key).distinct()
+    # A draw becomes one row with its few values before it meets its segments, so no segment row is shuffled.
+    each = draws.groupBy(*key).agg(F.collect_list(F.struct(F.col("parameter").alias("n"), F.col("value").alias("v"))).alias("__own"))
     every = each.join(segments, list(by)) if by else each.crossJoin(bounded(segments))
-    values = draws.select(*key, F.col("parameter").alias(name), "value")
-    return every.join(values, [*key, name], "left").withColumn(column, F.coalesce("value", column)).drop("value")
+    named = F.transform(F.filter("__own", lambda x: x["n"] == F.col(name)), lambda x: x["v"])
+    found = every.withColumn("__named", named).drop("__own")
+    return found.select(*[c for c in found.columns if c != "__named"], F.explode_outer("__named").alias("__v")).withColumn(column, F.coalesce("__v", column)).drop("__v")
 
 
 def unknown_parameters(segments: DataFrame, draws: DataFrame, name: str = "v_top_name") -> DataFrame:
@@ -68,6 +70,8 @@ def depth_axes(ends: DataFrame, dz: float, keys: tuple[str, ...] = ("model_id",)
 
 def profile_checks(profile: DataFrame, monotonic_tol: float = 0.0, max_gradient: float | None = None, bounds: tuple[float, float] | None = None, depth_range: tuple[float, float] | None = None) -> DataFrame:
     """(model_id, monotonic, gradient, in_range) over depth samples (model_id, depth, vs); segment edges are samples too, each depth once."""
+    # Dealt before anything is held by depth: a small table of models may be one partition, however many samples it gives.
+    profile = profile.repartition("model_id")
     d = profile.groupBy("model_id", "depth").agg(F.last("vs").alias("vs")) if "seg" not in profile.columns else profile.groupBy("model_id", "depth").agg(F.max_by("vs", "seg").alias("vs"))
     if depth_range is not None:
         d = d.filter(F.col("depth").between(*depth_range))
@@ -197,7 +201,8 @@ def basis_table(spark: SparkSession, n: int, degree: int, depths: list[float], s
 
 def spline_profile(coefficients: DataFrame, basis: DataFrame) -> DataFrame:
     """(model_id, depth, vs): basis times coefficients (model_id, j, value)."""
-    return coefficients.join(bounded(basis), "j").groupBy("model_id", "depth").agg(F.sum(F.col("value") * F.col("b")).alias("vs"))
+    # Dealt before each coefficient becomes as many rows as the basis has depths.
+    return coefficients.repartition("model_id").join(bounded(basis), "j").groupBy("model_id", "depth").agg(F.sum(F.col("value") * F.col("b")).alias("vs"))
 
 
 def spline_normal_sums(samples: DataFrame, basis: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ _DEPTHS = sorted({float(t + (b - t) * q / 4) for t, b in ((0, 1), (1, 3), (3, 7)
 
 
 def _weighted(p):
-    return p.groupBy("model_id", "depth").agg(F.max("vs").alias("vs")).withColumn("weight", 1 + F.col("depth") / 5), M.basis_table(p.sparkSession, 5, 3, _DEPTHS)
+    return p.repartition("model_id").groupBy("model_id", "depth").agg(F.max("vs").alias("vs")).withColumn("weight", 1 + F.col("depth") / 5), M.basis_table(p.sparkSession, 5, 3, _DEPTHS)
 
 
 C.add("a32_fit_spline", "profile", lambda p: _rounded(M.fit_spline_coefficients(*_weighted(p), 1e-3), 4))
