@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import EARTH_RADIUS_KM, geodesic, helmholtz_correction, travel_time, with_geodesic, wrap180
-from ..session import bounded, cut, settle
-from . import grid as G
+from ..functions.scalars import EARTH_RADIUS_KM, travel_time, with_geodesic, wrap180
+from ..session import cut, settle
+from . import fields as A
 from . import masks as M
 
 TAU = 2 * math.pi
@@ -433,6 +433,19 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind, from_pandas=True))
 
 
+def corrected(lon: np.ndarray, lat: np.ndarray, distance: np.ndarray, time: np.ndarray, sizes: np.ndarray, periods: np.ndarray, max_residual: float = 3.0, trials: int = 5, stride: int = 3, min_period: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(time, valid, cycles, residual) of the receivers of many sources, which follow each other in the arrays. Times that are not valid stay as measured."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    mean = lambda v: np.repeat([v[i:j].mean() if j > i else 0.0 for i, j in zip(ends[:-1], ends[1:], strict=True)], sizes)
+    lon0, lat0 = mean(lon), mean(lat)
+    x, y = np.radians(lon - lon0) * np.cos(np.radians(lat0)) * EARTH_RADIUS_KM, np.radians(lat - lat0) * EARTH_RADIUS_KM
+    counted = np.where(periods < min_period, 0, sizes)
+    t, ok, cycles, res = time.copy(), np.ones(len(x), bool), np.zeros(len(x), np.int64), np.zeros(len(x))
+    use = np.repeat(counted > 0, sizes)
+    t[use], ok[use], cycles[use], res[use] = unwrap_many(x[use], y[use], distance[use], time[use], counted[counted > 0], periods[counted > 0], max_residual, trials, stride)
+    return np.where(ok, t, time), ok, cycles, res
+
+
 def correct_cycle_skips(points: DataFrame, max_residual: float = 3.0, trials: int = 5, stride: int = 3, min_period: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """``points`` (period_s, source, receiver, rcv_lon, rcv_lat, distance_km, travel_time, columns to ``keep``) with corrected ``travel_time``, ``cycles``, ``residual`` and ``valid``, per source and period.
 
@@ -457,15 +470,8 @@ def correct_cycle_skips(points: DataFrame, max_residual: float = 3.0, trials: in
             lon, lat, distance, time = (_flat(b.column(c)) for c in own[1:])
             sizes = b.column("receiver").value_lengths().to_numpy()
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            mean = lambda v: np.repeat([v[i:j].mean() for i, j in zip(ends[:-1], ends[1:], strict=True)], sizes)
-            lon0, lat0 = mean(lon), mean(lat)
-            x, y = np.radians(lon - lon0) * np.cos(np.radians(lat0)) * EARTH_RADIUS_KM, np.radians(lat - lat0) * EARTH_RADIUS_KM
-            periods = b.column("period_s").to_numpy(zero_copy_only=False)
-            counted = np.where(periods < min_period, 0, sizes)
-            t, ok, cycles, res = time.copy(), np.ones(len(x), bool), np.zeros(len(x), np.int64), np.zeros(len(x))
-            use = np.repeat(counted > 0, sizes)
-            t[use], ok[use], cycles[use], res[use] = unwrap_many(x[use], y[use], distance[use], time[use], counted[counted > 0], periods[counted > 0], max_residual, trials, stride)
-            out = {c: b.column(c) for c in (*key, *own, *keep)} | {"travel_time": _lists(np.where(ok, t, time), ends, pa.float64()), "cycles": _lists(cycles, ends, pa.int32()), "residual": _lists(res, ends, pa.float64()), "valid": _lists(ok, ends, pa.bool_())}
+            t, ok, cycles, res = corrected(lon, lat, distance, time, sizes, b.column("period_s").to_numpy(zero_copy_only=False), max_residual, trials, stride, min_period)
+            out = {c: b.column(c) for c in (*key, *own, *keep)} | {"travel_time": _lists(t, ends, pa.float64()), "cycles": _lists(cycles, ends, pa.int32()), "residual": _lists(res, ends, pa.float64()), "valid": _lists(ok, ends, pa.bool_())}
             yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) for f in target], schema=target)
 
     return rows.mapInArrow(run, schema).select(*key, F.inline(F.arrays_zip(*own, *keep, "cycles", "residual", "valid")))
@@ -603,46 +609,52 @@ def _solved(points: DataFrame, shared: Any, value: str, smoothing: float, compar
     target = to_arrow_schema(type(rows.schema).fromDDL(ddl))
     smoothings = (smoothing,) if comparison is None else (smoothing, comparison)
 
-    def solutions(at: np.ndarray, v: np.ndarray, query: np.ndarray) -> np.ndarray | None:
-        """Both solutions of the sets, or None for a singular system."""
-        try:
-            if solve is thin_plate:
-                return thin_plates(at, v, query, smoothings, neighbours)
-            return np.array([[solve(a, b, query, s, neighbours) for a, b in zip(at, v, strict=True)] for s in smoothings])
-        except np.linalg.LinAlgError:
-            return None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i_lat, i_lon, flat, query = shared.value
         for b in batches:
             x, y, v = (_flat(b.column(c)) for c in ("x", "y", "v"))
-            x, y = np.round(x, 8) + 0.0, np.round(y, 8) + 0.0
-            ends = np.concatenate([[0], np.cumsum(b.column("x").value_lengths().to_numpy())]).tolist()
-            tile = b.column("tile").to_numpy()
-            alike: dict[tuple[int, int], list] = {}
-            for r, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                px, py, pv = _merged(x[i:j], y[i:j], v[i:j])
-                if len(px) >= 3 + source_at_zero:
-                    alike.setdefault((int(tile[r]), len(px)), []).append((r, place(flat, px, py), pv))
-            for (k, n), group in alike.items():
-                at = np.arange(k, len(query), tiles)
-                if not len(at):
-                    continue
-                many = max(1, HELD // max(n * n, min(512, len(at)) * (max(n, 12 * neighbours) if neighbours else n)))
-                for g in range(0, len(group), many):
-                    some = group[g : g + many]
-                    found = solutions(np.array([p for _, p, _ in some]), np.array([z for *_, z in some]), query[at])
-                    parts = [([r for r, *_ in some], found)] if found is not None else [([r], solutions(p[None], z[None], query[at])) for r, p, z in some]
-                    for who, t in parts:
-                        if t is not None:
-                            edges = np.arange(len(who) + 1) * len(at)
-                            other = t[1].ravel() if comparison is not None else np.full(edges[-1], np.nan)
-                            columns = [b.column("period_s").take(pa.array(who)), b.column("source").take(pa.array(who)), *(_lists(np.tile(c[at], len(who)), edges, pa.int32()) for c in (i_lat, i_lon)), _lists(t[0].ravel(), edges, pa.float64()), _lists(other, edges, pa.float64())]
-                            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+            ends = np.concatenate([[0], np.cumsum(b.column("x").value_lengths().to_numpy())])
+            for who, at, t in solutions(x, y, v, ends, flat, query, smoothings, 3 + source_at_zero, neighbours, solve, tiles, b.column("tile").to_numpy()):
+                edges = np.arange(len(who) + 1) * len(at)
+                other = t[1].ravel() if comparison is not None else np.full(edges[-1], np.nan)
+                columns = [b.column("period_s").take(pa.array(who)), b.column("source").take(pa.array(who)), *(_lists(np.tile(c[at], len(who)), edges, pa.int32()) for c in (i_lat, i_lon)), _lists(t[0].ravel(), edges, pa.float64()), _lists(other, edges, pa.float64())]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     return rows.mapInArrow(run, ddl)
 
 
+def solutions(x: np.ndarray, y: np.ndarray, v: np.ndarray, ends: np.ndarray, middle: tuple[float, float], query: np.ndarray, smoothings: tuple[float, ...], least: int, neighbours: int | None, solve: Callable[..., np.ndarray], tiles: int = 1, tile: np.ndarray | None = None) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(sources, places, solutions (smoothings, sources, places)) of scattered values, those of source ``i`` from ``ends[i]`` on; sources of like size are solved together.
+
+    Sources of fewer than ``least`` places, and singular systems, are left out. ``tile`` deals the queried places.
+    """
+
+    def found_of(at: np.ndarray, v: np.ndarray, own: np.ndarray) -> np.ndarray | None:
+        try:
+            if solve is thin_plate:
+                return thin_plates(at, v, own, smoothings, neighbours)
+            return np.array([[solve(a, b, own, s, neighbours) for a, b in zip(at, v, strict=True)] for s in smoothings])
+        except np.linalg.LinAlgError:
+            return None
+
+    x, y = np.round(x, 8) + 0.0, np.round(y, 8) + 0.0
+    alike: dict[tuple[int, int], list] = {}
+    for r, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+        px, py, pv = _merged(x[i:j], y[i:j], v[i:j])
+        if len(px) >= least:
+            alike.setdefault((int(tile[r]) if tile is not None else 0, len(px)), []).append((r, place(middle, px, py), pv))
+    for (k, n), group in alike.items():
+        at = np.arange(k, len(query), tiles)
+        if not len(at):
+            continue
+        many = max(1, HELD // max(n * n, min(512, len(at)) * (max(n, 12 * neighbours) if neighbours else n)))
+        for g in range(0, len(group), many):
+            some = group[g : g + many]
+            found = found_of(np.array([p for _, p, _ in some]), np.array([z for *_, z in some]), query[at])
+            parts = [([r for r, *_ in some], found)] if found is not None else [([r], found_of(p[None], z[None], query[at])) for r, p, z in some]
+            yield from ((who, at, t) for who, t in parts if t is not None)
+
+
 def place(middle: tuple[float, float], lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     """Kilometres from the middle of a map."""
     return np.column_stack([np.radians(lon - middle[0]) * math.cos(math.radians(middle[1])), np.radians(lat - middle[1])]) * EARTH_RADIUS_KM
@@ -669,8 +681,8 @@ def event_fields(
 ) -> DataFrame:
     """Gridded slowness of every source and period, with rejection codes and acceptance of both families.
 
-    Filter, distances, cycle correction, gridding, stencils and cascades for all sources at once; only the cycle
-    correction and the solves leave the JVM. Sources with too few points appear with code 8 in every cell. ``accepted``
+    The measurements are shuffled once, into one row of arrays a source and period. Cycle correction, solves, stencils,
+    coverage and cascades happen in that row (``fields``), many sources at a time; no cell is shuffled. Sources with too few points appear with code 8 in every cell. ``accepted``
     (and ``helmholtz_accepted``) says whether the source keeps enough cells of its map, ``cell`` numbers the cells, and
     n_input, n_used, n_amplitude, n_corrected and n_rejected count the source's measurements; so the result can be
     written (``write_event_fields``) and stacked (``eikonal_vs_helmholtz``) as it is.
@@ -678,55 +690,116 @@ def event_fields(
     ``amplitude`` may hold min_amplitude, max_relative_difference (of the two solutions), reference_velocity and
     min_period of the amplitude family. ``kernel`` names one of KERNELS for both.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    if kernel not in KERNELS:
+        raise ValueError(f"unknown kernel {kernel!r}; there are {sorted(KERNELS)}")
     settle(measurements.sparkSession)
     own = {"min_amplitude": 0.0, "max_relative_difference": 0.01, "reference_velocity": 4.0, "min_period": 0.0} | (amplitude or {})
-    key, place = ["period_s", "source"], ["i_lat", "i_lon"]
+    key, solve, skips, near_km = ["period_s", "source"], KERNELS[kernel], cycle_skips or {}, wavelengths * reference_velocity
     d = M.valid_measurements(measurements, min_snr)
-    d = d.withColumn("distance_km", geodesic(F.col("src_lon"), F.col("src_lat"), F.col("rcv_lon"), F.col("rcv_lat"))["distance_km"])
+    # No filter follows: it would be pushed below the projections that make the distance, which would be spelled out in it.
+    d = with_geodesic(d, "src_lon", "src_lat", "rcv_lon", "rcv_lat").withColumn("distance_km", F.col("g.distance_km")).drop("g")
     d = d.withColumn("travel_time", travel_time(F.col("distance_km"), F.col("c")))
-    where = d.select(*key, "src_lon", "src_lat").distinct()
-    checked = cut(correct_cycle_skips(d, **(cycle_skips or {})))
-    points = checked.filter("valid").drop("valid", "residual").join(where, key)
-    # Amplitudes of the measurements whose cycles hold.
-    loud = d.filter((F.col("amp") > own["min_amplitude"]) & (F.col("period_s") >= own["min_period"])).join(checked.filter("valid").select(*key, "receiver"), [*key, "receiver"], "left_semi")
-    used = checked.groupBy(*key).agg(F.sum(F.col("valid").cast("long")).alias("n_used"), F.sum((F.col("valid") & (F.col("cycles") != 0)).cast("long")).alias("n_corrected"), F.sum((~F.col("valid")).cast("long")).alias("n_rejected"))
-    counts = d.groupBy(*key).agg(F.count("*").alias("n_input")).join(used, key, "left").join(loud.groupBy(*key).agg(F.count("*").alias("n_amplitude")), key, "left").na.fill(0, ["n_used", "n_corrected", "n_rejected", "n_amplitude"])
-    field = cut(grid_travel_times(points, grid, neighbours=neighbours, kernel=kernel))
-    xy = bounded(grid.select(*place, "lat", "lon", "x_km", "y_km"))
-    t = field.join(xy, place)
-    t = G.laplacian(G.gradient(G.gradient(t, "lon", out="east"), "lat", out="north"))
-    t = G.adjacent_to_null(t).withColumns({"slowness": F.hypot("north", "east"), "angle": wrap180(F.degrees(F.atan2("east", "north")))}).withColumn("velocity", F.when(F.col("slowness") > 0, 1 / F.col("slowness")))
-    n_lat, n_lon = (grid.agg(F.max("i_lat") + 1, F.max("i_lon") + 1).first())[0:2]
-    box = grid.agg(F.min("lon") + F.max("lon"), F.min("lat") + F.max("lat")).first()
-    cover = G.station_coverage(grid, points, (box[0] / 2, box[1] / 2), **(coverage or {}))
-    t = M.boundary_cells(t.join(cover, [*key, *place]), n_lat, n_lon, boundary)
-    every = with_geodesic(where.crossJoin(bounded(grid.select(*place, "lat", "lon"))), "src_lon", "src_lat", "lon", "lat")
-    every = every.select(*key, *place, (F.col("i_lat") * n_lon + F.col("i_lon")).cast("int").alias("cell"), F.col("g.distance_km").alias("source_km"), F.col("g.azimuth").alias("azimuth"))
-    t = every.join(t.drop("lat", "lon", "x_km", "y_km"), [*key, *place], "left")
-    reason = M.first_reason(
-        {
-            "adjacent": F.col("value").isNull() | F.col("adjacent"),
-            "unstable": F.abs(F.col("value") - F.col("other")) > max_difference_s,
-            "coverage": ~F.col("covered"),
-            "velocity": F.col("velocity").isNull() | ~F.col("velocity").between(*velocity),
-            "near_source": F.col("source_km") < wavelengths * reference_velocity * F.col("period_s"),
-            "curvature": F.col("laplacian").isNull() | (F.abs("laplacian") > max_laplacian),
-            "boundary": F.col("boundary"),
-        },
-        failed=F.col("value").isNull(),
-    )
-    t = t.withColumn("reason", reason).withColumn("deflection", wrap180(F.col("angle") - F.col("azimuth")))
-    accepted = lambda df, code, out: M.source_acceptance(df, n_lat * n_lon, min_cells, min_fraction, code, out).select(*key, out)
+    number = lambda *names: [F.col(c).cast("double").alias(c) for c in names]
+    usable = F.when((F.col("distance_km") > 0) & (F.col("travel_time") > 0), F.struct("receiver", *number("rcv_lon", "rcv_lat", "distance_km", "travel_time")))
+    loud = F.when((F.col("amp") > own["min_amplitude"]) & (F.col("period_s") >= own["min_period"]), F.struct("receiver", *number("rcv_lon", "rcv_lat", "amp")))
+    ordered = lambda c: F.sort_array(F.collect_list(c))
+    rows = d.groupBy(*key).agg(F.count("*").alias("n_input"), ordered(usable).alias("p"), ordered(loud).alias("a"), F.sort_array(F.collect_set(F.struct(*number("src_lon", "src_lat")))).alias("s"))
+    rows = rows.filter(F.col("period_s").isNotNull() & F.col("source").isNotNull()).select(*key, "n_input", *[F.col(f"{g}.{c}").alias(f"{g}_{c}") for g, names in (("p", ("receiver", "rcv_lon", "rcv_lat", "distance_km", "travel_time")), ("a", ("receiver", "rcv_lon", "rcv_lat", "amp")), ("s", ("src_lon", "src_lat"))) for c in names])
+    cells = grid.select("i_lat", "i_lon", "lat", "lon", "x_km", "y_km").orderBy("i_lat", "i_lon").toPandas()
+    shared = grid.sparkSession.sparkContext.broadcast(A.Map(*(cells[c].to_numpy() for c in cells)))
+    size = (int(cells["i_lat"].max()) + 1) * (int(cells["i_lon"].max()) + 1)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    listed = {"i_lat": "int", "i_lon": "int", **dict.fromkeys(("source_km", "azimuth", "value", "other", "east", "north", "laplacian", "slowness"), "double"), "adjacent": "boolean", "covered": "boolean", "reason": "tinyint"}
+    counted = ["n_input", "n_used", "n_amplitude", "n_corrected", "n_rejected"]
+    if helmholtz:
+        listed |= {**dict.fromkeys(("amplitude", "amplitude_other", "amplitude_laplacian", "correction"), "double"), "amplitude_adjacent": "boolean", "helmholtz_reason": "tinyint"}
+    words = ["accepted", "helmholtz_accepted"] if helmholtz else ["accepted"]
+    ddl = ", ".join([*(f"{c} {kinds[c]}" for c in key), *(f"{c} array<{t}>" for c, t in listed.items()), *(f"{c} boolean" for c in words), *(f"{c} bigint" for c in counted)])
+    target = to_arrow_schema(type(rows.schema).fromDDL(ddl))
+
+    def accept(code: np.ndarray, who: np.ndarray, n: int) -> np.ndarray:
+        valid = np.bincount(who, (code == 0).sum(axis=1), n)
+        return ((valid > 0) & (valid >= min_cells) & (valid / size >= min_fraction))[who]
+
+    def fields(b: pa.RecordBatch) -> pa.RecordBatch:
+        m, n = shared.value, len(b)
+        flat = lambda c: _flat(b.column(c)).astype(float)
+        sizes = {g: b.column(c).value_lengths().to_numpy() for g, c in (("p", "p_receiver"), ("a", "a_receiver"), ("s", "s_src_lon"))}
+        of = {g: np.repeat(np.arange(n), k) for g, k in sizes.items()}
+        period = b.column("period_s").to_numpy(zero_copy_only=False).astype(float)
+        lon, lat, slon, slat, alon, alat, amp = (flat(c) for c in ("p_rcv_lon", "p_rcv_lat", "s_src_lon", "s_src_lat", "a_rcv_lon", "a_rcv_lat", "a_amp"))
+        time, ok, cycles, _ = corrected(lon, lat, flat("p_distance_km"), flat("p_travel_time"), sizes["p"], period, **skips)
+        # Amplitudes of the receivers whose cycles hold.
+        good = set(zip(of["p"][ok].tolist(), b.column("p_receiver").flatten().filter(pa.array(ok)).to_pylist(), strict=True))
+        heard = np.fromiter((x in good and x[1] is not None for x in zip(of["a"].tolist(), b.column("a_receiver").flatten().to_pylist(), strict=True)), bool, len(amp))
+
+        def solved(who: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            here = np.nonzero(~(np.isnan(x) | np.isnan(y) | np.isnan(v)))[0]
+            here = here[np.argsort(who[here], kind="stable")]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(who[here], minlength=n))])
+            value, other, done = np.full((n, len(m)), np.nan), np.full((n, len(m)), np.nan), np.zeros(n, bool)
+            query = place(m.middle, m.lon, m.lat)
+            for some, _, t in solutions(x[here], y[here], v[here], ends, m.middle, query, (0.0, 1.0), least, neighbours, solve):
+                value[some], other[some], done[some] = t[0], t[1], True
+            return value, other, done
+
+        value, other, _ = solved(np.concatenate([of["p"][ok], of["s"]]), np.concatenate([lon[ok], slon]), np.concatenate([lat[ok], slat]), np.concatenate([time[ok], np.zeros(len(slon))]), 4)
+        edges = np.concatenate([[0], np.cumsum(np.bincount(of["p"][ok], minlength=n))])
+        cover = np.array([m.covered(lon[ok][i:j], lat[ok][i:j], **(coverage or {})) for i, j in zip(edges[:-1], edges[1:], strict=True)])
+        who = of["s"]
+        out = {"value": value, "other": other, "east": m.east.gradient(value), "north": m.north.gradient(value), "laplacian": m.laplacian(value), "adjacent": m.adjacent(value), "covered": cover}
+        out = {c: v if np.array_equal(who, np.arange(n)) else v[who] for c, v in out.items()}
+        out["source_km"], out["azimuth"] = m.geodesics(slon, slat)
+        with np.errstate(all="ignore"):
+            out["slowness"] = s = np.hypot(out["north"], out["east"])
+            speed = 1 / s
+            edge = np.broadcast_to(A.boundary(m, boundary), s.shape)
+            failed = np.isnan(out["value"])
+            out["reason"] = A.first_reason(
+                {
+                    "adjacent": out["adjacent"],
+                    "unstable": np.abs(out["value"] - out["other"]) > max_difference_s,
+                    "coverage": ~out["covered"],
+                    "velocity": ~((s > 0) & (speed >= velocity[0]) & (speed <= velocity[1])),
+                    "near_source": out["source_km"] < near_km * period[who][:, None],
+                    "curvature": ~(np.abs(out["laplacian"]) <= max_laplacian),
+                    "boundary": edge,
+                },
+                failed,
+            )
+            if helmholtz:
+                value, other, done = solved(of["a"][heard], alon[heard], alat[heard], amp[heard], 3)
+                loudness = {"amplitude": value, "amplitude_other": other, "amplitude_laplacian": m.laplacian(value), "amplitude_adjacent": m.adjacent(value)}
+                out |= {c: v[who] for c, v in loudness.items()}
+                omega = TAU / period[who][:, None]
+                out["correction"] = np.where(out["amplitude"] == 0, np.nan, out["amplitude_laplacian"] / (out["amplitude"] * omega * omega))
+                unstable = np.abs(out["amplitude"] - out["amplitude_other"]) > own["max_relative_difference"] * np.abs(out["amplitude"])
+                out["helmholtz_reason"] = A.helmholtz_reason(out["reason"], out["amplitude"], out["correction"], s, own["reference_velocity"], unstable, done[who][:, None] & np.ones(s.shape, bool), out["amplitude_adjacent"], own["min_amplitude"])
+        out["i_lat"], out["i_lon"] = (np.broadcast_to(c, s.shape) for c in (m.i_lat, m.i_lon))
+        ends = np.arange(len(who) + 1) * len(m)
+        once = {"n_input": b.column("n_input").to_numpy(), "n_used": np.bincount(of["p"], ok, n), "n_corrected": np.bincount(of["p"], ok & (cycles != 0), n), "n_rejected": np.bincount(of["p"], ~ok, n), "n_amplitude": np.bincount(of["a"], heard, n)}
+        columns = {c: b.column(c).take(pa.array(who)) for c in key} | {c: pa.array(v[who].astype(np.int64)) for c, v in once.items()}
+        columns |= {w: pa.array(accept(out[c], who, n)) for w, c in zip(words, ("reason", "helmholtz_reason"), strict=False)}
+        columns |= {c: _lists(out[c].ravel(), ends, target.field(c).type.value_type) for c in listed}
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in target], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, HELD // (2 * len(shared.value)))
+        for b in batches:
+            for at in range(0, len(b), step):
+                yield fields(b.slice(at, step))
+
+    # Cells are written once, as arrays: what follows is read twice by a stack, and all of it is computed in the row.
+    t = cut(rows.mapInArrow(run, ddl))
+    t = t.select(*key, *words, *counted, F.inline(F.arrays_zip(*listed)))
+    n_lat, n_lon = int(cells["i_lat"].max()) + 1, int(cells["i_lon"].max()) + 1
+    t = M.boundary_cells(t, n_lat, n_lon, boundary).withColumns({"cell": (F.col("i_lat") * n_lon + F.col("i_lon")).cast("int"), "angle": wrap180(F.degrees(F.atan2("east", "north"))), "velocity": F.when(F.col("slowness") > 0, 1 / F.col("slowness"))})
+    t = t.withColumn("deflection", wrap180(F.col("angle") - F.col("azimuth")))
+    first = [*key, "i_lat", "i_lon", "cell", "source_km", "azimuth", "value", "other", "east", "north", "laplacian", "adjacent", "slowness", "angle", "velocity", "covered", "boundary", "reason", "deflection"]
     if not helmholtz:
-        t = cut(t)
-        return t.join(accepted(t, "reason", "accepted"), key).join(counts, key)
-    amp = grid_travel_times(loud, grid, "amp", source_at_zero=False, neighbours=neighbours, kernel=kernel).select(*key, *place, F.col("value").alias("amplitude"), F.col("other").alias("amplitude_other"))
-    a = G.laplacian(amp.join(xy, place).drop("lat", "lon"), "amplitude", "amplitude_laplacian").drop("x_km", "y_km")
-    a = G.adjacent_to_null(a, "amplitude").withColumnRenamed("adjacent", "amplitude_adjacent").withColumn("amplitude_computed", F.lit(True))
-    t = t.join(a, [*key, *place], "left")
-    t = t.withColumn("correction", helmholtz_correction(F.col("amplitude"), F.col("amplitude_laplacian"), F.col("period_s")))
-    unstable = F.abs(F.col("amplitude") - F.col("amplitude_other")) > own["max_relative_difference"] * F.abs("amplitude")
-    code = M.helmholtz_reason(F.col("reason"), F.col("amplitude"), F.col("correction"), F.col("slowness"), own["reference_velocity"], unstable, F.col("amplitude_computed"), F.col("amplitude_adjacent"), own["min_amplitude"])
+        return t.select(*first, *words, *counted)
     s2 = F.col("slowness") * F.col("slowness") - F.col("correction")
-    t = cut(t.withColumns({"helmholtz_reason": code, "helmholtz_slowness": F.when(s2 > 0, F.sqrt(s2))}).drop("amplitude_computed"))
-    return t.join(accepted(t, "reason", "accepted"), key).join(accepted(t, "helmholtz_reason", "helmholtz_accepted"), key).join(counts, key)
+    t = t.withColumn("helmholtz_slowness", F.when(s2 > 0, F.sqrt(s2)))
+    return t.select(*first, "amplitude", "amplitude_other", "amplitude_laplacian", "amplitude_adjacent", "correction", "helmholtz_reason", "helmholtz_slowness", *words, *counted)

@@ -24,7 +24,7 @@ def _angle() -> Column:
 def azimuth_peers(events: DataFrame, width: float, keys: tuple[str, ...] = KEYS, large: int = LARGE) -> DataFrame:
     """``events`` with ``peers``: events of the cell, the row itself included, within a circular azimuth distance; 0 without an azimuth.
 
-    Angles are repeated a turn away on both sides and counted over a range of the sorted angles; no self join.
+    Angles within the width of north are repeated a turn away and counted over a range of the sorted angles; no self join.
     """
     if not 0 <= width < 180:
         raise ValueError("the width must be in [0, 180)")
@@ -33,11 +33,17 @@ def azimuth_peers(events: DataFrame, width: float, keys: tuple[str, ...] = KEYS,
     return found if crowded is None else found.unionByName(_peers_in_ranges(crowded, width, keys))
 
 
+def turned(events: DataFrame, width: float) -> DataFrame:
+    """``events`` with their angle ``__a``, and those that an interval across north reaches once more a turn away (``__turn``)."""
+    reached = lambda t: (t == 0) | (_angle() + t).between(-float(width), 360 + float(width))
+    turns = F.filter(F.array(*map(F.lit, (-360.0, 0.0, 360.0))), reached)
+    return events.withColumn("__turn", F.explode(turns)).withColumn("__a", _angle() + F.col("__turn"))
+
+
 def _peers_by_window(events: DataFrame, width: float, keys: tuple[str, ...]) -> DataFrame:
-    turned = events.withColumn("__turn", F.explode(F.array(*map(F.lit, (-360.0, 0.0, 360.0))))).withColumn("__a", _angle() + F.col("__turn"))
     part = ", ".join(f"`{k}`" for k in keys)
     count = F.expr(f"count(__a) OVER (PARTITION BY {part} ORDER BY __a RANGE BETWEEN {float(width)!r}D PRECEDING AND {float(width)!r}D FOLLOWING)")
-    return turned.withColumn("peers", count).filter("__turn = 0").drop("__turn", "__a")
+    return turned(events, width).withColumn("peers", count).filter("__turn = 0").drop("__turn", "__a")
 
 
 def _peers_in_ranges(events: DataFrame, width: float, keys: tuple[str, ...]) -> DataFrame:
