@@ -33,8 +33,8 @@ from .token_counts import default_model, processor
 CACHE_BYTES, ENTRY_BYTES, CACHE_PART = 1 << 26, 160, 256
 #: Texts of its own that a worker holds against SentencePiece.
 OWN_PROBES = 4
-#: Pre-tokens that go to the library at once; its results are far larger than the ids.
-CHUNK = 4096
+#: Pre-tokens that go to the library as one text.
+CHUNK = 1024
 #: Piece kinds of the model protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -96,6 +96,8 @@ class Codec:
         #: The part table holds only where the text's own characters reach the model unchanged.
         self.by_part = not norm.precompiled_charsmap and not norm.remove_extra_whitespaces and self.prefix and pretokens.safe_model(p.piece for p in model.pieces if p.type != CONTROL)
         self.bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else model.trainer_spec.unk_surface.encode() if p.type == UNKNOWN else p.piece.replace(pretokens.MARK, " ").encode() for p in model.pieces]
+        #: Bytes of a text that an id stands for; 0 where that is not fixed.
+        self.widths = np.array([0 if p.type == UNKNOWN else len(x) for p, x in zip(model.pieces, self.bytes, strict=True)], np.int64)
         self.cache: dict[str, bytes] = {}
         self.held = 0
         self.path, self.unchecked = path, OWN_PROBES
@@ -126,6 +128,20 @@ class Codec:
                 out[i] = ids
         return out
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of pre-tokens as int32 bytes: all go through the library as one text, whose ids are cut apart by the bytes that they stand for.
+
+        A line feed before each keeps it apart from its neighbour and from the marker that the normaliser adds. Where an
+        id's bytes are not fixed, or a border falls inside an id, each pre-token goes by itself.
+        """
+        ids = np.array(self._library(["".join(["\n" + p for p in parts])])[0], np.int32)
+        widths = self.widths[ids]
+        upto, ends = np.cumsum(widths), 1 + np.cumsum([1 + len(p.encode()) for p in parts])
+        last = np.searchsorted(upto, ends)
+        if widths.all() and upto[-1] == ends[-1] and (upto[last] == ends).all():
+            return [ids[a + 2 : b + 1].tobytes() for a, b in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
+        return [np.array(x[2:], np.int32).tobytes() for x in self._library(["\n" + p for p in parts])]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of whole texts."""
         if not self.by_part:
@@ -140,10 +156,9 @@ class Codec:
             self.held = sum(ENTRY_BYTES + len(p) + len(x) for p, x in self.cache.items())
         cache = self.cache
         new = [s for s in seen if s not in cache]
-        # A line feed in front keeps the marker that the normaliser adds apart from the part's own.
         for i in range(0, len(new), CHUNK):
             some = new[i : i + CHUNK]
-            cache.update(zip(some, (np.array(ids[2:], np.int32).tobytes() for ids in self._library(["\n" + s for s in some])), strict=True))
+            cache.update(zip(some, self._parts(some), strict=True))
         out = [np.frombuffer(b"".join(map(cache.__getitem__, p)), np.int32) for p in parts]
         for p in new:
             if len(p) > CACHE_PART:
