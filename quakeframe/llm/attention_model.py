@@ -25,6 +25,8 @@ CHUNK, BLOCK = 256, 1 << 15
 #: Scores and logits are held below this, which keeps their exponentials in range without a pass for the maximum.
 TOP = np.float32(40)
 START = 1
+#: Leaves up to these numbers of ids go through a training step together.
+PADDED = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256, 1024]
 #: Neighbour buckets on each side of an id's profile.
 BUCKETS = 64
 
@@ -52,6 +54,13 @@ class Tree:
         n = np.arange(max(1, sizes.max()))
         return np.where(n < sizes[:, None], self.first[:-1, None] + n, -1)
 
+    @cached_property
+    def by_size(self) -> np.ndarray:
+        """Place of each leaf when leaves are sorted by their number of ids."""
+        out = np.empty(LEAVES, np.int16)
+        out[np.argsort(np.diff(self.first), kind="stable")] = np.arange(LEAVES)
+        return out
+
 
 def id_classes(profile: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Classes of ids by their neighbours: k-means on rows of neighbour counts, apart for ids that begin a word (``first``) and the others. Ids without counts are dealt out."""
@@ -160,8 +169,10 @@ def _forward(m: Network, ids: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=-1, keepdims=True))
-    return z / z.sum(axis=-1, keepdims=True)
+    np.minimum(z, TOP, out=z)
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
 
 
 def gradient(m: Model, windows: np.ndarray) -> tuple[float, np.ndarray]:
@@ -180,22 +191,43 @@ def gradient(m: Model, windows: np.ndarray) -> tuple[float, np.ndarray]:
     scale = np.float32(1 / len(live))
 
     p1 = _softmax(h @ net.head + tree.classes_log)
-    p2 = _softmax((h[:, None] @ net.groups[cls])[:, 0] + tree.groups_log[last, cls])
-    members = tree.members[leaf]
-    vectors = net.ids[members]
-    p3 = _softmax(np.where(members >= 0, (vectors @ h[:, :, None])[..., 0] + tree.ids_log[last[:, None], members], np.float32(-1e9)))
-    at = tree.place[goal] - tree.first[leaf]
-    loss = -float(np.mean(np.log(p1[n, cls]) + np.log(p2[n, leaf % FAN]) + np.log(p3[n, at])))
-    for p, place in ((p1, cls), (p2, leaf % FAN), (p3, at)):
+    p2 = tree.groups_log[last, cls].astype(h.dtype, copy=False)
+    ends = np.searchsorted(cls, np.arange(FAN + 1)).tolist()
+    spans = [(top, slice(i, j)) for top, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if i < j]
+    for top, own in spans:
+        p2[own] += h[own] @ net.groups[top]
+    p2 = _softmax(p2)
+    loss = float(np.log(p1[n, cls]).sum() + np.log(p2[n, leaf % FAN]).sum())
+    for p, place in ((p1, cls), (p2, leaf % FAN)):
         p[n, place] -= 1
         p *= scale
-    dh = p1 @ net.head.T + (net.groups[cls] @ p2[:, :, None])[..., 0] + (p3[:, None] @ vectors)[:, 0]
     g.head[:] = h.T @ p1
-    new = np.concatenate([[0], np.nonzero(np.diff(cls))[0] + 1])
-    g.groups[cls[new]] = np.add.reduceat(h[:, :, None] * p2[:, None, :], new, axis=0)
-    new = np.concatenate([[0], np.nonzero(np.diff(leaf))[0] + 1])
-    rows, sums = tree.members[leaf[new]], np.add.reduceat(p3[:, :, None] * h[:, None, :], new, axis=0)
-    g.ids[rows[rows >= 0]] = sums[rows >= 0]
+    dh = p1 @ net.head.T
+    for top, own in spans:
+        g.groups[top] = h[own].T @ p2[own]
+        dh[own] += p2[own] @ net.groups[top].T
+    # Leaves of like sizes together: most goals are in small ones, and padding all to the largest took most of the time.
+    rank = np.argsort(tree.by_size[leaf], kind="stable")
+    sizes = np.diff(tree.first)[leaf[rank]]
+    ends = [0, *np.unique(np.searchsorted(sizes, PADDED, side="right")), len(rank)]
+    for i, j in zip(ends[:-1], ends[1:], strict=True):
+        if i == j:
+            continue
+        own, most = rank[i:j], int(sizes[j - 1])
+        mine, hh = leaf[own], h[own]
+        members = tree.members[mine, :most]
+        vectors = net.ids[members]
+        p3 = (vectors @ hh[:, :, None])[..., 0] + tree.ids_log[last[own, None], members]
+        p3[members < 0] = -1e9
+        p3 = _softmax(p3)
+        at = tree.place[goal[own]] - tree.first[mine]
+        loss += float(np.log(p3[n[: j - i], at]).sum())
+        p3[n[: j - i], at] -= 1
+        p3 *= scale
+        dh[own] += (p3[:, None] @ vectors)[:, 0]
+        new = np.concatenate([[0], np.nonzero(np.diff(mine))[0] + 1])
+        rows, sums = tree.members[mine[new], :most], np.add.reduceat(p3[:, :, None] * hh[:, None, :], new, axis=0)
+        g.ids[rows[rows >= 0]] = sums[rows >= 0]
 
     dhidden = np.zeros((ids.size, WIDTH), np.float32)
     dhidden[live] = dh
@@ -211,7 +243,7 @@ def gradient(m: Model, windows: np.ndarray) -> tuple[float, np.ndarray]:
     g.place[:] = dx.sum(axis=0)
     g.qkv[:] = flat(x).T @ flat(dqkv)
     g.out[:] = flat(c).T @ flat(dhidden)
-    return loss, out
+    return -loss / len(live), out
 
 
 def train(m: Model, windows: np.ndarray, steps: int, batch: int = 256, rate: float = 0.01, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -3,17 +3,17 @@
 Two models learn from the training rows. The base is an additive unigram model over words, with exact counts from all
 training rows. The second is a causal self-attention network over subword ids (``attention_model``):
 
-* every training text gives windows of ids, one and one more for each ``SPACING`` bytes, at hash-chosen places anywhere
-  in it, so what the network sees grows with the corpus and long texts give more of it;
+* every training text is cut into windows of ids from its beginning to its end, so that each id of each text is what one
+  window has to predict, and none is left out;
 * the classes of ids come from the neighbours in all windows, summed in each task and then by cell;
-* the counts that the softmax starts from come from the counts of all training words; of words that occur once, which
-  are most distinct words, a hash-chosen ``ONCE_SHARE``-th stands for the others with so many times the weight;
+* the counts that the softmax starts from come from the counts of all training words;
 * the weights are fitted by trainers, one for each ``TRAINER`` windows: each takes Adam steps on windows of its own, and the
-  changes are averaged row by row, ``ROUNDS`` times over. Together the rounds use each window once; trainers with few
-  windows use them up to ``EPOCHS`` times a round, ``STEPS`` steps at most.
+  changes are averaged row by row, ``ROUNDS`` times over. A text's windows take turns in the rounds, and a round uses all
+  of its windows; trainers with few windows use them up to ``EPOCHS`` times a round, ``STEPS`` steps at most.
 
-One pass over the texts then scores all tokens with the network and sums the base model over the words with the highest
-counts, ``HOT_WORDS`` at most, which are broadcast; the other words of each text go through a join with the full counts.
+Texts are read twice, for the counts and for the ids, which are written down; windows and the network's scores come from these.
+The base model is summed over the words with the highest counts, ``HOT_WORDS`` at most, which are broadcast, while the ids are
+made; the other words of each text go through a join with the full counts.
 
 Edge cases: a null or empty text is one end token; without training rows all counts are zero, the base gives every
 token log10(0.1 / 0.1) = 0 and the network stays as it starts; a null key counts as training; rows of any length are
@@ -46,11 +46,8 @@ ADD = 0.1
 END = b" "
 END_ID = 2
 HOT_WORDS = 1 << 18
-#: Bytes of a text for one window more, and the bytes that a window is cut from.
-SPACING, SLICE = 4096, 96
-ONCE_SHARE = 16
 #: Windows of a trainer, of a step, the rounds of averaging, and what a trainer with few windows does.
-TRAINER, BATCH, ROUNDS, EPOCHS, STEPS = 100_000, 256, 2, 10, 150
+TRAINER, BATCH, ROUNDS, EPOCHS, STEPS = 400_000, 1024, 2, 10, 150
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
 
@@ -150,50 +147,69 @@ def _reader(token: str, shared: Any) -> Reader:
     return _readers[token]
 
 
-def slices(text: str | None) -> list[tuple[bool, bytes, bool]]:
-    """(whether it begins the text, bytes, whether it ends the text) of the places that a text's windows are cut from."""
-    from xxhash import xxh3_64_intdigest
+def windows(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows of ``WINDOW + 1`` ids, number of windows of each sequence) of sequences one after another.
 
-    raw = (text or "").encode()
-    out = []
-    for i in range(1 + len(raw) // SPACING):
-        at = xxh3_64_intdigest(raw, i) % max(1, len(raw))
-        at = at if at > SLICE // 4 else 0
-        out.append((at == 0, raw[at : at + SLICE], at + SLICE >= len(raw)))
-    return out
+    The start id stands before each sequence and -1 fills its last window up. A window begins with the id that ends the
+    one before, so each id is once behind the first place.
+    """
+    size = am.WINDOW
+    number = -(-lengths // size)
+    owner = np.repeat(np.arange(len(lengths)), number)
+    begin = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * size
+    starts = np.cumsum(lengths) - lengths
+    place = begin[:, None] + np.arange(size + 1) - 1
+    out = np.append(ids, -1).astype(np.int32)[np.minimum(starts[owner, None] + np.maximum(place, 0), len(ids))]
+    out[place >= lengths[owner, None]] = -1
+    out[begin == 0, 0] = am.START
+    return out, number
+
+
+def _cut(texts: DataFrame) -> DataFrame:
+    """(u, part, ids): all windows of texts (u, ids) given as bytes of their ids. A row has those of a text that take part in one round."""
+    target = common.arrow_schema(texts.sparkSession, "u long, part int, ids binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            found, number = windows(np.frombuffer(b"".join(raw), np.int32), np.array([len(x) // 4 for x in raw], np.int64))
+            rows = []
+            for u, own in zip(b.column(0).to_pylist(), np.split(found, np.cumsum(number)[:-1]) if raw else [], strict=True):
+                rows += [(u, (turn + i) % ROUNDS, own[i::ROUNDS].tobytes()) for i in range(min(ROUNDS, len(own)))]
+                turn += len(own)
+            yield common.record_batch({n: [r[i] for r in rows] for i, n in enumerate(target.names)}, target)
+
+    return texts.select("u", "ids").mapInArrow(run, "u long, part int, ids binary")
 
 
 def windows_of(docs: DataFrame, token: str, shared: Any, text: str = "text") -> DataFrame:
-    """(u, ids): windows of ``WINDOW + 1`` ids from every text, padded with -1."""
-    target = common.arrow_schema(docs.sparkSession, "u long, ids array<int>")
-    size = am.WINDOW + 1
+    """(u, part, ids): all windows of every text, see ``_cut``."""
+    target = common.arrow_schema(docs.sparkSession, "u long, ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, part, seen = _reader(token, shared), TaskContext.get().partitionId(), 0
         for b in batches:
-            cuts = [c for t in b.column(0).to_pylist() for c in slices(t)]
-            # A slice inside a text may cut its first and its last word.
-            lists = [w[0 if begins else 1 : None if ends else -1] + [END] * ends for begins, raw, ends in cuts for w in [raw.decode(errors="ignore").encode().lower().split()]]
-            _, ids, sizes = reader.read(lists)
-            counts = np.add.reduceat(np.append(sizes, 0), np.cumsum([0, *map(len, lists)])[:-1]) if lists else np.empty(0, np.int64)
-            counts = np.where([len(x) > 0 for x in lists], counts, 0)
-            at, rows = 0, []
-            for (begins, *_), n in zip(cuts, counts.tolist(), strict=True):
-                own = ids[at : at + n][: size - begins]
-                at += n
-                row = np.full(size, -1, np.int32)
-                row[:begins] = am.START
-                row[begins : begins + len(own)] = own
-                rows.append(row)
-            keep = [r for r in rows if r[1] >= 0]
-            yield common.record_batch({"u": [part << 40 | seen + i for i in range(len(keep))], "ids": keep}, target)
-            seen += len(keep)
-
-    return docs.select(text).mapInArrow(run, "u long, ids array<int>")
+            lists = [words_of(t) for t in b.column(0).to_pylist()]
+            if lists:
+                _, ids, sizes = reader.read(lists)
+                yield common.record_batch({"u": part << 40 | seen + np.arange(len(lists)), "ids": _by_text(ids, sizes, lists)[0]}, target)
+            seen += len(lists)
+
+    return _cut(docs.select(text).mapInArrow(run, "u long, ids binary"))
+
+
+def _by_text(ids: np.ndarray, sizes: np.ndarray, lists: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
+    """(bytes of each text's ids, first word of each text)."""
+    n = np.array([len(x) for x in lists], np.int64)
+    starts = np.cumsum(n) - n
+    ends = np.cumsum(np.add.reduceat(sizes, starts)).tolist()
+    raw = ids.astype(np.int32).tobytes()
+    return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], starts
 
 
 def _windows(b: pa.RecordBatch, column: int) -> np.ndarray:
-    return b.column(column).values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(b), -1)
+    return np.frombuffer(b"".join(b.column(column).to_pylist()), np.int32).reshape(-1, am.WINDOW + 1)
 
 
 def _cells(df: DataFrame, columns: list[str], size: int, add: Any) -> np.ndarray:
@@ -219,12 +235,15 @@ def profiles(windows: DataFrame, size: int) -> np.ndarray:
     k = am.BUCKETS
 
     def add(b: pa.RecordBatch, total: np.ndarray) -> None:
-        w = _windows(b, 0)
+        w = _windows(b, 0).astype(np.int64)
         one, two = w[:, :-1].ravel(), w[:, 1:].ravel()
         one, two = one[two >= 0], two[two >= 0]
         for cells in (one * 2 * k + two % k, two * 2 * k + k + one % k):
-            at, n = np.unique(cells, return_counts=True)
-            total[at] += n
+            if len(cells) * 16 > len(total):
+                total += np.bincount(cells, minlength=len(total))
+            else:
+                at, n = np.unique(cells, return_counts=True)
+                total[at] += n
 
     return _cells(windows, ["ids"], size * 2 * k, add).reshape(size, 2 * k)
 
@@ -243,29 +262,38 @@ def pair_counts(counts: DataFrame, model_path: str, classes: np.ndarray) -> np.n
             at, back = np.unique(before * size + flat, return_inverse=True)
             total[at] += np.bincount(back, np.repeat(b.column(1).to_numpy(), lengths))
 
-    weight = F.when(F.col("n") > 1, F.col("n")).otherwise(ONCE_SHARE).cast("double").alias("n")
-    kept = counts.filter((F.col("n") > 1) | (F.pmod(F.xxhash64("word"), F.lit(ONCE_SHARE)) == 0)).select("word", weight)
-    return _cells(kept, ["word", "n"], am.FAN * size, add).reshape(am.FAN, size)
+    return _cells(counts.select("word", F.col("n").cast("double").alias("n")), ["word", "n"], am.FAN * size, add).reshape(am.FAN, size)
 
 
-def averaged(windows: DataFrame, model: am.Model, trainers: int, seed: int) -> np.ndarray:
-    """The weights after each trainer's steps, averaged row by row. A trainer holds about ``TRAINER`` windows."""
+def averaged(windows: DataFrame, model: am.Model, trainers: int, turn: int) -> np.ndarray:
+    """The weights after each trainer's steps on the windows of one round, averaged row by row."""
     spark = windows.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = [f"d{i}" for i in range(am.WIDTH)]
-    ddl = ", ".join(["row int, weight double", *(f"{n} double" for n in names)])
+    ddl = ", ".join(["row int, weight float", *(f"{n} float" for n in names)])
     target = common.arrow_schema(spark, ddl)
 
+    def trained(own: list[np.ndarray]) -> pa.RecordBatch:
+        w = np.concatenate(own)
+        steps = max(-(-len(w) // BATCH), min(EPOCHS * len(w) // BATCH, STEPS))
+        change, weight = am.train(shared.value, w, steps, BATCH, seed=turn)
+        at = np.nonzero(weight)[0]
+        return common.record_batch({"row": at.astype(np.int32), "weight": weight[at].astype(np.float32), **{n: (change[at, i] * weight[at]).astype(np.float32) for i, n in enumerate(names)}}, target)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [_windows(b, 0) for b in batches if len(b)]
-        if own:
-            w = np.concatenate(own)
-            steps = max(1, min(EPOCHS * len(w) // BATCH, max(STEPS, len(w) // (BATCH * ROUNDS))))
-            change, weight = am.train(shared.value, w, steps, BATCH, seed=seed)
-            at = np.nonzero(weight)[0]
-            yield common.record_batch({"row": at.astype(np.int32), "weight": weight[at], **{n: change[at, i] * weight[at] for i, n in enumerate(names)}}, target)
-
-    dealt = windows.repartition(trainers, F.xxhash64("u")).select("ids")
+        own, held = [], 0
+        for b in batches:
+            # A task that was dealt more than it can hold goes on as another trainer.
+            if held > 2 * TRAINER // ROUNDS:
+                yield trained(own)
+                own, held = [], 0
+            if len(b):
+                own.append(_windows(b, 0))
+                held += len(own[-1])
+        if held:
+            yield trained(own)
+
+    dealt = windows.filter(F.col("part") == turn).repartition(trainers, F.xxhash64("u")).select("ids")
     sums = dealt.mapInArrow(run, ddl).groupBy("row").agg(*[(F.sum(n) / F.sum("weight")).alias(n) for n in names]).toArrow()
     out = model.matrix.copy()
     if len(sums):
@@ -273,16 +301,18 @@ def averaged(windows: DataFrame, model: am.Model, trainers: int, seed: int) -> n
     return out
 
 
-def fit(windows: DataFrame, counts: DataFrame, model_path: str, rounds: int = ROUNDS) -> am.Model:
+def fit(windows: DataFrame, counts: DataFrame, model_path: str) -> am.Model:
     """The attention model from the windows and the word counts of all training rows."""
     sp = processor(model_path)
     size = sp.get_piece_size()
     first = np.array([i == END_ID or sp.id_to_piece(i).startswith(MARK) for i in range(size)])
-    classes = am.id_classes(profiles(windows, size), first)
+    near = profiles(windows, size)
+    classes = am.id_classes(near, first)
     tree = am.build_tree(classes, first, pair_counts(counts, model_path, classes))
     model = am.Model(tree, am.Network.start(size).matrix)
-    trainers = max(1, round(windows.count() / TRAINER))
-    for turn in range(rounds):
+    # Each id is counted before and behind another.
+    trainers = max(1, round(near.sum() / 2 / am.WINDOW / TRAINER))
+    for turn in range(ROUNDS):
         model = am.Model(tree, averaged(windows, model, trainers, turn))
     return model
 
@@ -301,35 +331,43 @@ def _score(docs: DataFrame, path: str, text: str, key: str, scratch: common.Scra
     total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
     scale = math.log10(total + ADD * (distinct + 1))
     shared, token = spark.sparkContext.broadcast(Lexicon(hot_words(counts), total, distinct, path)), uuid.uuid4().hex
-    windows = scratch.keep(windows_of(training, token, shared, text), "windows")
-    model = spark.sparkContext.broadcast(fit(windows, counts, path))
-
-    ddl = f"`{key}` {docs.schema[key].dataType.simpleString()}, held_out boolean, u long, n_tokens long, hot_known long, hot_score double, score double, rare array<struct<word:binary,m:int>>"
+    own = f"`{key}` {docs.schema[key].dataType.simpleString()}, held_out boolean, u long, n_tokens long, hot_known long, hot_score double"
+    ddl = f"{own}, rare array<struct<word:binary,m:int>>, ids binary"
     target = common.arrow_schema(spark, ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, net, part, seen = _reader(token, shared), model.value, TaskContext.get().partitionId(), 0
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, part, seen = _reader(token, shared), TaskContext.get().partitionId(), 0
         for b in batches:
             lists = [words_of(t) for t in b.column(2).to_pylist()]
             if not lists:
                 continue
             at, ids, sizes = reader.read(lists)
+            raw, starts = _by_text(ids, sizes, lists)
             n = np.array([len(x) for x in lists], np.int64)
-            starts = np.cumsum(n) - n
             hot = at >= 0
             rare = [Counter([x[i] for i in np.nonzero(~hot[s : s + len(x)])[0].tolist()]) for x, s in zip(lists, starts.tolist(), strict=True)]
             ends = np.cumsum([0, *map(len, rare)])
             pairs = pa.StructArray.from_arrays([pa.array([w for r in rare for w in r], pa.binary()), pa.array([m for r in rare for m in r.values()], pa.int32())], ["word", "m"])
             yield common.record_batch(
-                {key: b.column(0), "held_out": b.column(1), "u": part << 40 | seen + np.arange(len(n)), "n_tokens": n, "hot_known": np.add.reduceat(hot.astype(np.int64), starts), "hot_score": np.add.reduceat(np.where(hot, reader.lexicon.base[at], 0.0), starts), "score": am.score(net, ids.astype(np.int64), np.add.reduceat(sizes, starts)), "rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(target.field("rare").type)},
+                {key: b.column(0), "held_out": b.column(1), "u": part << 40 | seen + np.arange(len(n)), "n_tokens": n, "hot_known": np.add.reduceat(hot.astype(np.int64), starts), "hot_score": np.add.reduceat(np.where(hot, reader.lexicon.base[at], 0.0), starts), "rare": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(target.field("rare").type), "ids": raw},
                 target,
             )
             seen += len(n)
 
-    scored = scratch.keep(docs.select(F.col(key), held_out(key).alias("held_out"), F.col(text)).mapInArrow(run, ddl), "scored")
+    texts = scratch.keep(docs.select(F.col(key), held_out(key).alias("held_out"), F.col(text)).mapInArrow(read, ddl), "texts")
+    model = spark.sparkContext.broadcast(fit(_cut(texts.filter("NOT held_out")), counts, path))
+    scored_target = common.arrow_schema(spark, f"{own}, score double")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b.column(6).to_pylist()
+            score = am.score(model.value, np.frombuffer(b"".join(raw), np.int32).astype(np.int64), np.array([len(x) // 4 for x in raw], np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(score)], schema=scored_target)
+
+    scored = texts.drop("rare").mapInArrow(judge, f"{own}, score double")
     n = F.coalesce("n", F.lit(0))
-    rare = scored.select("u", F.explode("rare").alias("x")).select("u", "x.word", "x.m").join(counts, "word", "left").groupBy("u").agg(F.sum(F.col("m") * (F.log10(n + F.lit(ADD)) - F.lit(scale))).alias("rare_score"), F.sum(F.when(n > 0, F.col("m")).otherwise(0)).alias("rare_known"))
-    whole = scored.drop("rare").join(rare, "u", "left").select(
+    rare = texts.select("u", F.explode("rare").alias("x")).select("u", "x.word", "x.m").join(counts, "word", "left").groupBy("u").agg(F.sum(F.col("m") * (F.log10(n + F.lit(ADD)) - F.lit(scale))).alias("rare_score"), F.sum(F.when(n > 0, F.col("m")).otherwise(0)).alias("rare_known"))
+    whole = scored.join(rare, "u", "left").select(
         key,
         "held_out",
         "n_tokens",

@@ -244,6 +244,36 @@ def test_network_beats_its_counts(spark):
     assert trained > plain + 0.1
 
 
+def test_network_learns_from_every_id(spark, library):
+    """Long, short and empty training texts: all their ids are predicted once, and each window has its turn in one round."""
+    texts = ["the river runs past the mill " * 2000 + "zzqx end", "", None, "a", "the old mill and the river " * 3]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    lexicon = lm_score.Lexicon({b"the": 3, b"river": 1}, 4, 2, token_counts.default_model())
+    rows = lm_score.windows_of(docs, "every", spark.sparkContext.broadcast(lexicon)).collect()
+    seen = Counter()
+    for r in rows:
+        w = np.frombuffer(r["ids"], np.int32).reshape(-1, attention_model.WINDOW + 1)
+        seen.update(w[:, 1:][w[:, 1:] >= 0].tolist())
+    want = Counter(i for t in texts for w in lm_score.words_of(t) for i in ([lm_score.END_ID] if w == lm_score.END else library.encode(w.decode())))
+    assert seen == want
+    long = {r["part"]: len(r["ids"]) for r in rows if len(r["ids"]) > 10_000}
+    assert sorted(long) == list(range(lm_score.ROUNDS)) and len({x // 200 for x in long.values()}) <= 2
+    cut, number = lm_score.windows(np.arange(5, 45), np.array([40, 0]))
+    assert number.tolist() == [3, 0] and cut[0].tolist() == [attention_model.START, *range(5, 21)] and cut[2].tolist() == [36, *range(37, 45), *[-1] * 8]
+
+
+def test_trainers_grow_with_the_windows(spark, monkeypatch):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    counts, path, asked = lm_score.word_counts(real), token_counts.default_model(), []
+    lexicon = lm_score.Lexicon({b"the": 1}, 1, 1, path)
+    windows = lm_score.windows_of(real, "growth", spark.sparkContext.broadcast(lexicon)).cache()
+    monkeypatch.setattr(lm_score, "TRAINER", 1000)
+    monkeypatch.setattr(lm_score, "averaged", lambda w, model, trainers, turn: asked.append((trainers, turn)) or model.matrix)
+    lm_score.fit(windows, counts, path)
+    n = sum(len(r["ids"]) for r in windows.collect()) // 4 // (attention_model.WINDOW + 1)
+    assert n > 3000 and [t for _, t in asked] == list(range(lm_score.ROUNDS)) and all(0.8 * n <= 1000 * t <= 1.2 * n for t, _ in asked)
+
+
 def test_reader_gives_the_library_ids(library):
     texts = ["the river runs", "", "zzqx ééé the", "a" * 300 + " b"]
     lists = [lm_score.words_of(t) for t in texts]
