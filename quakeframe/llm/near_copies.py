@@ -9,8 +9,11 @@ million, and more similar ones less often.
 Each candidate is verified on its whole sets. In every key all members are first compared with the one that shares most
 keys with others, which links the copies of one text to it. Keys whose members are then linked are done. In those with
 up to ``CROWD`` members all that no link connects are compared with each other. In larger ones, where that would be a
-square, each round compares all members with one more of them, drawn anew for every key, until a round links nothing; so
-a member of crowds is compared with a new one for each of its keys and rounds.
+square, ``TURNS`` rounds compare all members with one more of them, drawn anew for every key. What is in several classes then
+goes through an exact join: of two sets of similarity 0.8, each has one of the other's shingles among its rarest fifth
+(prefix filter; any order of the shingles gives all pairs, the rarest first gives few others). A shingle that many sets have
+there is dealt in blocks of ``BLOCK`` members, and pairs whose sets must differ in more shingles than similarity 0.8 allows,
+by the parities of ``BITS`` cells, are not looked at.
 
 Edge cases: texts with equal sets are one node; fewer than five words make one shingle; null and empty texts are one
 class; rows without a key stay and link nothing; the smallest key of a class stays, once; an empty table gives an empty
@@ -33,7 +36,10 @@ from .simhash_dedup import SEED, TEXT_HASH, bit_majority, keep_named, links, shi
 
 SHINGLE = 5
 BANDS, ROWS = 40, 6
-CROWD = 32
+CROWD, TURNS = 32, 3
+BLOCK, BITS = 256, 512
+#: Cells in which shingles are counted for their order.
+CELLS = 1 << 20
 #: Shingles that go through the hash functions together.
 CHUNK = 4096
 _FACTORS, _SHIFTS = (np.random.default_rng(s).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(s) for s in (1, 0))
@@ -123,6 +129,67 @@ def _pairs(members: DataFrame) -> DataFrame:
     return _ordered(one.join(two, "key").filter((F.col("name_a") < F.col("name_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit("n_a", "n_b")), "name_a", "name_b")
 
 
+def _prefix(found: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, so many that a set of similarity 0.8 or more has one of them."""
+    order = np.lexsort((found, counts[found % np.uint64(CELLS)]))
+    return found[order[: len(found) - (4 * len(found) + 4) // 5 + 1]]
+
+
+def _parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls into each of ``BITS`` cells. Two sets differ in as many shingles as cells at least."""
+    cells = (found >> np.uint64(32)) % np.uint64(BITS)
+    return np.packbits(np.bincount(cells.astype(np.int64), minlength=BITS) & 1).view(np.int64)
+
+
+def _counted(asked: DataFrame) -> np.ndarray:
+    """Number of sets by cell of their shingles. At most one row a cell reaches the driver."""
+    target = common.arrow_schema(asked.sparkSession, "cell long, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                cells, n = np.unique(np.unique(shingle_hashes(t)) % np.uint64(CELLS), return_counts=True)
+                total[cells.astype(np.int64)] += n
+        at = np.nonzero(total)[0]
+        yield common.record_batch({"cell": at, "n": total[at]}, target)
+
+    found = np.zeros(CELLS, np.int64)
+    for b in asked.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        found[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    return np.minimum(found, np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _exact_pairs(members: DataFrame, held: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Pairs of members that no link connects, with all those of similarity 0.8 or more, whatever keys they have."""
+    spark = members.sparkSession
+    asked = scratch.keep(held.join(members.select("name", "root").distinct(), "name").select("name", "root", "text"), "asked")
+    shared = spark.sparkContext.broadcast(_counted(asked))
+    ddl = "key long, name long, n int, root long, bits array<long>"
+    target = common.arrow_schema(spark, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, root, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = np.unique(shingle_hashes(text))
+                # A key that stands for several texts brings the others along; their names differ.
+                if len(found) and name_of(found) == name:
+                    keys, bits = _prefix(found, shared.value).view(np.int64), _parities(found).tolist()
+                    n = len(keys)
+                    yield common.record_batch({"key": keys, "name": [name] * n, "n": [len(found)] * n, "root": [root] * n, "bits": [bits] * n}, target)
+
+    rows = scratch.keep(asked.mapInArrow(run, ddl).distinct(), "prefixes")
+    # Shingles of one class have nothing to compare. The others are dealt in blocks, each pair of blocks by itself.
+    several = rows.groupBy("key").agg(F.count("*").alias("size"), (F.min("root") < F.max("root")).alias("open")).filter("open")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = rows.join(several.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    one, two = (dealt.select("key", "i", "j", *[F.col(c).alias(f"{c}_{side}") for c in ("name", "n", "root", "own", "bits")]) for side in "ab")
+    both = one.join(two, ["key", "i", "j"]).filter((F.col("name_a") < F.col("name_b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit("n_a", "n_b") & ((F.col("i") == F.col("j")) | (F.col("own_a") != F.col("own_b"))))
+    apart = sum((F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(BITS // 64)), F.lit(0))
+    return _ordered(both.filter(9 * apart <= F.col("n_a") + F.col("n_b")), "name_a", "name_b").distinct()
+
+
 def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     """Pairs of names whose fingerprints are equal or lie within two bits: the least name of each fingerprint stands for it."""
     first = common.cut(nodes.groupBy("fp").agg(F.min("name").alias("first")))
@@ -148,11 +215,14 @@ def similar(docs: DataFrame, text: str, key: str, scratch: common.Scratch) -> tu
     few = members.filter(F.col("size") <= CROWD)
     found = common.cut(found.union(verified(scratch.keep(_pairs(few).distinct(), "few"), held)))
     crowd, turn, links_before = members.filter(F.col("size") > CROWD), 0, -1
-    while not crowd.isEmpty() and (linked := found.count()) > links_before:
+    while turn < TURNS and not crowd.isEmpty() and (linked := found.count()) > links_before:
         crowd = _still_open(crowd, found, scratch, f"crowd-{turn}")
         pairs = scratch.keep(_stars(crowd, F.xxhash64("name", "key", F.lit(turn))).distinct(), f"stars-{turn}")
         found = common.cut(found.union(verified(pairs, held)))
         turn, links_before = turn + 1, linked
+    crowd = _still_open(crowd, found, scratch, "rest")
+    if not crowd.isEmpty():
+        found = common.cut(found.union(verified(scratch.keep(_exact_pairs(crowd, held, scratch), "exact"), held)))
     return nodes, found
 
 

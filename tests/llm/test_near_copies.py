@@ -86,6 +86,26 @@ def test_against_all_pairs(spark):
     assert sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == kept_by_pairs(rows)
 
 
+def test_crowds_lose_no_pair(spark, monkeypatch):
+    """Pairs of crowded keys that no drawn centre brings together: texts that share three quarters, with pairs of 0.8 among them."""
+    rng = random.Random(5)
+    base, rows = words(rng, 150), []
+    for k in range(60):
+        rows.append((k, " ".join([*base, *words(rng, 40 + k % 3)])))
+    for k in range(0, 60, 4):
+        changed = rows[k][1].split()
+        changed[20 + k] = f"x{k}"
+        changed[-10] = f"y{k}"
+        rows.append((100 + k, " ".join(changed)))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_copies, "CROWD", 1)
+    monkeypatch.setattr(near_copies, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(near_copies, "_stars", lambda members, order: members.select(members["name"].alias("a"), members["name"].alias("b")).limit(0))
+    want = kept_by_pairs(rows)
+    assert len(want) == 60 and sorted(r["doc_id"] for r in near_copies.keep_one(docs).collect()) == want
+
+
 def test_edges(edge_docs, no_docs):
     out = near_copies.keep_one(edge_docs)
     assert out.columns == edge_docs.columns and sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3, 5, 7, 8, 9]
