@@ -50,6 +50,8 @@ HOT_WORDS = 1 << 18
 TRAINER, BATCH, ROUNDS, EPOCHS, STEPS = 400_000, 1024, 2, 10, 150
 #: Distinct words that a task counts before it hands them on.
 FLUSH = 400_000
+#: Arrow batches that are summed by cell together.
+HELD = 64
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -213,14 +215,17 @@ def _windows(b: pa.RecordBatch, column: int) -> np.ndarray:
 
 
 def _cells(df: DataFrame, columns: list[str], size: int, add: Any) -> np.ndarray:
-    """Sums by cell over all batches; ``add`` adds a batch to an array of ``size`` cells. At most one row a cell reaches the driver."""
+    """Sums by cell over all batches; ``add`` adds a few batches as one to an array of ``size`` cells. At most one row a cell reaches the driver."""
     target = common.arrow_schema(df.sparkSession, "cell long, n double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for b in batches:
-            if len(b):
-                add(b, total)
+        total, held = np.zeros(size), []
+        for b in chain(batches, [None]):
+            if held and (b is None or sum(x.nbytes for x in held) > common.BATCH_BYTES or len(held) >= HELD):
+                add(pa.concat_batches(held), total)
+                held = []
+            if b is not None and len(b):
+                held.append(b)
         at = np.nonzero(total)[0]
         yield common.record_batch({"cell": at, "n": total[at]}, target)
 
@@ -235,15 +240,12 @@ def profiles(windows: DataFrame, size: int) -> np.ndarray:
     k = am.BUCKETS
 
     def add(b: pa.RecordBatch, total: np.ndarray) -> None:
-        w = _windows(b, 0).astype(np.int64)
-        one, two = w[:, :-1].ravel(), w[:, 1:].ravel()
-        one, two = one[two >= 0], two[two >= 0]
-        for cells in (one * 2 * k + two % k, two * 2 * k + k + one % k):
-            if len(cells) * 16 > len(total):
-                total += np.bincount(cells, minlength=len(total))
-            else:
-                at, n = np.unique(cells, return_counts=True)
-                total[at] += n
+        w = _windows(b, 0)
+        two = w[:, 1:].ravel()
+        live = np.nonzero(two >= 0)[0]
+        one, two = w[:, :-1].ravel().take(live), two.take(live)
+        for cells in (one * (2 * k) + two % k, two * (2 * k) + (k + one % k)):
+            np.add.at(total, cells, 1.0)
 
     return _cells(windows, ["ids"], size * 2 * k, add).reshape(size, 2 * k)
 
@@ -259,8 +261,7 @@ def pair_counts(counts: DataFrame, model_path: str, classes: np.ndarray) -> np.n
         if len(flat):
             before = np.concatenate([[0], classes[flat[:-1]]])
             before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
-            at, back = np.unique(before * size + flat, return_inverse=True)
-            total[at] += np.bincount(back, np.repeat(b.column(1).to_numpy(), lengths))
+            np.add.at(total, before * size + flat, np.repeat(b.column(1).to_numpy(), lengths))
 
     return _cells(counts.select("word", F.col("n").cast("double").alias("n")), ["word", "n"], am.FAN * size, add).reshape(am.FAN, size)
 

@@ -227,6 +227,39 @@ def test_attention_gradient_and_training():
     assert attention_model.gradient(attention_model.Model(start.tree, start.matrix + change), runs)[0] < 0.8 * before and weight.min() >= 0
 
 
+def test_attention_large_scores():
+    """Scores far beyond the range of plain exponentials are not cut: probabilities are those of a softmax in double precision."""
+    rng = np.random.default_rng(2)
+    m = small_model(rng)
+    m.matrix[:] = rng.standard_normal(m.matrix.shape) * 3
+    ids = rng.integers(0, 40, 14)
+    tree, net = m.tree, attention_model.Network(m.matrix.astype(float), 40)
+    before = np.array([attention_model.START, *ids[:-1]])
+    x = net.embed[before] + net.place[:14]
+    q, k, v = np.split(x @ net.qkv, 3, axis=1)
+    log_softmax = lambda z: z - z.max(-1, keepdims=True) - np.log(np.exp(z - z.max(-1, keepdims=True)).sum(-1, keepdims=True))
+    a = np.exp(log_softmax(np.where(np.tri(14) > 0, q @ k.T * attention_model.WIDTH**-0.5, -np.inf)))
+    want, top = 0.0, 0.0
+    for h, i, last in zip(x + a @ v @ net.out, ids, tree.classes[before], strict=True):
+        leaf, c = tree.leaf[i], tree.classes[i]
+        f, e = tree.first[leaf], tree.first[leaf + 1]
+        one, two, three = h @ net.head + tree.classes_log, h @ net.groups[c] + tree.groups_log[last, c], net.ids[f:e] @ h + tree.ids_log[last, f:e]
+        top = max(top, one.max(), two.max(), three.max())
+        want += log_softmax(one)[c] + log_softmax(two)[leaf % attention_model.FAN] + log_softmax(three)[tree.place[i] - f]
+    assert top > 100
+    assert attention_model.score(m, ids, np.array([14]))[0] == pytest.approx(want / math.log(10), rel=1e-3)
+
+
+def test_training_moves_only_rows_that_windows_touch():
+    rng = np.random.default_rng(3)
+    start = small_model(rng)
+    w = rng.integers(0, 20, (64, attention_model.WINDOW + 1))
+    w[0, 5:] = -1
+    change, weight = attention_model.train(start, w, 12, 32)
+    _, g = attention_model.gradient(start, w)
+    assert not change[weight == 0].any() and not g[weight == 0].any() and (weight == 0).any() and change[weight > 0].any()
+
+
 def test_network_beats_its_counts(spark):
     """Held-out texts: the trained network against the same tree with a network of zeros."""
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
