@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import RHO_SCALINGS, VP_SCALINGS
-from ..session import bounded, cut
+from ..session import bounded, settle
 from .grid import gradient
 
 
@@ -175,6 +175,10 @@ def parameter_prior(draws: DataFrame, bounds: DataFrame) -> DataFrame:
     return d.groupBy("station", "chain", "step").agg(F.when(inside, 0.0).otherwise(float("-inf")).alias("log_prior"))
 
 
+#: Numbers of the normal equations that are held at once.
+HELD = 1 << 20
+
+
 def bspline_basis(n: int, degree: int, z: np.ndarray, spacing: float = 1.0) -> np.ndarray:
     """Cox-de Boor basis values (len(z), n) of clamped B-splines on [0, 1]; knot intervals grow by ``spacing`` from one to the next."""
     inner = n - degree
@@ -221,29 +225,59 @@ def spline_normal_sums(samples: DataFrame, basis: DataFrame) -> DataFrame:
     return d.select("model_id", F.inline(F.concat(band, right))).groupBy("model_id", "i", "j").agg(F.sum("a").alias("a"))
 
 
+def solve_splines(b: np.ndarray, n: np.ndarray, mean: np.ndarray, m2: np.ndarray, w2: np.ndarray, right: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients, rms) of many models: a basis (depths, j), and what each model's samples sum up to at every depth (models, depths).
+
+    ``n``, ``mean`` and ``m2`` are the number of values, their mean and their squares about it; ``w2`` and ``right`` sum
+    the squared weights and these times the values. Of equally good coefficients the smallest are taken.
+    """
+    size = b.shape[1]
+    m = ((w2[:, None, :] * b.T).reshape(-1, len(b)) @ b).reshape(-1, size, size) + penalty
+    c = (np.linalg.pinv(m, rcond=np.finfo(float).eps * size, hermitian=True) @ (right @ b)[..., None])[..., 0]
+    return c, np.sqrt((m2 + n * (mean - c @ b.T) ** 2).sum(axis=1) / n.sum(axis=1))
+
+
 def fit_spline_coefficients(samples: DataFrame, basis: DataFrame, smoothing: float = 0.0) -> DataFrame:
     """(model_id, j, value, rms) of weighted least squares on (model_id, depth, vs, weight), with an optional penalty on second differences.
 
-    ``spline_normal_sums`` runs over all samples; only the small system of each model is solved in a grouped kernel. A
-    second pass takes the root mean square of the residuals, which are not weighted.
+    A model's samples become one row of sums for each depth of the basis, which holds its normal equations
+    (``spline_normal_sums``) and the root mean square of the residuals, which are not weighted. So samples are read once,
+    and the small systems are solved many at a time. A model without a weighted value gives no rows.
     """
-    n = basis.agg(F.max("j")).first()[0] + 1
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, y = np.zeros((n, n)), np.zeros(n)
-        right = (pdf["i"] < 0).to_numpy()
-        i, j, a = (pdf[c].to_numpy() for c in ("i", "j", "a"))
-        y[j[right]] = a[right]
-        m[i[~right], j[~right]] = m[j[~right], i[~right]] = a[~right]
-        if smoothing > 0 and n > 2:
-            second = np.diff(np.eye(n), 2, axis=0)
-            m += smoothing * second.T @ second
-        return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "c": [np.linalg.lstsq(m, y, rcond=None)[0].tolist()]})
-
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    cells = basis.toPandas()
+    depths, size = np.unique(cells.loc[cells["b"] != 0, "depth"]), int(cells["j"].max()) + 1
+    full, used = np.zeros((len(depths), size)), cells[cells["b"] != 0]
+    full[np.searchsorted(depths, used["depth"]), used["j"].astype(int)] = used["b"]
+    second = np.diff(np.eye(size), 2, axis=0) if smoothing > 0 and size > 2 else np.zeros((0, size))
+    spark = samples.sparkSession
+    settle(spark)
+    shared = spark.sparkContext.broadcast((full, smoothing * second.T @ second))
+    at = spark.createDataFrame([(float(d), k) for k, d in enumerate(depths)], "depth double, k int")
+
+    vs, weight = F.col("vs").cast("double"), F.col("weight").cast("double")
+    w2 = F.when(F.col("vs").isNotNull(), weight * weight)
+    sums = {"n": F.count("vs").cast("double"), "mean": F.avg(vs), "m2": F.var_pop(vs) * F.count("vs"), "w2": F.coalesce(F.sum(w2), F.lit(0.0)), "right": F.coalesce(F.sum(w2 * vs), F.lit(0.0)), "weighted": F.count(w2)}
+    d = samples.filter(F.col("model_id").isNotNull()).join(bounded(at), "depth").filter("vs IS NOT NULL").groupBy("model_id", "k").agg(*[c.alias(name) for name, c in sums.items()])
+    names = ["n", "mean", "m2", "w2", "right"]
+    rows = d.groupBy("model_id").agg(F.collect_list(F.struct("k", *names)).alias("s"), F.sum("weighted").alias("weighted")).filter("weighted > 0").select("model_id", *[F.col(f"s.{c}").alias(c) for c in ("k", *names)])
     kind = samples.schema["model_id"].dataType.simpleString()
-    found = cut(spline_normal_sums(samples, basis).groupBy("model_id").applyInPandas(solve, f"model_id {kind}, c array<double>"))
-    at = basis.filter("b <> 0").groupBy("depth").agg(F.collect_list(F.struct("j", "b")).alias("f"))
-    predicted = F.aggregate("f", F.lit(0.0), lambda s, x: s + x["b"] * F.get(F.col("c"), x["j"]))
-    gap = F.col("vs") - predicted
-    rms = samples.join(bounded(at), "depth").join(found, "model_id").groupBy("model_id").agg(F.sqrt(F.avg(gap * gap)).alias("rms"))
-    return found.join(rms, "model_id").select("model_id", F.posexplode("c").alias("j", "value"), "rms")
+    ddl = f"model_id {kind}, c array<double>, rms double"
+    target = to_arrow_schema(type(rows.schema).fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, penalty = shared.value
+        step = max(1, HELD // (b.shape[1] * max(b.shape)))
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                some = batch.slice(start, step)
+                place = np.repeat(np.arange(len(some)), some.column("k").value_lengths().to_numpy()), some.column("k").flatten().to_numpy()
+                held = np.zeros((len(names), len(some), len(b)))
+                for out, c in zip(held, names, strict=True):
+                    out[place] = some.column(c).flatten().to_numpy(zero_copy_only=False)
+                c, rms = solve_splines(b, *held, penalty)
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * b.shape[1], pa.int32()), pa.array(c.ravel()))
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip((some.column("model_id"), listed, pa.array(rms)), target, strict=True)], schema=target)
+
+    return rows.mapInArrow(run, ddl).select("model_id", F.posexplode("c").alias("j", "value"), "rms")

@@ -71,3 +71,27 @@ def test_missing_combinations(spark):
     d = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 2), (None, 1), ("c", None)], "k string, p int")
     got = {(r["k"], r["p"]) for r in V.missing_combinations(d, ["k"], ["p"]).collect()}
     assert got == {("a", None), ("b", 1), ("b", None), (None, 2), (None, None), ("c", 1), ("c", 2)}
+
+
+def test_splines_are_solved_many_at_a_time(spark):
+    """Repeated depths, missing values and weights, too few depths and a model without weights; samples are read once, no model is a group of its own."""
+    z = [0.0, 1.0, 2.0, 4.0, 5.0]
+    basis, b = M.basis_table(spark, 4, 2, z), M.bspline_basis(4, 2, np.array(z) / 5)
+    rng = np.random.default_rng(11)
+    rows = [(m, d, float(v), float(w)) for m in range(1, 40) for d, v, w in zip(z + z[:3], rng.uniform(2, 4, 8), rng.uniform(0, 2, 8), strict=True)]
+    rows += [(40, 1.0, 2.0, 1.0), (40, 2.0, 3.0, 1.0), (41, 1.0, 2.0, None), (42, 3.0, 2.0, 1.0), (1, 1.0, None, 1.0), (1, 2.0, 9.0, None), (2, 4.0, 3.0, 0.0), (None, 1.0, 2.0, 1.0)]
+    f = M.fit_spline_coefficients(spark.createDataFrame(rows, "model_id int, depth double, vs double, weight double"), basis, 0.1)
+    assert "InPandas" not in plan(f) and plan(f).count("Join") == 1
+    got = {}
+    for r in f.orderBy("model_id", "j").collect():
+        got.setdefault(r["model_id"], []).append((r["value"], r["rms"]))
+    assert set(got) == set(range(1, 41))
+    second = np.diff(np.eye(4), 2, axis=0)
+    for m, found in got.items():
+        own = [(z.index(d), v, w) for k, d, v, w in rows if k == m and v is not None]
+        use = [(k, v, w) for k, v, w in own if w is not None]
+        k, v, w = (np.array(x) for x in zip(*use, strict=True))
+        a = (b[k] * w[:, None]).T @ (b[k] * w[:, None]) + 0.1 * second.T @ second
+        want = np.linalg.lstsq(a, (b[k] * w[:, None]).T @ (v * w), rcond=None)[0]
+        assert [x for x, _ in found] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-9)
+        assert found[0][1] == pytest.approx(float(np.sqrt(np.mean([(v - b[k] @ want) ** 2 for k, v, _ in own]))), abs=1e-9)
