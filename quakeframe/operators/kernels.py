@@ -12,10 +12,10 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import EARTH_RADIUS_KM, travel_time, with_geodesic, wrap180
+from ..functions.scalars import EARTH_RADIUS_KM, wrap180
 from ..session import cut, settle
 from . import fields as A
 from . import masks as M
@@ -483,16 +483,27 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1.0))
 
 
-def _plate(points: np.ndarray, values: np.ndarray, smoothing: float) -> np.ndarray:
-    """Coefficients of the thin-plate spline with a linear part through (or near) points, for one or many sets of points."""
+def _system(points: np.ndarray, values: np.ndarray, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix and right side of the thin-plate spline with a linear part through one or many sets of points, from the kernel of their pairs."""
     n = points.shape[-2]
     m = np.zeros((*points.shape[:-2], n + 3, n + 3))
-    m[..., :n, :n] = _kernel(points, points) + smoothing * np.eye(n)
+    m[..., :n, :n] = kernel
     m[..., :n, n] = 1
     m[..., :n, n + 1 :] = points
     m[..., n:, :n] = np.swapaxes(m[..., :n, n:], -1, -2)
-    right = np.concatenate([values, np.zeros((*values.shape[:-1], 3))], axis=-1)
-    return np.linalg.solve(m, right[..., None])[..., 0]
+    return m, np.concatenate([values, np.zeros((*values.shape[:-1], 3))], axis=-1)[..., None]
+
+
+def _smoothed(m: np.ndarray, right: np.ndarray, smoothing: float | np.ndarray) -> np.ndarray:
+    """Coefficients of a system with a smoothing, which is all that the diagonal of its points holds."""
+    at = np.arange(m.shape[-1] - 3)
+    m[..., at, at] = smoothing
+    return np.linalg.solve(m, right)[..., 0]
+
+
+def _plate(points: np.ndarray, values: np.ndarray, smoothing: float | np.ndarray) -> np.ndarray:
+    """Coefficients of the thin-plate spline with a linear part through (or near) points, for one or many sets of points."""
+    return _smoothed(*_system(points, values, _kernel(points, points)), smoothing)
 
 
 def thin_plate(points: np.ndarray, values: np.ndarray, query: np.ndarray, smoothing: float = 0.0, neighbours: int | None = None, chunk: int = 512) -> np.ndarray:
@@ -529,7 +540,8 @@ def thin_plates(points: np.ndarray, values: np.ndarray, query: np.ndarray, smoot
     weight = [s / scale**2 for s in smoothings]
     out = np.empty((len(smoothings), sets, len(query)))
     if neighbours is None or neighbours >= n:
-        whole = [_plate(p, values, w) for w in weight]
+        system = _system(p, values, _kernel(p, p))
+        whole = [_smoothed(*system, w[..., 0]) for w in weight]
         for i in range(0, len(query), chunk):
             own = q[:, i : i + chunk]
             k = _kernel(own, p)
@@ -537,6 +549,8 @@ def thin_plates(points: np.ndarray, values: np.ndarray, query: np.ndarray, smoot
                 o[:, i : i + chunk] = (k @ c[:, :n, None])[..., 0] + c[:, n, None] + (own @ c[:, n + 1 :, None])[..., 0]
         return out
     which = np.arange(sets)[:, None, None]
+    # Neighbours of many places are pairs of the same points; the kernel of all pairs is cheaper unless there are many points.
+    pairs = _kernel(p, p) if n * n <= min(MATRIX * MATRIX, len(query) * neighbours * neighbours) else None
     for i in range(0, len(query), chunk):
         own = q[:, i : i + chunk]
         if n <= MATRIX:
@@ -545,9 +559,11 @@ def thin_plates(points: np.ndarray, values: np.ndarray, query: np.ndarray, smoot
         else:
             cells = [Buckets(x) for x in p] if i == 0 else cells  # noqa: F821
             at = np.array([[c.nearest(place, neighbours) for place in x] for c, x in zip(cells, own, strict=True)])
-        near, k = p[which, at], _kernel(own[:, :, None], p[which, at])[:, :, 0]
+        near = p[which, at]
+        k = _kernel(own[:, :, None], near)[:, :, 0]
+        system = _system(near, values[which, at], _kernel(near, near) if pairs is None else pairs[which[..., None], at[..., :, None], at[..., None, :]])
         for w, o in zip(weight, out, strict=True):
-            c = _plate(near, values[which, at], w[:, None])
+            c = _smoothed(*system, w)
             o[:, i : i + chunk] = (k * c[..., :neighbours]).sum(axis=-1) + c[..., neighbours] + (own * c[..., neighbours + 1 :]).sum(axis=-1)
     return out
 
@@ -582,14 +598,18 @@ def _shared_grid(grid: DataFrame) -> Any:
     return grid.sparkSession.sparkContext.broadcast((cells["i_lat"].to_numpy(np.int32), cells["i_lon"].to_numpy(np.int32), middle, place(middle, cells["lon"].to_numpy(), cells["lat"].to_numpy())))
 
 
-def _merged(x: np.ndarray, y: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Points in the order of their places; those at one place become their median."""
-    order = np.lexsort((y, x))
-    x, y, v = x[order], y[order], v[order]
-    first = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-    if first.all():
-        return x, y, v
-    return x[first], y[first], np.array([np.median(part) for part in np.split(v, np.nonzero(first)[0][1:])])
+def _merged(x: np.ndarray, y: np.ndarray, v: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Points of many sources in the order of their places, and how many each source has; a source's points at one place become their median."""
+    who = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    order = np.lexsort((v, y, x, who))
+    who, x, y, v = who[order], x[order], y[order], v[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (who[1:] != who[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(first, append=len(x))
+    low, high = v[first + (n - 1) // 2], v[first + n // 2]
+    median = np.where(np.isnan(v[first + n - 1]), np.nan, np.where(low == high, low, (low + high) / 2))
+    return x[first], y[first], median, np.bincount(who[first], minlength=len(ends) - 1)
 
 
 def _solved(points: DataFrame, shared: Any, value: str, smoothing: float, comparison: float | None, source_at_zero: bool, neighbours: int | None, tiles: int, solve: Callable[..., np.ndarray]) -> DataFrame:
@@ -637,12 +657,12 @@ def solutions(x: np.ndarray, y: np.ndarray, v: np.ndarray, ends: np.ndarray, mid
         except np.linalg.LinAlgError:
             return None
 
-    x, y = np.round(x, 8) + 0.0, np.round(y, 8) + 0.0
-    alike: dict[tuple[int, int], list] = {}
-    for r, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-        px, py, pv = _merged(x[i:j], y[i:j], v[i:j])
-        if len(px) >= least:
-            alike.setdefault((int(tile[r]) if tile is not None else 0, len(px)), []).append((r, place(middle, px, py), pv))
+    px, py, v, sizes = _merged(np.round(x, 8) + 0.0, np.round(y, 8) + 0.0, v, ends)
+    points, starts = place(middle, px, py), np.cumsum(sizes) - sizes
+    alike: dict[tuple[int, int], list[int]] = {}
+    for r, n in enumerate(sizes.tolist()):
+        if n >= least:
+            alike.setdefault((int(tile[r]) if tile is not None else 0, n), []).append(r)
     for (k, n), group in alike.items():
         at = np.arange(k, len(query), tiles)
         if not len(at):
@@ -650,8 +670,10 @@ def solutions(x: np.ndarray, y: np.ndarray, v: np.ndarray, ends: np.ndarray, mid
         many = max(1, HELD // max(n * n, min(512, len(at)) * (max(n, 12 * neighbours) if neighbours else n)))
         for g in range(0, len(group), many):
             some = group[g : g + many]
-            found = found_of(np.array([p for _, p, _ in some]), np.array([z for *_, z in some]), query[at])
-            parts = [([r for r, *_ in some], found)] if found is not None else [([r], found_of(p[None], z[None], query[at])) for r, p, z in some]
+            own = starts[some][:, None] + np.arange(n)
+            p, z = points[own], v[own]
+            found = found_of(p, z, query[at])
+            parts = [(some, found)] if found is not None else [([r], found_of(p[i : i + 1], z[i : i + 1], query[at])) for i, r in enumerate(some)]
             yield from ((who, at, t) for who, t in parts if t is not None)
 
 
@@ -678,18 +700,111 @@ def event_fields(
     min_fraction: float = 0.0,
     amplitude: dict | None = None,
     kernel: str = "thin_plate",
+    columns: tuple[str, ...] | None = None,
+    written: bool = True,
 ) -> DataFrame:
     """Gridded slowness of every source and period, with rejection codes and acceptance of both families.
 
-    The measurements are shuffled once, into one row of arrays a source and period. Cycle correction, solves, stencils,
+    The measurements are shuffled once, into one row of arrays a source and period. Distances, cycle correction, solves, stencils,
     coverage and cascades happen in that row (``fields``), many sources at a time; no cell is shuffled. Sources with too few points appear with code 8 in every cell. ``accepted``
     (and ``helmholtz_accepted``) says whether the source keeps enough cells of its map, ``cell`` numbers the cells, and
     n_input, n_used, n_amplitude, n_corrected and n_rejected count the source's measurements; so the result can be
     written (``write_event_fields``) and stacked (``eikonal_vs_helmholtz``) as it is.
 
     ``amplitude`` may hold min_amplitude, max_relative_difference (of the two solutions), reference_velocity and
-    min_period of the amplitude family. ``kernel`` names one of KERNELS for both.
+    min_period of the amplitude family. ``kernel`` names one of KERNELS for both. ``columns`` names those of a cell that are
+    wanted. All wanted cells are written once, as arrays, since what follows often reads them twice; a result that is read
+    once, like one that goes to a file, need not be (``written``). Maps are made without all cells by ``event_maps``.
     """
+    made = {
+        "i_lat": ("i_lat",),
+        "i_lon": ("i_lon",),
+        "cell": ("i_lat", "i_lon"),
+        **{c: (c,) for c in ("source_km", "azimuth", "value", "other", "east", "north", "laplacian", "adjacent", "slowness")},
+        "angle": ("east", "north"),
+        "velocity": ("slowness",),
+        "covered": ("covered",),
+        "boundary": ("i_lat", "i_lon"),
+        "reason": ("reason",),
+        "deflection": ("east", "north", "azimuth"),
+    }
+    if helmholtz:
+        made |= {c: (c,) for c in ("amplitude", "amplitude_other", "amplitude_laplacian", "amplitude_adjacent", "correction", "helmholtz_reason")} | {"helmholtz_slowness": ("slowness", "correction")}
+    unknown = sorted(set(columns or ()) - set(made))
+    if unknown:
+        raise ValueError(f"unknown columns {unknown}; there are {list(made)}")
+    asked = [c for c in made if columns is None or c in columns]
+    listed = list(dict.fromkeys(x for c in asked for x in made[c]))
+    t, n_lat, n_lon, once = _event_arrays(measurements, grid, listed, False, min_snr, velocity, max_difference_s, max_laplacian, coverage, reference_velocity, wavelengths, boundary, cycle_skips, helmholtz, neighbours, min_cells, min_fraction, amplitude, kernel)
+    t = (cut(t) if written else t).select("period_s", "source", *once, F.inline(F.arrays_zip(*listed)))
+    angle = wrap180(F.degrees(F.atan2("east", "north")))
+    derived = {"cell": _cell(n_lon), "angle": angle, "velocity": F.when(F.col("slowness") > 0, 1 / F.col("slowness")), "deflection": wrap180(angle - F.col("azimuth")), "helmholtz_slowness": _helmholtz_slowness()}
+    t = t.withColumns({c: x for c, x in derived.items() if c in asked})
+    return (M.boundary_cells(t, n_lat, n_lon, boundary) if "boundary" in asked else t).select("period_s", "source", *asked, *once)
+
+
+def _cell(n_lon: int) -> Column:
+    return (F.col("i_lat") * n_lon + F.col("i_lon")).cast("int")
+
+
+def _helmholtz_slowness() -> Column:
+    s2 = F.col("slowness") * F.col("slowness") - F.col("correction")
+    return F.when(s2 > 0, F.sqrt(s2))
+
+
+def event_maps(
+    measurements: DataFrame,
+    grid: DataFrame,
+    stack: dict,
+    min_snr: float | None = None,
+    velocity: tuple[float, float] = (2.0, 6.0),
+    max_difference_s: float = 2.0,
+    max_laplacian: float = 0.01,
+    coverage: dict | None = None,
+    reference_velocity: float = 3.0,
+    wavelengths: float = 1.0,
+    boundary: int = 1,
+    cycle_skips: dict | None = None,
+    neighbours: int | None = None,
+    min_cells: int = 1,
+    min_fraction: float = 0.0,
+    amplitude: dict | None = None,
+    kernel: str = "thin_plate",
+) -> DataFrame:
+    """Both stacked maps (``eikonal_vs_helmholtz`` with the settings ``stack``) of ``event_fields`` of the measurements.
+
+    A stack takes slowness and azimuth of cells with code 0 of accepted sources, so only these are written, as arrays.
+    """
+    from .stack import eikonal_vs_helmholtz
+
+    listed = ["i_lat", "i_lon", "azimuth", "slowness", "correction", "reason", "helmholtz_reason"]
+    t, _, n_lon, _ = _event_arrays(measurements, grid, listed, True, min_snr, velocity, max_difference_s, max_laplacian, coverage, reference_velocity, wavelengths, boundary, cycle_skips, True, neighbours, min_cells, min_fraction, amplitude, kernel)
+    t = cut(t.select("period_s", "source", "accepted", "helmholtz_accepted", *listed)).select("period_s", "source", "accepted", "helmholtz_accepted", F.inline(F.arrays_zip(*listed)))
+    return eikonal_vs_helmholtz(t.withColumns({"cell": _cell(n_lon), "helmholtz_slowness": _helmholtz_slowness()}), **stack)
+
+
+def _event_arrays(
+    measurements: DataFrame,
+    grid: DataFrame,
+    wanted: list[str],
+    stacked: bool,
+    min_snr: float | None,
+    velocity: tuple[float, float],
+    max_difference_s: float,
+    max_laplacian: float,
+    coverage: dict | None,
+    reference_velocity: float,
+    wavelengths: float,
+    boundary: int,
+    cycle_skips: dict | None,
+    helmholtz: bool,
+    neighbours: int | None,
+    min_cells: int,
+    min_fraction: float,
+    amplitude: dict | None,
+    kernel: str,
+) -> tuple[DataFrame, int, int, list[str]]:
+    """(one row of arrays ``wanted`` a source and period, rows and columns of the map, names of what is one value a row). ``stacked`` keeps the cells with code 0 of sources that a family accepts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     if kernel not in KERNELS:
@@ -698,15 +813,12 @@ def event_fields(
     own = {"min_amplitude": 0.0, "max_relative_difference": 0.01, "reference_velocity": 4.0, "min_period": 0.0} | (amplitude or {})
     key, solve, skips, near_km = ["period_s", "source"], KERNELS[kernel], cycle_skips or {}, wavelengths * reference_velocity
     d = M.valid_measurements(measurements, min_snr)
-    # No filter follows: it would be pushed below the projections that make the distance, which would be spelled out in it.
-    d = with_geodesic(d, "src_lon", "src_lat", "rcv_lon", "rcv_lat").withColumn("distance_km", F.col("g.distance_km")).drop("g")
-    d = d.withColumn("travel_time", travel_time(F.col("distance_km"), F.col("c")))
     number = lambda *names: [F.col(c).cast("double").alias(c) for c in names]
-    usable = F.when((F.col("distance_km") > 0) & (F.col("travel_time") > 0), F.struct("receiver", *number("rcv_lon", "rcv_lat", "distance_km", "travel_time")))
+    path = ("receiver", "rcv_lon", "rcv_lat", "src_lon", "src_lat", "c")
     loud = F.when((F.col("amp") > own["min_amplitude"]) & (F.col("period_s") >= own["min_period"]), F.struct("receiver", *number("rcv_lon", "rcv_lat", "amp")))
     ordered = lambda c: F.sort_array(F.collect_list(c))
-    rows = d.groupBy(*key).agg(F.count("*").alias("n_input"), ordered(usable).alias("p"), ordered(loud).alias("a"), F.sort_array(F.collect_set(F.struct(*number("src_lon", "src_lat")))).alias("s"))
-    rows = rows.filter(F.col("period_s").isNotNull() & F.col("source").isNotNull()).select(*key, "n_input", *[F.col(f"{g}.{c}").alias(f"{g}_{c}") for g, names in (("p", ("receiver", "rcv_lon", "rcv_lat", "distance_km", "travel_time")), ("a", ("receiver", "rcv_lon", "rcv_lat", "amp")), ("s", ("src_lon", "src_lat"))) for c in names])
+    rows = d.groupBy(*key).agg(F.count("*").alias("n_input"), ordered(F.struct("receiver", *number(*path[1:]))).alias("p"), ordered(loud).alias("a"), F.sort_array(F.collect_set(F.struct(*number("src_lon", "src_lat")))).alias("s"))
+    rows = rows.filter(F.col("period_s").isNotNull() & F.col("source").isNotNull()).select(*key, "n_input", *[F.col(f"{g}.{c}").alias(f"{g}_{c}") for g, names in (("p", path), ("a", ("receiver", "rcv_lon", "rcv_lat", "amp")), ("s", ("src_lon", "src_lat"))) for c in names])
     cells = grid.select("i_lat", "i_lon", "lat", "lon", "x_km", "y_km").orderBy("i_lat", "i_lon").toPandas()
     shared = grid.sparkSession.sparkContext.broadcast(A.Map(*(cells[c].to_numpy() for c in cells)))
     size = (int(cells["i_lat"].max()) + 1) * (int(cells["i_lon"].max()) + 1)
@@ -716,6 +828,7 @@ def event_fields(
     if helmholtz:
         listed |= {**dict.fromkeys(("amplitude", "amplitude_other", "amplitude_laplacian", "correction"), "double"), "amplitude_adjacent": "boolean", "helmholtz_reason": "tinyint"}
     words = ["accepted", "helmholtz_accepted"] if helmholtz else ["accepted"]
+    listed = {c: listed[c] for c in wanted}
     ddl = ", ".join([*(f"{c} {kinds[c]}" for c in key), *(f"{c} array<{t}>" for c, t in listed.items()), *(f"{c} boolean" for c in words), *(f"{c} bigint" for c in counted)])
     target = to_arrow_schema(type(rows.schema).fromDDL(ddl))
 
@@ -729,10 +842,11 @@ def event_fields(
         sizes = {g: b.column(c).value_lengths().to_numpy() for g, c in (("p", "p_receiver"), ("a", "a_receiver"), ("s", "s_src_lon"))}
         of = {g: np.repeat(np.arange(n), k) for g, k in sizes.items()}
         period = b.column("period_s").to_numpy(zero_copy_only=False).astype(float)
-        lon, lat, slon, slat, alon, alat, amp = (flat(c) for c in ("p_rcv_lon", "p_rcv_lat", "s_src_lon", "s_src_lat", "a_rcv_lon", "a_rcv_lat", "a_amp"))
-        time, ok, cycles, _ = corrected(lon, lat, flat("p_distance_km"), flat("p_travel_time"), sizes["p"], period, **skips)
+        slon, slat, alon, alat, amp = (flat(c) for c in ("s_src_lon", "s_src_lat", "a_rcv_lon", "a_rcv_lat", "a_amp"))
+        of["p"], receiver, lon, lat, distance, time = usable_paths(of["p"], b.column("p_receiver").flatten(), *(flat(f"p_{c}") for c in path[1:]))
+        time, ok, cycles, _ = corrected(lon, lat, distance, time, np.bincount(of["p"], minlength=n), period, **skips)
         # Amplitudes of the receivers whose cycles hold.
-        good = set(zip(of["p"][ok].tolist(), b.column("p_receiver").flatten().filter(pa.array(ok)).to_pylist(), strict=True))
+        good = set(zip(of["p"][ok].tolist(), receiver.filter(pa.array(ok)).to_pylist(), strict=True))
         heard = np.fromiter((x in good and x[1] is not None for x in zip(of["a"].tolist(), b.column("a_receiver").flatten().to_pylist(), strict=True)), bool, len(amp))
 
         def solved(who: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -778,10 +892,14 @@ def event_fields(
                 unstable = np.abs(out["amplitude"] - out["amplitude_other"]) > own["max_relative_difference"] * np.abs(out["amplitude"])
                 out["helmholtz_reason"] = A.helmholtz_reason(out["reason"], out["amplitude"], out["correction"], s, own["reference_velocity"], unstable, done[who][:, None] & np.ones(s.shape, bool), out["amplitude_adjacent"], own["min_amplitude"])
         out["i_lat"], out["i_lon"] = (np.broadcast_to(c, s.shape) for c in (m.i_lat, m.i_lon))
+        words_of = {w: accept(out[c], who, n) for w, c in zip(words, ("reason", "helmholtz_reason"), strict=False)}
         ends = np.arange(len(who) + 1) * len(m)
+        if stacked:
+            kept = (out["reason"] == 0) & np.any(list(words_of.values()), axis=0)[:, None]
+            ends, out = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]), {c: out[c][kept] for c in listed}
         once = {"n_input": b.column("n_input").to_numpy(), "n_used": np.bincount(of["p"], ok, n), "n_corrected": np.bincount(of["p"], ok & (cycles != 0), n), "n_rejected": np.bincount(of["p"], ~ok, n), "n_amplitude": np.bincount(of["a"], heard, n)}
         columns = {c: b.column(c).take(pa.array(who)) for c in key} | {c: pa.array(v[who].astype(np.int64)) for c, v in once.items()}
-        columns |= {w: pa.array(accept(out[c], who, n)) for w, c in zip(words, ("reason", "helmholtz_reason"), strict=False)}
+        columns |= {w: pa.array(v) for w, v in words_of.items()}
         columns |= {c: _lists(out[c].ravel(), ends, target.field(c).type.value_type) for c in listed}
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in target], schema=target)
 
@@ -791,15 +909,22 @@ def event_fields(
             for at in range(0, len(b), step):
                 yield fields(b.slice(at, step))
 
-    # Cells are written once, as arrays: what follows is read twice by a stack, and all of it is computed in the row.
-    t = cut(rows.mapInArrow(run, ddl))
-    t = t.select(*key, *words, *counted, F.inline(F.arrays_zip(*listed)))
-    n_lat, n_lon = int(cells["i_lat"].max()) + 1, int(cells["i_lon"].max()) + 1
-    t = M.boundary_cells(t, n_lat, n_lon, boundary).withColumns({"cell": (F.col("i_lat") * n_lon + F.col("i_lon")).cast("int"), "angle": wrap180(F.degrees(F.atan2("east", "north"))), "velocity": F.when(F.col("slowness") > 0, 1 / F.col("slowness"))})
-    t = t.withColumn("deflection", wrap180(F.col("angle") - F.col("azimuth")))
-    first = [*key, "i_lat", "i_lon", "cell", "source_km", "azimuth", "value", "other", "east", "north", "laplacian", "adjacent", "slowness", "angle", "velocity", "covered", "boundary", "reason", "deflection"]
-    if not helmholtz:
-        return t.select(*first, *words, *counted)
-    s2 = F.col("slowness") * F.col("slowness") - F.col("correction")
-    t = t.withColumn("helmholtz_slowness", F.when(s2 > 0, F.sqrt(s2)))
-    return t.select(*first, "amplitude", "amplitude_other", "amplitude_laplacian", "amplitude_adjacent", "correction", "helmholtz_reason", "helmholtz_slowness", *words, *counted)
+    return rows.mapInArrow(run, ddl), int(cells["i_lat"].max()) + 1, int(cells["i_lon"].max()) + 1, [*words, *counted]
+
+
+def usable_paths(who: np.ndarray, receiver: pa.Array, lon: np.ndarray, lat: np.ndarray, src_lon: np.ndarray, src_lat: np.ndarray, velocity: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, receiver, lon, lat, distance in km, travel time) of the paths that have a distance and a time, those of one receiver at one place by distance and time. They come in the order of row, receiver and place."""
+    distance = A.geodesic(src_lon, src_lat, lon, lat)[0]
+    with np.errstate(all="ignore"):
+        time = distance / velocity
+        use = np.flatnonzero((distance > 0) & (time > 0))
+    receiver = receiver.take(pa.array(use))
+    who, lon, lat, distance, time = (v[use] for v in (who, lon, lat, distance, time))
+    if len(use) > 1:
+        codes = receiver.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        again = np.concatenate([[False], np.all([v[1:] == v[:-1] for v in (who, codes, lon, lat)], axis=0)])
+        if again.any():
+            order = np.lexsort((time, distance, np.cumsum(~again)))
+            receiver = receiver.take(pa.array(order))
+            who, lon, lat, distance, time = (v[order] for v in (who, lon, lat, distance, time))
+    return who, receiver, lon, lat, distance, time

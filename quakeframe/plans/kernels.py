@@ -98,7 +98,7 @@ _FIELDS = {"coverage": {"mode": "either", "nearby_km": 150.0, "quadrant_km": 250
 
 
 def _k5(p):
-    d = K.event_fields(p, _grid(p), **_FIELDS)
+    d = K.event_fields(p, _grid(p), **_FIELDS, columns=("i_lat", "i_lon", "slowness", "reason", "helmholtz_reason"), written=False)
     code = [F.col(c).cast("int").alias(c) for c in ("reason", "helmholtz_reason")]
     return _rounded(d.select("period_s", "source", "i_lat", "i_lon", "slowness", *code, "accepted", "helmholtz_accepted", "n_input", "n_used", "n_amplitude", "n_corrected", "n_rejected"), 3)
 

@@ -1,6 +1,7 @@
 """Fields of sources kept as one row, against the column forms that shuffle cells."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,38 @@ def test_angles_are_repeated_only_near_the_turn(spark):
     plan = S.azimuth_peers(e, 20.0).filter("azimuth IS NOT NULL")
     assert {r["peers"] for r in plan.collect()} == {321}
     assert S.turned(e, 20.0).count() == 2880 + 1 + 321
+
+
+def measured(spark, receivers=9, sources=3):
+    rng = np.random.default_rng(6)
+    rows = [("ZZ", f"S{s}", f"R{i}", -1.6 + 0.1 * s, 0.2, -0.6 + 0.15 * i, 0.8 * float(rng.random()), p, 3.5 + 0.05 * float(rng.random()), 20.0, True, 1 + 0.01 * float(rng.random()), None) for s in range(sources) for i in range(receivers if s else 2) for p in (10, 20)]
+    return spark.createDataFrame(rows, MEASUREMENTS), G.grid_axes(spark, (-0.6, 0.6, 0.2), (-0.2, 0.8, 0.2)).localCheckpoint()
+
+
+def test_fields_that_are_read_once_are_not_written(spark, monkeypatch):
+    """Wanted columns alone, of sources with too few points too."""
+    from quakeframe import registry
+
+    d, grid = measured(spark)
+    whole = K.event_fields(d, grid).localCheckpoint()
+
+    def fails(_):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(K, "cut", fails)
+    registry.QUERIES["k5_event_fields"](spark, "/root/testdata/sf0.001")
+    for wanted in (("i_lat", "i_lon", "slowness", "reason", "helmholtz_reason"), ("cell", "deflection", "boundary", "helmholtz_slowness", "velocity")):
+        some = K.event_fields(d, grid, columns=wanted, written=False)
+        assert some.columns == ["period_s", "source", *[c for c in whole.columns if c in wanted], "accepted", "helmholtz_accepted", "n_input", "n_used", "n_amplitude", "n_corrected", "n_rejected"]
+        assert some.exceptAll(whole.select(some.columns)).count() == 0 and some.count() == whole.count() == 6 * 42
+    with pytest.raises(ValueError, match="unknown columns"):
+        K.event_fields(d, grid, columns=("speed",))
+
+
+def test_paths_to_one_receiver_are_taken_by_distance_and_time():
+    who, receiver = np.array([0, 0, 0, 0, 1, 1]), pa.array(["a", "a", "a", None, None, "b"])
+    lon, lat = np.array([1.0, 1.0, 1.0, 1.0, 1.0, np.nan]), np.zeros(6)
+    src, c = np.array([-3.0, 0.0, 0.0, 0.0, 0.0, 0.0]), np.array([3.0, 2.0, 4.0, 3.0, 3.0, 3.0])
+    w, r, _, _, d, t = K.usable_paths(who, receiver, lon, lat, src, np.zeros(6), c)
+    assert w.tolist() == [0, 0, 0, 0, 1] and r.to_pylist() == ["a", "a", "a", None, None]
+    assert d == pytest.approx([111.3195, 111.3195, 445.278, 111.3195, 111.3195], rel=1e-5) and t[:3] == pytest.approx(d[:3] / [4.0, 2.0, 3.0])
