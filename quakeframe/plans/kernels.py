@@ -8,7 +8,6 @@ from ..functions.scalars import with_geodesic
 from ..operators import dispersion as D
 from ..operators import grid as G
 from ..operators import kernels as K
-from ..operators import stack as A
 from ..operators import traces as T
 from ..session import cut
 from .base import Catalog
@@ -105,8 +104,8 @@ def _k5(p):
 
 def _maps(p):
     """From measurements to both maps; the amplitudes of these paths are rough, so their limit is wide."""
-    d = K.event_fields(p, _grid(p), **_FIELDS, velocity=(0.5, 10.0), min_fraction=0.01, amplitude={"max_relative_difference": 2.0, "reference_velocity": 0.5})
-    return _rounded(A.eikonal_vs_helmholtz(d, min_raw_measurements_per_cell=3), 3)
+    d = K.event_maps(p, _grid(p), {"min_raw_measurements_per_cell": 3}, **_FIELDS, velocity=(0.5, 10.0), min_fraction=0.01, amplitude={"max_relative_difference": 2.0, "reference_velocity": 0.5})
+    return _rounded(d, 3)
 
 
 C.add("k5_event_fields", "paths", _k5)

@@ -92,3 +92,18 @@ def test_paths_to_one_receiver_are_taken_by_distance_and_time():
     w, r, _, _, d, t = K.usable_paths(who, receiver, lon, lat, src, np.zeros(6), c)
     assert w.tolist() == [0, 0, 0, 0, 1] and r.to_pylist() == ["a", "a", "a", None, None]
     assert d == pytest.approx([111.3195, 111.3195, 445.278, 111.3195, 111.3195], rel=1e-5) and t[:3] == pytest.approx(d[:3] / [4.0, 2.0, 3.0])
+
+
+def test_maps_write_only_the_cells_they_stack(spark, monkeypatch):
+    d, grid = measured(spark, receivers=14, sources=6)
+    config = {"max_laplacian": 1.0, "wavelengths": 0.1, "max_difference_s": 50.0, "min_fraction": 0.05}
+    stack = {"min_raw_measurements_per_cell": 1, "require_peer": False}
+    whole = K.event_fields(d, grid, **config).localCheckpoint()
+    want = S.eikonal_vs_helmholtz(whole, **stack).orderBy("period_s", "cell").collect()
+    held = []
+    monkeypatch.setattr(K, "cut", lambda x: held.append(x.localCheckpoint()) or held[-1])
+    got = K.event_maps(d, grid, stack, **config).orderBy("period_s", "cell").collect()
+    assert len(held) == 1 and len(got) == len(want) > 10
+    assert held[0].agg(F.sum(F.size("slowness"))).first()[0] == whole.filter("reason = 0 AND (accepted OR helmholtz_accepted)").count() < whole.count()
+    for a, b in zip(got, want, strict=True):
+        assert a.asDict() == pytest.approx(b.asDict(), nan_ok=True, rel=1e-9)
