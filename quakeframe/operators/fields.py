@@ -9,6 +9,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import EARTH_RADIUS_KM, VINCENTY_STEPS, WGS84_A, WGS84_F
 from .masks import REASON_ORDER, REASONS
@@ -128,6 +131,12 @@ def geodesic(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndar
     return b * ba * (sigma - ds), wrap(np.degrees(np.arctan2(east, north)))
 
 
+@F.pandas_udf(DoubleType())
+def distance_km(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
+    """Column of distances of ``geodesic``, for tables on their way to a kernel: a batch of pairs at a time, where the staged projections are one generated method too long to be compiled."""
+    return pd.Series(geodesic(*(c.to_numpy(float, na_value=np.nan) for c in (lon1, lat1, lon2, lat2)))[0])
+
+
 def first_reason(conditions: dict[str, np.ndarray], failed: np.ndarray) -> np.ndarray:
     """As ``masks.first_reason``."""
     names = [n for n in REASON_ORDER if n in conditions]

@@ -506,6 +506,54 @@ def _plate(points: np.ndarray, values: np.ndarray, smoothing: float | np.ndarray
     return _smoothed(*_system(points, values, _kernel(points, points)), smoothing)
 
 
+#: Neighbours up to which local systems are eliminated side by side, and numbers of their kernels that are held at once.
+SMALL, BLOCK = 24, 1 << 16
+
+
+def _eliminated(a: np.ndarray, points: np.ndarray, z: np.ndarray, h: np.ndarray, at: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(value of each system for each weight, systems that can be trusted) of small thin-plate systems side by side, along the last axis.
+
+    ``a`` (n, n, systems) holds the kernels of the points (2, n, systems), which is overwritten; ``z`` their values, ``h`` the kernels
+    to the queried places ``at`` (2, systems), and a weight is what a system's diagonal holds. Reflections turn the linear
+    part into the first three unknowns, so all smoothings share what is left: a positive definite matrix, eliminated
+    without pivots for the queried value alone. Systems without three points off a line, or with a small pivot, are not trusted.
+    """
+    n, m = z.shape
+    p = np.concatenate([np.ones((1, n, m)), points])
+    z, h = z.copy(), h.copy()
+    with np.errstate(all="ignore"):
+        for j in range(3):
+            x = p[j, j:]
+            norm = np.sqrt((x * x).sum(axis=0))
+            beta, v = 1 / (norm * (norm + np.abs(x[0]))), x.copy()
+            v[0] += np.copysign(norm, x[0])
+            for y in (*p[j:], z, h):
+                y[j:] -= beta * (v * y[j:]).sum(axis=0) * v
+            own = a[j:, j:]
+            u = beta * np.einsum("ijm,jm->im", own, v)
+            u -= 0.5 * beta * (u * v).sum(axis=0) * v
+            own -= v[:, None] * u
+            own -= u[:, None] * v
+            if j:
+                a[:j, j:] -= (beta * np.einsum("ijm,jm->im", a[:j, j:], v))[:, None] * v
+        g0 = 1 / p[0, 0]
+        g1 = (at[0] - p[1, 0] * g0) / p[1, 1]
+        g2 = (at[1] - p[2, 0] * g0 - p[2, 1] * g1) / p[2, 2]
+        flat = g0 * z[0] + g1 * z[1] + g2 * z[2]
+        h = h[3:] - (g0 * a[0, 3:] + g1 * a[1, 3:] + g2 * a[2, 3:])
+        trusted, out, rest = np.abs(p[2, 2]) > 1e-6 * np.abs(p[1, 1]), np.empty((len(weights), m)), np.arange(n - 3)
+        for f, w in zip(out, weights, strict=True):
+            b = np.concatenate([a[3:, 3:], z[3:, None], h[:, None]], axis=1)
+            b[rest, rest] += w
+            least, f[:] = 1e-10 * b[rest, rest].max(axis=0), flat
+            for i in rest:
+                d, row = b[i, i], b[i, i + 1 :]
+                trusted &= d > least
+                f += row[-1] * row[-2] / d
+                b[i + 1 :, i + 1 :] -= (row[:-2] / d)[:, None] * row
+    return out, trusted & np.isfinite(out).all(axis=0)
+
+
 def thin_plate(points: np.ndarray, values: np.ndarray, query: np.ndarray, smoothing: float = 0.0, neighbours: int | None = None, chunk: int = 512) -> np.ndarray:
     """Thin-plate spline r^2 log r with a linear part, through (or near) scattered values.
 
@@ -559,15 +607,58 @@ def thin_plates(points: np.ndarray, values: np.ndarray, query: np.ndarray, smoot
         else:
             cells = [Buckets(x) for x in p] if i == 0 else cells  # noqa: F821
             at = np.array([[c.nearest(place, neighbours) for place in x] for c, x in zip(cells, own, strict=True)])
-        near = p[which, at]
-        k = _kernel(own[:, :, None], near)[:, :, 0]
-        system = _system(near, values[which, at], _kernel(near, near) if pairs is None else pairs[which[..., None], at[..., :, None], at[..., None, :]])
-        for w, o in zip(weight, out, strict=True):
-            c = _smoothed(*system, w)
-            o[:, i : i + chunk] = (k * c[..., :neighbours]).sum(axis=-1) + c[..., neighbours] + (own * c[..., neighbours + 1 :]).sum(axis=-1)
+        if pairs is not None and 4 <= neighbours <= SMALL:
+            out[:, :, i : i + chunk] = _small(p, values, pairs, own, at, weight)
+        else:
+            near = p[which, at]
+            k, system = _kernel(own[:, :, None], near)[:, :, 0], _system(near, values[which, at], _kernel(near, near))
+            for w, o in zip(weight, out, strict=True):
+                c = _smoothed(*system, w)
+                o[:, i : i + chunk] = (k * c[..., :neighbours]).sum(axis=-1) + c[..., neighbours] + (own * c[..., neighbours + 1 :]).sum(axis=-1)
     return out
 
 
+def _off_a_line(points: np.ndarray) -> np.ndarray:
+    """Whether the points (2, n, systems) of each system spread to both sides of a line by more than a millionth of their extent along it."""
+    x, y = points - points.mean(axis=1, keepdims=True)
+    xx, yy, xy = (x * x).sum(axis=0), (y * y).sum(axis=0), (x * y).sum(axis=0)
+    half = (xx + yy) / 2
+    along = half + np.hypot((xx - yy) / 2, xy)
+    # The cross product with the longest direction, since a difference of the sums would hold rounding only.
+    turn = 0.5 * np.arctan2(2 * xy, xx - yy)
+    across = x * np.sin(turn) - y * np.cos(turn)
+    return (across * across).sum(axis=0) > 1e-12 * along
+
+
+def _small(p: np.ndarray, values: np.ndarray, pairs: np.ndarray, query: np.ndarray, at: np.ndarray, weight: list[np.ndarray]) -> np.ndarray:
+    """Values at the places (sets, places, 2), whose nearest points are ``at``, from the kernel of all pairs; systems that cannot be eliminated are solved."""
+    (sets, n), (_, places, near) = values.shape, at.shape
+    # The systems lie side by side in memory too, which ``take`` keeps.
+    at, place, every = (np.ascontiguousarray(x.T) for x in (at.reshape(-1, near), query.reshape(-1, 2), p.reshape(-1, 2)))
+    which, kernels, value = np.repeat(np.arange(sets), places), pairs.reshape(-1), values.reshape(-1)
+    row, weight = which * n + at, [w.reshape(-1)[which] for w in weight]
+    around = every.take(row, axis=1)
+    r2 = ((place[:, None] - around) ** 2).sum(axis=0)
+    k = 0.5 * r2 * np.log(np.where(r2 > 0, r2, 1.0))
+    out, trusted = np.empty((len(weight), sets * places)), np.zeros(sets * places, bool)
+    step = max(1, BLOCK // (near * near))
+
+    def blocks(wanted: np.ndarray) -> Iterator[np.ndarray]:
+        found = np.flatnonzero(wanted)
+        return (found[i : i + step] for i in range(0, len(found), step))
+
+    for some in blocks(_off_a_line(around)):
+        own, there = row.take(some, axis=1), at.take(some, axis=1)
+        out[:, some], trusted[some] = _eliminated(kernels.take(own[:, None] * n + there), around.take(some, axis=2), value.take(own), k.take(some, axis=1), place.take(some, axis=1), [w[some] for w in weight])
+    for some in blocks(~trusted):
+        own, there = (np.ascontiguousarray(x.take(some, axis=1).T) for x in (row, at))
+        system = _system(every.T.take(own, axis=0), value.take(own), kernels.take(own[:, :, None] * n + there[:, None, :]))
+        for w, o in zip(weight, out, strict=True):
+            c = _smoothed(*system, w[some, None])
+            o[some] = (k[:, some].T * c[:, :near]).sum(axis=-1) + c[:, near] + (place[:, some].T * c[:, near + 1 :]).sum(axis=-1)
+    return out.reshape(len(weight), sets, places)
+
+
 #: Kernels of scattered values by name; further ones may be added. Each takes places in km (n, 2), their values (n,), queried
 #: places (m, 2), a smoothing and a number of neighbours or None, and returns the m values; it may raise LinAlgError.
 KERNELS: dict[str, Callable[..., np.ndarray]] = {"thin_plate": thin_plate}

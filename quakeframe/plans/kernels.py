@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import with_geodesic
 from ..operators import dispersion as D
 from ..operators import grid as G
 from ..operators import kernels as K
 from ..operators import traces as T
+from ..operators.fields import distance_km
 from ..session import cut
 from .base import Catalog
 
@@ -80,7 +80,7 @@ C.add("k1_dispersion", "samples ref_curve", lambda s, r: _rounded(D.measure_disp
 
 
 def _points(p):
-    d = with_geodesic(p.filter("valid"), "src_lon", "src_lat", "rcv_lon", "rcv_lat").withColumn("distance_km", F.col("g.distance_km")).drop("g")
+    d = p.filter("valid").withColumn("distance_km", distance_km("src_lon", "src_lat", "rcv_lon", "rcv_lat"))
     return d.withColumn("travel_time", F.col("distance_km") / F.col("c"))
 
 

@@ -95,3 +95,33 @@ def test_splines_are_solved_many_at_a_time(spark):
         want = np.linalg.lstsq(a, (b[k] * w[:, None]).T @ (v * w), rcond=None)[0]
         assert [x for x, _ in found] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-9)
         assert found[0][1] == pytest.approx(float(np.sqrt(np.mean([(v - b[k] @ want) ** 2 for k, v, _ in own]))), abs=1e-9)
+
+
+def test_small_local_systems_are_eliminated_side_by_side(monkeypatch):
+    """Points off a line need no solve of their own; those on a line, or nearly, go to the solver as before."""
+    rng = np.random.default_rng(13)
+    p, v, q = rng.uniform(0, 300, (7, 40, 2)), rng.normal(size=(7, 40)), rng.uniform(-50, 350, (90, 2))
+    solved, own = [], N._smoothed
+    monkeypatch.setattr(N, "_smoothed", lambda m, right, w: solved.append(m[..., 0, 0].size) or own(m, right, w))
+    got = N.thin_plates(p, v, q, (0.0, 1.0), 12)
+    assert not solved
+    p[4, :, 1] = p[4, :, 0] + 1e-9 * p[4, :, 1]
+    again = N.thin_plates(p, v, q, (0.0, 1.0), 12)
+    assert sum(solved) == 2 * 90
+    monkeypatch.setattr(N, "SMALL", 0)
+    want = N.thin_plates(p, v, q, (0.0, 1.0), 12)
+    rest = [0, 1, 2, 3, 5, 6]
+    assert got[:, rest] == pytest.approx(want[:, rest], rel=1e-9, abs=1e-9) and np.array_equal(got[:, rest], again[:, rest])
+    assert np.array_equal(again[:, 4], want[:, 4], equal_nan=True)
+
+
+def test_points_get_their_distance_a_batch_at_a_time(spark):
+    from quakeframe.functions.scalars import geodesic
+    from quakeframe.plans.kernels import _points
+
+    rows = [(True, -10.0, 40.0, -9.95 + 0.7 * i, 40.05 + 0.3 * i, 3.0) for i in range(30)] + [(True, 1.0, 2.0, 1.0, 2.0, 3.0), (True, None, 40.0, 1.0, 1.0, 3.0), (False, 0.0, 0.0, 1.0, 1.0, 3.0)]
+    d = _points(spark.createDataFrame(rows, "valid boolean, src_lon double, src_lat double, rcv_lon double, rcv_lat double, c double"))
+    assert "atan" not in plan(d).lower()
+    found = d.withColumn("want", geodesic(*map(F.col, ("src_lon", "src_lat", "rcv_lon", "rcv_lat")))["distance_km"]).collect()
+    assert len(found) == 32 and found[30]["distance_km"] == 0 and found[31]["distance_km"] is None and found[31]["travel_time"] is None
+    assert [r["distance_km"] for r in found[:30]] == pytest.approx([r["want"] for r in found[:30]], rel=1e-12)
