@@ -125,3 +125,29 @@ def test_points_get_their_distance_a_batch_at_a_time(spark):
     found = d.withColumn("want", geodesic(*map(F.col, ("src_lon", "src_lat", "rcv_lon", "rcv_lat")))["distance_km"]).collect()
     assert len(found) == 32 and found[30]["distance_km"] == 0 and found[31]["distance_km"] is None and found[31]["travel_time"] is None
     assert [r["distance_km"] for r in found[:30]] == pytest.approx([r["want"] for r in found[:30]], rel=1e-12)
+
+
+def test_event_windows_come_record_by_record(spark):
+    """Both ends of a window belong to it; runs of one record keep a written result small."""
+    from datetime import datetime, timedelta
+
+    from quakeframe.operators import traces as T
+
+    start = datetime(2024, 1, 1)
+    catalog = spark.createDataFrame([(i, start + timedelta(minutes=20 * i), 5.0) for i in range(60)], "event_id long, origin timestamp, magnitude double")
+    records = spark.createDataFrame([(1000 + i, "c", start + timedelta(minutes=10 * (i * 7 % 150))) for i in range(150)] + [(2000, "c", None)], "record_id long, channel string, t timestamp")
+    want = {(i, 1000 + k) for i in range(60) for k in range(150) if 0 <= 10 * (k * 7 % 150) - 20 * i <= 120}
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for limit in ("-1", "10m"):
+            for k in before:
+                spark.conf.set(k, limit)
+            found = T.event_windows(catalog, records)
+            assert found.columns == ["event_id", "origin", "magnitude", "record_id", "channel", "t"]
+            rows = [(r["event_id"], r["record_id"]) for r in found.collect()]
+            assert len(rows) == len(want) and set(rows) == want
+            ids = [r for _, r in rows]
+            assert 1 + sum(a != b for a, b in zip(ids[:-1], ids[1:], strict=True)) == len(set(ids))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
